@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.mixing import op10_source_mixing
+from siftwell.llm.licenses import op5_license_scan
 from siftwell.llm.packing import op1_best_fit_packing
+from siftwell.llm.quality import OP7_SQL, op7_quality_rules
 from siftwell.llm.tokens import op2_token_output
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
+    "op5_license_scan": op5_license_scan,
+    "op7_quality_rules": op7_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
