@@ -11,12 +11,14 @@ from siftwell.llm.licenses import op5_license_scan
 from siftwell.llm.packing import op1_best_fit_packing
 from siftwell.llm.quality import OP7_SQL, op7_quality_rules
 from siftwell.llm.tokens import op2_token_output
+from siftwell.llm.warc import OP4_SQL, op4_warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
+    "op4_warc_index": op4_warc_index,
     "op5_license_scan": op5_license_scan,
     "op7_quality_rules": op7_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
-SQL: dict[str, str] = {"op7_quality_rules": OP7_SQL}
+SQL: dict[str, str] = {"op4_warc_index": OP4_SQL, "op7_quality_rules": OP7_SQL}
