@@ -7,17 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.mixing import op10_source_mixing
+from siftwell.llm.classifier import op3_quality_classifier
 from siftwell.llm.licenses import op5_license_scan
 from siftwell.llm.packing import op1_best_fit_packing
 from siftwell.llm.quality import OP7_SQL, op7_quality_rules
+from siftwell.llm.secret_scan import op6_secret_scan
 from siftwell.llm.tokens import op2_token_output
 from siftwell.llm.warc import OP4_SQL, op4_warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_token_output": op2_token_output,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_warc_index": op4_warc_index,
     "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op10_source_mixing": op10_source_mixing,
 }
