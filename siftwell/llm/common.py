@@ -62,13 +62,14 @@ def join_dimension(left: DataFrame, dim: DataFrame, on: str, hot_salts: int = 16
     return salted.join(dim, cond, "left").drop("_dim_key", "_salt", "_dim_salt")
 
 
-def join_unique(left: DataFrame, right: DataFrame, key: str, n_rows: str, total: int, how: str = "left") -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, key: str, n_rows: str, total: int, how: str = "left", parts: int = HOT_PARTS) -> DataFrame:
     """Join to `right`, which has one row a key and in `n_rows` the left rows of that key.
 
-    Keys that hold over 1/HOT_PARTS of `total` rows are fewer than HOT_PARTS,
-    whatever the data: these are broadcast. All others are joined by a shuffle.
+    Keys that hold over 1/parts of `total` rows are fewer than `parts`, whatever
+    the data: these are broadcast. All others are joined by a shuffle. Values of
+    right that stand in left under the same name replace it.
     """
-    least = max(total // HOT_PARTS, 1000)
+    least = max(total // parts, 1000)
     hot = right.filter(F.col(n_rows) > least).select(F.col(key).alias("_hot_key"), F.struct(*[c for c in right.columns if c != key]).alias("_hot"))
     values = [c for c in right.columns if c != key]
     marked = left.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
