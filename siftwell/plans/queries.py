@@ -1,0 +1,568 @@
+"""Queries over the driver's tables, each with SQL that gives the same rows.
+
+documents stand for files (path source/doc_id.md, bundle = source),
+conversations for bundles of several parts, events for the decision log.
+Findings come from rules that these tables can match.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions import text as X
+from siftwell.functions.ranks import SEVERITIES, effective_severity
+from siftwell.operators import classify, evaluate, guard, judge, lines, rollup
+from siftwell.operators.scan import as_files, scan_bundles
+from siftwell.session import table
+from siftwell.sources.bundles import read_budget
+from siftwell.streaming import audit
+
+TOKEN = r'(?i)token = "[0-9a-f]{40}"'
+QUAD = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
+NOISE = r"[#*$%&]{3}"
+
+#: rule, pattern, severity, confidence of the rules over lines of documents, in order.
+LINE_RULES = [("secrets/assigned-token", TOKEN, 3, 2), ("network/dotted-quad", QUAD, 2, 1), ("obfuscation/marked-noise", NOISE, 2, 0), ("license/notice", r"License|rights reserved", 1, 1)]
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf)
+    return d.select(F.col("doc_id").alias("file_id"), F.col("source").alias("bundle_id"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("file"), "text")
+
+
+def line_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """A finding for each rule and line of documents that match; ord is the rule's place."""
+    rows = lines.line_index(files(spark, sf), keep=("bundle_id", "file"))
+    made = F.filter(
+        F.array(*[F.when(F.col("line_text").rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(r).alias("rule_id"), F.lit(s).alias("sev"), F.lit(c).alias("conf"))) for i, (r, p, s, c) in enumerate(LINE_RULES)]), lambda x: x.isNotNull()
+    )
+    return rows.select("bundle_id", "file_id", "file", "line", F.explode(made).alias("r")).select("bundle_id", "file_id", "file", "line", "r.ord", "r.rule_id", "r.sev", "r.conf", F.lit(1).alias("column"))
+
+
+def _sql_pattern(p: str) -> str:
+    return p.replace("'", "''")
+
+
+LINES_SQL = """lines AS (
+  SELECT doc_id AS file_id, source AS bundle_id, source || '/' || doc_id || '.md' AS file, i::INT AS line, l[i] AS line_text
+  FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"""
+FINDINGS_SQL = (
+    LINES_SQL
+    + ",\nfindings AS (\n"
+    + "\n  UNION ALL ".join(
+        f"SELECT bundle_id, file_id, file, line, {i} AS ord, '{r}' AS rule_id, {s} AS sev, {c} AS conf FROM lines WHERE regexp_matches(line_text, '{_sql_pattern(p)}')" for i, (r, p, s, c) in enumerate(LINE_RULES)
+    )
+    + "),\nfound AS (SELECT *, CASE WHEN conf = 0 THEN greatest(sev - 1, 0) ELSE sev END AS eff FROM findings)"
+)
+
+
+# ---- files and lines
+
+
+@query("SELECT doc_id AS file_id, source || '/' || doc_id || '.md' AS path, octet_length(encode(text))::BIGINT AS size, sha256(text) AS hash, 'markdown' AS kind FROM documents")
+def files_projection(spark, sf):
+    rows = files(spark, sf)
+    return rows.select("file_id", F.col("file").alias("path"), F.octet_length("text").cast("long").alias("size"), F.sha2("text", 256).alias("hash"), classify.kind(F.col("file"), F.lit(""), F.lit(False)).alias("kind"))
+
+
+@query("WITH " + LINES_SQL + " SELECT file_id, count(*)::BIGINT AS n_lines, sum(length(line_text))::BIGINT AS n_chars, max(line)::INT AS last_line FROM lines GROUP BY file_id")
+def line_index(spark, sf):
+    rows = lines.line_index(files(spark, sf))
+    return rows.groupBy("file_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line_text")).cast("long").alias("n_chars"), F.max("line").alias("last_line"))
+
+
+@query("WITH " + LINES_SQL + " SELECT file_id, line, (coalesce(sum(length(line_text) + 1) OVER (PARTITION BY file_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start FROM lines")
+def line_starts(spark, sf):
+    return lines.line_starts(lines.line_index(files(spark, sf))).select("file_id", "line", "start")
+
+
+@query(
+    "WITH " + LINES_SQL + """, p AS (SELECT file_id, count(*)::BIGINT AS n_lines, sum(length(line_text))::BIGINT AS n_chars, max(length(line_text))::INT AS longest, arg_max(line, length(line_text) * 1000000 - line)::INT AS longest_line FROM lines GROUP BY file_id)
+    SELECT *, longest >= 3000 OR (n_chars / n_lines > 500 AND n_chars > 5000) AS minified FROM p"""
+)
+def minified_lines(spark, sf):
+    return lines.long_lines(lines.line_index(files(spark, sf))).select("file_id", "n_lines", F.col("n_chars").cast("long").alias("n_chars"), "longest", "longest_line", "minified")
+
+
+@query(
+    "WITH " + LINES_SQL + r""", b AS (SELECT file_id, line, regexp_matches(line_text, '^\s*$') AS blank, sum(CASE WHEN regexp_matches(line_text, '^\s*$') THEN 0 ELSE 1 END) OVER (PARTITION BY file_id ORDER BY line) AS g FROM lines)
+    SELECT file_id, min(line)::INT AS first_line, count(*)::BIGINT AS n FROM b WHERE blank GROUP BY file_id, g HAVING count(*) >= 1"""
+)
+def blank_runs(spark, sf):
+    return lines.blank_runs(lines.line_index(files(spark, sf)), 1)
+
+
+@query(r"SELECT doc_id AS file_id, len(regexp_extract_all(text, '[ \t]{2,}'))::BIGINT AS n FROM documents WHERE regexp_matches(text, '[ \t]{2,}')")
+def padding_regex(spark, sf):
+    pattern = r"[ \t]{2,}"
+    return files(spark, sf).filter(F.col("text").rlike(pattern)).select("file_id", F.regexp_count("text", F.lit(pattern)).cast("long").alias("n"))
+
+
+@query(
+    "WITH " + LINES_SQL + r""", w AS (SELECT file_id, line, line_text, lag(line_text) OVER (PARTITION BY file_id ORDER BY line) AS prev, lead(line_text) OVER (PARTITION BY file_id ORDER BY line) AS next FROM lines)
+    SELECT file_id, line, length(prev)::INT AS prev_chars, length(next)::INT AS next_chars FROM w WHERE regexp_matches(line_text, '""" + _sql_pattern(QUAD) + "')"
+)
+def line_context(spark, sf):
+    w = Window.partitionBy("file_id").orderBy("line")
+    rows = lines.line_index(files(spark, sf)).withColumns({"p": F.lag("line_text").over(w), "n": F.lead("line_text").over(w)})
+    return rows.filter(F.col("line_text").rlike(QUAD)).select("file_id", "line", F.length("p").alias("prev_chars"), F.length("n").alias("next_chars"))
+
+
+@query("SELECT sha256(text) AS hash, count(*)::BIGINT AS n, min(doc_id) AS first_id FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+def duplicate_texts(spark, sf):
+    return documents(spark, sf).groupBy(F.sha2("text", 256).alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+
+
+@query(
+    """WITH f AS (SELECT source AS bundle_id, source || '/' || doc_id || '.md' AS path, sha256(text) AS h FROM documents)
+    SELECT bundle_id, 'sha256:' || sha256(string_agg(path || chr(0) || h || chr(10), '' ORDER BY path)) AS digest FROM f GROUP BY bundle_id"""
+)
+def bundle_digest(spark, sf):
+    return rollup.bundle_digest(files(spark, sf).withColumnRenamed("file", "path"))
+
+
+@query(
+    """WITH s AS (SELECT source AS bundle_id, doc_id AS file_id, octet_length(encode(text))::BIGINT AS size FROM documents),
+    r AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY bundle_id ORDER BY size, file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM s)
+    SELECT bundle_id, file_id, size, greatest(0, least(size, 20000 - before))::BIGINT AS read FROM r"""
+)
+def read_budget_prefix(spark, sf):
+    rows = files(spark, sf).select("bundle_id", "file_id", F.octet_length("text").cast("long").alias("size"))
+    return read_budget(rows, 20000, "bundle_id", F.col("size"), [F.col("size"), F.col("file_id")])
+
+
+@query(
+    """WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT doc_id, ch, count(*) AS k FROM c WHERE ch <> '' GROUP BY doc_id, ch), t AS (SELECT doc_id, k, sum(k) OVER (PARTITION BY doc_id) AS total FROM n)
+    SELECT doc_id, round(-sum((k / total) * log2(k / total)), 6) AS entropy FROM t GROUP BY doc_id"""
+)
+def char_entropy(spark, sf):
+    return X.with_entropy(documents(spark, sf).select("doc_id", "text"), "text", "e").select("doc_id", F.round("e", 6).alias("entropy"))
+
+
+@query(
+    r"""SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::INT AS n_letters, CASE WHEN length(text) > 40 THEN left(text, 39) || chr(8230) ELSE text END AS head FROM documents"""
+)
+def clipped_heads(spark, sf):
+    return documents(spark, sf).select("doc_id", F.length(F.regexp_replace("text", "[^A-Za-z]", "")).alias("n_letters"), X.clip(F.col("text"), 40).alias("head"))
+
+
+# ---- matches
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)token = "([0-9a-f]{40})"', 1)) AS s FROM documents) SELECT doc_id, left(s, 4) || '************' || right(s, 2) AS masked FROM m""")
+def assigned_token_hits(spark, sf):
+    hits = documents(spark, sf).filter(F.col("text").rlike(TOKEN)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r'(?i)token = "([0-9a-f]{40})"'), F.lit(1))).alias("s"))
+    return hits.select("doc_id", X.mask_secret(F.col("s")).alias("masked"))
+
+
+PRIVATE_SQL = r"^(?:0\.|10\.|127\.|169\.254\.|172\.(?:1[6-9]|2\d|3[01])\.|192\.168\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.|255\.255\.255\.255$)"
+
+
+@query(rf"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{QUAD}')) AS ip FROM documents) SELECT doc_id, ip, count(*)::BIGINT AS n FROM m WHERE NOT regexp_matches(ip, '{PRIVATE_SQL}') GROUP BY doc_id, ip""")
+def raw_ip_hits(spark, sf):
+    hits = documents(spark, sf).filter(F.col("text").rlike(QUAD)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(QUAD), F.lit(0))).alias("ip"))
+    return hits.filter(~X.is_private_ip(F.col("ip"))).groupBy("doc_id", "ip").agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH m AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<!--.*?-->')) AS c FROM pages) SELECT page_id, count(*)::BIGINT AS n, sum(length(c))::BIGINT AS n_chars FROM m GROUP BY page_id""")
+def hidden_comment_regions(spark, sf):
+    hits = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("(?s)<!--.*?-->"), F.lit(0))).alias("c"))
+    return hits.groupBy("page_id").agg(F.count("*").alias("n"), F.sum(F.length("c")).cast("long").alias("n_chars"))
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<script\b.*?</script>'))::BIGINT AS n_scripts, len(regexp_extract_all(html, '(?is)<style\b.*?</style>'))::BIGINT AS n_styles FROM pages""")
+def page_scripts(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.regexp_count("html", F.lit(r"(?is)<script\b.*?</script>")).cast("long").alias("n_scripts"), F.regexp_count("html", F.lit(r"(?is)<style\b.*?</style>")).cast("long").alias("n_styles"))
+
+
+#: Tiers of hosts by suffix. Fixed values of this query.
+TIERS = {"example.com": "trusted", "example.org": "demo", "example.net": "unknown"}
+
+
+@query(
+    """WITH h AS (SELECT page_id, lower(regexp_extract(url, '^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)', 1)) AS host FROM pages)
+    SELECT page_id, host, CASE WHEN host = 'example.com' OR host LIKE '%.example.com' THEN 'trusted' WHEN host = 'example.org' OR host LIKE '%.example.org' THEN 'demo' WHEN host = 'example.net' OR host LIKE '%.example.net' THEN 'unknown' END AS tier FROM h"""
+)
+def page_host_tier(spark, sf):
+    dim = spark.createDataFrame(list(TIERS.items()), "suffix string, tier string")
+    hosts = table(spark, sf, "pages").select("page_id", X.host_of(F.col("url")).alias("host"))
+    hits = hosts.select("page_id", F.posexplode(X.host_suffixes(F.col("host"))).alias("pos", "suffix")).join(F.broadcast(dim), "suffix").groupBy("page_id").agg(F.min_by("tier", "pos").alias("tier"))
+    return hosts.join(hits, "page_id", "left")
+
+
+@query(
+    """WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^?#]*)', 1) AS path FROM pages),
+    o AS (SELECT DISTINCT regexp_extract(path, '^([^/]+)/', 1) || '/en' AS dir FROM p)
+    SELECT page_id, coalesce((SELECT max(dir) FROM o WHERE path LIKE dir || '/%'), '.') AS owner FROM p"""
+)
+def ancestor_owner(spark, sf):
+    paths = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1).alias("path"))
+    owners = paths.select(F.concat(F.regexp_extract("path", "^([^/]+)/", 1), F.lit("/en")).alias("dir")).distinct()
+    up = paths.select("page_id", F.posexplode(X.ancestors(F.col("path"))).alias("depth", "dir"))
+    best = up.join(owners, "dir").groupBy("page_id").agg(F.max_by("dir", "depth").alias("dir"))
+    return paths.select("page_id").join(best, "page_id", "left").select("page_id", F.coalesce("dir", F.lit(".")).alias("owner"))
+
+
+@query("SELECT r.rule_id, count(*)::BIGINT AS n_files FROM documents d JOIN (VALUES ('a', 'en'), ('b', 'en'), ('b', 'fr'), ('c', 'de')) r(rule_id, lang) ON d.lang = r.lang GROUP BY r.rule_id")
+def rule_gate_join(spark, sf):
+    dim = spark.createDataFrame([("a", "en"), ("b", "en"), ("b", "fr"), ("c", "de")], "rule_id string, lang string")
+    # counted by language first, so the join sees a row a language
+    per = documents(spark, sf).groupBy("lang").agg(F.count("*").alias("n"))
+    return per.join(F.broadcast(dim), "lang").groupBy("rule_id").agg(F.sum("n").alias("n_files"))
+
+
+# ---- findings
+
+
+@query("WITH " + FINDINGS_SQL + " SELECT file_id, line, rule_id, sev, conf FROM found")
+def findings_union(spark, sf):
+    return line_findings(spark, sf).select("file_id", "line", "rule_id", "sev", "conf")
+
+
+@query("WITH " + FINDINGS_SQL + " SELECT rule_id, count(*)::BIGINT AS n, count(DISTINCT bundle_id)::BIGINT AS n_bundles, sum(eff)::BIGINT AS eff_sum FROM found GROUP BY rule_id")
+def effective_severities(spark, sf):
+    rows = line_findings(spark, sf)
+    return rows.groupBy("rule_id").agg(F.count("*").alias("n"), F.countDistinct("bundle_id").alias("n_bundles"), F.sum(effective_severity(F.col("sev"), F.col("conf"))).cast("long").alias("eff_sum"))
+
+
+@query(
+    "WITH " + FINDINGS_SQL + ", d AS (SELECT *, row_number() OVER (PARTITION BY bundle_id, file, line // 10 ORDER BY sev DESC, ord, line) AS n FROM found) SELECT file, line, rule_id, sev FROM d WHERE n = 1"
+)
+def findings_dedupe(spark, sf):
+    w = Window.partitionBy("bundle_id", "file", F.floor(F.col("line") / 10)).orderBy(F.desc("sev"), "ord", "line")
+    return line_findings(spark, sf).withColumn("n", F.row_number().over(w)).filter("n = 1").select("file", "line", "rule_id", "sev")
+
+
+@query("WITH " + FINDINGS_SQL + ", d AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY sev DESC, conf DESC, file, line, rule_id) AS n FROM found) SELECT bundle_id, file, line, rule_id, sev, n::INT AS place FROM d WHERE n <= 5")
+def findings_top_k(spark, sf):
+    rows = rollup.dedupe(line_findings(spark, sf))
+    top = rollup.worst(rows, 5)
+    return top.withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(*rollup.order()))).select("bundle_id", "file", "line", "rule_id", "sev", "place")
+
+
+@query("WITH " + FINDINGS_SQL + " SELECT bundle_id, file, line, rule_id, sev, conf FROM found WHERE sev >= 2 ORDER BY sev DESC, conf DESC, file, line, rule_id")
+def findings_sorted(spark, sf):
+    return line_findings(spark, sf).filter("sev >= 2").select("bundle_id", "file", "line", "rule_id", "sev", "conf").orderBy(*rollup.order())
+
+
+#: A user's suppressions: by rule and path, and by category.
+SUPPRESSIONS = [{"rule": "network/dotted-quad", "path": "src1*/**"}, {"rule": "obfuscation/*", "path": "**/*0.md"}]
+SUPPRESSED_SQL = r"(rule_id = 'network/dotted-quad' AND regexp_matches(file, '^src1[^/]*/.*$')) OR (rule_id LIKE 'obfuscation/%' AND regexp_matches(file, '^(?:.*/)?[^/]*0\.md$'))"
+
+
+@query("WITH " + FINDINGS_SQL + f" SELECT file, line, rule_id FROM found WHERE NOT ({SUPPRESSED_SQL})")
+def suppressed_anti(spark, sf):
+    return rollup.suppress(line_findings(spark, sf), SUPPRESSIONS).filter("not suppressed").select("file", "line", "rule_id")
+
+
+@query("WITH " + FINDINGS_SQL + f" SELECT bundle_id, count(*) FILTER ({SUPPRESSED_SQL})::BIGINT AS n_suppressed FROM found GROUP BY bundle_id")
+def suppressed_count(spark, sf):
+    return rollup.suppress(line_findings(spark, sf), SUPPRESSIONS).groupBy("bundle_id").agg(F.count_if(F.expr("suppressed")).alias("n_suppressed"))
+
+
+VERDICT_SQL = "CASE WHEN w >= 3 THEN 2 WHEN w >= 2 THEN 1 ELSE 0 END"
+
+
+@query(
+    "WITH " + FINDINGS_SQL + f""", p AS (SELECT bundle_id, max(eff) AS w, {', '.join(f"count(*) FILTER (sev = {i}) AS n_{s}" for i, s in enumerate(SEVERITIES))} FROM found GROUP BY bundle_id)
+    SELECT b.bundle_id, ({VERDICT_SQL})::INT AS verdict, {', '.join(f"coalesce(n_{s}, 0)::BIGINT AS n_{s}" for s in SEVERITIES)} FROM (SELECT DISTINCT source AS bundle_id FROM documents) b LEFT JOIN p USING (bundle_id)"""
+)
+def bundle_verdict(spark, sf):
+    return rollup.bundle_verdicts(files(spark, sf), line_findings(spark, sf))
+
+
+def _file_verdicts(spark, sf) -> DataFrame:
+    """file_id and verdict of every document."""
+    rows = line_findings(spark, sf).withColumn("bundle_id", F.col("file_id"))
+    return rollup.bundle_verdicts(files(spark, sf).select(F.col("file_id").alias("bundle_id")), rows).select(F.col("bundle_id").alias("doc_id"), "verdict")
+
+
+FILE_VERDICT_SQL = FINDINGS_SQL + f", fv AS (SELECT d.doc_id, ({VERDICT_SQL})::INT AS verdict FROM documents d LEFT JOIN (SELECT file_id, max(eff) AS w FROM found GROUP BY file_id) m ON m.file_id = d.doc_id)"
+
+
+@query("WITH " + FILE_VERDICT_SQL + " SELECT coalesce(max(verdict), 0)::INT AS verdict, count(*) FILTER (verdict = 0)::BIGINT AS n_pass, count(*) FILTER (verdict = 1)::BIGINT AS n_warn, count(*) FILTER (verdict = 2)::BIGINT AS n_block FROM fv")
+def target_verdict(spark, sf):
+    return rollup.target_verdict(_file_verdicts(spark, sf))
+
+
+@query("WITH " + FINDINGS_SQL + " SELECT bundle_id, " + ", ".join(f"count(*) FILTER (sev = {i})::BIGINT AS n_{s}" for i, s in enumerate(SEVERITIES)) + " FROM found GROUP BY bundle_id")
+def counts_by_severity(spark, sf):
+    return line_findings(spark, sf).groupBy("bundle_id").agg(*[F.count_if(F.col("sev") == i).alias(f"n_{s}") for i, s in enumerate(SEVERITIES)])
+
+
+@query("WITH " + FINDINGS_SQL + " SELECT bundle_id, rule_id, max(eff)::INT AS worst, count(*)::BIGINT AS n FROM found GROUP BY ROLLUP (bundle_id, rule_id)")
+def verdict_rollup(spark, sf):
+    return rollup.verdict_rollup(line_findings(spark, sf), ["bundle_id", "rule_id"])
+
+
+# ---- signals
+
+
+@query(
+    "WITH " + FINDINGS_SQL + """, a AS (SELECT * FROM found WHERE rule_id = 'secrets/assigned-token'), b AS (SELECT * FROM found WHERE rule_id = 'license/notice')
+    SELECT a.file_id, a.line, min(abs(a.line - b.line))::INT AS gap FROM a JOIN b USING (file_id) GROUP BY a.file_id, a.line HAVING min(abs(a.line - b.line)) <= 80"""
+)
+def signal_pairs(spark, sf):
+    rows = line_findings(spark, sf).filter(F.col("rule_id").isin("secrets/assigned-token", "license/notice"))
+    token = F.col("rule_id") == "secrets/assigned-token"
+    # the nearest notice before and after each token, without pairing all
+    w = Window.partitionBy("file_id").orderBy("line")
+    notice = F.when(~token, F.col("line"))
+    near = rows.withColumns({"b": F.last(notice, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "a": F.first(notice, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    gap = F.least(F.col("line") - F.col("b"), F.col("a") - F.col("line"))
+    return near.filter(token).groupBy("file_id", "line").agg(F.min(gap).alias("gap")).filter("gap <= 80")
+
+
+@query(
+    "WITH " + FINDINGS_SQL + """, a AS (SELECT bundle_id, file, min(line) AS line FROM found WHERE rule_id = 'secrets/assigned-token' GROUP BY bundle_id, file), b AS (SELECT bundle_id, file AS g, min(line) AS m FROM found WHERE rule_id = 'network/dotted-quad' GROUP BY bundle_id, file),
+    p AS (SELECT a.bundle_id, CASE WHEN file = g AND abs(line - m) <= 3 THEN 1 WHEN file = g THEN 2 ELSE 4 END AS rank, file, line, g AS sink_file, m AS sink_line FROM a JOIN b USING (bundle_id)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY rank, file, line, sink_file, sink_line) AS k FROM p)
+    SELECT bundle_id, rank::INT AS rank, file, line, sink_file, sink_line FROM n WHERE k = 1"""
+)
+def strongest_pair(spark, sf):
+    rows = line_findings(spark, sf)
+    first = lambda rule: rows.filter(F.col("rule_id") == rule).groupBy("bundle_id", "file").agg(F.min("line").alias("line"))
+    a, b = first("secrets/assigned-token"), first("network/dotted-quad").select("bundle_id", F.col("file").alias("g"), F.col("line").alias("m"))
+    same = a.join(b.withColumn("file", F.col("g")), ["bundle_id", "file"]).select("bundle_id", F.when(F.abs(F.col("line") - F.col("m")) <= 3, 1).otherwise(2).alias("rank"), "file", "line", "g", "m")
+    # across files the first two sinks of a bundle are enough: one of them is in another file
+    two = b.withColumn("n", F.row_number().over(Window.partitionBy("bundle_id").orderBy("g", "m"))).filter("n <= 2").drop("n")
+    across = a.join(two, "bundle_id").filter("file <> g").select("bundle_id", F.lit(4).alias("rank"), "file", "line", "g", "m")
+    best = same.unionByName(across).groupBy("bundle_id").agg(F.min(F.struct("rank", "file", "line", "g", "m")).alias("p"))
+    return best.select("bundle_id", "p.rank", "p.file", "p.line", F.col("p.g").alias("sink_file"), F.col("p.m").alias("sink_line"))
+
+
+# ---- evaluation
+
+
+@query("SELECT doc_id, CASE WHEN k < 2 THEN 'train' WHEN k = 2 THEN 'val' ELSE 'test' END AS split FROM (SELECT doc_id, ('0x' || left(sha256(source || '/' || doc_id), 2))::INT % 4 AS k FROM documents)")
+def split_assignment(spark, sf):
+    return documents(spark, sf).select("doc_id", evaluate.split_of(F.concat_ws("/", "source", "doc_id")).alias("split"))
+
+
+def _labelled(spark, sf) -> DataFrame:
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("toxic") == 1).alias("positive"))
+    return _file_verdicts(spark, sf).join(labels, "doc_id")
+
+
+LABELLED_SQL = FILE_VERDICT_SQL + ", lab AS (SELECT doc_id, verdict, toxic = 1 AS positive FROM fv JOIN labels USING (doc_id))"
+COUNTS_SQL = ", ".join(f"count(*) FILTER ({c})::BIGINT AS {n}" for n, c in (("tp", "positive AND verdict >= {t}"), ("fp", "NOT positive AND verdict >= {t}"), ("fn", "positive AND verdict < {t}"), ("tn", "NOT positive AND verdict < {t}")))
+
+
+@query("WITH " + LABELLED_SQL + " SELECT " + COUNTS_SQL.replace("{t}", "2") + " FROM lab")
+def confusion_block(spark, sf):
+    return evaluate.confusion(_labelled(spark, sf), 2)
+
+
+@query("WITH " + LABELLED_SQL + " SELECT " + COUNTS_SQL.replace("{t}", "1") + " FROM lab")
+def confusion_warn(spark, sf):
+    return evaluate.confusion(_labelled(spark, sf), 1)
+
+
+@query(
+    "WITH " + LABELLED_SQL + ", c AS (SELECT " + COUNTS_SQL.replace("{t}", "1") + """ FROM lab), r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS r, CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END AS s FROM c)
+    SELECT tp, fp, fn, tn, round(p, 9)::DOUBLE AS precision, round(r, 9)::DOUBLE AS recall, round(s, 9)::DOUBLE AS specificity, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 9)::DOUBLE AS f1, round((r + s) / 2, 9)::DOUBLE AS balanced_accuracy FROM r"""
+)
+def metrics(spark, sf):
+    rows = evaluate.metrics(evaluate.confusion(_labelled(spark, sf), 1))
+    return rows.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "specificity", "f1", "balanced_accuracy")])
+
+
+@query("WITH " + LABELLED_SQL + " SELECT lang, " + COUNTS_SQL.replace("{t}", "1") + " FROM lab JOIN documents USING (doc_id) GROUP BY lang")
+def per_corpus(spark, sf):
+    return evaluate.confusion(_labelled(spark, sf).join(documents(spark, sf).select("doc_id", "lang"), "doc_id"), 1, ["lang"])
+
+
+def _second_arm(spark, sf) -> DataFrame:
+    """A second arm's verdicts, from the documents' length."""
+    return documents(spark, sf).select("doc_id", F.when(F.col("n_chars") > 8000, 2).when(F.col("n_chars") < 200, 1).otherwise(0).alias("verdict"))
+
+
+ARM_SQL = "arm AS (SELECT doc_id, (CASE WHEN n_chars > 8000 THEN 2 WHEN n_chars < 200 THEN 1 ELSE 0 END)::INT AS verdict FROM documents)"
+
+
+@query("WITH " + FILE_VERDICT_SQL + ", " + ARM_SQL + " SELECT count(*) FILTER (a.verdict > b.verdict)::BIGINT AS worse, count(*) FILTER (a.verdict < b.verdict)::BIGINT AS better, count(*) FILTER (a.verdict = b.verdict)::BIGINT AS same FROM fv a JOIN arm b USING (doc_id)")
+def delta_vs_static(spark, sf):
+    return evaluate.delta_of_arms(_file_verdicts(spark, sf), _second_arm(spark, sf), "doc_id")
+
+
+@query("WITH " + FILE_VERDICT_SQL + ", " + ARM_SQL + " SELECT doc_id, greatest(a.verdict, coalesce(b.verdict, 0)) AS verdict FROM fv a LEFT JOIN arm b USING (doc_id)")
+def derived_union(spark, sf):
+    return evaluate.union_of_arms(_file_verdicts(spark, sf), _second_arm(spark, sf), "doc_id")
+
+
+def _scored(spark, sf) -> DataFrame:
+    labels = table(spark, sf, "labels").select("doc_id", (F.col("quality") == 1).alias("positive"))
+    return labels.join(documents(spark, sf).select("doc_id", F.col("n_chars").alias("score")), "doc_id")
+
+
+@query(
+    """WITH s AS (SELECT quality = 1 AS p, n_chars AS score FROM labels JOIN documents USING (doc_id)), d AS (SELECT score, count(*) AS n, count(*) FILTER (p) AS k FROM s GROUP BY score),
+    r AS (SELECT *, coalesce(sum(n) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS rank FROM d), t AS (SELECT sum(rank * k) AS r, sum(k) AS p, sum(n - k) AS q FROM r)
+    SELECT round(((r - p * (p + 1) / 2) / (p * q))::DOUBLE, 6) AS auc FROM t"""
+)
+def auc_rank(spark, sf):
+    return evaluate.auc(_scored(spark, sf)).select(F.round("auc", 6).alias("auc"))
+
+
+@query(
+    """WITH s AS (SELECT n_chars AS score FROM labels JOIN documents USING (doc_id) WHERE quality = 0), n AS (SELECT score, row_number() OVER (ORDER BY score DESC) AS k, count(*) OVER () AS total FROM s)
+    SELECT max(score) AS threshold FROM n WHERE k = floor(total * 0.1) + 1"""
+)
+def threshold_at_rate(spark, sf):
+    return evaluate.threshold_at_rate(_scored(spark, sf), 0.1)
+
+
+@query(
+    """WITH t AS (SELECT sum(CASE WHEN doc_id % 3 = 0 THEN n_chars ELSE floor(n_chars / 4 + 0.5)::BIGINT END)::BIGINT AS tokens, count(*)::BIGINT AS n FROM documents)
+    SELECT tokens, n, round(tokens / 1e6 * 0.042, 9) AS usd, round(tokens / 1e6 * 0.042 / n * 1000, 9) AS usd_per_1000 FROM t"""
+)
+def cost_summary(spark, sf):
+    rows = documents(spark, sf).select(F.col("n_chars").alias("judge_bytes"), F.when(F.col("doc_id") % 3 == 0, F.col("n_chars")).alias("judge_tokens"))
+    return evaluate.cost(rows, 0.042).select("tokens", "n", F.round("usd", 9).alias("usd"), F.round("usd_per_1000", 9).alias("usd_per_1000"))
+
+
+# ---- judge and guard
+
+
+def _probability(key: str):
+    """A recorded score: the first byte of a hash."""
+    return F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 2), 16, 10).cast("int") / 255.0
+
+
+@query(
+    "WITH " + FINDINGS_SQL + """, s AS (SELECT DISTINCT bundle_id, ('0x' || left(sha256(bundle_id), 2))::INT / 255.0 AS p FROM found), j AS (SELECT f.*, p, (p < 0.3 AND rule_id <> 'secrets/assigned-token' AND sev < 4) AS doubted FROM found f JOIN s USING (bundle_id))
+    SELECT bundle_id, rule_id, CASE WHEN doubted THEN 'doubted' ELSE 'confirmed' END AS effect, count(*)::BIGINT AS n, max(CASE WHEN doubted THEN 0 ELSE conf END)::INT AS conf FROM j GROUP BY ALL"""
+)
+def judge_doubt(spark, sf):
+    rows = line_findings(spark, sf).withColumns({"hard": F.col("rule_id") == "secrets/assigned-token", "category": F.lit("all")})
+    scores = documents(spark, sf).select(F.col("source").alias("bundle_id")).distinct().select("bundle_id", F.lit("all").alias("category"), _probability("bundle_id").alias("p_true"))
+    return judge.doubt(rows, scores, 0.3).groupBy("bundle_id", "rule_id", "effect").agg(F.count("*").alias("n"), F.max("conf").alias("conf"))
+
+
+@query(
+    """WITH p AS (SELECT source AS bundle_id, ('0x' || left(sha256(doc_id::VARCHAR), 2))::INT / 255.0 AS p FROM documents)
+    SELECT bundle_id, round(((avg(p) + max(p)) / 2)::DOUBLE, 9) AS score, (avg(p) + max(p)) / 2 >= 0.075 AS flagged FROM p GROUP BY bundle_id"""
+)
+def threat_score(spark, sf):
+    probes = documents(spark, sf).select(F.col("source").alias("bundle_id"), _probability("doc_id").alias("p"))
+    return judge.threat_scores(probes).select("bundle_id", F.round("score", 9).alias("score"), "flagged")
+
+
+@query(
+    """WITH p AS (SELECT conv_id, turn, '## ' || role || chr(10) || coalesce(text, '') || chr(10) AS part FROM conversations), n AS (SELECT conv_id, sum(length(part))::BIGINT AS n_chars, string_agg(part, '' ORDER BY turn, part) AS state FROM p GROUP BY conv_id)
+    SELECT conv_id, n_chars, CASE WHEN n_chars <= 4000 THEN sha256(state) END AS state_hash FROM n"""
+)
+def judge_state(spark, sf):
+    rows = judge.states(table(spark, sf, "conversations"), "conv_id", ["turn"], F.concat(F.lit("## "), F.col("role")), F.col("text"), 4000)
+    return rows.select("conv_id", "n_chars", F.sha2("state", 256).alias("state_hash"))
+
+
+@query(
+    "WITH " + FINDINGS_SQL + """, r AS (SELECT DISTINCT bundle_id, file_id FROM found WHERE sev = 3), t AS (SELECT doc_id FROM labels WHERE quality = 1)
+    SELECT bundle_id AS report_id, bool_and(file_id IN (SELECT doc_id FROM t)) AS allowed FROM r GROUP BY bundle_id"""
+)
+def trust_gate(spark, sf):
+    risky = line_findings(spark, sf).filter("sev = 3").select(F.col("bundle_id").alias("report_id"), F.col("file_id").alias("digest")).distinct()
+    trusted = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("digest"))
+    return guard.trust_gate(risky, trusted)
+
+
+ACTION_SQL = "(CASE WHEN value > 80 THEN 2 WHEN value > 50 THEN 1 ELSE 0 END)"
+
+
+@query(
+    f"""WITH d AS (SELECT user_id, event_id, event_type, {ACTION_SQL}::INT AS action FROM events), m AS (SELECT user_id, max(action) AS action FROM d GROUP BY user_id)
+    SELECT user_id, m.action, md5(string_agg(event_type, '; ' ORDER BY event_id) FILTER (d.action = m.action)) AS reasons, bool_or(d.event_type = 'purchase') AS guard_required FROM d JOIN m USING (user_id) GROUP BY user_id, m.action"""
+)
+def most_severe_reason(spark, sf):
+    action = F.when(F.col("value") > 80, 2).when(F.col("value") > 50, 1).otherwise(0)
+    rows = table(spark, sf, "events").select("user_id", F.col("event_id").alias("ord"), F.col("event_type").alias("reason"), action.alias("action"), (F.col("event_type") == "purchase").alias("guard_required"))
+    return guard.most_severe(rows, "user_id").select("user_id", "action", F.md5("reason").alias("reasons"), "guard_required")
+
+
+# ---- log and state
+
+
+@query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+def audit_latest(spark, sf):
+    return audit.latest(table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query(
+    """WITH m AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS mid FROM events), a AS (SELECT DISTINCT user_id, event_type FROM events, m WHERE epoch_us(ts) >= mid), b AS (SELECT DISTINCT user_id, event_type FROM events, m WHERE epoch_us(ts) < mid)
+    SELECT user_id AS path, event_type AS digest FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+)
+def newly_flagged(spark, sf):
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("digest"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    both = F.min("t") + F.max("t")
+    mid = rows.agg((both - F.pmod(both, F.lit(2))).alias("twice"))  # one row
+    marked = rows.crossJoin(F.broadcast(mid)).withColumn("late", F.col("t") * 2 >= F.col("twice"))
+    return audit.newly_flagged(marked.filter("late").select("path", "digest").distinct(), marked.filter("not late"))
+
+
+@query("SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS start_s, event_type AS action, count(*)::BIGINT AS n FROM events GROUP BY ALL")
+def decision_windows(spark, sf):
+    return audit.decision_windows(table(spark, sf, "events")).select(F.unix_timestamp(F.col("start").cast("timestamp")).alias("start_s"), "action", "n")
+
+
+@query(
+    """WITH l AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events), s AS (SELECT user_id, t, sum(CASE WHEN t - p < 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t) AS session FROM l)
+    SELECT user_id, session::BIGINT AS session, min(t)::BIGINT AS start_us, count(*)::BIGINT AS n FROM s GROUP BY user_id, session"""
+)
+def log_sessions(spark, sf):
+    return audit.sessions(table(spark, sf, "events")).select("user_id", F.col("session").cast("long").alias("session"), F.unix_micros(F.col("start").cast("timestamp")).alias("start_us"), "n")
+
+
+@query("SELECT event_type, count(*)::BIGINT AS n, count(json_extract_string(props, '$.k'))::BIGINT AS with_k, max(json_extract_string(props, '$.k')) AS max_k FROM events GROUP BY event_type")
+def props_variant(spark, sf):
+    rows = table(spark, sf, "events").withColumn("v", F.try_parse_json("props"))
+    k = F.try_variant_get("v", "$.k", "string")
+    return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.max(k).alias("max_k"))
+
+
+# ---- operators that SQL doesn't express
+
+
+@query()
+def catalog_scan(spark, sf):
+    """The whole rule catalog over documents as files of their source's bundle."""
+    d = documents(spark, sf)
+    found = scan_bundles(as_files(d, F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))), F.col("source"), F.col("text")))
+    return found.select("bundle_id", "rule_id", "category", "sev", "conf", "file", "line", "column", "snippet")
+
+
+@query()
+def page_catalog_scan(spark, sf):
+    """The rule catalog over pages as files of their host's bundle."""
+    p = table(spark, sf, "pages")
+    host = F.coalesce(X.host_of(F.col("url")), F.lit("."))
+    found = scan_bundles(as_files(p, F.concat(host, F.lit("/"), F.col("page_id").cast("string"), F.lit(".html")), host, F.col("html")))
+    return found.select("bundle_id", "rule_id", "category", "sev", "conf", "file", "line", "column", "snippet")
+
+
+@query()
+def command_intents(spark, sf):
+    """Install intents in the turns of conversations, line by line."""
+    c = table(spark, sf, "conversations")
+    rows = c.select("conv_id", F.concat_ws(":", "conv_id", "turn").alias("command_id"), F.explode(F.split("text", "\n")).alias("command"))
+    return guard.intents(rows)
