@@ -37,7 +37,7 @@ def match_lines(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     hits = F.filter(F.array(*[F.when(F.col("kind").isin(*r.kinds) & F.col("line_text").rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
     found = lines.withColumn("rule_ord", F.explode(hits))
     by_rule = F.element_at(F.array(*[F.when(F.col("rule_ord") == i, F.regexp_substr(F.col("line_text"), F.lit(r.pattern))) for i, r in enumerate(rules)]), F.col("rule_ord") + 1)
-    return found.withColumn("matched", by_rule).withColumn("at", F.locate(F.col("matched"), F.col("line_text")) - 1)
+    return found.withColumn("matched", by_rule).withColumn("at", F.expr("locate(matched, line_text) - 1"))
 
 
 def line_contexts(files: DataFrame, hits: DataFrame) -> DataFrame:

@@ -319,18 +319,18 @@ def verdict_rollup(spark, sf):
 
 
 @query(
-    "WITH " + FINDINGS_SQL + """, a AS (SELECT * FROM found WHERE rule_id = 'secrets/assigned-token'), b AS (SELECT * FROM found WHERE rule_id = 'license/notice')
+    "WITH " + FINDINGS_SQL + """, a AS (SELECT * FROM found WHERE rule_id = 'obfuscation/marked-noise'), b AS (SELECT * FROM found WHERE rule_id = 'license/notice')
     SELECT a.file_id, a.line, min(abs(a.line - b.line))::INT AS gap FROM a JOIN b USING (file_id) GROUP BY a.file_id, a.line HAVING min(abs(a.line - b.line)) <= 80"""
 )
 def signal_pairs(spark, sf):
-    rows = line_findings(spark, sf).filter(F.col("rule_id").isin("secrets/assigned-token", "license/notice"))
-    token = F.col("rule_id") == "secrets/assigned-token"
-    # the nearest notice before and after each token, without pairing all
+    rows = line_findings(spark, sf).filter(F.col("rule_id").isin("obfuscation/marked-noise", "license/notice"))
+    noise = F.col("rule_id") == "obfuscation/marked-noise"
+    # the nearest notice before and after each noisy line, without pairing all
     w = Window.partitionBy("file_id").orderBy("line")
-    notice = F.when(~token, F.col("line"))
+    notice = F.when(~noise, F.col("line"))
     near = rows.withColumns({"b": F.last(notice, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "a": F.first(notice, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))})
     gap = F.least(F.col("line") - F.col("b"), F.col("a") - F.col("line"))
-    return near.filter(token).groupBy("file_id", "line").agg(F.min(gap).alias("gap")).filter("gap <= 80")
+    return near.filter(noise).groupBy("file_id", "line").agg(F.min(gap).alias("gap")).filter("gap <= 80")
 
 
 @query(
@@ -509,11 +509,11 @@ def audit_latest(spark, sf):
 
 
 @query(
-    """WITH m AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS mid FROM events), a AS (SELECT DISTINCT user_id, event_type FROM events, m WHERE epoch_us(ts) >= mid), b AS (SELECT DISTINCT user_id, event_type FROM events, m WHERE epoch_us(ts) < mid)
-    SELECT user_id AS path, event_type AS digest FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
+    """WITH m AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) // 2 AS mid FROM events), a AS (SELECT DISTINCT user_id, props FROM events, m WHERE epoch_us(ts) >= mid), b AS (SELECT DISTINCT user_id, props FROM events, m WHERE epoch_us(ts) < mid)
+    SELECT user_id AS path, props AS digest FROM (SELECT * FROM a EXCEPT SELECT * FROM b)"""
 )
 def newly_flagged(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("event_type").alias("digest"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    rows = table(spark, sf, "events").select(F.col("user_id").alias("path"), F.col("props").alias("digest"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
     both = F.min("t") + F.max("t")
     mid = rows.agg((both - F.pmod(both, F.lit(2))).alias("twice"))  # one row
     marked = rows.crossJoin(F.broadcast(mid)).withColumn("late", F.col("t") * 2 >= F.col("twice"))

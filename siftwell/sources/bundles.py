@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,14 @@ def read_tree(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES) -> D
     text nor valid has null text. Files below SKIPPED folders are left out.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/") + "/")
     # the reader gives full URIs: what follows the root's own path is kept
-    at = F.locate(F.regexp_replace(base, "^[a-z]+:/*(?=/)", ""), F.col("path"))
-    rows = found.select(F.lit(root).alias("target"), F.expr("path").alias("_uri"), F.col("length").alias("size"), "content", at.alias("_at"), base.alias("_base"))
-    rows = rows.withColumn("path", F.expr("substring(_uri, _at + length(regexp_replace(_base, '^[a-z]+:/*(?=/)', '')))"))
+    base = F.lit(re.sub(r"^[a-z][a-z0-9]*:/*(?=/)", "", root.rstrip("/")) + "/")
+    rows = found.select(F.lit(root).alias("target"), F.col("path").alias("_uri"), base.alias("_base"), F.col("length").alias("size"), "content")
+    rows = rows.withColumn("path", F.expr("substring(_uri, locate(_base, _uri) + length(_base))"))
     rows = rows.filter(~F.concat(F.lit("/"), "path").rlike("/(?:" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
     rows = rows.withColumns({"truncated": F.col("size") > file_bytes, "content": F.substring("content", 1, file_bytes)})
     rows = rows.withColumns({"binary_format": classify.binary_format(F.col("content")), "binary": classify.looks_binary(F.col("content"))})
-    return with_kinds(rows.withColumn("text", decoded(F.col("content")))).drop("_uri", "_at", "_base")
+    return with_kinds(rows.withColumn("text", decoded(F.col("content")))).drop("_uri", "_base")
 
 
 def decoded(content: Column) -> Column:
