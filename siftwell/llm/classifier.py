@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import slices
+from siftwell.llm.common import random_rows, slices
 from siftwell.llm.words import ragged
 
 WINDOW, STEP, BLOCK = 8, 4, 256
@@ -68,12 +68,16 @@ def _windows(net: Network, data: np.ndarray, block: int, stop: int) -> np.ndarra
     return np.lib.stride_tricks.as_strided(x, (rows, WINDOW * DIMS), (STEP * DIMS * 4, 4), writeable=False)
 
 
-def _pool(net: Network, data: np.ndarray, blocks: int, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Each filter's largest response in each block, and the window that has it."""
+def _pool(net: Network, data: np.ndarray, first: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Each filter's largest response in each block, and the window that has it. A text's last window would reach into the next text: it counts as the one before, zeros alike."""
+    blocks = int(first[-1])
+    last = np.zeros(blocks, bool)
+    last[first[1:] - 1] = True
     most, at = np.empty((blocks, FILTERS), np.float32), np.empty((blocks, FILTERS), np.int64) if where else None
     for b in range(0, blocks, 1024):
         e = min(b + 1024, blocks)
         y = (np.ascontiguousarray(_windows(net, data, b, e)) @ net.conv.T).reshape(e - b, BLOCK // STEP, FILTERS)
+        y[last[b:e], -1] = y[last[b:e], -2]
         if where:
             k = y.argmax(1)
             at[b:e] = k + (np.arange(b, e) * (BLOCK // STEP))[:, None]
@@ -111,7 +115,7 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
     if len(offsets) < 2:
         return np.zeros(0)
     bytes_, first = padded(data, offsets)
-    x, _ = _features(_pool(net, bytes_, int(first[-1]))[0], first)
+    x, _ = _features(_pool(net, bytes_, first)[0], first)
     h = np.tanh(x @ net.hidden.T + net.hidden_bias)
     return _sigmoid((h @ net.out + net.out_bias).astype(np.float64))
 
@@ -119,7 +123,7 @@ def probabilities(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.nda
 def _gradients(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarray]:
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     data, first = padded(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    blocks, at = _pool(net, data, int(first[-1]), where=True)
+    blocks, at = _pool(net, data, first, where=True)
     x, (pair, start, n, left, chunk, top) = _features(blocks, first)
     h = np.tanh(x @ net.hidden.T + net.hidden_bias)
     d = ((_sigmoid(h @ net.out + net.out_bias) - labels) / len(labels)).astype(np.float32)
@@ -183,7 +187,7 @@ def fold(doc_id: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, text_bytes: int = TRAIN_BYTES) -> tuple[list[bytes], np.ndarray]:
     """Texts and labels of at most `rows` rows outside fold 0, of texts up to text_bytes: those of the least hash of doc_id, which is a random choice."""
     marked = labels.filter(F.col("quality").isin(0, 1) & (fold() != 0)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = random_rows(marked, marked.count(), rows, [F.xxhash64("doc_id"), F.col("doc_id")])
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter(F.octet_length("text") <= text_bytes)
     got = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
     found = got.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
