@@ -30,7 +30,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column, words: Column) -> Column:
     """A document's sampling weight, from the mean word length alone: 1 for 2.5 to 12 characters, else 0.5 (no words: 0.5)."""
-    mean = (F.length(text) - words + 1) / words
+    mean = F.try_divide(F.length(text) - words + 1, words)
     return F.when((words > 0) & mean.between(2.5, 12.0), 1.0).otherwise(0.5)
 
 
@@ -67,7 +67,7 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int
     key = -F.log(uniform) / F.greatest(F.col("weight"), F.lit(1e-6))
     n_rows = rows.groupBy("source").agg(F.count("*").alias("source_rows"))
     dims = targets.join(n_rows.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
-    dims = dims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
+    dims = dims.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(0).cast("long"))
     dims = stored(dims.withColumn("rest", F.greatest(F.lit(0), F.round(F.col("target")).cast("long") - F.col("epochs") * F.col("source_size"))), "targets")
     keyed = join_dimension(rows.withColumn("_key", key), dims, "source")
     # 1 - exp(-key) grows with the key and spreads it over 0 to 1
