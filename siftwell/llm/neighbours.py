@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import stored
+from siftwell.llm.common import random_rows, stored
 
 #: Bound of the sample that the index is fitted on.
 SAMPLE_ROWS = 6000
@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample_row
     schema = "query_id long, rank int, vec_id long, score double"
     if n < 2:
         return spark.createDataFrame([], schema)
-    sample = rows.orderBy(F.xxhash64("vec_id", F.lit(SEED)), "vec_id").limit(sample_rows).toPandas()
+    sample = random_rows(rows, n, sample_rows, [F.xxhash64("vec_id", F.lit(SEED)), F.col("vec_id")]).toPandas()
     x = np.stack(sample["v"].to_numpy())
     d = x.shape[1]
     distinct = np.sort(np.unique(x, axis=0, return_index=True)[1])  # in the sample's random order
