@@ -10,12 +10,11 @@ at most one error (8 chunks of 2 errors make 16), so they share a key: all such
 pairs meet. Sets of Jaccard similarity 0.8 differ in 6.4 positions on average;
 that no chunk of theirs has at most one error happens once in a million pairs.
 
-Members of a key are first linked to the key's smallest class alone, and links
-are confirmed on full sets. Keys whose members are then one component are done.
+Members of a key are first linked to one of them alone, that which shares most
+keys with most classes, and links are confirmed on full sets. Keys whose members are then one component are done.
 In the others, members outside the largest component meet those of other
-components; keys with many members are refined by a second key first, which
-sets that only share a passage hardly have in common. So no key gives all its
-pairs, and none that could join two components is left out.
+components that have one of their rarest shingles, which similar sets must. So
+no key gives all its pairs, and none that could join two components is left out.
 """
 
 from __future__ import annotations
@@ -24,9 +23,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import BROADCAST_ROWS, join_unique, slices, stored
@@ -37,8 +37,9 @@ LEAST_PERCENT = 80
 POSITIONS, CHUNK = 32, 4
 #: Pairs whose signatures differ in more positions are not confirmed; sets of similarity 0.8 do so once in 10^8 pairs.
 MOST_DISTANCE = 20
-#: Keys with more members are refined by a second key before their members meet.
-WIDE_KEY = 32
+#: A shingle in more sets than this is looked up by blocks of sets, not by pairs; and the sets of a block.
+CROWD = 48
+PROBE_BLOCK, OTHER_BLOCK = 256, 512
 
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -230,31 +231,97 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
 
 
-def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame) -> DataFrame:
-    """Pairs a < b of different components that share a key and were not tested: in each key, members outside its largest component with all members of others."""
-    placed = members.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-
-    def open_keys(rows: DataFrame) -> DataFrame:
-        """Keys with more than one component, their members and their largest component's number."""
-        per = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        return per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "n", F.col("top.comp").alias("top"))
-
-    found = stored(open_keys(placed), "open-keys")
-    n = placed.count()
-    rows = stored(join_unique(placed, found, "key", "n", n, how="inner"), "open")
-    wide = rows.filter(F.col("n") > WIDE_KEY)
-    # other chunks' keys of the same class
-    second = memberships(classes.join(wide.select("cls").distinct(), "cls", "left_semi")).withColumnRenamed("key", "key2")
-    refined = wide.select("key", "cls", "comp").join(second, "cls").filter(F.col("key") != F.col("key2")).select(F.xxhash64(F.least("key", "key2"), F.greatest("key", "key2")).alias("key"), "cls", "comp").distinct()
-    again = open_keys(refined)
-    refined = join_unique(refined, again, "key", "n", 1 << 40, how="inner")
-    every = rows.filter(F.col("n") <= WIDE_KEY).select("key", "cls", "comp", "top").unionAll(refined.select("key", "cls", "comp", "top"))
-    left = every.filter(F.col("comp") != F.col("top")).select("key", F.col("cls").alias("x"), F.col("comp").alias("cx"), "top")
-    right = every.select("key", F.col("cls").alias("y"), F.col("comp").alias("cy"))
-    # two members outside the largest component meet once
-    meet = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("top")) | (F.col("x") < F.col("y")))
-    pairs = left.join(right, "key").filter(meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+def _shingles(sets: DataFrame) -> DataFrame:
+    """shingle, cls and probe: a row for each shingle of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [np.frombuffer(x, "<i8") for x in b.column("hashes").to_pylist()]
+            if found:
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column("cls").take(at), b.column("probe").take(at)], ["shingle", "cls", "probe"])
+
+    return sets.select("hashes", "cls", "probe").mapInArrow(run, "shingle long, cls long, probe boolean")
+
+
+def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, docs: DataFrame, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs a < b of different components, both of open keys, that were not tested and may be similar enough; and links already confirmed.
+
+    A key is open if its members are more than one component. Members outside
+    its largest component are probes. Of two sets with n and m shingles and the
+    similarity, c = percent * (n + m) / (100 + percent) are common, so one of
+    the first n - c + 1 shingles of a probe, rarest first, stands in the other
+    set. That is exact, and the rarest shingles of an edited copy or of a
+    passage's bearer are its own, so hardly any pair is left. Where the shingle
+    stands in many sets, these are compared in blocks instead.
+    """
+    sizes = classes.select("cls", F.col("n_shingles").alias("size"))
+    placed = stored(members.join(sizes, "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "n", F.col("top.comp").alias("top"))
+    rows = join_unique(placed, keys, "key", "n", placed.count(), how="inner")
+    chosen = stored(rows.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.bool_or(F.col("comp") != F.col("top")).alias("probe")), "open")
+    texts_of = stored(classes.join(chosen, "cls").select(F.col("rep").alias("doc_id"), "cls"), "open-documents")
+    # few rows, so the classes' columns are joined here and not to each shingle
+    sets = stored(_sets(docs, texts_of, text).join(chosen, "cls"), "open-sets")
+    shingles = _shingles(sets)
+
+    # shingles of one set alone come first and find nothing
+    common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.count_if(F.col("probe")).alias("times")).filter("df > 1 and times > 0")
+    asked = shingles.filter("probe").select("shingle", "cls")
+    counted = join_unique(asked, common, "shingle", "times", 1 << 24).withColumn("df", F.coalesce("df", F.lit(1)))
+    rarest = Window.partitionBy("cls").orderBy("df", "shingle")
+    ranked = counted.withColumn("rank", F.row_number().over(rarest)).filter("df > 1").select("shingle", F.col("cls").alias("x"), "rank", "df")
+    most = F.expr(f"nx - (({percent} * nx + 99) div 100) + 1")
+    first = ranked.join(sets.select(F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx")), "x").filter(F.col("rank") <= most)
+    first = stored(first, "prefixes")
+    held = shingles.select("shingle", "cls").join(first.select("shingle").distinct(), "shingle", "left_semi")
+    others = stored(held.join(sets.select("cls", F.col("comp").alias("cy"), F.col("size").alias("ny")), "cls").withColumnRenamed("cls", "y"), "holders")
+
+    least = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    fits = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("rank") <= F.col("nx") - least + 1)
+    rare = first.filter(F.col("df") <= CROWD)
+    pairs = rare.join(others, "shingle").filter((F.col("cx") != F.col("cy")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.join(tested, ["a", "b"], "left_anti"), _crowd_links(first.filter(F.col("df") > CROWD), others, sets, percent)
+
+
+def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links a, b between probes and the many other sets that hold a shingle of their prefix, one for each probe and component.
+
+    The sets of a shingle meet in blocks of bounded size, each set moved once a
+    block and not once a pair, and are compared there whole.
+    """
+    # sizes of other sets for which the shingle's rank is within the probe's prefix
+    upper = F.expr(f"((nx - rank + 1) * {100 + percent}) div {percent} - nx")
+    left = probes.select("shingle", "x", "cx", F.expr(f"({percent} * nx + 99) div 100").alias("lo"), upper.alias("hi"))
+    counts = left.groupBy("shingle").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    right = others.join(counts.select("shingle", "lo", "hi"), "shingle").filter(F.col("ny").between(F.col("lo"), F.col("hi"))).select("shingle", "y", "cy")
+    blocks = counts.join(right.groupBy("shingle").agg(F.count("*").alias("m")), "shingle")
+    blocks = stored(blocks.select("shingle", F.ceil(F.col("n") / PROBE_BLOCK).alias("nb"), F.ceil(F.col("m") / OTHER_BLOCK).alias("mb")), "blocks")
+    upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    left = left.join(blocks, "shingle").select("shingle", "x", "cx", of("x", "nb").alias("i"), upto("mb").alias("j")).join(sets.select(F.col("cls").alias("x"), F.col("hashes").alias("hx")), "x")
+    right = right.join(blocks, "shingle").select("shingle", "y", "cy", of("y", "mb").alias("j"), upto("nb").alias("i")).join(sets.select(F.col("cls").alias("y"), F.col("hashes").alias("hy")), "y")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int]] = []
+        if len(a) and len(b):
+            own, other = ([np.frombuffer(x, "<u8") for x in c] for c in (a["hx"], b["hy"]))
+            size = np.array([len(x) for x in other])
+            start = np.cumsum(size) - size
+            known, code = np.unique(np.concatenate(other), return_inverse=True)
+            comp, ids = b["cy"].to_numpy(), b["y"].to_numpy()
+            for x, cx, s in zip(a["x"].to_numpy(), a["cx"].to_numpy(), own, strict=True):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                mark = np.zeros(len(known), np.int32)
+                mark[at[known[at] == s]] = 1
+                common = np.add.reduceat(mark[code], start)
+                good = np.flatnonzero((100 * common >= percent * (len(s) + size - common)) & (comp != cx))
+                out += [(x, ids[good[k]]) for k in np.unique(comp[good], return_index=True)[1]]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    key = ["shingle", "i", "j"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PERCENT) -> DataFrame:
@@ -272,8 +339,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PE
     total = classes.count()
 
     keys = memberships(classes)
-    hubs = keys.groupBy("key").agg(F.min("cls").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    members = stored(join_unique(keys, hubs, "key", "n", total * POSITIONS, how="inner"), "members")
+    crowds = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    crowded = stored(join_unique(keys, crowds.withColumn("m", F.col("n")), "key", "n", total * POSITIONS, how="inner"), "crowded")
+    # the original of edited copies shares most keys with most of them
+    central = crowded.join(crowded.groupBy("cls").agg(F.sum("m").alias("score")), "cls")
+    hubs = central.groupBy("key").agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"), F.count("*").alias("n"))
+    members = stored(join_unique(crowded.select("key", "cls"), hubs, "key", "n", total * POSITIONS, how="inner"), "members")
     star = stored(members.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     n_star = star.count()
     links = stored(confirmed(stored(_near_pairs(star, classes, n_star, percent), "near"), docs, classes, n_star, percent, text), "star-links")
@@ -283,13 +354,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PE
     links = stored(links.unionAll(same_id), "links-1")
     labels = stored(components(links), "labels-1")
 
-    more = stored(_remaining_pairs(members.select("key", "cls"), labels, classes, star), "more")
+    more, extra = _remaining_pairs(members.select("key", "cls"), labels, classes, star, docs, percent, text)
+    more = stored(more, "more")
     n_more = more.count()
     if n_more:
-        extra = confirmed(stored(_near_pairs(more, classes, n_more, percent), "more-near"), docs, classes, n_more, percent, text)
-        # components so far are stars already
-        known = labels.filter("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
-        labels = stored(components(known.unionAll(extra)), "labels-2")
+        extra = extra.unionAll(confirmed(stored(_near_pairs(more, classes, n_more, percent), "more-near"), docs, classes, n_more, percent, text))
+    # components so far are stars already
+    known = labels.filter("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
+    labels = stored(components(known.unionAll(stored(extra, "extra"))), "labels-2")
 
     labelled = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("all_rows")).filter("all_rows > 1")
