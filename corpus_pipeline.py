@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_dimension, stored
+from siftwell.llm.common import stored
 from siftwell.llm.mixing import mix, sized, source_targets
 from siftwell.llm.near_duplicates import near_duplicates
 from siftwell.llm.packing import pack_pieces, token_pieces
@@ -62,7 +62,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copies = F.when(F.col("size") > 0, copies).otherwise(F.greatest(F.lit(1), F.col("epochs")))
     # rows that share a doc_id stand for each other
     wanted = stored(mixed.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")), "copies")
-    repeated = join_dimension(docs, wanted, "doc_id")
+    repeated = docs.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
     return repeated.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
 
 
