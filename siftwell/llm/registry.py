@@ -10,6 +10,7 @@ from siftwell.llm.mixing import op10_source_mixing
 from siftwell.llm.classifier import op3_quality_classifier
 from siftwell.llm.licenses import op5_license_scan
 from siftwell.llm.near_duplicates import op9_near_duplicates
+from siftwell.llm.near_duplicates_sql import OP9_SQL
 from siftwell.llm.neighbours import op8_nearest_neighbours
 from siftwell.llm.packing import op1_best_fit_packing
 from siftwell.llm.quality import OP7_SQL, op7_quality_rules
@@ -29,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_source_mixing": op10_source_mixing,
 }
-SQL: dict[str, str] = {"op4_warc_index": OP4_SQL, "op7_quality_rules": OP7_SQL}
+SQL: dict[str, str] = {"op4_warc_index": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_near_duplicates": OP9_SQL}
