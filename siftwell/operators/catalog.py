@@ -149,5 +149,6 @@ def rules_table(spark: SparkSession, rules: list[Rule] = RULES) -> DataFrame:
     seen = {r.id for r in rules}
     if len(seen) != len(rules):
         raise ValueError("rule ids repeat")
-    rows = [(i, r.id, r.title, r.category, severity(r.sev), confidence(r.conf), r.hard, r.signal, r.most) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "rule_ord int, rule_id string, title string, category string, sev int, conf int, hard boolean, signal string, most int")
+    rows = [(i, r.id, r.title, r.category, severity(r.sev), confidence(r.conf), r.hard, r.signal, r.most, r.regions, r.roles, r.caution, r.quote_aware) for i, r in enumerate(rules)]
+    schema = "rule_ord int, rule_id string, title string, category string, sev int, conf int, hard boolean, signal string, most int, regions map<string,string>, roles map<string,string>, heeds_caution boolean, quote_aware boolean"
+    return spark.createDataFrame(rows, schema)

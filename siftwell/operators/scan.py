@@ -59,17 +59,7 @@ def line_contexts(files: DataFrame, hits: DataFrame) -> DataFrame:
     return marks.select("file_id", "line", (F.col("_open") & ~F.col("_fence")).alias("in_fence"), (F.col("_front").isNotNull() & (F.col("line") <= F.coalesce("_front_end", F.lit(0)))).alias("in_front"), "lead")
 
 
-def _effects(rules: list[Rule], which: str, key: Column) -> Column:
-    """The effect that the match's rule has for a region or role; null for none."""
-    out = None
-    for i, r in enumerate(rules):
-        for name, effect in getattr(r, which).items():
-            hit = (F.col("rule_ord") == i) & (key == name)
-            out = F.when(hit, effect) if out is None else out.when(hit, effect)
-    return out if out is not None else F.lit(None).cast("string")
-
-
-def grade(hits: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def grade(hits: DataFrame) -> DataFrame:
     """hits with region, sev and conf after the ladder; skipped matches leave.
 
     In order: role, region, warning or quotation, comment or example, remote
@@ -83,27 +73,27 @@ def grade(hits: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     hidden = before.rlike("<!--") & ~before.rlike("<!--.*-->")
     region = F.when(~markdown, "code").when(F.col("in_front"), "frontmatter").when(hidden, "hidden").when(F.col("in_fence"), "code").when(inline, "inline-code").otherwise("prose")
     rows = hits.withColumn("region", region)
-    flag = lambda get: F.col("rule_ord").isin(*[i for i, r in enumerate(rules) if get(r)]) if any(get(r) for r in rules) else F.lit(False)
-    role_effect, region_effect = _effects(rules, "roles", F.col("role")), F.when(markdown, _effects(rules, "regions", F.col("region")))
-    rows = rows.withColumns({"_role": role_effect, "_region": region_effect}).filter(~F.coalesce(F.col("_role") == "skip", F.lit(False)) & ~F.coalesce(F.col("_region") == "skip", F.lit(False)))
+    role_effect = F.coalesce(F.try_element_at("roles", F.col("role")), F.lit("keep"))
+    region_effect = F.when(markdown, F.coalesce(F.try_element_at("regions", F.col("region")), F.lit("keep"))).otherwise("keep")
+    rows = rows.withColumns({"_role": role_effect, "_region": region_effect}).filter((F.col("_role") != "skip") & (F.col("_region") != "skip"))
     shown = ~F.col("region").isin("hidden", "frontmatter")
     hanging = F.col("line_text").rlike(r"^\s*(?:[-*+]|\d+[.)])\s")
     # the match's own words don't warn of it
-    caution = flag(lambda r: r.caution) & shown & (is_cautionary(F.concat(before, F.lit(" "), after)) | (hanging & F.coalesce(is_cautionary(F.col("lead")), F.lit(False))))
-    quoted = flag(lambda r: r.quote_aware) & shown & (F.regexp_count(before, F.lit('["\\u201C\\u201D]')) % 2 == 1) & after.rlike('["\\u201C\\u201D]')
-    table = flag(lambda r: r.quote_aware) & shown & (F.col("region") == "prose") & F.col("line_text").rlike(r"^\s*\|.*\|\s*$")
+    caution = F.col("heeds_caution") & shown & (is_cautionary(F.concat(before, F.lit(" "), after)) | (hanging & F.coalesce(is_cautionary(F.col("lead")), F.lit(False))))
+    quoted = F.col("quote_aware") & shown & (F.regexp_count(before, F.lit('["\\u201C\\u201D]')) % 2 == 1) & after.rlike('["\\u201C\\u201D]')
+    table = F.col("quote_aware") & shown & (F.col("region") == "prose") & F.col("line_text").rlike(r"^\s*\|.*\|\s*$")
     in_code = (F.col("kind") == "script") | F.col("region").isin("code")
     comment = in_code & before.rlike(r"^\s*(?:#(?!!)|//|--|;|\*|<!--|REM\b)|\s#\s|\s//\s")
     example = before.rlike(r"(?i)\b(?:e\.g\.|for example|for instance|such as)[^.]{0,60}$")
     remote = before.rlike(r"(?i)\b(?:ssh|kubectl\s+exec|docker\s+(?:run|exec)|podman\s+(?:run|exec))\b[^;&|]*$")
     minified = (F.col("kind") == "script") & (F.length("line_text") > 1000)
     steps_down = caution.cast("int") + (~caution & quoted).cast("int") + (comment | (in_code & example)).cast("int") + F.coalesce(F.col("path_context").isin("dev", "educational"), F.lit(False)).cast("int")
-    raised = sum((F.coalesce(c == "raise", F.lit(False)).cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
-    lowered = sum((F.coalesce(c == "lower-confidence", F.lit(False)).cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + minified.cast("int") + F.coalesce(F.col("path_context") == "container", F.lit(False)).cast("int")
+    raised = sum(((c == "raise").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
+    lowered = sum(((c == "lower-confidence").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + minified.cast("int") + F.coalesce(F.col("path_context") == "container", F.lit(False)).cast("int")
     graded = rows.withColumns({"_down": steps_down, "_up": raised, "_low": lowered})
     sev = demote(promote(F.col("sev"), F.col("_up")), F.col("_down"))
     conf = F.when(F.col("_down") > 0, 0).otherwise(lower_confidence(F.col("conf"), F.col("_low")))
-    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "in_fence", "in_front", "lead")
+    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "in_fence", "in_front", "lead", "regions", "roles", "heeds_caution", "quote_aware")
 
 
 def scan(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
@@ -113,7 +103,7 @@ def scan(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     dim = F.broadcast(rules_table(spark, rules))  # as many rows as the catalog
     rows = hits.join(dim, "rule_ord").join(line_contexts(files, hits), ["file_id", "line"])
     capped = Window.partitionBy("file_id", "rule_ord").orderBy("line", "at")
-    return grade(rows, rules).withColumn("_n", F.row_number().over(capped)).filter(F.col("_n") <= F.col("most")).drop("_n")
+    return grade(rows).withColumn("_n", F.row_number().over(capped)).filter(F.col("_n") <= F.col("most")).drop("_n")
 
 
 def signals(matches: DataFrame) -> DataFrame:
