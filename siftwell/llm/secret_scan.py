@@ -1,13 +1,11 @@
 """Secret scan: fixed patterns, and a linear-chain conditional random field over words.
 
 The field tags each word (what stands between ASCII white space) as B (a secret
-begins), I (it goes on) or O, by the word's shape, its two neighbours' shapes
-and features of the file, and is decoded by Viterbi. Words without digits,
-marks or key words that do not follow within two words on one with them are O
-by definition of the model; so the words of a text fall into short chains that
-start and end beside O and are decoded each by itself, with the same result as
-one chain over the whole text. Weights are learned by maximum likelihood from
-a bounded sample of texts, the values found by the patterns being its secrets.
+begins), I (it goes on) or O, by the word's shape, its two neighbours' shapes,
+the distance to the last key word and features of the file. Every word of a
+text is scored, and whole texts are decoded by Viterbi, all texts of a batch at
+once. Weights are learned by maximum likelihood from windows of a bounded
+sample of texts, the values found by the patterns being its secrets.
 """
 
 from __future__ import annotations
@@ -18,6 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import random_rows, slices
-from siftwell.llm.words import ascii_words
+from siftwell.llm.words import coded_words
 
 #: Patterns, the group that is the value, and its least length. Fixed values.
 PATTERNS = {
@@ -37,6 +36,7 @@ PATTERNS = {
 KINDS = [*PATTERNS, "crf"]
 _MAY_MATCH = r"(?i)password|passwd|secret|token|api_?key|AKIA|[0-9a-f]{32}"
 _MARKED = r"(?i)[0-9=:\"'_/+]|pass|secret|token|key|auth|bearer|credential"
+_KEYS_NEAR = r"(?i)password|passwd|passphrase|passcode|secret|token|api_?key|bearer|credential|\b(?:key|auth|login)\b"
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "\"'`()[]{}<>,;:.!?=#*$%&|"
 
@@ -48,6 +48,7 @@ LONGEST_TRAINED = 32
 SHAPES = [
     "bias", "short", "middle", "long", "very_long", "digit", "many_digits", "upper", "lower", "mixed_letters", "letters_and_digits",
     "hexadecimal", "word_set", "varied", "assigns", "ends_assigning", "quoted", "key_word", "path_or_url", "mail", "number", "known_prefix", "plain", "edge",
+    "case_changes", "consonants", "ends_quoted", "long_letters", "letters_of_any_case",
 ]
 
 
@@ -61,172 +62,239 @@ def base_spans(text: str) -> list[tuple[int, int, int, int, int]]:
     return sorted(found)
 
 
+_CASE_CHANGE = re.compile("[a-z](?=[A-Z])")
+_CONSONANTS = re.compile("[b-df-hj-np-tv-xz]{5}", re.I)
+_UPPER, _LOWER = re.compile("[A-Z]"), re.compile("[a-z]")
+_HEXADECIMAL = re.compile("[0-9A-Fa-f]+")
+_WORD_SET = re.compile("[A-Za-z0-9+/_=.-]+")
+_KEY = re.compile("pass|secret|token|key|auth|bearer|credential", re.I)
+
+
 def shape(word: str) -> np.ndarray:
     """Features of a word; an empty word stands for a text's edge."""
     core = word.strip(_EDGES)
     n = len(core)
-    digits = sum(c.isdigit() for c in core)
-    upper, lower = any("A" <= c <= "Z" for c in core), any("a" <= c <= "z" for c in core)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(core).values()) if n else 0.0
+    digits = 0 if core.isalpha() else sum(c.isdigit() for c in core)
+    upper, lower = _UPPER.search(core) is not None, _LOWER.search(core) is not None
+    # fewer than eight letters can't have three bits
+    entropy = -sum(c / n * math.log2(c / n) for c in Counter(core).values()) if n >= 8 and len(set(core)) >= 8 else 0.0
     return np.array(
         [
             1, n < 6, 6 <= n < 12, 12 <= n < 24, n >= 24, digits > 0, digits * 4 > n, upper, lower, upper and lower, digits > 0 and (upper or lower),
-            n >= 8 and re.fullmatch("[0-9A-Fa-f]+", core) is not None, re.fullmatch(r"[A-Za-z0-9+/_=.-]+", core) is not None, entropy >= 3.2,
-            "=" in word or ":" in word, word[-1:] in ("=", ":"), word[:1] in "\"'" and bool(word), re.search("pass|secret|token|key|auth|bearer|credential", word, re.I) is not None,
+            n >= 8 and _HEXADECIMAL.fullmatch(core) is not None, _WORD_SET.fullmatch(core) is not None, entropy >= 3.0,
+            "=" in word or ":" in word, word[-1:] in ("=", ":"), word[:1] in "\"'" and bool(word), _KEY.search(word) is not None,
             "//" in word or word.count("/") > 1, "@" in word, n > 0 and digits == n, core.startswith(("AKIA", "ghp_", "sk_", "xox")), n > 0 and core.isalpha(), not word,
+            n >= 8 and len(_CASE_CHANGE.findall(core)) >= 2, n >= 8 and _CONSONANTS.search(core) is not None, word.rstrip(".,;")[-1:] in ("\"", "'") and bool(word), n >= 14 and core.isalpha(), n >= 12 and core.isalpha() and len(_CASE_CHANGE.findall(core)) >= 3,
         ],
         np.float32,
     )
 
 
-_PLAIN = shape("plain")
-
-
 @dataclass
 class Field:
-    """Weights: own, previous and next word's shapes (3 x features x tags), file features x tags, tag x next tag."""
+    """Weights: own, previous and next word's shapes (3 x features x tags), surroundings x tags, tag x next tag."""
 
     words: np.ndarray
-    file: np.ndarray
+    around: np.ndarray
     moves: np.ndarray
 
 
-FILE_FEATURES = 3
-
+#: Surroundings of a word: many words of the file are marked, a key word stands in the file, the file is short, and a key word stands 1-2, 3-5, 6-9 or 10-15 words before; and one stands there and the word is long and of letters.
+NEAR = (1, 3, 6, 10, 16)
+AROUND = 3 + len(NEAR)
 
-def file_features(marked: int, words: int, key_words: bool) -> np.ndarray:
-    """Whether many words are marked, whether a key word stands in the file, and whether the file is short."""
-    return np.array([marked * 10 > words, key_words, words < 100], np.float32)
 
+class ShapeMemory:
+    """Shapes of words that a worker has seen; bounded. Long words are not kept."""
 
-@dataclass
-class Chain:
-    """Words of a text that stand together: their places, shapes with one neighbour at either end, and the file's features."""
-
-    text: int
-    at: np.ndarray
-    shapes: np.ndarray
-    file: np.ndarray
+    MOST, LONGEST = 30_000, 64
 
-    def scores(self, field: Field) -> np.ndarray:
-        s = self.shapes
-        return s[1:-1] @ field.words[0] + s[:-2] @ field.words[1] + s[2:] @ field.words[2] + self.file @ field.file
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((1024, len(SHAPES)), np.float32)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        out = np.empty((len(words), len(SHAPES)), np.float32)
+        places, rows = [], []
+        for i, w in enumerate(words):
+            k = self.known.get(w)
+            if k is not None:
+                places.append(i)
+                rows.append(k)
+                continue
+            out[i] = x = shape(w)
+            if len(w) <= self.LONGEST and (k := len(self.known)) <= self.MOST:
+                if k == len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[k] = x
+                self.known[w] = k
+        out[places] = self.table[rows]
+        return out
 
 
-class ShapeMemory:
-    """Shapes of marked words that a worker has seen; bounded."""
+_SHAPES = ShapeMemory()
+_EDGE = shape("")
 
-    def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
 
-    def __getitem__(self, word: str) -> np.ndarray:
-        if word not in self.known:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[word] = shape(word)
-        return self.known[word]
+@dataclass
+class Words:
+    """All words of some texts: offsets of each text's words, shapes of the distinct words and of an edge (last), each word's own, previous and next shape, and its surroundings."""
 
+    offsets: np.ndarray
+    shapes: np.ndarray
+    own: np.ndarray
+    before: np.ndarray
+    after: np.ndarray
+    around: np.ndarray
 
-_SHAPES = ShapeMemory()
-_KEY = re.compile("pass|secret|token|key|auth|bearer|credential", re.I)
+    def scores(self, field: Field) -> np.ndarray:
+        s = self.shapes
+        return (s @ field.words[0])[self.own] + (s @ field.words[1])[self.before] + (s @ field.words[2])[self.after] + self.around @ field.around
+
+
+def featured(texts: pa.Array) -> Words:
+    """The words of texts with their features; shapes are worked out once for each distinct word."""
+    offsets, codes, distinct = coded_words(texts)
+    shapes = np.concatenate([_SHAPES(distinct), _EDGE[None]])
+    n, edge, sizes = len(codes), len(distinct), np.diff(offsets)
+    own = codes.astype(np.int32)
+    before, after = np.full(n, edge, np.int32), np.full(n, edge, np.int32)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    full = sizes > 0
+    firsts, lasts = offsets[:-1][full], offsets[1:][full] - 1
+    before[firsts], after[lasts] = edge, edge
+    named = pa.array(distinct, pa.string())
+    says = lambda pattern: pc.match_substring_regex(named, pattern).to_numpy(zero_copy_only=False).astype(bool)[own]
+    around = np.zeros((n, AROUND), np.float32)
+    if n:
+        key = says(_KEYS_NEAR)
+        first_of = np.repeat(offsets[:-1], sizes)
+        seen = np.concatenate([[-1], np.maximum.accumulate(np.where(key, np.arange(n), -1))[:-1]])
+        gap = np.where(seen >= first_of, np.arange(n) - seen, 0)
+        count = lambda x: np.add.reduceat(x.astype(np.int64), firsts)
+        around[:, 0] = np.repeat(count(says(_MARKED)) * 10 > sizes[full], sizes[full])
+        around[:, 1] = np.repeat(count(key) > 0, sizes[full])
+        around[:, 2] = np.repeat(sizes[full] < 100, sizes[full])
+        for k, (least, beyond) in enumerate(zip(NEAR, NEAR[1:], strict=False)):
+            around[:, 3 + k] = (gap >= least) & (gap < beyond)
+        around[:, -1] = around[:, 3:-1].any(1) & (shapes[own, SHAPES.index("long_letters")] > 0)
+    return Words(offsets, shapes, own, before, after, around)
 
 
-def chains(texts: pa.Array) -> list[Chain]:
-    """The chains of each text."""
-    offsets, flat = ascii_words(texts)
-    if not len(flat):
-        return []
-    coded = flat.dictionary_encode()
-    marked = pc.match_substring_regex(coded.dictionary, _MARKED).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)]
-    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    near = marked.copy()
-    for k in (1, 2):
-        near[k:] |= marked[:-k] & (text[k:] == text[:-k])
-    places = np.flatnonzero(near)
-    if not len(places):
-        return []
-    cuts = np.flatnonzero((np.diff(places) > 1) | (np.diff(text[places]) > 0)) + 1
-    per_text = np.bincount(text[marked], minlength=len(offsets) - 1)
-    runs = np.split(places, cuts)
-    word = lambda i: flat[i].as_py()
-    said = {int(t): False for t in np.unique(text[places])}
-    shapes = []
-    for run in runs:
-        t = int(text[run[0]])
-        words = [word(i) for i in run.tolist()]
-        said[t] = said[t] or any(_KEY.search(w) for w in words)
-        before = word(int(run[0]) - 1) if run[0] > offsets[t] else ""
-        after = word(int(run[-1]) + 1) if run[-1] + 1 < offsets[t + 1] else ""
-        shapes.append(np.stack([_SHAPES[w] for w in (before, *words, after)]))
-    out = []
-    for run, s in zip(runs, shapes, strict=True):
-        t = int(text[run[0]])
-        out.append(Chain(t, run - offsets[t], s, file_features(int(per_text[t]), int(offsets[t + 1] - offsets[t]), said[t])))
-    return out
+@dataclass
+class Chain:
+    """A window of a text for training: its words' shapes with one neighbour at either end, and their surroundings."""
 
+    shapes: np.ndarray
+    around: np.ndarray
 
-def viterbi(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """The best tags of a chain that stands between two O words. Ties fall to the later tag, so to O."""
-    best, back = moves[O] + scores[0], []
-    for row in scores[1:]:
-        through = best[:, None] + moves
-        k = len(through) - 1 - through[::-1].argmax(0)
-        back.append(k)
-        best = through[k, np.arange(3)] + row
-    best = best + moves[:, O]
-    tags = [2 - int(best[::-1].argmax())]
-    for k in reversed(back):
-        tags.append(int(k[tags[-1]]))
-    return np.array(tags[::-1])
 
+def viterbi(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """The best tags of each text, whose first words are `starts`, between two O words. Ties fall to the later tag, so to O.
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis))
+    All texts are one chain in which an O word stands between two texts. The
+    chain is cut into blocks of equal length that are worked on side by side:
+    the best way from each tag before a block to each at its end, then the
+    blocks in turn, then back pointers within all blocks. This is exact, and
+    takes as many steps as the root of the words, whatever the texts' lengths.
+    """
+    n = len(scores)
+    if not n:
+        return np.zeros(0, np.int64)
+    size = max(1, math.isqrt(n))
+    blocks = n // size + 1  # at least one word of padding, which is O
+    s = np.full((blocks * size, 3), -1e30)
+    s[:, O] = 0
+    s[:n] = scores - scores[:, O:]  # an O word counts nothing, so sums stay small
+    m = moves - moves[O, O]
+    first = np.zeros(blocks * size, bool)
+    if starts is not None:
+        first[starts] = True
+    first[0] = False  # before the first word there is O alone
+    # places in a block, tags, blocks: the last axis is the long one
+    s = np.ascontiguousarray(s.reshape(blocks, size, 3).transpose(1, 2, 0))
+    first = np.ascontiguousarray(first.reshape(blocks, size).T)
+    through = (m[:, O, None] + m[None, O, :])[:, :, None]  # by way of an O word
+
+    def moved(t: int) -> np.ndarray:
+        return np.where(first[t], through, m[:, :, None]) + s[t]
+
+    ways = moved(0)
+    for t in range(1, size):
+        step = moved(t)
+        ways = np.maximum(np.maximum(ways[:, 0, None] + step[None, 0], ways[:, 1, None] + step[None, 1]), ways[:, 2, None] + step[None, 2])
+    entry = np.full((blocks, 3), -1e30)
+    entry[0, O] = 0
+    for k in range(1, blocks):
+        entry[k] = (entry[k - 1][:, None] + ways[:, :, k - 1]).max(0)
+    best, back = np.ascontiguousarray(entry.T), np.empty((size, blocks, 3), np.int8)
+    for t in range(size):
+        step = best[:, None] + moved(t)
+        best = np.maximum(np.maximum(step[0], step[1]), step[2])
+        back[t] = np.where(step[2] == best, 2, step[1] == best).T
+    rows = np.arange(blocks)
+    enters = np.tile(np.arange(3, dtype=np.int8), (blocks, 1))
+    for t in range(size - 1, -1, -1):
+        enters = back[t][rows[:, None], enters]
+    at_end = np.full(blocks, O)
+    for k in range(blocks - 1, 0, -1):
+        at_end[k - 1] = enters[k, at_end[k]]
+    tags = np.empty((blocks, size), np.int64)
+    tag = at_end
+    for t in range(size - 1, -1, -1):
+        tags[:, t] = tag
+        tag = back[t][rows, tag]
+    return tags.reshape(-1)[:n]
 
 
 def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
     """Maximum likelihood by Adam over all chains at once, forward and backward over their places."""
-    n, features = len(SHAPES), FILE_FEATURES
+    n, features = len(SHAPES), AROUND
     field = Field(np.zeros((3, n, 3), np.float64), np.zeros((features, 3)), np.zeros((3, 3)))
     if not any((t != O).any() for t in tags):
         field.words[0][0, O] = 1.0  # nothing to learn from: all words are O
         return field
     longest = max(len(t) for t in tags)
     rows = len(tags)
-    x = np.zeros((rows, longest + 2, n), np.float64)
+    x = np.zeros((rows, longest + 2, n), np.float32)
     y, real = np.full((rows, longest), O), np.zeros((rows, longest), bool)
-    files = np.stack([c.file for c in found]).astype(np.float64)
+    around = np.zeros((rows, longest, features), np.float32)
     for i, (c, t) in enumerate(zip(found, tags, strict=True)):
-        x[i, : len(t) + 2], y[i, : len(t)], real[i, : len(t)] = c.shapes, t, True
+        x[i, : len(t) + 2], y[i, : len(t)], real[i, : len(t)], around[i, : len(t)] = c.shapes, t, True, c.around
+    flat = x.reshape(-1, n)
     gold = np.eye(3)[y] * real[:, :, None]
-    parameters = [field.words, field.file, field.moves]
+    parameters = [field.words, field.around, field.moves]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
     ends = real.sum(1) - 1
     for step in range(1, steps + 1):
         w, m = field.words, field.moves
-        s = x[:, 1:-1] @ w[0] + x[:, :-2] @ w[1] + x[:, 2:] @ w[2] + (files @ field.file)[:, None]
-        a = np.zeros((rows, longest, 3))
-        a[:, 0] = m[O] + s[:, 0]
-        for t in range(1, longest):
-            a[:, t] = _logsum(a[:, t - 1, :, None] + m, 1) + s[:, t]
-        b = np.zeros((rows, longest, 3))
-        b[np.arange(rows), ends] = m[:, O]
+        each = (flat @ w.transpose(1, 0, 2).reshape(n, 9).astype(np.float32)).reshape(rows, longest + 2, 3, 3)
+        s = each[:, 1:-1, 0] + each[:, :-2, 1] + each[:, 2:, 2] + around @ field.around.astype(np.float32)
+        # forward and backward in probabilities, scaled at each place; places first
+        e = np.ascontiguousarray(np.exp(s - s.max(2, keepdims=True)).transpose(1, 0, 2))
+        go = np.exp(m - m.max())
+        a, c = np.empty_like(e), np.empty((longest, rows, 1))
+        for t in range(longest):
+            a[t] = (a[t - 1] @ go if t else go[O]) * e[t]
+            c[t] = a[t].sum(1, keepdims=True)
+            a[t] /= c[t]
+        b = np.broadcast_to(go[:, O], e.shape).copy()
         for t in range(longest - 2, -1, -1):
-            got = _logsum(m[None] + (s[:, t + 1] + b[:, t + 1])[:, None, :], 2)
-            b[:, t] = np.where((t < ends)[:, None], got, b[:, t])
-        z = _logsum(a[np.arange(rows), ends] + m[:, O], 1)
-        p = np.exp(a + b - z[:, None, None]) * real[:, :, None]
+            b[t] = np.where((t < ends)[:, None], (e[t + 1] * b[t + 1] / c[t + 1]) @ go.T, b[t])
+        z = (a * b).sum(2, keepdims=True)
+        p = (a * b / z).transpose(1, 0, 2) * real[:, :, None]
         d = (p - gold) / rows
-        g_moves = np.zeros((3, 3))
-        both = real[:, 1:]
-        if longest > 1:
-            q = np.exp(a[:, :-1, :, None] + m + (s + b)[:, 1:, None, :] - z[:, None, None, None]) * both[:, :, None, None]
-            g_moves += (q - gold[:, :-1, :, None] * gold[:, 1:, None, :] * both[:, :, None, None]).sum((0, 1)) / rows
+        onward = e[1:] * b[1:] / (c[1:] * z[1:]) * real[:, 1:].T[:, :, None]
+        both = gold[:, :-1].reshape(-1, 3).T @ gold[:, 1:].reshape(-1, 3)
+        g_moves = (go * (a[:-1].reshape(-1, 3).T @ onward.reshape(-1, 3)) - both) / rows
         g_moves[O] += d[:, 0].sum(0)
         g_moves[:, O] += (d[np.arange(rows), ends]).sum(0)
-        g_words = np.stack([np.einsum("rtf,rtk->fk", part, d) for part in (x[:, 1:-1], x[:, :-2], x[:, 2:])])
-        for q_, g, f, v in zip(parameters, [g_words, files.T @ d.sum(1), g_moves], first, second, strict=True):
+        spread = np.zeros_like(each)
+        spread[:, 1:-1, 0], spread[:, :-2, 1], spread[:, 2:, 2] = d, d, d
+        g_words = (flat.T @ spread.reshape(-1, 9)).reshape(n, 3, 3).transpose(1, 0, 2)
+        for q_, g, f, v in zip(parameters, [g_words, around.reshape(-1, features).T @ d.reshape(-1, 3), g_moves], first, second, strict=True):
             g = g + penalty * q_ / 10
             f += 0.1 * (g - f)
             v += 0.01 * (g * g - v)
@@ -236,60 +304,116 @@ def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: fl
 
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 _LEADS = ["{} ", "{}: ", "{} = ", '{} = "', "{} is ", "{}='"]
-_KEYS = ["key", "api key", "secret", "bearer", "auth", "password", "access token", "client_secret", "credential"]
+_KEYS = ["key", "api key", "secret", "bearer", "auth", "password", "access token", "client_secret", "credential", "passphrase"]
+
+
+def _value(r: np.random.Generator, words: list[str]) -> tuple[str, bool]:
+    """A made-up secret, and whether its own letters give it away where no key word stands near."""
+    sort = r.integers(8)
+    if sort in (4, 6, 7) and words:  # a passphrase as one word
+        return "".join(words[k].lower() for k in r.integers(len(words), size=int(r.integers(3, 6))))[:48], False
+    if sort == 5 and words:  # a passphrase of words
+        return " ".join(words[k].lower() for k in r.integers(len(words), size=int(r.integers(3, 7)))), False
+    alphabet = "0123456789abcdef" if sort == 0 else _LETTERS[:52] if sort in (1, 2) else _LETTERS
+    return "".join(alphabet[k] for k in r.integers(len(alphabet), size=int(r.integers(14, 44)))), True
 
 
 def varied(text: str, spans: list[tuple[int, int, int, int, int]], r: np.random.Generator) -> tuple[str, list[tuple[int, int]]]:
-    """The text with each found secret rewritten: another alphabet and length, another key word and way to assign. And where the new values stand."""
+    """The text with each found secret rewritten, and where the new values stand.
+
+    Values are of another alphabet and length, letters alone or passphrases
+    among them, after another key word and way to assign, some words after it,
+    or alone.
+    """
+    words = [w for w in _WORD.findall(text[:20_000]) if w.isalpha() and w.isascii() and 3 <= len(w) <= 9]
     out, values, at, length = [], [], 0, 0
     for start, _, end, *_ in spans:
         if start < at:
             continue
-        lead = _LEADS[r.integers(len(_LEADS))].format(_KEYS[r.integers(len(_KEYS))])
-        alphabet = _LETTERS if r.random() < 0.7 else "0123456789abcdef"
-        value = "".join(alphabet[k] for k in r.integers(len(alphabet), size=int(r.integers(14, 44))))
+        value, tells = _value(r, words)
+        key = _KEYS[r.integers(len(_KEYS))]
+        tail = ""
+        how = r.random()
+        if tells and how < 0.3:
+            lead = ""
+        elif words and how < 0.6:
+            lead = f"the {key} for " + " ".join(words[k] for k in r.integers(len(words), size=int(r.integers(1, 6)))) + " is "
+        else:
+            lead = _LEADS[r.integers(len(_LEADS))].format(key)
+        if " " in value:  # where a passphrase ends is told by its quotes
+            mark = lead[-1:] if lead[-1:] in "\"'" and lead else '"'
+            lead, tail = lead if lead.endswith(mark) else lead + mark, mark
         piece = text[at:start] + lead
         values.append((length + len(piece), length + len(piece) + len(value)))
-        out.append(piece + value)
-        length += len(piece) + len(value)
+        out.append(piece + value + tail)
+        length += len(piece) + len(value) + len(tail)
         at = end
+        if tail and text[at : at + 1] in ("'", '"'):
+            at += 1  # the old value's closing quote
     return "".join(out) + text[at:], values
 
 
+#: Bounds of the windows that weights are learned from: with a secret in a text and in all, and without one in a text as it stands; and rewritten copies of a text.
+TEXT_WINDOWS, SECRET_WINDOWS, PLAIN_WINDOWS, COPIES = 20, 2500, 4, 16
+
+
+def _cuts(tags: np.ndarray) -> list[int]:
+    """Bounds of windows of about LONGEST_TRAINED words that split no secret shorter than that."""
+    cuts = [0]
+    while cuts[-1] < len(tags):
+        stop = least = min(cuts[-1] + LONGEST_TRAINED, len(tags))
+        while least > cuts[-1] + 1 and least < len(tags) and tags[least] == I:
+            least -= 1
+        cuts.append(least if least > cuts[-1] + 1 else stop)
+    return cuts
+
+
 def learn(texts: list[str], seed: int = 1) -> Field:
     """Weights from texts, the values that the patterns find being the secrets.
 
     Each text with secrets is also learned with its secrets rewritten, so that
-    the field goes by shape and neighbours and not by one pattern. Chains over
-    LONGEST_TRAINED words are cut for training.
+    the field goes by shape and neighbours and not by one pattern. Texts are cut
+    into windows of LONGEST_TRAINED words for training.
     """
     r = np.random.default_rng(seed)
-    known: list[tuple[str, list[tuple[int, int]]]] = []
-    for t in texts:
-        base = base_spans(t)
-        known.append((t, [x[3:] for x in base]))
-        known += [varied(t, base, r) for _ in range(3) if base]
-    found, tags = [], []
-    for i in range(0, len(known), 200):
-        part = known[i : i + 200]
-        spans = [[(m.start(), m.end()) for m in _WORD.finditer(t)] for t, _ in part]
-        for c in chains(pa.array([t for t, _ in part], pa.string())):
-            own = [spans[c.text][k] for k in c.at.tolist()]
-            t = np.full(len(own), O)
-            last = None
-            for k, (s, e) in enumerate(own):
-                hit = next((v for v in part[c.text][1] if s < v[1] and v[0] < e), None)
-                if hit:
-                    t[k] = I if hit == last else B
-                last = hit
-            for k in range(0, len(t), LONGEST_TRAINED):
-                stop = min(k + LONGEST_TRAINED, len(t))
-                found.append(Chain(c.text, c.at[k:stop], c.shapes[k : stop + 2], c.file))
-                tags.append(t[k:stop])
-    # as many chains without a secret as eight times those with one are enough
-    secret = [i for i, t in enumerate(tags) if (t != O).any()]
-    rest = [i for i, t in enumerate(tags) if not (t != O).any()][: 8 * len(secret) + 500]
-    return train([found[i] for i in secret + rest], [tags[i] for i in secret + rest])
+
+    def known() -> Iterator[tuple[bool, str, list[tuple[int, int]]]]:
+        for t in texts:
+            base = base_spans(t)
+            yield False, t, [x[3:] for x in base]
+            for _ in range(COPIES if base else 0):
+                yield True, *varied(t, base[:200], r)
+
+    secret: list[tuple[Chain, np.ndarray]] = []
+    rest: list[tuple[Chain, np.ndarray]] = []
+    risky = [SHAPES.index(x) for x in ("long", "very_long", "digit", "mixed_letters", "key_word", "quoted", "case_changes")]
+    every = known()
+    while part := list(islice(every, 16)):
+        w = featured(pa.array([t for _, t, _ in part], pa.string()))
+        for j, (copy, text, values) in enumerate(part):
+            first, end = int(w.offsets[j]), int(w.offsets[j + 1])
+            if first == end:
+                continue
+            spans = np.array([m.span() for m in _WORD.finditer(text)])
+            tags = np.full(end - first, O)
+            for s, e in sorted(values, reverse=True):
+                a, b = np.searchsorted(spans[:, 1], s, "right"), np.searchsorted(spans[:, 0], e)
+                tags[a:b], tags[a : a + 1] = I, B
+            cuts = _cuts(tags)
+            windows = list(zip(cuts, cuts[1:], strict=False))
+            has = [(a, b) for a, b in windows if (tags[a:b] != O).any()]
+            none = [] if copy else [(a, b) for a, b in windows if (tags[a:b] == O).all()]
+            odd = np.concatenate([[0], np.cumsum(w.shapes[w.own[first:end]][:, risky].sum(1))])
+            none.sort(key=lambda x: odd[x[0]] - odd[x[1]])
+            few = none[: PLAIN_WINDOWS // 2] + [none[k] for k in r.integers(PLAIN_WINDOWS // 2, max(len(none), PLAIN_WINDOWS // 2 + 1), size=PLAIN_WINDOWS // 2) if k < len(none)]
+            for kept, some in ((secret, [has[k] for k in r.permutation(len(has))[:TEXT_WINDOWS]]), (rest, few)):
+                for a, b in some:
+                    at = np.concatenate([[w.before[first + a]], w.own[first + a : first + b], [w.after[first + b - 1]]])
+                    kept.append((Chain(w.shapes[at], w.around[first + a : first + b]), tags[a:b]))
+    # as many windows without a secret as eight times those with one are enough
+    secret = [secret[k] for k in r.permutation(len(secret))[:SECRET_WINDOWS]]
+    rest = [rest[k] for k in r.permutation(len(rest))[: 8 * len(secret) + 500]]
+    return train([c for c, _ in secret + rest], [t for _, t in secret + rest])
 
 
 def sample_texts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> list[str]:
@@ -309,30 +433,26 @@ def secret_spans(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int
     out: list[list[tuple[int, int, int]]] = [[] for _ in range(len(texts))]
     for i in may.tolist():
         out[i] = [s[:3] for s in base_spans(texts[i].as_py())]
-    tagged: dict[int, list[tuple[int, int]]] = {}
-    for c in chains(texts):
-        tags = viterbi(c.scores(field), field.moves)
-        k = 0
-        while k < len(tags):
-            if tags[k] == O:
-                k += 1
-                continue
-            stop = k + 1
-            while stop < len(tags) and tags[stop] == I:
-                stop += 1
-            tagged.setdefault(c.text, []).append((int(c.at[k]), int(c.at[stop - 1])))
-            k = stop
-    for i, places in tagged.items():
-        text = texts[i].as_py()
+    w = featured(texts)
+    tags = viterbi(w.scores(field), field.moves, w.offsets[:-1][np.diff(w.offsets) > 0])
+    secret = np.flatnonzero(tags != O)
+    for i in np.unique(np.searchsorted(w.offsets, secret, "right") - 1).tolist():
+        text, own = texts[i].as_py(), tags[w.offsets[i] : w.offsets[i + 1]]
         words = [m.span() for m in _WORD.finditer(text)]
-        base = list(out[i])
-        for a, b in places:
-            s, e = words[a][0], words[b][1]
-            whole = text[s:e]
-            s, e = s + len(whole) - len(whole.lstrip(_EDGES)), e - (len(whole) - len(whole.rstrip(_EDGES)))
-            if s < e and not any(s < y and x < e for x, _, y in base):
-                out[i].append((s, len(PATTERNS), e))
-        out[i].sort()
+        base, runs, last = [(x, y) for x, _, y in out[i]], [], -2
+        for k in np.flatnonzero(own != O).tolist():
+            s, e = words[k]
+            core = text[s:e]
+            s, e = s + len(core) - len(core.lstrip(_EDGES)), e - (len(core) - len(core.rstrip(_EDGES)))
+            # the pattern's span stands for words that it overlaps
+            if s >= e or any(s < y and x < e for x, y in base):
+                continue
+            if own[k] == I and last == k - 1:
+                runs[-1][1] = e
+            else:
+                runs.append([s, e])
+            last = k
+        out[i] = sorted(out[i] + [(s, len(PATTERNS), e) for s, e in runs])
     return out
 
 

@@ -106,6 +106,41 @@ def test_field_adds_secrets_of_other_shapes(field):
     assert [texts[0][a:b] for a, _, b in spans[0]] == ["Zx81Kq92LmNo45PqRs73"] and spans[1:] == [[], [], []]
 
 
+@pytest.mark.parametrize(
+    ("text", "secret"),
+    [
+        ("w1 w2 w3 w4 QzXkWvJpLmNtRbYdHsGfTc w5 w6 w7", "QzXkWvJpLmNtRbYdHsGfTc"),
+        ("the password for the vault is correcthorsebattery w5 w6", "correcthorsebattery"),
+        ('w1 passphrase: "correct horse battery staple" w5 w6 w7', "correct horse battery staple"),
+    ],
+)
+def test_field_reads_every_word(text, secret):
+    r = random.Random(2)
+    names = ["".join(r.choice("aeiou") if k % 2 else r.choice("bdlmnrst") for k in range(r.randrange(3, 10))) for _ in range(300)]
+    some = lambda n: " ".join(r.choice(names) for _ in range(n))
+    field = secret_scan.learn([f'{some(20)} token = "{r.getrandbits(160):040x}" {some(20)}' for _ in range(120)] + [some(60) for _ in range(80)])
+    text = " ".join(r.choice(names) if re.fullmatch(r"w\d", w) else w for w in text.split())
+    assert [text[a:b] for a, _, b in secret_scan.secret_spans(pa.array([text]), field)[0]] == [secret]
+
+
+def test_viterbi_decodes_texts_each_by_itself():
+    r = np.random.default_rng(1)
+    sizes = r.integers(1, 40, size=60)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    s, m = r.normal(size=(starts[-1], 3)), r.normal(size=(3, 3))
+    got = secret_scan.viterbi(s, m, starts[:-1])
+    for a, b in itertools.pairwise(starts.tolist()):
+        best, back = m[2] + s[a], []
+        for row in s[a + 1 : b]:
+            through = best[:, None] + m
+            back.append(through.argmax(0))
+            best = through.max(0) + row
+        tags = [int((best + m[:, 2]).argmax())]
+        for k in reversed(back):
+            tags.append(int(k[tags[-1]]))
+        assert got[a:b].tolist() == tags[::-1]
+
+
 def test_scan_and_redaction(spark, field):
     text = "é " + "w1 " * 3000 + 'password: "hunter2hunter2" end'
     df = spark.createDataFrame([(1, text, "x"), (2, None, "x"), (2, None, "x"), (3, "", "x")], "doc_id int, text string, spans string")
