@@ -97,13 +97,13 @@ def grade(hits: DataFrame) -> DataFrame:
 
 
 def scan(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Graded matches of files (see as_files), at most each rule's number a file: those of the smallest lines."""
+    """Graded matches of files (see as_files), at most each rule's number a file: those of the smallest lines. Rules that are signals alone make no findings and have no cap."""
     spark = files.sparkSession
     hits = match_lines(files, rules)
     dim = F.broadcast(rules_table(spark, rules))  # as many rows as the catalog
     rows = hits.join(dim, "rule_ord").join(line_contexts(files, hits), ["file_id", "line"])
     capped = Window.partitionBy("file_id", "rule_ord").orderBy("line", "at")
-    return grade(rows).withColumn("_n", F.row_number().over(capped)).filter(F.col("_n") <= F.col("most")).drop("_n")
+    return grade(rows).withColumn("_n", F.row_number().over(capped)).filter((F.col("_n") <= F.col("most")) | F.col("rule_id").startswith("signal/")).drop("_n")
 
 
 def signals(matches: DataFrame) -> DataFrame:

