@@ -1,7 +1,8 @@
 """Licence scan: a positional index of rare licence words, with built-in functions only.
 
-Templates are indexed by word and position. A file's licence words with the
-highest IDF (over all files) look up their postings; postings that agree on
+Templates are indexed by word and position. A file goes on if it has one of a
+template's words of highest IDF (over all files), so many that no placement with
+enough votes does without them; all its licence words then look up their postings; postings that agree on
 file position minus template position vote for one placement; a template with
 enough votes for a placement is named if its key phrases stand in the file.
 """
@@ -16,8 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words of a file that are looked up.
-TOP_WORDS = 16
 #: A placement needs this share of a template's rare words, and at least 2.
 LEAST_SHARE = 0.6
 
@@ -101,11 +100,13 @@ def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Templat
     needs = [max(2, math.ceil(LEAST_SHARE * n)) for n in sizes]
     index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for w, t, q in postings])
     by_idf = sorted(vocab, key=lambda w: (-idf[w], w))
+    # a placement that has enough of a template's words has one of these
+    seeds = sorted({w for k in range(len(templates)) for w in sorted((w for w, t, _ in postings if t == k), key=by_idf.index)[: max(0, sizes[k] - needs[k] + 1)]})
 
     first = rows.withColumn("_words", _words(F.col(text)))
     # words of the file that the index knows, the rarest first; most files have none and do no more
     ranked = F.array_intersect(_strings(by_idf), F.col("_words"))
-    second = first.withColumn("_rare", F.slice(ranked, 1, TOP_WORDS)).withColumn("_any", F.arrays_overlap("_words", _strings(sorted({p.split()[0] for p in PHRASES}))))
+    second = first.withColumn("_rare", F.when(F.arrays_overlap("_words", _strings(seeds)), ranked).otherwise(F.array().cast("array<string>"))).withColumn("_any", F.arrays_overlap("_words", _strings(sorted({p.split()[0] for p in PHRASES}))))
 
     def places(phrase: str) -> Column:
         parts = phrase.split()

@@ -66,6 +66,15 @@ def test_license_labels_and_places(spark):
     assert licenses.license_scan(df.filter("false"), idf).count() == 0
 
 
+def test_every_notice_of_a_text_is_named(spark):
+    text = ". Filler stands here. ".join(t.text for t in licenses.TEMPLATES)
+    df = spark.createDataFrame([(text,), ("mit license version 0 gnu licensed",)], "text string")
+    for more in ([], ["mit"] * 20):
+        idf = licenses.inverse_frequencies(df.union(spark.createDataFrame([(m,) for m in more], "text string")))
+        labels = licenses.license_scan(df.limit(1), idf).first()["labels"].split(",")
+        assert {t.label for t in licenses.TEMPLATES} <= set(labels)
+
+
 def test_idf_counts_all_documents(spark):
     df = spark.createDataFrame([("mit",), ("mit MIT",), ("gnu",), ("x",)], "text string")
     idf = licenses.inverse_frequencies(df)
