@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,60 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables that a job writes for itself, and can drop once what it returns no longer reads them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        """See stored()."""
+        path = new_path(self.spark, label)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Remove all tables stored so far but for those given, which stored() has returned."""
+        held = {f.rpartition("/")[0].rpartition("/")[2] for df in keep for f in df.inputFiles()}
+        hadoop, context = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsc.hadoopConfiguration()
+        for path in self.paths:
+            if path.rpartition("/")[2] not in held:
+                at = hadoop(path)
+                at.getFileSystem(context).delete(at, True)
+        self.paths = [p for p in self.paths if p.rpartition("/")[2] in held]
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """name, with as many underscores before it as make it none of the columns (case doesn't count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def frugal(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function of batches that gives the memory it freed back to the system at a task's end: Python workers wait for other work, beside a JVM that needs the room."""
+
+    @functools.wraps(run)
+    def lean(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return lean
+
+
+def release_memory() -> None:
+    """Give free memory of Arrow's and the C library's allocators back to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
 def join_dimension(left: DataFrame, dim: DataFrame, on: str, hot_salts: int = 16) -> DataFrame:
     """Left join of large rows to a dimension with one row a key, nulls matching nulls.
 
@@ -78,7 +134,7 @@ def join_unique(left: DataFrame, right: DataFrame, key: str, n_rows: str, total:
     return rest.select(*left.columns, *values).unionByName(on_hot)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most max_bytes of `column`; a longer text comes alone."""
     for batch in batches:
         if not batch.num_rows:
@@ -92,6 +148,11 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 16 <
 
 
 def random_rows(df: DataFrame, n: int, rows: int, order: list[Column]) -> DataFrame:
-    """At most `rows` of df's n rows, at random: thinned to about twice as many before the first ones by order (of a hash) meet in one task, so no task sees more."""
-    thin = df.sample(fraction=2 * rows / n, seed=9) if n > 2 * rows else df
-    return thin.orderBy(*order).limit(rows)
+    """At most `rows` of df's n rows, those of the least order, whose first column is an xxhash64: a random choice that is the same however df is dealt out.
+
+    Rows above the hash below which about twice as many lie are left out first,
+    so no task sees many more.
+    """
+    if n > 2 * rows:
+        df = df.filter(order[0] < F.lit(-(1 << 63) + int(2 * rows / n * 2.0**64)))
+    return df.orderBy(*order).limit(rows)

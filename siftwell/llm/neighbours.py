@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import random_rows, stored
+from siftwell.llm.common import frugal, random_rows, stored
 
 #: Bound of the sample that the index is fitted on.
 SAMPLE_ROWS = 6000
@@ -204,7 +204,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample_row
             logits = router.logits(_matrix(b.column("v"), d))
             yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("v"), pa.array(logits.argmax(1), pa.int32())], ["vec_id", "v", "part"])
 
-    indexed = stored(rows.mapInArrow(home, "vec_id long, v array<double>, part int"), "indexed")
+    indexed = stored(rows.mapInArrow(frugal(home), "vec_id long, v array<double>, part int"), "indexed")
     # one row a part: as many as the router has
     size = {r["part"]: r["count"] for r in indexed.groupBy("part").count().collect()}
     parts = len(router.b2)
@@ -222,7 +222,7 @@ def nearest(vectors: DataFrame, k: int = NEIGHBOURS, every: int = 20, sample_row
             take = pa.array(who)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("v").take(take), pa.array(chosen, pa.int32())], ["query_id", "q", "part"])
 
-    queries = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(route, "query_id long, q array<double>, part int"), "routes")
+    queries = stored(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(frugal(route), "query_id long, q array<double>, part int"), "routes")
     asked = {r["part"]: r["count"] for r in queries.groupBy("part").count().collect()}
     # a part's vectors and queries are dealt into blocks that meet in pairs
     blocks = lambda held, most: F.element_at(F.array(*[F.lit(max(1, -(-held.get(p, 0) // most))) for p in range(parts)]), F.col("part") + 1)

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import slices, stored
-from siftwell.llm.tokens import crc32, encoder, tokenizer_path
+from siftwell.llm.common import frugal, slices, stored
+from siftwell.llm.tokens import BATCH_BYTES, crc32, encoder, tokenizer_path
 
 CAPACITY = 4096
 #: A bin with at most this much room left leaves at once.
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             offsets, ids = enc.encode(b.column("text"))
             n = np.diff(offsets)
             pieces = -(-n // capacity)
@@ -70,7 +70,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(frugal(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, fill long"

@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,12 +22,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import new_path, slices
-from siftwell.llm.words import coded_words, ragged
+from siftwell.llm.common import frugal, new_path, slices
+from siftwell.llm.words import ascii_words, ragged
 
 END_ID = 1
-#: Words whose ids a worker remembers; beyond it the memory starts anew. A bound on memory, not on results.
-REMEMBERED_WORDS = 500_000
+#: Frequent words whose ids a worker remembers, some 10 MB. A bound on memory, not on results.
+REMEMBERED_WORDS = 50_000
+#: A word is frequent if a batch has it so many times.
+FREQUENT = 4
+#: Bytes of text that are encoded at a time.
+BATCH_BYTES = 8 << 20
+#: Bytes of text of a token file, on average.
+FILE_TEXT_BYTES = 12 << 20
 
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _PLAIN = re.compile(r"[a-z]+\Z")
@@ -54,48 +61,61 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _ids(self, words: list[str]) -> dict[str, bytes]:
-        """ids as little-endian unsigned 32-bit integers. A tail of ASCII marks is a word of its own to the tokenizer."""
-        known, out, parts, new = self.known, {}, {}, set()
-        for word in words:
-            if word in known:
-                out[word] = known[word]
-                continue
-            core = word.rstrip(_TAIL)
-            if "<|" in word or not core or unicodedata.category(core[-1])[0] not in "LN":
-                core = word
-            parts[word] = (core, word[len(core) :])
-            new.update(x for x in parts[word] if x and x not in known)
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            kept = {x: known[x] for pair in parts.values() for x in pair if x in known}
-            known.clear()
-            known.update(kept)
-        plain = [x for x in new if _PLAIN.match(x)]
-        tokenize = self.tokenizer.model.tokenize
-        for x in plain:
-            known[x] = np.array([t.id for t in tokenize(x)], "<u4").tobytes()
-        other = [x for x in new if x not in known]
-        for x, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False), strict=True):
-            known[x] = np.array(e.ids, "<u4").tobytes()
-        for word, (core, tail) in parts.items():
-            out[word] = (known[core] if core else b"") + (known[tail] if tail else b"")
-        return out
+        self.known: dict[str, list[int]] = {}
+
+    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Two pieces of each word, as places in a list of distinct pieces: a tail of ASCII marks after a letter or number is a word of its own to the tokenizer."""
+        core = pc.ascii_rtrim(words, characters=_TAIL)
+        size, whole = pc.binary_length(core).to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy(zero_copy_only=False)
+        cut = (size < whole) & (size > 0) & ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(cut & ~pc.match_substring_regex(core, "[0-9A-Za-z]$").to_numpy(zero_copy_only=False))
+        for i, x in zip(at.tolist(), core.take(pa.array(at)).to_pylist(), strict=True):
+            cut[i] = unicodedata.category(x[-1])[0] in "LN"
+        coded = pc.if_else(pa.array(cut), core, words).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        first, second = coded.indices.to_numpy(zero_copy_only=False), np.full(len(words), len(pieces))
+        tails: dict[str, int] = {"": len(pieces)}
+        at = np.flatnonzero(cut)
+        for i, w, n in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), (whole - size)[at].tolist(), strict=True):
+            second[i] = tails.setdefault(w[-n:], len(pieces) + len(tails))
+        return first, second, pieces + list(tails)
+
+    def _ids(self, pieces: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, one after another, and how many each has."""
+        known = self.known
+        found = [known.get(x) for x in pieces]
+        tokenize, other = self.tokenizer.model.tokenize, []
+        for i, x in enumerate(pieces):
+            if found[i] is None:
+                if _PLAIN.match(x):
+                    found[i] = [t.id for t in tokenize(x)]
+                else:
+                    other.append(i)
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False), strict=True):
+            found[i] = e.ids
+        for i in np.flatnonzero(times >= FREQUENT).tolist():
+            if len(known) >= REMEMBERED_WORDS:
+                break
+            known[pieces[i]] = found[i]
+        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids (uint32), each text's followed by end_id."""
         texts = pc.fill_null(texts, "")
         marked = pc.match_substring(texts, "<|")  # special tokens are told by case
-        offsets, codes, words = coded_words(pc.if_else(marked, texts, pc.ascii_lower(texts)))
-        ids = self._ids(words)
-        pieces = [ids[w] for w in words]
-        size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
-        start = np.cumsum(size) - size
-        flat = np.frombuffer(b"".join(pieces), "<u4")
-        n = size[codes]
-        found = flat[ragged(start[codes], n)] if len(codes) else np.zeros(0, "<u4")
-        ends = np.concatenate([[0], np.cumsum(n)])[offsets]
+        offsets, flat = ascii_words(pc.if_else(marked, texts, pc.ascii_lower(texts)))
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        first, second, pieces = self._split(coded.dictionary)
+        # each word's core and tail, one after another; most tails are empty
+        order = np.stack([first[codes], second[codes]], 1).ravel() if len(codes) else np.zeros(0, np.int64)
+        ids, size = self._ids(pieces, np.bincount(order, minlength=len(pieces)))
+        order = order[size[order] > 0] if len(order) else order
+        n = size[order]
+        found = ids[ragged((np.cumsum(size) - size)[order], n)] if len(order) else np.zeros(0, "<u4")
+        # a word's ids are those of its two pieces
+        per_word = size[first[codes]] + size[second[codes]] if len(codes) else np.zeros(0, np.int64)
+        ends = np.concatenate([[0], np.cumsum(per_word)])[offsets]
         if end_id is None:
             return ends, found
         rows = len(texts)
@@ -126,12 +146,12 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", doc_id: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             offsets, ids = enc.encode(b.column("text"), end_id)
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), lists], ["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(frugal(run), "doc_id long, n_tokens long, ids array<int>")
 
 
 def write_tokens(
@@ -139,7 +159,7 @@ def write_tokens(
 ) -> None:
     """Encode docs and write their token table to `out`, in ascending doc_id order (null ids first).
 
-    files: how many, by default the session's shuffle partitions. dictionary:
+    files: how many, by default one for FILE_TEXT_BYTES of text. dictionary:
     encode ids by a dictionary rather than by deltas. Rows that share a doc_id
     stand together, shortest text first. An empty table gives a folder that
     read_tokens reads as no rows.
@@ -147,13 +167,14 @@ def write_tokens(
     doc_id, text = columns.get("doc_id", "doc_id"), columns.get("text", "text")
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), "text")
+    n = files or -(-(rows.agg(F.sum(F.octet_length("text"))).first()[0] or 1) // FILE_TEXT_BYTES)
+    # the length and a hash of the text tell apart rows that share a doc_id, so those spread too
+    ordered = rows.repartitionByRange(int(n), F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.length("text"), F.xxhash64("text"), "text")
     shard = ordered.withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(path), 0
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", BATCH_BYTES):
             offsets, ids = enc.encode(b.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.view("<i4")))
             yield pa.RecordBatch.from_arrays(
@@ -162,7 +183,7 @@ def write_tokens(
             at += int(offsets[-1])
 
     (
-        shard.mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>")
+        shard.mapInArrow(frugal(run), "doc_id long, shard int, shard_start long, n_tokens long, ids array<int>")
         .write.option("parquet.writer.version", "v2")
         .option("parquet.enable.dictionary", str(dictionary).lower())
         .option("parquet.block.size", row_group_bytes)
@@ -206,7 +227,7 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             crc = [crc32(flat[i:j]) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("shard"), b.column("shard_start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
-    read = tokens.select("doc_id", "shard", "shard_start", "ids").mapInArrow(run, "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
+    read = tokens.select("doc_id", "shard", "shard_start", "ids").mapInArrow(frugal(run), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
     starts = F.broadcast(shard_starts(tokens.drop("ids")))  # one small row a file
     return read.join(starts, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
