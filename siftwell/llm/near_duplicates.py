@@ -1,7 +1,8 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit MinHash signatures.
 
-A document's set is that of its 4-word shingles (64-bit hashes of lower-cased
-words). Documents of equal sets form a class; classes are what is joined.
+A document's set is that of its shingles of some words (64-bit hashes of
+lower-cased words). Documents whose sets have the same 128-bit digest form a
+class; classes are what is joined.
 
 A signature has 32 positions of 16 bits. It is cut into 8 chunks of 4 positions,
 and each chunk is indexed with one error allowed, by its 4 choices of 3
@@ -29,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BROADCAST_ROWS, join_unique, slices, stored
+from siftwell.llm.common import BROADCAST_ROWS, Scratch, frugal, join_unique, slices
 from siftwell.llm.words import coded_words, ragged
 
 SHINGLE = 4
 LEAST_PERCENT = 80
 POSITIONS, CHUNK = 32, 4
-#: Pairs whose signatures differ in more positions are not confirmed; sets of similarity 0.8 do so once in 10^8 pairs.
-MOST_DISTANCE = 20
+#: Pairs whose signatures differ in more positions are not confirmed, which saves reading their sets; sets of similarity 0.8 do so once in 10^12 pairs.
+MOST_DISTANCE = 24
+#: Bytes of text whose sets are made at a time; of shingle numbers it takes some ten times as many.
+BATCH_BYTES = 2 << 20
 #: A shingle in more sets than this is looked up by blocks of sets, not by pairs; and the sets of a block.
 CROWD = 48
 PROBE_BLOCK, OTHER_BLOCK = 256, 512
@@ -51,10 +54,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
-
-
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Offsets of each text's set, and the distinct shingle hashes of all, ascending within a text. Texts of fewer words have their whole sequence, texts of none nothing."""
     import xxhash
@@ -109,24 +108,25 @@ def _binary(flat: np.ndarray, width: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), n, [None, ends, pa.py_buffer(np.ascontiguousarray(rows).tobytes())])
 
 
-def _classes_of(offsets: np.ndarray, hashes: np.ndarray) -> list[int]:
-    """64 bits of a digest of each set."""
+def _digests_of(offsets: np.ndarray, hashes: np.ndarray) -> pa.Array:
+    """128 bits of a digest of each set."""
     data = hashes.astype("<u8")
-    return [int.from_bytes(hashlib.blake2b(data[i:j].tobytes(), digest_size=8).digest(), "little", signed=True) for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
+    return pa.array([hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+
+
+def _read(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def signed_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, cls (the set's class) and sig (32 times 16 bits) of each row."""
+def signed_documents(docs: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, digest (of the set) and sig (32 times 16 bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            offsets, hashes = shingle_sets(b.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(offsets)), pa.array(_classes_of(offsets, hashes), pa.int64()), _binary(signatures(offsets, hashes), POSITIONS)], ["doc_id", "n_shingles", "cls", "sig"]
-            )
+        for b in slices(batches, "text", BATCH_BYTES):
+            offsets, hashes = shingle_sets(b.column("text"), shingle)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.diff(offsets)), _digests_of(offsets, hashes), _binary(signatures(offsets, hashes), POSITIONS)], ["doc_id", "n_shingles", "digest", "sig"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, cls long, sig binary")
+    return _read(docs, text).mapInArrow(frugal(run), "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def _sig_matrix(column: pa.Array) -> np.ndarray:
@@ -143,7 +143,7 @@ def memberships(classes: DataFrame) -> DataFrame:
                 keys = chunk_keys(_sig_matrix(b.column("sig")))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), b.column("cls").take(pa.array(np.repeat(np.arange(b.num_rows), POSITIONS)))], ["key", "cls"])
 
-    return classes.select("cls", "sig").mapInArrow(run, "key long, cls long")
+    return classes.select("cls", "sig").mapInArrow(frugal(run), "key long, cls long")
 
 
 def _near_pairs(pairs: DataFrame, classes: DataFrame, total: int, percent: int) -> DataFrame:
@@ -160,32 +160,34 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, total: int, percent: int)
                 near = (_sig_matrix(b.column("sig_a")) != _sig_matrix(b.column("sig_b"))).sum(1) <= MOST_DISTANCE
                 yield b.select(["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def _sets(docs: DataFrame, needed: DataFrame, text: str) -> DataFrame:
-    """cls and its whole set (ascending 64-bit hashes) for the needed classes (doc_id, cls), from their documents' texts."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    ids = needed.select("doc_id").distinct()
+def _sets(docs: DataFrame, needed: DataFrame, text: str, shingle: int) -> DataFrame:
+    """cls and its whole set (ascending 64-bit hashes) for the needed classes (doc_id, cls, digest), from their documents' texts."""
+    ids = needed.select("doc_id").filter("doc_id is not null").distinct()
+    rows = _read(docs, text)
     found = rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    if not needed.filter("doc_id is null").isEmpty():  # the set of a class without any id is looked for among all rows without one
+        found = found.unionByName(rows.filter("doc_id is null"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8 << 20):
-            offsets, hashes = shingle_sets(b.column("text"))
+        for b in slices(batches, "text", BATCH_BYTES):
+            offsets, hashes = shingle_sets(b.column("text"), shingle)
             data = hashes.astype("<u8")
             sets = [data[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(_classes_of(offsets, hashes), pa.int64()), pa.array(sets, pa.binary())], ["doc_id", "cls", "hashes"])
+            yield pa.RecordBatch.from_arrays([_digests_of(offsets, hashes), pa.array(sets, pa.binary())], ["digest", "hashes"])
 
-    made = found.mapInArrow(run, "doc_id long, cls long, hashes binary")
-    # rows that repeat, or share the id with another text, are sorted out by class
-    return made.join(needed, ["doc_id", "cls"], "left_semi").groupBy("cls").agg(F.first("hashes").alias("hashes"))
+    made = found.mapInArrow(frugal(run), "digest binary, hashes binary")
+    # rows that repeat, or share the id with another text, are sorted out by their digest
+    return made.join(needed.select("digest", "cls"), "digest").groupBy("cls").agg(F.first("hashes").alias("hashes"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int, percent: int, text: str) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int, percent: int, text: str, shingle: int, shelf: Scratch) -> DataFrame:
     """The pairs whose full sets have an intersection of at least `percent` of their union."""
     ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    needed = stored(classes.join(ends, "cls").select(F.col("rep").alias("doc_id"), "cls"), "needed")
-    sets = stored(_sets(docs, needed, text), "sets")
+    needed = shelf.stored(classes.join(ends, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "needed")
+    sets = shelf.stored(_sets(docs, needed, text, shingle), "sets")
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     # few keys may be broadcast here: a set is as long as its text
     with_a = join_unique(pairs, sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")).join(degree, "a"), "a", "deg", total, how="inner", parts=64)
@@ -194,23 +196,24 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = []
-            for x, y in zip(b.column("set_a").to_pylist(), b.column("set_b").to_pylist(), strict=True):
-                p, q = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+            for x, y in zip(b.column("set_a"), b.column("set_b"), strict=True):
+                p, q = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 common = len(p) + len(q) - len(np.union1d(p, q))
                 good.append(100 * common >= percent * (len(p) + len(q) - common))
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, shelf: Scratch) -> DataFrame:
     """cls and comp, the smallest class reachable, of every class that has a link (a, b).
 
     Alternates two steps until nothing changes: neighbours of a class, first the
     larger and then the smaller ones, are linked to its smallest neighbour
     instead. Degrees may be any; a hub's links are never gathered in one task.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    own = Scratch(links.sparkSession)
+    edges = own.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
 
     def star(pairs: DataFrame, total: int) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m"))
@@ -221,14 +224,18 @@ def components(links: DataFrame) -> DataFrame:
         total = edges.count()
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.filter("u <> v").distinct(), "large-star")
+        large = own.stored(large.filter("u <> v").distinct(), "large-star")
         small = star(large, total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = stored(small.filter("u <> v").distinct(), "small-star")
+        edges = own.stored(small.filter("u <> v").distinct(), "small-star")
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        own.drop(edges)
         if now == before:
             break
         before = now
-    return edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+    found = edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
+    found = shelf.stored(found, "labels")
+    own.drop()
+    return found
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -241,10 +248,10 @@ def _shingles(sets: DataFrame) -> DataFrame:
                 at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), b.column("cls").take(at), b.column("probe").take(at)], ["shingle", "cls", "probe"])
 
-    return sets.select("hashes", "cls", "probe").mapInArrow(run, "shingle long, cls long, probe boolean")
+    return sets.select("hashes", "cls", "probe").mapInArrow(frugal(run), "shingle long, cls long, probe boolean")
 
 
-def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, docs: DataFrame, percent: int, text: str) -> tuple[DataFrame, DataFrame]:
+def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, docs: DataFrame, percent: int, text: str, shingle: int, shelf: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of different components, both of open keys, that were not tested and may be similar enough; and links already confirmed.
 
     A key is open if its members are more than one component. Members outside
@@ -256,36 +263,39 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame,
     stands in many sets, these are compared in blocks instead.
     """
     sizes = classes.select("cls", F.col("n_shingles").alias("size"))
-    placed = stored(members.join(sizes, "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
+    placed = shelf.stored(members.join(sizes, "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "n", F.col("top.comp").alias("top"))
     rows = join_unique(placed, keys, "key", "n", placed.count(), how="inner")
-    chosen = stored(rows.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.bool_or(F.col("comp") != F.col("top")).alias("probe")), "open")
-    texts_of = stored(classes.join(chosen, "cls").select(F.col("rep").alias("doc_id"), "cls"), "open-documents")
+    chosen = shelf.stored(rows.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.bool_or(F.col("comp") != F.col("top")).alias("probe")), "open")
+    total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    texts_of = shelf.stored(classes.join(chosen, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "open-documents")
     # few rows, so the classes' columns are joined here and not to each shingle
-    sets = stored(_sets(docs, texts_of, text).join(chosen, "cls"), "open-sets")
+    sets = shelf.stored(_sets(docs, texts_of, text, shingle).join(chosen, "cls"), "open-sets")
     shingles = _shingles(sets)
 
     # shingles of one set alone come first and find nothing
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.count_if(F.col("probe")).alias("times")).filter("df > 1 and times > 0")
     asked = shingles.filter("probe").select("shingle", "cls")
-    counted = join_unique(asked, common, "shingle", "times", 1 << 24).withColumn("df", F.coalesce("df", F.lit(1)))
+    counted = join_unique(asked, shelf.stored(common, "common"), "shingle", "times", total).withColumn("df", F.coalesce("df", F.lit(1)))
     rarest = Window.partitionBy("cls").orderBy("df", "shingle")
     ranked = counted.withColumn("rank", F.row_number().over(rarest)).filter("df > 1").select("shingle", F.col("cls").alias("x"), "rank", "df")
     most = F.expr(f"nx - (({percent} * nx + 99) div 100) + 1")
     first = ranked.join(sets.select(F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx")), "x").filter(F.col("rank") <= most)
-    first = stored(first, "prefixes")
-    held = shingles.select("shingle", "cls").join(first.select("shingle").distinct(), "shingle", "left_semi")
-    others = stored(held.join(sets.select("cls", F.col("comp").alias("cy"), F.col("size").alias("ny")), "cls").withColumnRenamed("cls", "y"), "holders")
+    first = shelf.stored(first, "prefixes")
+    # df is how many rows of `shingles` the shingle has
+    held = join_unique(shingles.select("shingle", "cls"), first.groupBy("shingle").agg(F.first("df").alias("df")), "shingle", "df", total, how="inner").drop("df")
+    others = shelf.stored(held.join(sets.select("cls", F.col("comp").alias("cy"), F.col("size").alias("ny")), "cls").withColumnRenamed("cls", "y"), "holders")
 
     least = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
     fits = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("rank") <= F.col("nx") - least + 1)
+    # a rare shingle has few holders and no more probes
     rare = first.filter(F.col("df") <= CROWD)
     pairs = rare.join(others, "shingle").filter((F.col("cx") != F.col("cy")) & fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti"), _crowd_links(first.filter(F.col("df") > CROWD), others, sets, percent)
+    return pairs.join(tested, ["a", "b"], "left_anti"), _crowd_links(first.filter(F.col("df") > CROWD), others, sets, percent, total, shelf)
 
 
-def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent: int, total: int, shelf: Scratch) -> DataFrame:
     """Links a, b between probes and the many other sets that hold a shingle of their prefix, one for each probe and component.
 
     The sets of a shingle meet in blocks of bounded size, each set moved once a
@@ -293,15 +303,17 @@ def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent:
     """
     # sizes of other sets for which the shingle's rank is within the probe's prefix
     upper = F.expr(f"((nx - rank + 1) * {100 + percent}) div {percent} - nx")
-    left = probes.select("shingle", "x", "cx", F.expr(f"({percent} * nx + 99) div 100").alias("lo"), upper.alias("hi"))
-    counts = left.groupBy("shingle").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    right = others.join(counts.select("shingle", "lo", "hi"), "shingle").filter(F.col("ny").between(F.col("lo"), F.col("hi"))).select("shingle", "y", "cy")
-    blocks = counts.join(right.groupBy("shingle").agg(F.count("*").alias("m")), "shingle")
-    blocks = stored(blocks.select("shingle", F.ceil(F.col("n") / PROBE_BLOCK).alias("nb"), F.ceil(F.col("m") / OTHER_BLOCK).alias("mb")), "blocks")
+    left = probes.select("shingle", "x", "cx", "df", F.expr(f"({percent} * nx + 99) div 100").alias("lo"), upper.alias("hi"))
+    counts = left.groupBy("shingle").agg(F.count("*").alias("n"), F.max("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    right = join_unique(others, counts.select("shingle", "df", "lo", "hi"), "shingle", "df", total, how="inner").filter(F.col("ny").between(F.col("lo"), F.col("hi"))).select("shingle", "y", "cy")
+    blocks = counts.select("shingle", "n").join(right.groupBy("shingle").agg(F.count("*").alias("m")), "shingle")
+    blocks = shelf.stored(blocks.select("shingle", "n", "m", F.ceil(F.col("n") / PROBE_BLOCK).alias("nb"), F.ceil(F.col("m") / OTHER_BLOCK).alias("mb")), "blocks")
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    left = left.join(blocks, "shingle").select("shingle", "x", "cx", of("x", "nb").alias("i"), upto("mb").alias("j")).join(sets.select(F.col("cls").alias("x"), F.col("hashes").alias("hx")), "x")
-    right = right.join(blocks, "shingle").select("shingle", "y", "cy", of("y", "mb").alias("j"), upto("nb").alias("i")).join(sets.select(F.col("cls").alias("y"), F.col("hashes").alias("hy")), "y")
+    left = join_unique(left.select("shingle", "x", "cx"), blocks, "shingle", "n", total, how="inner")
+    right = join_unique(right, blocks, "shingle", "m", total, how="inner")
+    left = left.select("shingle", "x", "cx", of("x", "nb").alias("i"), upto("mb").alias("j")).join(sets.select(F.col("cls").alias("x"), F.col("hashes").alias("hx")), "x")
+    right = right.select("shingle", "y", "cy", of("y", "mb").alias("j"), upto("nb").alias("i")).join(sets.select(F.col("cls").alias("y"), F.col("hashes").alias("hy")), "y")
 
     def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
@@ -324,49 +336,65 @@ def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent:
     return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row.
+def _same_ids(full: DataFrame, classes: DataFrame, total: int, shelf: Scratch) -> DataFrame:
+    """Links a, b between the classes of rows that share a doc_id."""
+    one = F.xxhash64("digest")
+    shared = full.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).filter("low <> high").select("doc_id", "n")
+    several = join_unique(full.select("doc_id", "digest"), shared, "doc_id", "n", total, how="inner").select("doc_id", "digest").distinct()
+    held = shelf.stored(several.join(classes.select("digest", "cls"), "digest").select("doc_id", "cls"), "several")
+    first = held.groupBy("doc_id").agg(F.min("cls").alias("a"), F.count("*").alias("n"))
+    return join_unique(held, first, "doc_id", "n", total, how="inner").filter("cls <> a").select("a", F.col("cls").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PERCENT, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row, for sets of shingles of so many words.
 
     component_id is the smallest doc_id reachable over links, kept whether it is
     the row's own. Texts without words (null: none) are linked with nothing.
     Rows that share a doc_id are one document with the links of all of them;
-    rows without a doc_id can be linked but are never the smallest, and are
-    kept if no document with an id is in their component.
+    rows without a doc_id are linked like others but are never the smallest,
+    and are kept if no document with an id is in their component. Other columns
+    are left out.
     """
-    rows = stored(signed_documents(docs, text), "signed")
+    shelf = Scratch(docs.sparkSession)
+    rows = shelf.stored(signed_documents(docs, text, shingle), "signed")
     full = rows.filter(F.col("n_shingles") > 0)
-    classes = stored(full.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
+    n_rows = rows.count()
+    per = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+    # classes are numbered once, as they are stored
+    classes = shelf.stored(per.withColumn("cls", F.monotonically_increasing_id()), "classes")
     total = classes.count()
 
     keys = memberships(classes)
     crowds = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = stored(join_unique(keys, crowds.withColumn("m", F.col("n")), "key", "n", total * POSITIONS, how="inner"), "crowded")
+    crowded = shelf.stored(join_unique(keys, crowds.withColumn("m", F.col("n")), "key", "n", total * POSITIONS, how="inner"), "crowded")
     # the original of edited copies shares most keys with most of them
     central = crowded.join(crowded.groupBy("cls").agg(F.sum("m").alias("score")), "cls")
     hubs = central.groupBy("key").agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"), F.count("*").alias("n"))
-    members = stored(join_unique(crowded.select("key", "cls"), hubs, "key", "n", total * POSITIONS, how="inner"), "members")
-    star = stored(members.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star")
+    members = shelf.stored(join_unique(crowded.select("key", "cls"), hubs, "key", "n", total * POSITIONS, how="inner"), "members")
+    star = shelf.stored(members.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star")
     n_star = star.count()
-    links = stored(confirmed(stored(_near_pairs(star, classes, n_star, percent), "near"), docs, classes, n_star, percent, text), "star-links")
-    # rows with one doc_id and several sets
-    shared = full.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).filter("a <> z")
-    same_id = full.join(shared, "doc_id").filter("cls <> a").select("a", F.col("cls").alias("b"))
-    links = stored(links.unionAll(same_id), "links-1")
-    labels = stored(components(links), "labels-1")
-
-    more, extra = _remaining_pairs(members.select("key", "cls"), labels, classes, star, docs, percent, text)
-    more = stored(more, "more")
+    near = shelf.stored(_near_pairs(star, classes, n_star, percent), "near")
+    links = confirmed(near, docs, classes, n_star, percent, text, shingle, shelf).unionAll(_same_ids(full, classes, n_rows, shelf))
+    labels = components(links, shelf)
+    shelf.drop(rows, classes, members, star, labels)
+
+    more, extra = _remaining_pairs(members.select("key", "cls"), labels, classes, star, docs, percent, text, shingle, shelf)
+    more = shelf.stored(more, "more")
     n_more = more.count()
     if n_more:
-        extra = extra.unionAll(confirmed(stored(_near_pairs(more, classes, n_more, percent), "more-near"), docs, classes, n_more, percent, text))
+        near = shelf.stored(_near_pairs(more, classes, n_more, percent), "more-near")
+        extra = extra.unionAll(confirmed(near, docs, classes, n_more, percent, text, shingle, shelf))
     # components so far are stars already
     known = labels.filter("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
-    labels = stored(components(known.unionAll(stored(extra, "extra"))), "labels-2")
-
-    labelled = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("all_rows")).filter("all_rows > 1")
-    grouped = stored(labelled.join(groups, "comp").select("cls", "rows", "component_id"), "grouped")
-    out = join_unique(rows.select("doc_id", "n_shingles", "cls"), grouped, "cls", "rows", rows.count())
+    labels = components(known.unionAll(extra), shelf)
+    shelf.drop(rows, classes, labels)
+
+    labelled = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("digest", "rep", "rows", "comp")
+    groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("all_rows"), F.count("*").alias("n")).filter("all_rows > 1").select("comp", "component_id", "n")
+    grouped = shelf.stored(join_unique(labelled, groups, "comp", "n", total, how="inner").select("digest", "rows", "component_id"), "grouped")
+    shelf.drop(rows, grouped)
+    out = join_unique(rows.select("doc_id", "n_shingles", "digest"), grouped, "digest", "rows", n_rows)
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
