@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import random_rows, slices
+from siftwell.llm.common import frugal, random_rows, release_memory, slices
 from siftwell.llm.words import coded_words
 
 #: Patterns, the group that is the value, and its least length. Fixed values.
@@ -40,8 +40,10 @@ _KEYS_NEAR = r"(?i)password|passwd|passphrase|passcode|secret|token|api_?key|bea
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EDGES = "\"'`()[]{}<>,;:.!?=#*$%&|"
 
-#: Bounds of the sample that weights are learned from.
-SAMPLE_ROWS, SAMPLE_BYTES = 1500, 100_000
+#: Bounds of the sample that weights are learned from: at most SAMPLE_ROWS texts of at most SAMPLE_BYTES each, 30 MB.
+SAMPLE_ROWS, SAMPLE_BYTES = 1500, 20_000
+#: Bytes of text that are scored at a time; features take some hundred times as many.
+BATCH_BYTES = 2 << 20
 B, I, O = 0, 1, 2  # noqa: E741
 LONGEST_TRAINED = 32
 
@@ -249,8 +251,45 @@ def viterbi(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray | None = N
     return tags.reshape(-1)[:n]
 
 
+#: Windows whose gradients are worked out at a time.
+TRAIN_CHUNK = 2048
+
+
+def _gradients(field: Field, x: np.ndarray, around: np.ndarray, y: np.ndarray, real: np.ndarray) -> list[np.ndarray]:
+    """Sums over some windows of the negative log-likelihood's gradients: forward and backward over their places, all windows at once."""
+    rows, longest = y.shape
+    n, w, m = x.shape[2], field.words, field.moves
+    flat, near = x.reshape(-1, n).astype(np.float32), around.astype(np.float32)
+    gold = np.eye(3)[y] * real[:, :, None]
+    ends = real.sum(1) - 1
+    each = (flat @ w.transpose(1, 0, 2).reshape(n, 9).astype(np.float32)).reshape(rows, longest + 2, 3, 3)
+    s = each[:, 1:-1, 0] + each[:, :-2, 1] + each[:, 2:, 2] + near @ field.around.astype(np.float32)
+    # in probabilities, scaled at each place; places first
+    e = np.ascontiguousarray(np.exp(s - s.max(2, keepdims=True)).transpose(1, 0, 2))
+    go = np.exp(m - m.max())
+    a, c = np.empty_like(e), np.empty((longest, rows, 1))
+    for t in range(longest):
+        a[t] = (a[t - 1] @ go if t else go[O]) * e[t]
+        c[t] = a[t].sum(1, keepdims=True)
+        a[t] /= c[t]
+    b = np.broadcast_to(go[:, O], e.shape).copy()
+    for t in range(longest - 2, -1, -1):
+        b[t] = np.where((t < ends)[:, None], (e[t + 1] * b[t + 1] / c[t + 1]) @ go.T, b[t])
+    z = (a * b).sum(2, keepdims=True)
+    d = (a * b / z).transpose(1, 0, 2) * real[:, :, None] - gold
+    onward = e[1:] * b[1:] / (c[1:] * z[1:]) * real[:, 1:].T[:, :, None]
+    both = gold[:, :-1].reshape(-1, 3).T @ gold[:, 1:].reshape(-1, 3)
+    g_moves = go * (a[:-1].reshape(-1, 3).T @ onward.reshape(-1, 3)) - both
+    g_moves[O] += d[:, 0].sum(0)
+    g_moves[:, O] += (d[np.arange(rows), ends]).sum(0)
+    spread = np.zeros_like(each)
+    spread[:, 1:-1, 0], spread[:, :-2, 1], spread[:, 2:, 2] = d, d, d
+    g_words = (flat.T @ spread.reshape(-1, 9)).reshape(n, 3, 3).transpose(1, 0, 2)
+    return [g_words, near.reshape(-1, near.shape[2]).T @ d.reshape(-1, 3), g_moves]
+
+
 def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all chains at once, forward and backward over their places."""
+    """Maximum likelihood by Adam over all chains. Features are kept as bytes, and TRAIN_CHUNK windows are worked on at a time, so memory stays small."""
     n, features = len(SHAPES), AROUND
     field = Field(np.zeros((3, n, 3), np.float64), np.zeros((features, 3)), np.zeros((3, 3)))
     if not any((t != O).any() for t in tags):
@@ -258,44 +297,21 @@ def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: fl
         return field
     longest = max(len(t) for t in tags)
     rows = len(tags)
-    x = np.zeros((rows, longest + 2, n), np.float32)
-    y, real = np.full((rows, longest), O), np.zeros((rows, longest), bool)
-    around = np.zeros((rows, longest, features), np.float32)
+    x = np.zeros((rows, longest + 2, n), np.uint8)
+    y, real = np.full((rows, longest), O, np.int8), np.zeros((rows, longest), bool)
+    around = np.zeros((rows, longest, features), np.uint8)
     for i, (c, t) in enumerate(zip(found, tags, strict=True)):
         x[i, : len(t) + 2], y[i, : len(t)], real[i, : len(t)], around[i, : len(t)] = c.shapes, t, True, c.around
-    flat = x.reshape(-1, n)
-    gold = np.eye(3)[y] * real[:, :, None]
     parameters = [field.words, field.around, field.moves]
     first, second = [np.zeros_like(p) for p in parameters], [np.zeros_like(p) for p in parameters]
-    ends = real.sum(1) - 1
     for step in range(1, steps + 1):
-        w, m = field.words, field.moves
-        each = (flat @ w.transpose(1, 0, 2).reshape(n, 9).astype(np.float32)).reshape(rows, longest + 2, 3, 3)
-        s = each[:, 1:-1, 0] + each[:, :-2, 1] + each[:, 2:, 2] + around @ field.around.astype(np.float32)
-        # forward and backward in probabilities, scaled at each place; places first
-        e = np.ascontiguousarray(np.exp(s - s.max(2, keepdims=True)).transpose(1, 0, 2))
-        go = np.exp(m - m.max())
-        a, c = np.empty_like(e), np.empty((longest, rows, 1))
-        for t in range(longest):
-            a[t] = (a[t - 1] @ go if t else go[O]) * e[t]
-            c[t] = a[t].sum(1, keepdims=True)
-            a[t] /= c[t]
-        b = np.broadcast_to(go[:, O], e.shape).copy()
-        for t in range(longest - 2, -1, -1):
-            b[t] = np.where((t < ends)[:, None], (e[t + 1] * b[t + 1] / c[t + 1]) @ go.T, b[t])
-        z = (a * b).sum(2, keepdims=True)
-        p = (a * b / z).transpose(1, 0, 2) * real[:, :, None]
-        d = (p - gold) / rows
-        onward = e[1:] * b[1:] / (c[1:] * z[1:]) * real[:, 1:].T[:, :, None]
-        both = gold[:, :-1].reshape(-1, 3).T @ gold[:, 1:].reshape(-1, 3)
-        g_moves = (go * (a[:-1].reshape(-1, 3).T @ onward.reshape(-1, 3)) - both) / rows
-        g_moves[O] += d[:, 0].sum(0)
-        g_moves[:, O] += (d[np.arange(rows), ends]).sum(0)
-        spread = np.zeros_like(each)
-        spread[:, 1:-1, 0], spread[:, :-2, 1], spread[:, 2:, 2] = d, d, d
-        g_words = (flat.T @ spread.reshape(-1, 9)).reshape(n, 3, 3).transpose(1, 0, 2)
-        for q_, g, f, v in zip(parameters, [g_words, around.reshape(-1, features).T @ d.reshape(-1, 3), g_moves], first, second, strict=True):
-            g = g + penalty * q_ / 10
+        sums = [np.zeros_like(p) for p in parameters]
+        for k in range(0, rows, TRAIN_CHUNK):
+            part = slice(k, k + TRAIN_CHUNK)
+            for total, g in zip(sums, _gradients(field, x[part], around[part], y[part], real[part]), strict=True):
+                total += g
+        for q_, g, f, v in zip(parameters, sums, first, second, strict=True):
+            g = g / rows + penalty * q_ / 10
             f += 0.1 * (g - f)
             v += 0.01 * (g * g - v)
             q_ -= rate * (f / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -409,21 +425,24 @@ def learn(texts: list[str], seed: int = 1) -> Field:
             for kept, some in ((secret, [has[k] for k in r.permutation(len(has))[:TEXT_WINDOWS]]), (rest, few)):
                 for a, b in some:
                     at = np.concatenate([[w.before[first + a]], w.own[first + a : first + b], [w.after[first + b - 1]]])
-                    kept.append((Chain(w.shapes[at], w.around[first + a : first + b]), tags[a:b]))
+                    kept.append((Chain(w.shapes[at].astype(np.uint8), w.around[first + a : first + b].astype(np.uint8)), tags[a:b].astype(np.int8)))
     # as many windows without a secret as eight times those with one are enough
     secret = [secret[k] for k in r.permutation(len(secret))[:SECRET_WINDOWS]]
     rest = [rest[k] for k in r.permutation(len(rest))[: 8 * len(secret) + 500]]
-    return train([c for c, _ in secret + rest], [t for _, t in secret + rest])
+    field = train([c for c, _ in secret + rest], [t for _, t in secret + rest])
+    del secret, rest
+    release_memory()
+    return field
 
 
 def sample_texts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """At most `rows` texts up to text_bytes, those of the least hash, which is a random choice: two thirds of them hold an equals sign or colon, the others are any."""
+    """At most `rows` different texts up to text_bytes, those of the least hash, which is a random choice: two thirds of them hold an equals sign or colon, the others are any."""
     whole = docs.select(F.col(text).cast("string").alias("t")).filter(F.octet_length("t") <= text_bytes)
     marked = F.col("t").contains("=") | F.col("t").contains(":")
     seen = whole.agg(F.count("*").alias("n"), F.count_if(marked).alias("marked")).first()
     by_hash = [F.xxhash64("t"), F.col("t")]
-    some = random_rows(whole.filter(marked), seen["marked"], rows - rows // 3, by_hash)
-    return [r["t"] for r in some.unionAll(random_rows(whole, seen["n"], rows // 3, by_hash)).collect()]
+    some = random_rows(whole.filter(marked).distinct(), seen["marked"], rows - rows // 3, by_hash)
+    return [r["t"] for r in some.unionAll(random_rows(whole.distinct(), seen["n"], rows // 3, by_hash)).collect()]
 
 
 def secret_spans(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -470,7 +489,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text", redact: bool = False
         return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text, 8 << 20):
+        for b in slices(batches, text, BATCH_BYTES):
             texts = b.column(text)
             found = secret_spans(texts, field)
             if redact:
@@ -486,7 +505,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text", redact: bool = False
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     more = "" if redact else ", n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
-    return rows.mapInArrow(run, schema + more)
+    return rows.mapInArrow(frugal(run), schema + more)
 
 
 def _masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
