@@ -56,14 +56,16 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), mos
 
 
 def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """rows (doc_id, source, size, weight, n_copies of other columns) with source_size, target and taken.
+    """rows (source, size, weight, tie, and other columns) with source_size, target, epochs, drawn and taken.
 
     taken: words of this row in the mix, repeats counted: `size` times the whole
-    epochs, and what the drawn rest takes of it. The key is a hash of doc_id, so
-    reruns agree; rows with equal keys are ordered by size, and equal rows stand
-    for each other. Rows of no words take part and take 0.
+    epochs, and what the drawn rest takes of it. The key comes from `tie`, a
+    hash of the row's id and text, so reruns agree, and rows that share an id or
+    have none still have keys of their own; rows of equal keys are ordered by
+    size, and equal rows stand for each other. Rows of no words take part and
+    take 0.
     """
-    uniform = (F.xxhash64(F.col("doc_id"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    uniform = (F.xxhash64(F.col("tie"), F.lit(seed)).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
     key = -F.log(uniform) / F.greatest(F.col("weight"), F.lit(1e-6))
     n_rows = rows.groupBy("source").agg(F.count("*").alias("source_rows"))
     dims = targets.join(n_rows.withColumnRenamed("source", "s2"), F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
@@ -81,7 +83,7 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int
     placed = join_dimension(keyed, ends, "source")
     at_end = F.col("_bucket").eqNullSafe(F.col("end_bucket"))
     inside = placed.filter(at_end)
-    by_key = Window.partitionBy("source").orderBy("_key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    by_key = Window.partitionBy("source").orderBy("_key", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     drawn = F.greatest(F.lit(0), F.least(F.col("size"), F.col("end_rest") - F.coalesce(F.sum("size").over(by_key), F.lit(0))))
     whole = F.when(F.col("_bucket") < F.col("end_bucket"), F.col("size")).otherwise(F.lit(0))
     taken = inside.withColumn("_drawn", drawn).unionByName(placed.filter(~at_end).withColumn("_drawn", whole))
@@ -89,10 +91,16 @@ def mix(rows: DataFrame, targets: DataFrame, seed: int = SEED, bucket_rows: int
     return out.select(*rows.columns, "source_size", "target", "epochs", F.col("_drawn").alias("drawn"), "taken")
 
 
+def sizes(docs: DataFrame) -> list[Column]:
+    """The columns source, size, weight and tie that mix() needs, of docs with doc_id, source and text."""
+    words = word_count(F.col("text"))
+    return [F.col("source").cast("string").alias("source"), words.alias("size"), quality_weight(F.col("text"), words).alias("weight"), F.xxhash64("doc_id", "text").alias("tie")]
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and weight of each row."""
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), "text", word_count(F.col("text")).alias("size"))
-    return rows.select("doc_id", "source", "size", quality_weight(F.col("text"), F.col("size")).alias("weight"))
+    """doc_id, source, size, weight and tie of each row."""
+    rows = docs.select("doc_id", "source", "text", word_count(F.col("text")).alias("_size"))
+    return rows.select("doc_id", F.col("source").cast("string").alias("source"), F.col("_size").alias("size"), quality_weight(F.col("text"), F.col("_size")).alias("weight"), F.xxhash64("doc_id", "text").alias("tie"))
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,22 +13,26 @@ from __future__ import annotations
 import base64
 import datetime as dt
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import join_unique, new_path, stored
+from siftwell.llm.common import frugal, join_unique, new_path, stored
 
 #: Payload bytes of an archive file, on average.
 FILE_BYTES = 32 << 20
-#: A capture without a time of its own is dated by its number: so many seconds after this moment.
-FIRST_CAPTURE = "2024-01-01 00:00:00"
+#: Index lines of a key range, on average: what a task merges at a time.
+RANGE_LINES = 100_000
+#: A capture without a time of its own is dated by its number: so many seconds after this moment, 2024-01-01 in UTC.
+FIRST_CAPTURE = 1_704_067_200
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -40,40 +44,52 @@ def base32_of_hex(digest: Column) -> Column:
 def captures(pages: DataFrame) -> DataFrame:
     """page_id, url, payload (null html: empty), payload_bytes, sha1, capture_s. Other columns are left out."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    taken = F.unix_timestamp(F.lit(FIRST_CAPTURE)) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9))
+    taken = F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(10**9))
     return pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20]+", "").alias("url"), payload.alias("payload")).select(
         "*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1(F.col("payload").cast("binary")).alias("sha1"), taken.alias("capture_s")
     )
 
 
 def with_originals(rows: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """rows with refers_to: the smallest page_id of equal payloads of at least least_bytes, null for that page itself and for smaller payloads.
+    """rows with refers_to (the smallest page_id of equal payloads of at least least_bytes, null for that page itself and for smaller payloads), the original's url and time, and number, which tells rows apart that are alike.
 
     Of rows that share the smallest page_id and the payload, one revisits none
-    and the rest are the same capture again: all are responses.
+    and the rest are the same capture again: all are responses. Rows without a
+    page_id revisit none.
     """
-    groups = rows.filter(F.col("payload_bytes") >= least_bytes).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("original"), F.count("*").alias("n"))
-    groups = stored(groups.filter(F.col("n") > 1).select("sha1", "original", "n"), "payload-groups")
+    first = F.min(F.struct("page_id", "url", "capture_s"))
+    groups = rows.filter((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()).groupBy("sha1", "payload_bytes").agg(first.alias("first"), F.count("*").alias("n"))
+    groups = stored(groups.filter(F.col("n") > 1).select("sha1", F.col("first.page_id").alias("original"), F.col("first.url").alias("original_url"), F.col("first.capture_s").alias("original_s"), "n"), "payload-groups")
     found = join_unique(rows, groups, "sha1", "n", rows.count())
-    return found.withColumn("refers_to", F.when(F.col("original") < F.col("page_id"), F.col("original"))).drop("original", "n")
+    found = found.withColumn("refers_to", F.when(F.col("original") < F.col("page_id"), F.col("original"))).drop("n", "original")
+    return found.withColumn("number", F.monotonically_increasing_id())
+
+
+def utc_date(seconds: Column) -> Column:
+    """Seconds since 1970 as a date of the format, in UTC whatever the session's time zone."""
+    at = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+    return F.concat(F.translate(at.cast("string"), " ", "T"), F.lit("Z"))
 
 
 def record(rows: DataFrame) -> Column:
-    """The bytes of a record but for its closing separator, as text. A revisit holds the HTTP header alone."""
+    """The bytes of a record but for its closing separator, as text. A revisit holds the HTTP header alone, and names its original by address and date."""
     nl = "\r\n"
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{nl}Content-Type: text/html; charset=utf-8{nl}Content-Length: "), F.col("payload_bytes"), F.lit(nl + nl))
     revisit = F.col("refers_to").isNotNull()
     body = F.when(revisit, http).otherwise(F.concat(http, F.col("payload")))
-    number = lambda c: F.lpad(F.lower(F.hex(c)), 12, "0")
-    uid = lambda c: F.concat(F.lit("<urn:uuid:00000000-0000-4000-8000-"), number(c), F.lit(">"))
+    # the number is the row's own within this job, so no two records have one id
+    digest = F.md5(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("none")), "url", "sha1", F.col("number").cast("string")))
+    cut = lambda a, n: F.substring(digest, a, n)
+    uid = F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("8"), cut(14, 3)), F.concat(F.lit("8"), cut(18, 3)), cut(21, 12))
     fields = [
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), uid(F.coalesce(F.col("page_id"), F.lit(0)))),
+        F.concat(F.lit("WARC-Record-ID: <urn:uuid:"), uid, F.lit(">")),
         F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.timestamp_seconds("capture_s"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), utc_date(F.col("capture_s"))),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), base32_of_hex(F.col("sha1"))),
-        F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), uid(F.col("refers_to")))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Target-URI: "), F.col("original_url"))),
+        F.when(revisit, F.concat(F.lit("WARC-Refers-To-Date: "), utc_date(F.col("original_s")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         F.concat(F.lit("X-Page-Id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         F.when(revisit, F.concat(F.lit("X-Refers-To-Page-Id: "), F.col("refers_to"))),
@@ -182,7 +198,7 @@ def index_runs(spark: SparkSession, archives: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _TYPES, strict=True)] if rows else [pa.array([], t) for t in _TYPES], _NAMES)
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(archives)
-    return stored(found.select("path", "content").mapInArrow(run, _INDEX), "index-runs")
+    return stored(found.select("path", "content").mapInArrow(frugal(run), _INDEX), "index-runs")
 
 
 _NAMES = [x.split()[0] for x in _INDEX.split(", ")]
@@ -232,28 +248,37 @@ class LoserTree:
             self.losers[0] = win
 
 
-def merged_index(runs: DataFrame, parts: int | None = None) -> DataFrame:
+def merged_index(runs: DataFrame, range_lines: int = RANGE_LINES) -> DataFrame:
     """Index lines in global order of URL key, capture time and page: runs cut at the same key ranges, each range merged by a loser tree.
 
-    A range's lines arrive run by run, each run in its order; a task holds one
-    range. The key ends in the page number, so one URL or host with most of the
-    captures spreads over ranges too.
+    Ranges are as many as the counted lines need to have about range_lines
+    each; a task holds the runs of one range and hands lines on as the tree
+    gives them. The key goes on to page number, file and offset, so one URL or
+    host with most of the captures spreads over ranges too, and so do equal
+    captures.
     """
-    n = parts or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-runs.count() // range_lines))
     key = [F.col(c).asc_nulls_first() for c in _KEY]
-    ranged = runs.repartitionByRange(n, *key).sortWithinPartitions("file", *key, "offset")
-
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: dict[str, list[tuple]] = {}
-        for pdf in frames:
-            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
-                rows.setdefault(row[7], []).append(row)
-        merged = list(LoserTree([iter(r) for r in rows.values()])) if rows else []
-        for at in range(0, len(merged), 10_000):
-            out = pd.DataFrame(merged[at : at + 10_000], columns=_NAMES)
-            yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    return ranged.mapInPandas(merge, _INDEX)
+    ranged = runs.repartitionByRange(n, *key, "file", "offset").sortWithinPartitions("file", *key, "offset")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[tuple[pa.RecordBatch, int, int]]] = {}
+        for b in batches:
+            files = b.column("file")
+            starts = [0, *(np.flatnonzero(pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist(), b.num_rows] if b.num_rows else [0]
+            for i, j in itertools.pairwise(starts):
+                held.setdefault(files[i].as_py(), []).append((b, i, j))
+
+        def lines(pieces: list[tuple[pa.RecordBatch, int, int]]) -> Iterator[tuple]:
+            for b, i, j in pieces:
+                for at in range(i, j, 1000):  # columns become Python values a thousand lines at a time
+                    yield from zip(*[c.to_pylist() for c in b.slice(at, min(1000, j - at)).columns], strict=True)
+
+        tree = iter(LoserTree([lines(p) for p in held.values()]))
+        while part := list(itertools.islice(tree, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), _TYPES, strict=True)], _NAMES)
+
+    return ranged.select(*_NAMES).mapInArrow(frugal(merge), _INDEX)
 
 
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:

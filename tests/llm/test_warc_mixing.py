@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftwell.llm import mixing, warc
 from siftwell.llm.common import new_path
@@ -84,7 +85,7 @@ def test_targets(spark, sizes):
 def test_mix_takes_its_targets_and_agrees(spark):
     r = random.Random(2)
     rows = [(i, r.choice(["a", "b", "c", None]) if i % 3 else "hot", r.randrange(0, 60), r.choice([1.0, 0.5])) for i in range(3000)] + [(7, "a", 9, 1.0)] * 2 + [(None, None, 5, 1.0)]
-    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double")
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, weight double").withColumn("tie", F.xxhash64("doc_id"))
     targets = mixing.source_targets(df.groupBy("source").sum("size").withColumnRenamed("sum(size)", "source_size"))
     runs = [sorted(map(str, mixing.mix(df.repartition(n), targets, bucket_rows=50).collect())) for n in (1, 5)]
     assert runs[0] == runs[1] and len(runs[0]) == len(rows)
@@ -96,7 +97,7 @@ def test_mix_takes_its_targets_and_agrees(spark):
 
 
 def test_heavier_documents_come_first(spark):
-    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10, 1.0 if i % 4 < 2 else 0.1) for i in range(8000)], "doc_id long, source string, size long, weight double")
+    df = spark.createDataFrame([(i, "a" if i % 2 else "b", 10, 1.0 if i % 4 < 2 else 0.1) for i in range(8000)], "doc_id long, source string, size long, weight double").withColumn("tie", F.xxhash64("doc_id"))
     targets = mixing.source_targets(df.groupBy("source").sum("size").withColumnRenamed("sum(size)", "source_size"))
     got = mixing.mix(df, targets).filter("source = 'a'").groupBy("weight").avg("drawn").collect()
     drawn = {r["weight"]: r["avg(drawn)"] for r in got}
