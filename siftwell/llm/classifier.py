@@ -18,13 +18,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import random_rows, slices
+from siftwell.llm.common import frugal, random_rows, slices, unused
 from siftwell.llm.words import ragged
 
 WINDOW, STEP, BLOCK = 8, 4, 256
 DIMS, FILTERS, HIDDEN = 4, 24, 12
-#: Bounds of the labelled sample that weights are learned from.
-TRAIN_ROWS, TRAIN_BYTES = 3000, 200_000
+#: Bounds of the labelled sample that weights are learned from: at most TRAIN_ROWS texts of at most TRAIN_BYTES each, 120 MB.
+TRAIN_ROWS, TRAIN_BYTES = 3000, 40_000
+#: Bytes of text that are scored at a time.
+BATCH_BYTES = 4 << 20
 EPOCHS, BATCH, RATE, SEED = 14, 64, 0.01, 3
 THRESHOLD = 0.3
 
@@ -196,19 +198,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS,
 
 def score(docs: DataFrame, net: Network, text: str = "text") -> DataFrame:
     """docs with score, the probability of label 1 of the whole text (null: empty). Rows and other columns stay; a column named score is replaced."""
-    rows = docs.drop("score", "_text").withColumn("_text", F.col(text).cast("string"))
-    kept = [c for c in rows.columns if c != "_text"]
+    whole = unused("_text", docs.columns)
+    rows = docs.withColumn(whole, F.col(text).cast("string")).drop("score")
+    kept = [c for c in rows.columns if c != whole]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "_text", 8 << 20):
-            texts = pc.fill_null(b.column("_text"), "")
+        for b in slices(batches, whole, BATCH_BYTES):
+            texts = pc.fill_null(b.column(whole), "")
             joined = pa.concat_arrays([texts])  # offsets from 0 on
             offsets = np.frombuffer(joined.buffers()[1], np.int32)[joined.offset : joined.offset + len(joined) + 1].astype(np.int64)
             data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(probabilities(net, data, offsets))], [*kept, "score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
-    return rows.mapInArrow(run, f"{schema}, score double")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != whole)
+    return rows.mapInArrow(frugal(run), f"{schema}, score double")
 
 
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
