@@ -31,7 +31,7 @@ class Template:
 #: Phrases that name a licence wherever their words stand consecutively. Fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Short notices by which texts state a licence, and the phrases that must stand in the text. Fixed values.
+#: Notices by which texts state a licence, and the phrases that must stand in the text. Fixed values.
 TEMPLATES = [
     Template("mit", "Released under the MIT License", ("mit license",)),
     Template("mit", "Licensed under the MIT License", ("mit license",)),
@@ -45,11 +45,21 @@ TEMPLATES = [
     Template("cc-by-sa-4.0", "Licensed under CC BY SA 4.0", ("cc by sa",)),
     Template("bsd", "Redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use in source and binary forms",)),
     Template("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License v 2.0", ("mozilla public license",)),
+    Template("mit", "to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the Software", ("merge publish distribute sublicense",)),
+    Template("apache-2.0", "you may not use this file except in compliance with the License You may obtain a copy of the License at http www apache org licenses LICENSE 2 0", ("apache org licenses license 2 0",)),
+    Template("bsd-3-clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("endorse or promote products",)),
+    Template("gpl-3.0", "under the terms of the GNU General Public License as published by the Free Software Foundation either version 3 of the License or at your option any later version", ("gnu general public license", "version 3 of the license")),
+    Template("isc", "Permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("with or without fee is hereby granted",)),
+    Template("epl-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
+    Template("artistic-2.0", "you can redistribute it and or modify it under the terms of the Artistic License 2.0", ("artistic license",)),
+    Template("bsl-1.0", "Distributed under the Boost Software License Version 1.0", ("boost software license",)),
+    Template("zlib", "In no event will the authors be held liable for any damages arising from the use of this software", ("authors be held liable for any damages",)),
+    Template("cc0-1.0", "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ("related or neighboring rights",)),
     Template("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software released into the public domain",)),
 ]
 
 #: Words that any English text may have and that no posting is kept for. Fixed values.
-COMMON = set("a an and any are by code for form forms free in into is of or person source subject terms the this to under use v with work without".split())
+COMMON = set("a all an and any are as at be by can code either except file for form forms free has held http in into is it its law made may name names no nor not obtain of or org person possible program software source subject terms that the this to under use used v will with without work www you your".split())
 
 
 def words_of(text: str) -> list[str]:
@@ -86,14 +96,15 @@ def inverse_frequencies(docs: DataFrame, templates: list[Template] = TEMPLATES,
 
 
 def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Template] = TEMPLATES, text: str = "text") -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels and score; null text is empty, rows stay as they are.
+    """docs (a text column at least) with n_words, n_base, first_word, last_word, base_labels, labels and score; null text is empty, rows stay as they are.
 
     n_base counts all places of PHRASES; first_word and last_word are the least
     and greatest start (null without any). labels has the templates' too.
     score is 1 - 2^-n for n phrase places and named templates: 0 without any.
     """
     names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    rows = docs.select(*[c for c in docs.columns if c not in names])
+    # other columns are put away, so their names can't clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in names]).alias("_row"), F.col(text).alias("_text"))
     vocab = vocabulary(templates)
     postings = [(w, t, q) for t, x in enumerate(templates) for q, w in enumerate(words_of(x.text)) if w not in COMMON]
     sizes = [sum(1 for _, t, _ in postings if t == k) for k in range(len(templates))]
@@ -103,7 +114,7 @@ def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Templat
     # a placement that has enough of a template's words has one of these
     seeds = sorted({w for k in range(len(templates)) for w in sorted((w for w, t, _ in postings if t == k), key=by_idf.index)[: max(0, sizes[k] - needs[k] + 1)]})
 
-    first = rows.withColumn("_words", _words(F.col(text)))
+    first = rows.withColumn("_words", _words(F.col("_text"))).drop("_text")
     # words of the file that the index knows, the rarest first; most files have none and do no more
     ranked = F.array_intersect(_strings(by_idf), F.col("_words"))
     second = first.withColumn("_rare", F.when(F.arrays_overlap("_words", _strings(seeds)), ranked).otherwise(F.array().cast("array<string>"))).withColumn("_any", F.arrays_overlap("_words", _strings(sorted({p.split()[0] for p in PHRASES}))))
@@ -146,7 +157,7 @@ def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Templat
     evidence = F.size("_base") + F.size("_found")
     best = F.least(F.lit(1.0), 1.0 - F.pow(F.lit(2.0), -evidence))
     last = sixth.withColumns({"base_labels": F.array_join("_labels", ","), "labels": F.array_join(all_labels, ","), "score": best})
-    return last.drop("_base", "_joined", "_votes", "_named", "_found", "_labels")
+    return last.select("_row.*", *names)
 
 
 def _all(conditions: list[Column]) -> Column:
