@@ -10,37 +10,40 @@ documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import stored
-from siftwell.llm.mixing import mix, sized, source_targets
+from siftwell.llm.mixing import mix, sizes, source_targets
 from siftwell.llm.near_duplicates import near_duplicates
 from siftwell.llm.packing import pack_pieces, token_pieces
-from siftwell.llm.quality import by_rejection_per_cost, counts, passes, standard_rules
+from siftwell.llm.quality import by_rejection_per_cost, cascade, standard_rules
 from siftwell.llm.secret_scan import learn, sample_texts, scan
 from siftwell.llm.tokens import tokenizer_path
 
 
+#: Words of a shingle, for near-duplicates among training documents.
+SHINGLE = 5
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    rules = by_rejection_per_cost(docs.select("text"), standard_rules())
-    # the row number keeps the optimizer from copying the counts' expressions into the filter
-    judged = counts(docs).withColumns({"_kept": passes(rules), "_row": F.monotonically_increasing_id()})
-    return judged.filter(F.col("_kept") & (F.col("_row") >= 0)).select(*docs.columns)
+    return cascade(docs, by_rejection_per_cost(docs, standard_rules()))
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that of the smallest doc_id. Rows that repeat a doc_id leave one, the first by text; rows without one all stay."""
-    found = near_duplicates(docs.select("doc_id", "text"))
+    """One document of each group of near duplicates: that of the smallest doc_id. Rows that repeat a doc_id leave one, that of the least text; rows without one all stay."""
+    found = near_duplicates(docs.select("doc_id", "text"), shingle=SHINGLE)
     dropped = stored(found.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct(), "dropped")
     kept = docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
     repeated = stored(docs.groupBy("doc_id").count().filter((F.col("count") > 1) & F.col("doc_id").isNotNull()).select("doc_id"), "repeated")
     if repeated.isEmpty():
         return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    again = kept.join(repeated, "doc_id", "left_semi").withColumn("_n", F.row_number().over(first)).filter("_n = 1").select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    once = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    # the least row of each repeated doc_id, aggregated before the shuffle
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.to_json(row))).alias("least"))
+    return once.unionByName(again.select("least.*"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,14 +59,11 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A document of no words has no say in the target and stays as often as there
     are whole epochs, but at least once.
     """
-    rows = stored(sized(docs), "sized")
+    rows = stored(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *sizes(docs)), "sized")
     mixed = mix(rows, source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))))
     copies = F.col("epochs") + ((F.col("size") > 0) & (F.col("drawn") * 2 >= F.col("size"))).cast("long")
-    copies = F.when(F.col("size") > 0, copies).otherwise(F.greatest(F.lit(1), F.col("epochs")))
-    # rows that share a doc_id stand for each other
-    wanted = stored(mixed.groupBy("doc_id").agg(F.max(copies).cast("int").alias("_copies")), "copies")
-    repeated = docs.join(wanted.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    return repeated.filter("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = F.when(F.col("size") > 0, copies).otherwise(F.greatest(F.lit(1), F.col("epochs"))).cast("int")
+    return mixed.select("row", copies.alias("copies")).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
