@@ -28,6 +28,31 @@ def mask_secret(text: Column) -> Column:
     return F.when(F.length(text) < 8, F.lit("*" * 12)).otherwise(F.concat(F.substring(text, 1, 4), F.lit("*" * 12), F.substring(text, -2, 2)))
 
 
+def found_at(matches: Column, pieces: Column) -> Column:
+    """array<struct<matched, at>>: each match and the code points before it, from all matches of a pattern and the pieces that it splits the text into."""
+    start = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<matched:string,at:int>>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        at = acc["end"] + F.length(F.get(pieces, i))
+        m = F.get(matches, i)
+        return F.struct((at + F.length(m)).alias("end"), F.concat(acc["out"], F.array(F.struct(m.alias("matched"), at.alias("at")))).alias("out"))
+
+    every = F.when(F.size(matches) > 0, F.sequence(F.lit(0), F.size(matches) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(every, start, step, lambda acc: acc["out"])
+
+
+def mask_matches(text: Column, pattern: str) -> Column:
+    """text with every match of the pattern masked."""
+    pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    shown = F.array_join(F.transform(pieces, lambda x, i: F.concat(x, F.coalesce(mask_secret(F.get(matches, i)), F.lit("")))), "")
+    return F.when(text.rlike(pattern), shown).otherwise(text)
+
+
+def printable_ratio(text: Column) -> Column:
+    """Share of code points that are no control characters, white space aside; 0 for empty text."""
+    return F.when(F.length(text) > 0, 1.0 - F.regexp_count(text, F.lit(r"[\x00-\x08\x0E-\x1F\x7F-\x9F\uFFFD]")) / F.length(text)).otherwise(0.0)
+
+
 def reveal_invisible(text: Column) -> Column:
     """Zero-width, bidirectional, filler and tag code points as <U+XXXX>."""
     hidden = HIDDEN

@@ -1,7 +1,7 @@
 """Matches of the rule catalog in files, graded by context, as findings and signals.
 
-Every line is tested against the rules that read its file's kind in one
-projection; only lines that match go on. Context that takes other lines (fenced
+A text goes on if it holds a string that some rule needs; its lines are tested
+against those rules in one projection, and the matches are stored. Context that takes other lines (fenced
 code, front matter, warnings above a list) is worked out by windows over the
 files that have a match, and a ladder of expressions grades each match.
 """
@@ -12,14 +12,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.ranks import demote, lower_confidence, promote
-from siftwell.functions.text import clip, mask_secret, one_line, reveal_invisible
+from siftwell.functions.text import clip, found_at, mask_matches, one_line, printable_ratio, reveal_invisible
 from siftwell.operators import classify
-from siftwell.operators.catalog import RULES, Rule, rules_table
+from siftwell.operators.catalog import NEEDS_PATTERN, NEEDS_STRING, NEEDS_WORD, RULES, Rule, rules_table
 from siftwell.operators.lines import is_cautionary, line_index
 from siftwell.operators.rollup import dedupe, worst
+from siftwell.session import stored
+
+#: Words of a clause by which it forbids, or describes, what follows in it. Fixed values.
+NEGATES = r"(?i)\b(?:never|not|don't|doesn't|won't|cannot|can't|mustn't|shouldn't|no|nor|avoid|refuse|without|instead of)\b"
+DESCRIBES = r"(?i)\b(?:detects?|checks? for|looks? for|flags?|finds?|examples? of|signs? of|attempts? to|tries to|such as|whether|if (?:an|the|a)|attackers?|malicious)\b"
 
 KEEP = ("bundle_id", "path", "kind", "role", "path_context")
 SNIPPET = 160
+#: What is masked in snippets.
+SECRETS = next(r.pattern for r in RULES if r.id == "secrets/embedded-credential")
 FINDINGS_PER_BUNDLE = 500
 
 
@@ -28,16 +35,69 @@ def as_files(docs: DataFrame, path: Column, bundle: Column, text: Column) -> Dat
     head = F.substring_index(F.substring(text, 1, 200), "\n", 1)
     rows = docs.select(bundle.alias("bundle_id"), path.alias("path"), text.alias("text"), head.alias("_head"))
     rows = rows.withColumn("kind", classify.kind(F.col("path"), F.col("_head"), F.lit(False))).drop("_head")
-    return rows.select("bundle_id", F.xxhash64("bundle_id", "path").alias("file_id"), "path", "kind", classify.role(F.col("path"), F.col("kind")).alias("role"), classify.path_context(F.col("path")).alias("path_context"), "text")
+    return rows.select("bundle_id", F.xxhash64("bundle_id", "path").alias("file_id"), "path", "kind", classify.role(F.col("path"), F.col("kind")).alias("role"), classify.path_context(F.col("path"), F.col("kind")).alias("path_context"), "text")
+
+
+#: Rules of single odd characters, which are looked for at once.
+ODD_RULES = ("unicode/terminal-escape", "unicode/bidi-control", "unicode/zero-width", "unicode/tag-characters", "unicode/variation-selector-smuggling", "unicode/invisible-filler")
+#: Those characters: controls and escapes, direction marks, of no width, fillers, variation selectors, tags. Fixed values.
+ODD = r"[\x00-\x08\x0E-\x1F\x7F\u115F\u1160\u200B\u202A-\u202E\u2060-\u2069\u3164\uFE00-\uFE0F\uFEFF\uFFA0\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
+
+
+def candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """files that some rule may match, with may, the places of those rules: their kinds fit, and the text has one of a rule's words or strings (see the catalog's tables) or, for a rule without any, its pattern."""
+    asked = sorted({w for r in rules for w in NEEDS_WORD.get(r.id, "").split()})
+    low = files.withColumn("_low", F.lower(F.col("text")))
+    held = F.array_intersect(F.array(*[F.lit(w) for w in asked]).cast("array<string>"), F.split("_low", "[^a-z0-9_]+"))
+    low = _settled(low, _held=held, _odd=F.col("text").rlike(ODD))
+
+    def may(r: Rule) -> Column:
+        words, strings = NEEDS_WORD.get(r.id), NEEDS_STRING.get(r.id)
+        tests = [F.arrays_overlap("_held", F.array(*[F.lit(w) for w in words.split()]))] if words else []
+        tests += [F.col("_low").contains(x) for x in strings.split("|")] if strings else []
+        if not tests:
+            tests = [F.col("_odd")] if r.id in ODD_RULES else [F.col("text").rlike(NEEDS_PATTERN.get(r.id, f"(?m){r.pattern}"))]
+        return F.col("kind").isin(*r.kinds) & _any(tests)
+
+    found = F.filter(F.array(*[F.when(may(r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    return _settled(low, may=found).drop("_low", "_held", "_odd").filter(F.size("may") > 0)
+
+
+def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once: a row number beside them keeps the optimizer from copying them into later filters and generators."""
+    numbered = rows.select("*", *[c.alias(n) for n, c in columns.items()], F.monotonically_increasing_id().alias("_settled"))
+    return numbered.filter(F.col("_settled") >= 0).drop("_settled")
+
+
+def _any(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out | c
+    return out
 
 
 def match_lines(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """A row for each rule and line that match: the line's columns, rule_ord, matched text and at (code points before it in the line). The first match of a line counts."""
-    lines = line_index(files, keep=KEEP)
-    hits = F.filter(F.array(*[F.when(F.col("kind").isin(*r.kinds) & F.col("line_text").rlike(r.pattern), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    found = lines.withColumn("rule_ord", F.explode(hits))
-    by_rule = F.element_at(F.array(*[F.when(F.col("rule_ord") == i, F.regexp_substr(F.col("line_text"), F.lit(r.pattern))) for i, r in enumerate(rules)]), F.col("rule_ord") + 1)
-    return found.withColumn("matched", by_rule).withColumn("at", F.expr("locate(matched, line_text) - 1"))
+    """A row for each match of a rule in a line: the line's columns, rule_ord, matched text and at (code points before it in the line). All matches of a line count.
+
+    Only texts that some rule may match are cut into lines, and a line is tested
+    against those rules alone.
+    """
+    lines = line_index(candidates(files, rules), keep=(*KEEP, "may"))
+    hits = F.filter(F.col("may"), lambda k: _case(k, [F.col("line_text").rlike(r.pattern) for r in rules]))
+    found = _settled(lines, _hits=hits).filter(F.size("_hits") > 0).withColumn("rule_ord", F.explode("_hits")).drop("may", "_hits")
+    matches = _case(F.col("rule_ord"), [F.regexp_extract_all("line_text", F.lit(r.pattern), F.lit(0)) for r in rules])
+    pieces = _case(F.col("rule_ord"), [F.split("line_text", r.pattern, -1) for r in rules])
+    both = found.withColumns({"_matches": matches, "_pieces": pieces})
+    each = _settled(both, _places=found_at(F.col("_matches"), F.col("_pieces"))).withColumn("_at", F.explode("_places"))
+    return each.select(*found.columns, "_at.matched", "_at.at")
+
+
+def _case(place: Column, values: list[Column]) -> Column:
+    """The value at a place of a list, the others not evaluated."""
+    out = F.when(place == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(place == i, v)
+    return out
 
 
 def line_contexts(files: DataFrame, hits: DataFrame) -> DataFrame:
@@ -87,19 +147,25 @@ def grade(hits: DataFrame) -> DataFrame:
     example = before.rlike(r"(?i)\b(?:e\.g\.|for example|for instance|such as)[^.]{0,60}$")
     remote = before.rlike(r"(?i)\b(?:ssh|kubectl\s+exec|docker\s+(?:run|exec)|podman\s+(?:run|exec))\b[^;&|]*$")
     minified = (F.col("kind") == "script") & (F.length("line_text") > 1000)
-    steps_down = caution.cast("int") + (~caution & quoted).cast("int") + (comment | (in_code & example)).cast("int") + F.coalesce(F.col("path_context").isin("dev", "educational"), F.lit(False)).cast("int")
+    clause = F.regexp_extract(before, r"([^.;:!?\n]*)$", 1)
+    rows = rows.filter(~(F.col("polarity") & shown & clause.rlike(NEGATES)))
+    described = F.col("polarity") & shown & clause.rlike(DESCRIBES)
+    steps_down = described.cast("int") + caution.cast("int") + (~caution & quoted).cast("int") + (comment | (in_code & example)).cast("int") + F.coalesce(F.col("path_context").isin("dev", "educational"), F.lit(False)).cast("int")
     raised = sum(((c == "raise").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
     lowered = sum(((c == "lower-confidence").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + minified.cast("int") + F.coalesce(F.col("path_context") == "container", F.lit(False)).cast("int")
     graded = rows.withColumns({"_down": steps_down, "_up": raised, "_low": lowered})
     sev = demote(promote(F.col("sev"), F.col("_up")), F.col("_down"))
     conf = F.when(F.col("_down") > 0, 0).otherwise(lower_confidence(F.col("conf"), F.col("_low")))
-    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "in_fence", "in_front", "lead", "regions", "roles", "heeds_caution", "quote_aware")
+    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "in_fence", "in_front", "lead", "regions", "roles", "heeds_caution", "quote_aware", "polarity")
 
 
 def scan(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """Graded matches of files (see as_files), at most each rule's number a file: those of the smallest lines. Rules that are signals alone make no findings and have no cap."""
+    """Graded matches of files (see as_files), at most each rule's number a file: those of the smallest lines. Rules that are signals alone make no findings and have no cap.
+
+    Matches are stored once; context is worked out for their files alone.
+    """
     spark = files.sparkSession
-    hits = match_lines(files, rules)
+    hits = stored(match_lines(files, rules), "hits")
     dim = F.broadcast(rules_table(spark, rules))  # as many rows as the catalog
     rows = hits.join(dim, "rule_ord").join(line_contexts(files, hits), ["file_id", "line"])
     capped = Window.partitionBy("file_id", "rule_ord").orderBy("line", "at")
@@ -113,8 +179,8 @@ def signals(matches: DataFrame) -> DataFrame:
 
 
 def findings(matches: DataFrame) -> DataFrame:
-    """Matches as findings with a bounded, masked and revealed snippet."""
-    text = F.when(F.col("category") == "secrets", F.replace(F.col("line_text"), F.col("matched"), mask_secret(F.col("matched")))).otherwise(F.col("line_text"))
+    """Matches as findings with a bounded and revealed snippet in which every credential is masked."""
+    text = mask_matches(F.col("line_text"), SECRETS)
     rows = matches.filter(~F.col("rule_id").startswith("signal/"))
     return rows.select(
         "bundle_id", "rule_id", "title", "category", "sev", "conf", "hard", F.col("path").alias("file"), "line", (F.col("at") + 1).alias("column"), clip(one_line(reveal_invisible(text)), SNIPPET).alias("snippet"), F.col("rule_ord").alias("ord"), F.lit("static").alias("source"),
@@ -168,9 +234,73 @@ def correlations(pairs: DataFrame) -> DataFrame:
     )
 
 
-def scan_bundles(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """All findings of files: matches and correlations, without duplicates, the worst FINDINGS_PER_BUNDLE of each bundle."""
-    matches = scan(files, rules)
-    rows = findings(matches).unionByName(correlations(strongest_pairs(signals(matches))))
-    return worst(dedupe(rows), FINDINGS_PER_BUNDLE)
+def minified(files: DataFrame) -> DataFrame:
+    """Findings about scripts whose lines are too long to be read: one line of 3000 characters, or 500 on average over more than 5000."""
+    size = F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.length(x))
+    rows = files.filter((F.col("kind") == "script") & (F.length("text") >= 3000)).withColumn("_sizes", size)
+    longest, total = F.array_max("_sizes"), F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    found = rows.filter((longest >= 3000) | ((total / F.size("_sizes") > 500) & (total > 5000)))
+    return found.select(*_finding("obfuscation/minified-code", "Code too dense to be read", "obfuscation", F.lit(1), F.lit(1), False, F.array_position("_sizes", longest).cast("int"), F.concat(F.lit("longest line: "), longest.cast("string"))))
+
+
+def _finding(rule: str, title: str, category: str, sev: Column, conf: Column, hard: bool, line: Column, snippet: Column, column: Column | None = None) -> list[Column]:
+    return [
+        F.col("bundle_id"), F.lit(rule).alias("rule_id"), F.lit(title).alias("title"), F.lit(category).alias("category"), sev.cast("int").alias("sev"), conf.cast("int").alias("conf"), F.lit(hard).alias("hard"), F.col("path").alias("file"),
+        line.alias("line"), (F.lit(1) if column is None else column).alias("column"), snippet.alias("snippet"), F.lit(9000).alias("ord"), F.lit("static").alias("source"),
+    ]
+
+
+#: Runs that may be encoded text: 20 hexadecimal escapes, or 80 characters of base64, which hexadecimal digits are too. Fixed values.
+BLOB = r"(?:\\x[0-9A-Fa-f]{2}){20,}|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{80,}={0,2}"
+LEAST_PRINTABLE = 0.85
+
 
+def encoded_blobs(files: DataFrame) -> DataFrame:
+    """files' columns with line, blob_at, encoding and text (decoded) of each run that decodes to readable text; file_id is the run's own."""
+    kept = [c for c in files.columns if c not in ("text", "file_id")]
+    lines = line_index(files.filter(F.col("text").rlike(BLOB)), keep=tuple(kept)).filter(F.col("line_text").rlike(BLOB))
+    runs = lines.withColumns({"_m": F.regexp_extract_all("line_text", F.lit(BLOB), F.lit(0)), "_p": F.split("line_text", BLOB, -1)})
+    found = _settled(runs, _places=found_at(F.col("_m"), F.col("_p"))).select("file_id", *kept, "line", F.explode("_places").alias("b"))
+    run = F.col("b.matched")
+    found = found.withColumn("encoding", F.when(run.startswith("\\x"), "escapes").when(run.rlike("^(?:[0-9A-Fa-f]{2})+$"), "hex").otherwise("base64"))
+    # a base64 run may have lost its padding
+    bare = F.regexp_replace(run, "=+$", "")
+    whole = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
+    data = F.when(F.col("encoding") == "base64", F.try_to_binary(whole, F.lit("base64"))).otherwise(F.try_to_binary(F.regexp_replace(run, r"\\x", ""), F.lit("hex")))
+    rows = found.select(*kept, "line", F.col("b.at").alias("blob_at"), "encoding", F.xxhash64("file_id", "line", "b.at").alias("file_id"), F.try_validate_utf8(data.cast("string")).alias("text"))
+    return rows.filter(F.col("text").isNotNull() & (printable_ratio(F.col("text")) >= LEAST_PRINTABLE))
+
+
+def decoded_findings(files: DataFrame, rules: list[Rule] = RULES, depth: int = 2) -> DataFrame:
+    """Findings about encoded runs that hide something: runs are decoded, to `depth` layers, and scanned as scripts; the worst match of a run's layers makes its finding, at the run's place."""
+    layer, blobs = files, None
+    for k in range(depth):
+        found = encoded_blobs(layer)
+        if k:
+            found = found.withColumns({"line": F.col("_line"), "blob_at": F.col("_at")}).drop("_line", "_at")
+        made = stored(found.withColumns({"kind": F.lit("script"), "role": F.lit("code"), "path_context": F.lit(None).cast("string")}), "blobs")
+        blobs = made if blobs is None else blobs.unionByName(made)
+        if made.isEmpty():
+            if not k:
+                return made.select(*_payload(F.lit(0), F.lit("")))
+            break
+        layer = made.select(*files.columns, F.col("line").alias("_line"), F.col("blob_at").alias("_at"))
+    inner = scan(blobs.select(*files.columns), rules).filter(~F.col("rule_id").startswith("signal/") & (F.col("sev") >= 2))
+    worst_of = inner.groupBy("file_id").agg(F.max("sev").alias("top"), F.array_sort(F.collect_set("rule_id")).alias("rules"))  # at most as many as the catalog
+    rows = blobs.select("file_id", "bundle_id", "path", "line", "blob_at", "encoding").join(worst_of, "file_id")
+    per = rows.groupBy("bundle_id", "path", "line", "blob_at").agg(F.max("top").alias("top"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
+    said = F.concat(F.lit("hides "), F.array_join("rules", ", "))
+    return per.select(*_payload(F.col("top"), said))
+
+
+def _payload(top: Column, said: Column) -> list[Column]:
+    return _finding("obfuscation/encoded-payload", "Encoded text that hides a risk", "obfuscation", F.when(top >= 4, 4).otherwise(3), F.lit(2), True, F.col("line"), said, F.col("blob_at") + 1)
+
+
+def scan_bundles(files: DataFrame, rules: list[Rule] = RULES, more: DataFrame | None = None) -> DataFrame:
+    """All findings of files: matches, correlations, unreadable code, encoded payloads and more (findings from elsewhere), without duplicates, the worst FINDINGS_PER_BUNDLE of each bundle."""
+    matches = stored(scan(files, rules), "matches")
+    rows = findings(matches).unionByName(correlations(strongest_pairs(signals(matches)))).unionByName(minified(files)).unionByName(decoded_findings(files, rules))
+    if more is not None:
+        rows = rows.unionByName(more)
+    return worst(dedupe(rows), FINDINGS_PER_BUNDLE)
