@@ -58,13 +58,13 @@ def kind(path: Column, head: Column, binary: Column) -> Column:
     )
 
 
-def binary_format(content: Column) -> Column:
-    """Format by the first bytes; null for none of the known ones."""
+def binary_format(content: Column, path: Column | None = None) -> Column:
+    """Format by the first bytes; null for none of the known ones. Class files begin as fat Mach-O files do: the extension tells them apart."""
     head = F.hex(F.substring(content, 1, 16))
     out = None
     for name, magic in MAGIC.items():
         out = F.when(head.startswith(magic), name) if out is None else out.when(head.startswith(magic), name)
-    return out
+    return out if path is None else F.when((out == "macho-fat") & (extension(path) == "class"), "java-class").otherwise(out)
 
 
 def looks_binary(content: Column) -> Column:
@@ -87,11 +87,12 @@ def role(path: Column, file_kind: Column) -> Column:
     )
 
 
-def path_context(path: Column) -> Column:
-    """educational, container or dev where the path says so; else null."""
+def path_context(path: Column, file_kind: Column | None = None) -> Column:
+    """educational (of prose files alone, where the kind is given), container or dev where the path says so; else null."""
+    prose = F.lit(True) if file_kind is None else file_kind.isin("markdown", "text")
     p = F.lower(path)
     return (
-        F.when(p.rlike(r"(?:^|/)(?:examples?|tutorials?|samples?|demos?|ctf|labs?|exercises?)(?:/|$)"), "educational")
+        F.when(prose & p.rlike(r"(?:^|/)(?:examples?|tutorials?|samples?|demos?|ctf|labs?|exercises?)(?:/|$)"), "educational")
         .when(p.rlike(r"(?:^|/)(?:dockerfile[^/]*|[^/]*\.dockerfile|docker-compose[^/]*|\.devcontainer)(?:/|$)"), "container")
         .when(p.rlike(r"(?:^|/)(?:tests?|__tests__|specs?|fixtures?|\.github|ci|benchmarks?)(?:/|$)|(?:^|/)test_[^/]*$|\.(?:test|spec)\.[^/]+$"), "dev")
     )

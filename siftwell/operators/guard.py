@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwell.functions.ranks import VERDICTS
+
 ACTIONS = ["allow", "ask", "deny"]
 
 #: How commands install agent extensions: kind, pattern of one simple command, and the group that is the source. Fixed values.
@@ -46,13 +48,37 @@ def intents(commands: DataFrame, key: str = "command_id", command: str = "comman
 
 
 def most_severe(decisions: DataFrame, by: str) -> DataFrame:
-    """by, action (rank), reason and guard_required: the greatest action, the reasons of the decisions that have it, in order."""
-    per = decisions.groupBy(by).agg(F.max("action").alias("action"), F.array_sort(F.collect_set(F.struct("ord", "action", "reason"))).alias("all"), F.bool_or("guard_required").alias("guard_required"))
-    reasons = F.transform(F.filter("all", lambda x: x["action"] == F.col("action")), lambda x: x["reason"])
-    return per.select(by, "action", F.array_join(reasons, "; ").alias("reason"), "guard_required")
+    """by, action (rank), reason and guard_required: the greatest action, the reasons of the decisions that have it, in order.
+
+    The greatest action is found first, and only its decisions go on.
+    """
+    top = decisions.groupBy(by).agg(F.max("action").alias("action"), F.bool_or("guard_required").alias("guard_required"))
+    own = decisions.select(by, "action", "ord", "reason").join(top.select(by, "action"), [by, "action"])
+    reasons = own.distinct().groupBy(by).agg(F.array_sort(F.collect_list(F.struct("ord", "reason"))).alias("all"))
+    return top.join(reasons, by).select(by, "action", F.array_join(F.transform("all", lambda x: x["reason"]), "; ").alias("reason"), "guard_required")
 
 
 def trust_gate(risky: DataFrame, trusted: DataFrame) -> DataFrame:
     """report_id and allowed: whether every risky digest of a report is trusted."""
     known = trusted.select("digest").distinct().withColumn("_t", F.lit(True))
     return risky.join(known, "digest", "left").groupBy("report_id").agg(F.bool_and(F.coalesce("_t", F.lit(False))).alias("allowed"))
+
+
+def decide(found: DataFrame, reports: DataFrame, trusted: DataFrame, key: str = "command_id") -> DataFrame:
+    """found (key, ord, kind, source) with action, reason and guard_required: by the verdict of the source's report.
+
+    reports has a row a source (source, verdict, digest). A source whose digest
+    is trusted is allowed, one without a report is asked about, and a command
+    that touches the guard itself is denied.
+    """
+    known = trusted.select("digest").distinct().withColumn("_t", F.lit(True))
+    rows = found.join(reports.select("source", "verdict", "digest"), "source", "left").join(known, "digest", "left")
+    tamper, trusts = F.col("kind") == "tamper", F.coalesce("_t", F.lit(False))
+    action = F.when(tamper, 2).when(trusts, 0).when(F.col("verdict").isNull(), 1).otherwise(F.col("verdict"))
+    why = F.when(tamper, "touches the guard").when(trusts, "trusted").when(F.col("verdict").isNull(), "not scanned").otherwise(F.element_at(F.array(*[F.lit(f"verdict {v}") for v in VERDICTS]), F.col("verdict") + 1))
+    return rows.select(key, "ord", "kind", "source", action.cast("int").alias("action"), F.concat_ws(": ", "source", why).alias("reason"), tamper.alias("guard_required"))
+
+
+def flagged_untrusted(flagged: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Flagged entries (path, digest) less those whose digest is trusted."""
+    return flagged.join(trusted.select("digest").distinct(), "digest", "left_anti")

@@ -30,8 +30,47 @@ def doubt(findings: DataFrame, scores: DataFrame, under: float = DOUBT_UNDER) ->
     return rows.withColumn("effect", effect).withColumn("conf", F.when(F.col("effect") == "doubted", 0).otherwise(F.col("conf")))
 
 
-def threat_scores(probes: DataFrame, at_least: float = THREAT_FROM) -> DataFrame:
-    """bundle_id, score and flagged from (bundle_id, probe, p): the mean of all probes and their largest, halved."""
-    per = probes.groupBy("bundle_id").agg(F.avg("p").alias("mean"), F.max("p").alias("top"))
-    score = (F.col("mean") + F.col("top")) / 2
+#: Probes of intent, whose mean counts, and the probe that counts as much as that mean. Fixed values.
+INTENT_PROBES = ["hidden_instructions", "purpose_mismatch", "hidden_agenda", "unexpected_behavior", "malicious_intent"]
+DOWNLOAD_PROBE = "unofficial_download"
+#: The review probe that a category's findings are held against; other categories have none. Fixed values.
+PROBE_FOR_CATEGORY = {
+    "exfiltration": "data_exfiltration", "network": "data_exfiltration", "destructive": "destructive_command", "obfuscation": "obfuscation", "hidden-content": "obfuscation", "prompt-injection": "prompt_injection", "deception": "prompt_injection",
+    "remote-execution": "remote_hidden_execution", "privilege": "security_control_change", "persistence": "security_control_change", "credential-access": "sensitive_data_access", "secrets": "sensitive_data_access", "supply-chain": "supply_chain",
+}
+
+
+def scores_by_category(probes: DataFrame) -> DataFrame:
+    """bundle_id, category and p_true for doubt(), from (bundle_id, probe, p): each category by its probe."""
+    pairs = probes.sparkSession.createDataFrame(list(PROBE_FOR_CATEGORY.items()), "category string, probe string")
+    return probes.join(F.broadcast(pairs), "probe").select("bundle_id", "category", F.col("p").alias("p_true"))
+
+
+def threat_scores(probes: DataFrame, at_least: float = THREAT_FROM, intent: list[str] | None = None, download: str = DOWNLOAD_PROBE) -> DataFrame:
+    """bundle_id, score and flagged from (bundle_id, probe, p), a row a probe: half the mean of the intent probes and half the download probe; a probe without a row counts 0."""
+    names = intent or INTENT_PROBES
+    p = lambda name: F.coalesce(F.max(F.when(F.col("probe") == name, F.col("p"))), F.lit(0.0))
+    total = p(names[0])
+    for name in names[1:]:
+        total = total + p(name)
+    per = probes.groupBy("bundle_id").agg((total / len(names)).alias("mean"), p(download).alias("down"))
+    score = (F.col("mean") + F.col("down")) / 2
     return per.select("bundle_id", score.alias("score"), (score >= at_least).alias("flagged"))
+
+
+def threat_findings(probes: DataFrame, at_least: float = THREAT_FROM, reasons: int = 3, least_reason: float = 0.1) -> DataFrame:
+    """A finding of medium severity for each flagged bundle, naming its largest probes of at least least_reason, at most `reasons` of them."""
+    flagged = threat_scores(probes, at_least).filter("flagged")
+    ranked = probes.filter(F.col("p") >= least_reason).groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("q"), "probe"))).alias("top"))  # a row a probe
+    named = F.array_join(F.transform(F.slice("top", 1, reasons), lambda x: F.concat(x["probe"], F.lit(" "), F.format_number(-x["q"], 2))), ", ")
+    rows = flagged.join(ranked, "bundle_id", "left")
+    return rows.select(
+        "bundle_id", F.lit("judge/malicious-skill").alias("rule_id"), F.lit("The reviewer finds the whole suspicious").alias("title"), F.lit("prompt-injection").alias("category"), F.lit(2).alias("sev"), F.lit(1).alias("conf"), F.lit(False).alias("hard"),
+        F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"), F.lit(1).alias("column"), F.coalesce(named, F.lit("")).alias("snippet"), F.lit(40_000).alias("ord"), F.lit("judge").alias("source"),
+    )
+
+
+def dropped(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Findings (bundle_id, rule_id, file, line) that a review has lost: none may be, or the review is refused."""
+    key = ["bundle_id", "rule_id", "file", "line"]
+    return before.select(*key).exceptAll(after.select(*key))

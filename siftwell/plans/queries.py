@@ -459,13 +459,20 @@ def judge_doubt(spark, sf):
     return judge.doubt(rows, scores, 0.3).groupBy("bundle_id", "rule_id", "effect").agg(F.count("*").alias("n"), F.max("conf").alias("conf"))
 
 
+#: Probes by the turn of a document's number: five of intent, then the download probe.
+PROBES = [*judge.INTENT_PROBES, judge.DOWNLOAD_PROBE]
+
+
 @query(
-    """WITH p AS (SELECT source AS bundle_id, ('0x' || left(sha256(doc_id::VARCHAR), 2))::INT / 255.0 AS p FROM documents)
-    SELECT bundle_id, round(((avg(p) + max(p)) / 2)::DOUBLE, 9) AS score, (avg(p) + max(p)) / 2 >= 0.075 AS flagged FROM p GROUP BY bundle_id"""
+    f"""WITH p AS (SELECT source AS bundle_id, ({PROBES!r})[doc_id % 6 + 1] AS probe, max(('0x' || left(sha256(doc_id::VARCHAR), 2))::INT / 2550.0) AS p FROM documents GROUP BY ALL),
+    i AS (SELECT bundle_id, sum(p) / 5 AS mean FROM p WHERE probe <> 'unofficial_download' GROUP BY bundle_id), d AS (SELECT bundle_id, p AS down FROM p WHERE probe = 'unofficial_download'),
+    s AS (SELECT bundle_id, (coalesce(mean, 0) + coalesce(down, 0)) / 2 AS score FROM i FULL JOIN d USING (bundle_id))
+    SELECT bundle_id, round(score::DOUBLE, 9) AS score, score >= 0.075 AS flagged FROM s"""
 )
 def threat_score(spark, sf):
-    probes = documents(spark, sf).select(F.col("source").alias("bundle_id"), _probability("doc_id").alias("p"))
-    return judge.threat_scores(probes).select("bundle_id", F.round("score", 9).alias("score"), "flagged")
+    named = F.element_at(F.array(*[F.lit(x) for x in PROBES]), (F.col("doc_id") % 6 + 1).cast("int"))
+    rows = documents(spark, sf).select(F.col("source").alias("bundle_id"), named.alias("probe"), (_probability("doc_id") / 10).alias("p"))
+    return judge.threat_scores(rows.groupBy("bundle_id", "probe").agg(F.max("p").alias("p"))).select("bundle_id", F.round("score", 9).alias("score"), "flagged")
 
 
 @query(

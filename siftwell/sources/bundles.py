@@ -19,8 +19,7 @@ TOTAL_BYTES = 128 << 20
 def read_tree(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES) -> DataFrame:
     """target, path (below root), size, content (the first file_bytes), truncated, binary_format, binary, text, kind, role, path_context.
 
-    Text is UTF-8, or UTF-16 after a byte order mark; a file that is neither
-    text nor valid has null text. Files below SKIPPED folders are left out.
+    Text is UTF-8, or UTF-16 after a byte order mark; a binary file has null text. Files below SKIPPED folders are left out.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     # the reader gives full URIs: what follows the root's own path is kept
@@ -29,15 +28,15 @@ def read_tree(spark: SparkSession, root: str, file_bytes: int = FILE_BYTES) -> D
     rows = rows.withColumn("path", F.expr("substring(_uri, locate(_base, _uri) + length(_base))"))
     rows = rows.filter(~F.concat(F.lit("/"), "path").rlike("/(?:" + "|".join(s.replace(".", r"\.") for s in SKIPPED) + ")/"))
     rows = rows.withColumns({"truncated": F.col("size") > file_bytes, "content": F.substring("content", 1, file_bytes)})
-    rows = rows.withColumns({"binary_format": classify.binary_format(F.col("content")), "binary": classify.looks_binary(F.col("content"))})
+    rows = rows.withColumns({"binary_format": classify.binary_format(F.col("content"), F.col("path")), "binary": classify.looks_binary(F.col("content"))})
     return with_kinds(rows.withColumn("text", decoded(F.col("content")))).drop("_uri", "_base")
 
 
 def decoded(content: Column) -> Column:
-    """Text of bytes: UTF-16 after its byte order mark, else UTF-8 without one; null where they are not valid."""
+    """Text of bytes: UTF-16 after its byte order mark, else UTF-8 without one; bytes that aren't valid become U+FFFD, so a bad byte hides no text."""
     head = F.hex(F.substring(content, 1, 3))
     wide = F.when(head.startswith("FFFE"), F.decode(content, "UTF-16")).when(head.startswith("FEFF"), F.decode(content, "UTF-16"))
-    plain = F.try_validate_utf8(F.when(head == "EFBBBF", F.expr("substring(content, 4)")).otherwise(content).cast("string"))
+    plain = F.make_valid_utf8(F.when(head == "EFBBBF", F.substring(content, 4, 2**31 - 1)).otherwise(content).cast("string"))
     return F.when(wide.isNotNull(), wide).otherwise(plain)
 
 
@@ -47,7 +46,7 @@ def with_kinds(rows: DataFrame) -> DataFrame:
     is_binary = (F.col("binary") & ~wide) | F.col("binary_format").isNotNull() | F.col("text").isNull()
     head = F.substring_index(F.substring(F.coalesce("text", F.lit("")), 1, 200), "\n", 1)
     kinds = rows.withColumn("kind", classify.kind(F.col("path"), head, is_binary))
-    return kinds.withColumns({"text": F.when(F.col("kind") != "binary", F.col("text")), "role": classify.role(F.col("path"), F.col("kind")), "path_context": classify.path_context(F.col("path"))})
+    return kinds.withColumns({"text": F.when(F.col("kind") != "binary", F.col("text")), "role": classify.role(F.col("path"), F.col("kind")), "path_context": classify.path_context(F.col("path"), F.col("kind"))})
 
 
 def read_budget(files: DataFrame, budget: int, by: str, size: Column, order: list[Column]) -> DataFrame:
@@ -75,15 +74,15 @@ def packaging_findings(files: DataFrame) -> DataFrame:
     harmless = classify.extension(F.col("path")).isin("png", "jpg", "jpeg", "gif", "txt", "md", "csv", "json", "pdf")
     risky = F.col("binary_format").isin(*classify.EXECUTABLE)
     made = [
-        (risky, "packaging/executable-binary", "Ships a compiled executable", 3, 2, True), (F.col("binary_format").isin(*classify.ARCHIVES), "packaging/archive", "Ships an archive", 2, 2, False),
-        (risky & harmless, "packaging/extension-mismatch", "File content does not match its extension", 4, 2, True), (hidden, "packaging/unexpected-dotfile", "Hidden file or directory", 1, 1, False),
-        (F.col("truncated"), "packaging/incomplete-scan", "Part of the skill was not scanned", 2, 2, False), (name.rlike(r"[\u202A-\u202E\u2066-\u2069]|\.\w{2,4}\s{3,}\.\w+$"), "packaging/deceptive-filename", "Deceptive file name", 3, 2, False),
-        (name.rlike(r"(?i)^\.(?:gitleaksignore|semgrepignore|snyk|trivyignore|osv-scanner\.toml)$"), "packaging/scanner-suppression-file", "Ships configuration that silences a security scanner", 2, 2, False),
+        (risky, "packaging/executable-binary", "A compiled program lies in it", 3, 2, True), (F.col("binary_format").isin(*classify.ARCHIVES), "packaging/archive", "An archive lies in it", 2, 2, False),
+        (risky & harmless, "packaging/extension-mismatch", "Content belies the extension", 4, 2, True), (hidden, "packaging/unexpected-dotfile", "A hidden file or folder", 1, 1, False),
+        (F.col("truncated"), "packaging/incomplete-scan", "Not all of it could be read", 2, 2, False), (name.rlike(r"[\u202A-\u202E\u2066-\u2069]|\.\w{2,4}\s{3,}\.\w+$"), "packaging/deceptive-filename", "A name that misleads", 3, 2, False),
+        (name.rlike(r"(?i)^\.(?:gitleaksignore|semgrepignore|snyk|trivyignore|osv-scanner\.toml)$"), "packaging/scanner-suppression-file", "Settings that mute a scanner", 2, 2, False),
     ]
     each = F.filter(F.array(*[F.when(c, F.struct(F.lit(i).alias("rule_id"), F.lit(t).alias("title"), F.lit(s).alias("sev"), F.lit(k).alias("conf"), F.lit(h).alias("hard"))) for c, i, t, s, k, h in made]), lambda x: x.isNotNull())
     rows = files.select("bundle_id", F.col("path").alias("file"), F.explode(each).alias("r")).select("bundle_id", "r.rule_id", "r.title", F.lit("packaging").alias("category"), "r.sev", "r.conf", "r.hard", "file")
     second = files.filter(classify.is_skill_file(F.col("path"))).withColumn("_d", F.element_at(ancestors(F.col("path")), -1)).withColumn("_n", F.row_number().over(Window.partitionBy("bundle_id", "_d").orderBy("path"))).filter("_n = 2")
-    double = second.select("bundle_id", F.lit("packaging/duplicate-skill-file").alias("rule_id"), F.lit("More than one SKILL.md variant").alias("title"), F.lit("packaging").alias("category"), F.lit(2).alias("sev"), F.lit(2).alias("conf"), F.lit(False).alias("hard"), F.col("path").alias("file"))
+    double = second.select("bundle_id", F.lit("packaging/duplicate-skill-file").alias("rule_id"), F.lit("Several skill files in one folder").alias("title"), F.lit("packaging").alias("category"), F.lit(2).alias("sev"), F.lit(2).alias("conf"), F.lit(False).alias("hard"), F.col("path").alias("file"))
     return rows.unionByName(double).select("*", F.lit(None).cast("int").alias("line"), F.lit(1).alias("column"), F.lit(None).cast("string").alias("snippet"), F.lit(20_000).alias("ord"), F.lit("static").alias("source"))
 
 
@@ -95,8 +94,8 @@ def metadata_findings(files: DataFrame) -> DataFrame:
     rows = skill.withColumn("_front", front).withColumns({"_name": value("name"), "_desc": value("description")})
     has = F.col("_front") != ""
     made = [
-        (~has, "metadata/missing-frontmatter", "SKILL.md has no front matter", 1, 2), (has & ~F.col("_name").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") | (F.length("_name") > 64), "metadata/invalid-name", "Skill name does not follow the spec", 1, 2),
-        (has & ((F.col("_desc") == "") | (F.length("_desc") > 1024)), "metadata/invalid-description", "Skill description missing or too long", 1, 2), (has & (F.regexp_count(F.col("_desc"), F.lit(",")) >= 25), "metadata/trigger-stuffing", "Description tries to make the skill load for everything", 2, 1),
+        (~has, "metadata/missing-frontmatter", "Front matter is absent", 1, 2), (has & (~F.col("_name").rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$") | (F.length("_name") > 64)), "metadata/invalid-name", "Name breaks the naming rules", 1, 2),
+        (has & ((F.col("_desc") == "") | (F.length("_desc") > 1024)), "metadata/invalid-description", "Description absent or overlong", 1, 2), (has & (F.regexp_count(F.col("_desc"), F.lit(",")) >= 25), "metadata/trigger-stuffing", "Description names too many occasions", 2, 1),
     ]
     each = F.filter(F.array(*[F.when(c, F.struct(F.lit(i).alias("rule_id"), F.lit(t).alias("title"), F.lit(s).alias("sev"), F.lit(k).alias("conf"))) for c, i, t, s, k in made]), lambda x: x.isNotNull())
     return rows.select("bundle_id", F.col("path").alias("file"), F.explode(each).alias("r")).select(

@@ -19,10 +19,23 @@ def _by_word(word: Column, table: dict[str, int], other: int = 2) -> Column:
     return out.otherwise(other)
 
 
+#: Category by a word of the rule or message, first match wins. Fixed values.
+CATEGORIES = [("secrets", "secret|credential|key|token|password|leak"), ("prompt-injection", "inject|jailbreak|prompt"), ("supply-chain", "vuln|cve|ghsa|depend|package"), ("remote-execution", "exec|command|eval|shell|rce"), ("exfiltration", "exfil|upload|network|ssrf"), ("obfuscation", "obfusc|encod|base64"), ("persistence", "persist|cron|startup"), ("privilege", "sudo|privilege|root"), ("destructive", "delete|destruct|wipe")]
+
+
+def category_of(text: Column) -> Column:
+    """Category by the words of a rule and its message; execution-surface for none."""
+    low, out = F.lower(text), None
+    for name, words in CATEGORIES:
+        out = F.when(low.rlike(words), name) if out is None else out.when(low.rlike(words), name)
+    return out.otherwise("execution-surface")
+
+
 def _finding(tool: str, bundle: Column, rule: Column, sev: Column, message: Column, file: Column, line: Column) -> list[Column]:
+    """The columns of findings (see operators/scan.py), so reports of tools unite with them."""
     return [
-        bundle.alias("bundle_id"), F.concat(F.lit(f"external/{tool}:"), rule).alias("rule_id"), clip(one_line(message), 200).alias("title"), sev.cast("int").alias("sev"), F.lit(1).alias("conf"),
-        file.alias("file"), F.when(line > 0, line).cast("int").alias("line"), F.lit(f"external:{tool}").alias("source"),
+        bundle.alias("bundle_id"), F.concat(F.lit(f"external/{tool}:"), rule).alias("rule_id"), clip(one_line(message), 200).alias("title"), category_of(F.concat_ws(" ", rule, message)).alias("category"), sev.cast("int").alias("sev"), F.lit(1).alias("conf"), F.lit(False).alias("hard"),
+        file.alias("file"), F.when(line > 0, line).cast("int").alias("line"), F.lit(1).alias("column"), F.lit(None).cast("string").alias("snippet"), F.lit(50_000).alias("ord"), F.lit(f"external:{tool}").alias("source"),
     ]
 
 
