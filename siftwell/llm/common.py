@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,40 +12,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.session import new_path, shared_dir, stored  # noqa: F401
+
 #: A broadcast side has at most this many rows; beyond it the join is shuffled.
 BROADCAST_ROWS = 100_000
 #: A key is hot if it holds over one in HOT_PARTS of the rows, so there are fewer hot keys than this.
 HOT_PARTS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the setting is absent, a local session gets a temporary folder and a
-    cluster a folder in the warehouse.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.startswith("local["):
-            found = tempfile.mkdtemp(prefix="siftwell-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/siftwell-{label}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: later uses neither recompute it nor depend on one executor."""
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Scratch:
     """Tables that a job writes for itself, and can drop once what it returns no longer reads them."""
 
