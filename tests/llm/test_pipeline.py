@@ -60,3 +60,18 @@ def test_run_equals_its_stages_on_nothing(spark, tmp_path):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     empty.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_pass(spark):
+    r = random.Random(1)
+    text = lambda: " ".join(r.choice(["tree", "house", "river", "stone", "cloud", "table"]) + str(r.randrange(90)) for _ in range(60))
+    rows = [(i if i % 5 else None, text(), "en", f"s{i % 2}", 1, "keep-me", [f"w{i}"], "r", 7.5, "x") for i in range(20)] + [(3, "junk", "en", "s0", 4, "keep-me", None, "r", 7.5, "x")]
+    names = "doc_id long, text string, lang string, source string, n_chars long, n_words string, _words array<string>, _row string, size double, copies string"
+    docs = spark.createDataFrame(rows, names)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, ""), "stage")
+        got = docs.collect()
+        assert docs.columns == [x.split()[0] for x in names.split(", ")] and got, name
+        assert all((x["n_words"], x["_row"], x["size"], x["copies"]) == ("keep-me", "r", 7.5, "x") and x["_words"][0][0] == "w" for x in got), name
+        assert "junk" not in {x["text"] for x in got}
+    assert {x["text"] for x in got if x["doc_id"] is None} <= {x[1] for x in rows}
