@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as X
 from siftwell.functions.ranks import SEVERITIES, effective_severity
-from siftwell.operators import classify, evaluate, guard, judge, lines, rollup
+from siftwell.operators import classify, evaluate, guard, judge, lines, report, rollup
 from siftwell.operators.scan import as_files, scan_bundles
 from siftwell.session import table
 from siftwell.sources.bundles import read_budget
@@ -50,13 +50,13 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.col("doc_id").alias("file_id"), F.col("source").alias("bundle_id"), F.concat_ws("/", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("file"), "text")
 
 
-def line_findings(spark: SparkSession, sf: str) -> DataFrame:
-    """A finding for each rule and line of documents that match; ord is the rule's place."""
+def line_findings(spark: SparkSession, sf: str, *extra: str) -> DataFrame:
+    """A finding for each rule and line of documents that match; ord is the rule's place. extra names more columns of the line."""
     rows = lines.line_index(files(spark, sf), keep=("bundle_id", "file"))
     made = F.filter(
         F.array(*[F.when(F.col("line_text").rlike(p), F.struct(F.lit(i).alias("ord"), F.lit(r).alias("rule_id"), F.lit(s).alias("sev"), F.lit(c).alias("conf"))) for i, (r, p, s, c) in enumerate(LINE_RULES)]), lambda x: x.isNotNull()
     )
-    return rows.select("bundle_id", "file_id", "file", "line", F.explode(made).alias("r")).select("bundle_id", "file_id", "file", "line", "r.ord", "r.rule_id", "r.sev", "r.conf", F.lit(1).alias("column"))
+    return rows.select("bundle_id", "file_id", "file", "line", *extra, F.explode(made).alias("r")).select("bundle_id", "file_id", "file", "line", *extra, "r.ord", "r.rule_id", "r.sev", "r.conf", F.lit(1).alias("column"))
 
 
 def _sql_pattern(p: str) -> str:
@@ -547,6 +547,61 @@ def props_variant(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.max(k).alias("max_k"))
 
 
+# ---- reports
+
+
+def _reported(spark, sf) -> DataFrame:
+    """Findings over lines with a snippet and a message."""
+    return line_findings(spark, sf, "line_text").withColumns({"snippet": X.clip(F.col("line_text"), 160), "message": F.concat(F.lit("matches "), "rule_id")})
+
+
+SNIPPET_SQL = "CASE WHEN length(line_text) > 160 THEN substr(line_text, 1, 159) || '\u2026' ELSE line_text END"
+REPORTED_SQL = FINDINGS_SQL + f", reported AS (SELECT found.*, {SNIPPET_SQL} AS snippet, 'matches ' || rule_id AS message, file || ':' || line AS place FROM found JOIN lines USING (file_id, bundle_id, file, line))"
+SEVERITY_SQL = "['info', 'low', 'medium', 'high', 'critical'][sev + 1]"
+COUNTS_SQL = "concat_ws(', ', " + ", ".join(f"CASE WHEN n_{s} > 0 THEN n_{s} || ' {s}' END" for s in reversed(SEVERITIES)) + ")"
+BUNDLES_SQL = f""", b AS (SELECT d.bundle_id, coalesce(max(eff), 0) AS w, {', '.join(f"count(*) FILTER (sev = {i}) AS n_{s}" for i, s in enumerate(SEVERITIES))}, count(sev) AS total
+    FROM (SELECT DISTINCT source AS bundle_id FROM documents) d LEFT JOIN found USING (bundle_id) GROUP BY d.bundle_id),
+    v AS (SELECT *, {COUNTS_SQL} AS counts, CASE WHEN w >= 3 THEN 'block' WHEN w >= 2 THEN 'warn' ELSE 'pass' END AS verdict FROM b)"""
+
+
+@query(
+    "WITH " + REPORTED_SQL + f""" SELECT rule_id, array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(split_part(rule_id, '/', 2), '-')], '') AS rule_name,
+    CASE WHEN sev >= 3 THEN 'error' WHEN sev = 2 THEN 'warning' ELSE 'note' END AS level, 'corpus/' || file AS uri, line AS start_line, snippet, sha256(rule_id || '|' || file || '|' || snippet) AS fingerprint, {SEVERITY_SQL} AS severity FROM reported"""
+)
+def sarif_results(spark, sf):
+    r = report.sarif_results(_reported(spark, sf), "corpus/").select("result.*")
+    place = F.get("locations", F.lit(0))["physicalLocation"]
+    return r.select(
+        F.col("ruleId").alias("rule_id"), report.rule_name(F.col("ruleId")).alias("rule_name"), "level", place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start_line"),
+        place["region"]["snippet"]["text"].alias("snippet"), F.col("partialFingerprints")["siftwell/v1"].alias("fingerprint"), F.col("properties.severity").alias("severity"),
+    )
+
+
+@query("WITH " + FINDINGS_SQL + BUNDLES_SQL + " SELECT bundle_id, 'siftwell: ' || verdict || ' for ' || bundle_id || CASE WHEN counts = '' THEN '' ELSE ' (' || counts || ')' END AS summary FROM v")
+def one_line_summary(spark, sf):
+    return report.one_line(rollup.bundle_verdicts(files(spark, sf), line_findings(spark, sf)))
+
+
+@query(
+    "WITH " + REPORTED_SQL + BUNDLES_SQL + f""", t AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY sev DESC, conf DESC, file, line, rule_id) AS n FROM reported),
+    l AS (SELECT bundle_id, string_agg(chr(10) || '- [' || {SEVERITY_SQL} || '] ' || rule_id || ' at ' || place || ': ' || message, '' ORDER BY n) AS body, count(*) AS listed FROM t WHERE n <= 5 GROUP BY bundle_id)
+    SELECT bundle_id, CASE WHEN total = 0 THEN 'siftwell found no issues in ' || bundle_id || '.' WHEN verdict = 'pass' THEN 'siftwell passed ' || bundle_id || ' (' || counts || ', below the warning threshold).'
+      ELSE 'siftwell ' || CASE verdict WHEN 'block' THEN 'blocked ' ELSE 'flagged ' END || bundle_id || ': ' || counts || '.' || body || CASE WHEN total > listed THEN chr(10) || '- and ' || (total - listed) || ' more.' ELSE '' END END AS summary
+    FROM v LEFT JOIN l USING (bundle_id)"""
+)
+def agent_summary(spark, sf):
+    rows = _reported(spark, sf)
+    return report.agent_summary(rollup.bundle_verdicts(files(spark, sf), rows), rows)
+
+
+@query(
+    "WITH " + REPORTED_SQL + f""", t AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY sev DESC, conf DESC, file, line, rule_id) AS n FROM reported)
+    SELECT bundle_id, n::INT AS place, '| ' || {SEVERITY_SQL} || ' | `' || rule_id || '` | ' || file || ':' || line || ' | ' || message || ' |' AS row FROM t WHERE n <= 20"""
+)
+def markdown_findings(spark, sf):
+    return report.markdown_rows(_reported(spark, sf), 20)
+
+
 # ---- operators that SQL doesn't express
 
 
