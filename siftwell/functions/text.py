@@ -131,3 +131,37 @@ def glob_regex(glob: str) -> str:
 def percent_encoded(path: Column) -> Column:
     """A path as the path of a URI."""
     return F.array_join(F.transform(F.split(path, "/"), lambda p: F.regexp_replace(F.url_encode(p), r"\+", "%20")), "/")
+
+
+def looks_like_id(run: Column) -> Column:
+    """Whether a run is of lower-case hexadecimal digits, of capitals and digits, or of one character: digests and ids, no payloads."""
+    return run.rlike(r"^(?:[a-f0-9]+|[A-Z0-9]+|(.)\1+)$")
+
+
+def plural(n: Column, word: str, many: str | None = None) -> Column:
+    """`1 file`, `2 files`."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, word).otherwise(many or word + "s"))
+
+
+def inline_code(text: Column) -> Column:
+    """text as code within Markdown: a fence longer than any of its runs of backticks, and spaces where it starts or ends with one or starts with a space."""
+    longest = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(text, F.lit("`+"), F.lit(0)), F.length)), F.lit(0))
+    fence = F.repeat(F.lit("`"), longest + 1)
+    pad = F.when(text.rlike("^[` ]|`$"), " ").otherwise("")
+    return F.concat(fence, pad, text, pad, fence)
+
+
+#: What Markdown would link or notify: URLs and mentions. Fixed values.
+LINKED = r"(?:https?://|www\.)\S+|@[A-Za-z0-9][A-Za-z0-9_-]*"
+
+
+def markdown_text(text: Column) -> Column:
+    """text with Markdown's marks escaped; URLs and mentions become code, so they are neither linked nor notified."""
+    plain = lambda x: F.regexp_replace(x, r"([\\`*_\[\]<>~!&#{}()])", r"\\$1")
+    pieces, links = F.split(text, LINKED, -1), F.regexp_extract_all(text, F.lit(LINKED), F.lit(0))
+    return F.array_join(F.transform(pieces, lambda x, i: F.concat(plain(x), F.coalesce(inline_code(F.get(links, i)), F.lit("")))), "")
+
+
+def table_cell(text: Column) -> Column:
+    """text as a cell of a Markdown table: pipes escaped, line breaks as spaces."""
+    return F.replace(F.regexp_replace(text, r"\r?\n", " "), F.lit("|"), F.lit("\\|"))

@@ -74,3 +74,26 @@ def dropped(before: DataFrame, after: DataFrame) -> DataFrame:
     """Findings (bundle_id, rule_id, file, line) that a review has lost: none may be, or the review is refused."""
     key = ["bundle_id", "rule_id", "file", "line"]
     return before.select(*key).exceptAll(after.select(*key))
+
+
+def replay(findings: DataFrame, probes: DataFrame, family: dict[str, str], adding: dict[str, float], doubt_below: float, confirm_at: float) -> DataFrame:
+    """findings as a review under another policy leaves them, from recorded probes (bundle_id, probe, p; a row a probe).
+
+    family names the probe of a category. A finding whose probe is below
+    doubt_below falls to low confidence, unless it is hard or critical; from
+    confirm_at on it gains a step. A probe of `adding` that reaches its threshold
+    adds a finding of medium severity where no finding of the bundle has it as
+    its probe. Without a recorded probe a finding stays as it is.
+    """
+    named = F.lit(None).cast("string")
+    for category, probe in family.items():
+        named = F.when(F.col("category") == category, probe).otherwise(named)
+    rows = findings.withColumn("_probe", named).join(probes.select("bundle_id", F.col("probe").alias("_probe"), F.col("p").alias("_p")), ["bundle_id", "_probe"], "left")
+    conf = F.when((F.col("_p") < doubt_below) & (F.col("sev") < 4) & ~F.col("hard"), 0).when(F.col("_p") >= confirm_at, F.least(F.col("conf") + 1, F.lit(2))).otherwise(F.col("conf"))
+    reviewed = rows.withColumn("conf", conf)
+    reached = F.lit(False)
+    for probe, least in adding.items():
+        reached = reached | ((F.col("probe") == probe) & (F.col("p") >= least))
+    open_ = probes.filter(reached).join(reviewed.select("bundle_id", F.col("_probe").alias("probe")).distinct(), ["bundle_id", "probe"], "left_anti")
+    added = open_.select("bundle_id", F.concat(F.lit("judge/"), "probe").alias("rule_id"), F.lit(2).alias("sev"), F.lit(1).alias("conf"), F.lit(False).alias("hard"))
+    return reviewed.drop("_probe", "_p").unionByName(added, allowMissingColumns=True)

@@ -602,6 +602,72 @@ def markdown_findings(spark, sf):
     return report.markdown_rows(_reported(spark, sf), 20)
 
 
+# ---- arms derived from recorded ones, policies replayed, Markdown
+
+
+def _static_arm(spark, sf) -> DataFrame:
+    """The second arm with a time, a unit a character of ten."""
+    return _second_arm(spark, sf).join(documents(spark, sf).select("doc_id", F.floor(F.col("n_chars") / 10).alias("ms")), "doc_id").withColumnRenamed("doc_id", "bundle_id")
+
+
+def _tool_alone(spark, sf) -> DataFrame:
+    arm = documents(spark, sf).select(F.col("doc_id").alias("bundle_id"), F.floor(F.col("n_chars") / 8).alias("ms"))
+    return evaluate.arm_alone(arm, line_findings(spark, sf).withColumn("bundle_id", F.col("file_id")), _static_arm(spark, sf), F.col("rule_id") == "secrets/assigned-token")
+
+
+ALONE_SQL = FINDINGS_SQL + """, w AS (SELECT file_id AS doc_id, max(eff) FILTER (rule_id = 'secrets/assigned-token') AS own, max(eff) FILTER (rule_id <> 'secrets/assigned-token') AS rest FROM found GROUP BY file_id),
+    arm AS (SELECT doc_id, (CASE WHEN n_chars > 8000 THEN 2 WHEN n_chars < 200 THEN 1 ELSE 0 END)::INT AS verdict, (n_chars // 10)::BIGINT AS ms FROM documents),
+    alone AS (SELECT d.doc_id, (CASE WHEN own >= 3 THEN 2 WHEN own >= 2 THEN 1 ELSE 0 END)::INT AS verdict, (d.n_chars // 8 - arm.ms)::BIGINT AS ms, arm.verdict <> (CASE WHEN rest >= 3 THEN 2 WHEN rest >= 2 THEN 1 ELSE 0 END) AS mismatch FROM documents d JOIN arm USING (doc_id) LEFT JOIN w USING (doc_id))"""
+
+
+@query("WITH " + ALONE_SQL + " SELECT * FROM alone")
+def tool_alone(spark, sf):
+    return _tool_alone(spark, sf).withColumnRenamed("bundle_id", "doc_id")
+
+
+@query("WITH " + ALONE_SQL + " SELECT doc_id, greatest(a.verdict, b.verdict) AS verdict, a.ms + b.ms AS ms FROM arm a JOIN alone b USING (doc_id)")
+def tool_with_static(spark, sf):
+    return evaluate.with_static(_static_arm(spark, sf), _tool_alone(spark, sf)).withColumnRenamed("bundle_id", "doc_id")
+
+
+#: A policy to replay: probes of categories, and probes that add a finding. Fixed values of this query.
+FAMILY = {"secrets": "sensitive_data_access", "network": "data_exfiltration", "obfuscation": "obfuscation"}
+ADDING = {"obfuscation": 0.9, "hidden_agenda": 0.9}
+
+
+@query(
+    "WITH " + FINDINGS_SQL + f""", p AS (SELECT doc_id AS file_id, (['sensitive_data_access', 'data_exfiltration', 'obfuscation', 'hidden_agenda'])[doc_id % 4 + 1] AS probe, ('0x' || left(sha256(doc_id::VARCHAR), 2))::INT / 255.0 AS p FROM documents),
+    f AS (SELECT *, map({list(FAMILY)!r}, {list(FAMILY.values())!r})[split_part(rule_id, '/', 1)] AS probe FROM found),
+    r AS (SELECT f.file_id, sev, CASE WHEN p < 0.3 AND sev < 4 AND rule_id <> 'secrets/assigned-token' THEN 0 WHEN p >= 0.7 THEN least(conf + 1, 2) ELSE conf END AS conf FROM f LEFT JOIN p ON p.file_id = f.file_id AND p.probe = f.probe),
+    a AS (SELECT file_id, 2 AS sev, 1 AS conf FROM p WHERE ((probe = 'obfuscation' AND p >= 0.9) OR (probe = 'hidden_agenda' AND p >= 0.9)) AND (file_id, probe) NOT IN (SELECT file_id, probe FROM f WHERE probe IS NOT NULL)),
+    u AS (SELECT file_id, max(CASE WHEN conf = 0 THEN greatest(sev - 1, 0) ELSE sev END) AS w FROM (SELECT * FROM r UNION ALL SELECT * FROM a) GROUP BY file_id)
+    SELECT d.doc_id, ({VERDICT_SQL})::INT AS verdict FROM documents d LEFT JOIN u ON u.file_id = d.doc_id"""
+)
+def judge_replay(spark, sf):
+    rows = line_findings(spark, sf).withColumns({"bundle_id": F.col("file_id"), "category": F.split_part("rule_id", F.lit("/"), F.lit(1)), "hard": F.col("rule_id") == "secrets/assigned-token"})
+    names = F.array(*[F.lit(x) for x in [*FAMILY.values(), "hidden_agenda"]])
+    probes = documents(spark, sf).select(F.col("doc_id").alias("bundle_id"), F.element_at(names, (F.col("doc_id") % 4 + 1).cast("int")).alias("probe"), _probability("doc_id").alias("p"))
+    found = judge.replay(rows, probes, FAMILY, ADDING, 0.3, 0.7)
+    return rollup.bundle_verdicts(documents(spark, sf).select(F.col("doc_id").alias("bundle_id")), found).select(F.col("bundle_id").alias("doc_id"), "verdict")
+
+
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{20,}')) AS s FROM documents) SELECT doc_id, s AS run, regexp_full_match(s, '[a-f0-9]+') OR regexp_full_match(s, '[A-Z0-9]+') OR s = repeat(s[1], length(s)) AS is_id FROM m""")
+def id_like_runs(spark, sf):
+    pattern = "[A-Za-z0-9+/]{20,}"
+    hits = documents(spark, sf).filter(F.col("text").rlike(pattern)).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("run"))
+    return hits.withColumn("is_id", X.looks_like_id(F.col("run")))
+
+
+@query(
+    r"""SELECT page_id, replace(regexp_replace(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' (', '([\\`*_\[\]<>~!&#{}()])', '\\\1', 'g') || '`' || url || '`', '|', '\|') || ', ' || length(html) || CASE length(html) WHEN 1 THEN ' character' ELSE ' characters' END AS cell FROM pages"""
+)
+def markdown_cells(spark, sf):
+    """A page's title and address as a cell of a Markdown table."""
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+    shown = X.table_cell(X.markdown_text(F.concat(title, F.lit(" ("), "url")))
+    return table(spark, sf, "pages").select("page_id", F.concat_ws(", ", shown, X.plural(F.length("html"), "character")).alias("cell"))
+
+
 # ---- operators that SQL doesn't express
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.text import ancestors
 from siftwell.operators import classify
+from siftwell.session import stored
 
 #: Folders that are not read. Fixed values.
 SKIPPED = [".git", "node_modules", ".venv", "venv", "__MACOSX"]
@@ -50,9 +51,21 @@ def with_kinds(rows: DataFrame) -> DataFrame:
 
 
 def read_budget(files: DataFrame, budget: int, by: str, size: Column, order: list[Column]) -> DataFrame:
-    """files with read: bytes of each that a budget for its group still covers, in order. The last one is cut, later ones have 0."""
-    before = F.coalesce(F.sum(size).over(Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return files.withColumn("read", F.greatest(F.lit(0), F.least(size, F.lit(budget) - before)).cast("long"))
+    """files with read: bytes of each that a budget for its group still covers, in order. The last one is cut, later ones have 0.
+
+    Files are stored once in ranges of group and order, so leave their contents
+    out. Sizes are summed within a range and over the ranges of a group, so a
+    task holds one range, however many files a group has.
+    """
+    # stored, as ranges are drawn anew whenever they are computed
+    ranged = stored(files.repartitionByRange(by, *order).withColumn("_part", F.spark_partition_id()), "budget")
+    sums = ranged.groupBy(by, "_part").agg(F.sum(size).alias("_sum"))
+    earlier = F.sum("_sum").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select(F.col(by).alias("_by"), F.col("_part").alias("_range"), F.coalesce(earlier, F.lit(0)).alias("_earlier"))
+    within = F.coalesce(F.sum(size).over(Window.partitionBy(by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = ranged.withColumn("_within", within).join(sums, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_range")))
+    left = F.lit(budget) - F.col("_earlier") - F.col("_within")
+    return rows.withColumn("read", F.greatest(F.lit(0), F.least(size, left)).cast("long")).drop("_part", "_within", "_by", "_range", "_earlier")
 
 
 def group_bundles(files: DataFrame) -> DataFrame:

@@ -69,9 +69,17 @@ def audit_stream(log: DataFrame, state_path: str, checkpoint: str, key: str, ord
 
 
 def sessions(log: DataFrame, user: str = "user_id", ts: str = "ts", gap_minutes: int = 30) -> DataFrame:
-    """user, session (from 1), start, n: runs of events less than gap_minutes apart."""
-    w = Window.partitionBy(user).orderBy(ts)
+    """user, session (from 1), start, n: runs of events less than gap_minutes apart; events without a time take no part.
+
+    Events of a slot as long as the gap are always of one session, so they are
+    counted first: the window sees a row a user and slot, however many events
+    a user has.
+    """
+    gap = gap_minutes * 60_000_000
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    new = F.when(at - F.lag(at).over(w) < gap_minutes * 60_000_000, 0).otherwise(1)
-    rows = log.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
-    return rows.groupBy(user, "session").agg(F.min(ts).alias("start"), F.count("*").alias("n"))
+    events = log.filter(F.col(ts).isNotNull()).select(user, F.col(ts).alias("_ts"), at.alias("_at"))
+    slots = events.groupBy(user, (F.col("_at") - F.pmod("_at", F.lit(gap))).alias("_slot")).agg(F.min("_ts").alias("_start"), F.min("_at").alias("_first"), F.max("_at").alias("_last"), F.count("*").alias("_n"))
+    w = Window.partitionBy(user).orderBy("_first")
+    new = F.when(F.col("_first") - F.lag("_last").over(w) < gap, 0).otherwise(1)
+    rows = slots.withColumn("_new", new).withColumn("session", F.sum("_new").over(w))
+    return rows.groupBy(user, "session").agg(F.min("_start").alias("start"), F.sum("_n").alias("n"))

@@ -115,3 +115,71 @@ def test_audit_stream(spark, tmp_path):
         audit.audit_stream(log, str(tmp_path / "state"), str(tmp_path / "cp"), "user_id", ["n"], lambda d, i: changed.append(sorted(tuple(r) for r in d.collect()))).awaitTermination(60)
     assert changed == [[(1, 2), (2, 1)], [(2, 5), (3, 1)]]
     assert sorted(tuple(r) for r in spark.read.schema(schema).parquet(str(tmp_path / "state/v=1")).collect()) == [(1, 2), (2, 5), (3, 1)]
+
+
+def test_running_windows_in_parts(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(rng.random() < 0.4, rng.choice([rng.random(), 0.5])) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "positive boolean, score double")
+    neg = sorted((s for p, s in rows if not p), reverse=True)
+    pos = [s for p, s in rows if p]
+    plain = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert abs(evaluate.auc(df).first()["auc"] - plain) < 1e-9
+    assert evaluate.threshold_at_rate(df, 0.1).first()["threshold"] == neg[int(len(neg) * 0.1)]
+    assert evaluate.auc(df.filter("false")).first()["auc"] is None
+    assert evaluate.auc(spark.createDataFrame([(True, None), (False, 1.0), (False, None)], df.schema)).first()["auc"] == 0.25
+
+
+def test_sessions_against_a_walk(spark):
+    from datetime import datetime, timedelta
+    import random
+
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1)
+    log = [(u, start + timedelta(seconds=rng.randrange(200_000))) for u in ("a", "b") for _ in range(120)] + [("c", start), ("c", start + timedelta(minutes=30)), ("c", start + timedelta(minutes=59)), ("d", None)]
+    want = []
+    for user in "abc":
+        times = sorted(t for u, t in log if u == user)
+        runs = [[times[0]]]
+        for t in times[1:]:
+            if t - runs[-1][-1] < timedelta(minutes=30):
+                runs[-1].append(t)
+            else:
+                runs.append([t])
+        want += [(user, i + 1, r[0], len(r)) for i, r in enumerate(runs)]
+    got = audit.sessions(spark.createDataFrame(log, "user_id string, ts timestamp_ntz")).collect()
+    assert sorted((r["user_id"], r["session"], r["start"], r["n"]) for r in got) == want
+
+
+def test_read_budget_of_groups(spark):
+    rows = spark.createDataFrame([("a", i, s) for i, s in enumerate([5, 5, 0, 9, 4])] + [(None, 7, 3), (None, 8, 30)], "g string, i int, s long")
+    got = {(r["g"], r["i"]): r["read"] for r in bundles.read_budget(rows, 12, "g", F.col("s"), [F.desc("i")]).collect()}
+    assert got == {("a", 4): 4, ("a", 3): 8, ("a", 2): 0, ("a", 1): 0, ("a", 0): 0, (None, 8): 12, (None, 7): 0}
+    assert bundles.read_budget(rows.filter("false"), 12, "g", F.col("s"), [F.col("i")]).count() == 0
+
+
+def test_arms_without_the_rules(spark):
+    arm = spark.createDataFrame([("a", 10), ("b", 3), ("c", 5)], "bundle_id string, ms long")
+    static = spark.createDataFrame([("a", 0, 4), ("b", 2, 9)], "bundle_id string, verdict int, ms long")
+    found = spark.createDataFrame([("a", "tool/x", 3, 1), ("a", "x/y", 2, 1), ("b", "x/y", 3, 1), ("c", "tool/x", 2, 0)], "bundle_id string, rule_id string, sev int, conf int")
+    alone = evaluate.arm_alone(arm, found, static, F.col("rule_id").startswith("tool/"))
+    assert sorted(tuple(r) for r in alone.collect()) == [("a", 2, 6, True), ("b", 0, 0, False), ("c", 0, 5, False)]
+    assert sorted(tuple(r) for r in evaluate.with_static(static, alone.filter("bundle_id <> 'b'")).collect()) == [("a", 2, 10), ("b", 2, 9)]
+
+
+def test_a_policy_replayed(spark):
+    found = spark.createDataFrame([("a", "s/1", "s", 3, 1, False), ("a", "s/2", "s", 3, 1, True), ("a", "t/1", "t", 2, 1, False), ("a", "u/1", "u", 1, 1, False), ("b", "s/1", "s", 4, 1, False)], "bundle_id string, rule_id string, category string, sev int, conf int, hard boolean")
+    probes = spark.createDataFrame([("a", "P", 0.1), ("a", "Q", 0.9), ("a", "R", 0.95), ("b", "P", 0.1), ("c", "Q", 0.9), ("c", "R", 0.5)], "bundle_id string, probe string, p double")
+    got = sorted((r["bundle_id"], r["rule_id"], r["sev"], r["conf"]) for r in judge.replay(found, probes, {"s": "P", "t": "Q"}, {"Q": 0.9, "R": 0.9}, 0.3, 0.7).collect())
+    assert got == [("a", "judge/R", 2, 1), ("a", "s/1", 3, 0), ("a", "s/2", 3, 1), ("a", "t/1", 2, 2), ("a", "u/1", 1, 1), ("b", "s/1", 4, 1), ("c", "judge/Q", 2, 1)]
+
+
+def test_markdown_text(spark):
+    df = spark.createDataFrame([("a*b at https://x.y/_z, ask @me", "x`y``"), ("", ""), (None, None)], "t string, c string")
+    got = df.select(X.markdown_text(F.col("t")), X.inline_code(F.col("c")), X.table_cell(F.lit("a|b\r\nc")), X.plural(F.length("t"), "sign")).collect()
+    assert got[0][0] == "a\\*b at `https://x.y/_z,` ask `@me`" and got[0][1] == "``` x`y`` ```" and got[0][2] == "a\\|b c" and got[0][3] == "30 signs"
+    assert got[1][:2] == ("", "``") and got[2][:2] == (None, None)
+    runs = spark.createDataFrame([("deadbeef",), ("AB12",), ("zzzz",), ("z",), ("aB3",), (None,)], "r string")
+    assert [r[0] for r in runs.select(X.looks_like_id(F.col("r"))).collect()] == [True, True, True, False, False, None]
