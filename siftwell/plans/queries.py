@@ -509,6 +509,24 @@ def most_severe_reason(spark, sf):
     return guard.most_severe(rows, "user_id").select("user_id", "action", F.md5("reason").alias("reasons"), "guard_required")
 
 
+@query(
+    "WITH " + FINDINGS_SQL + f""", v AS (SELECT b.bundle_id, ({VERDICT_SQL})::INT AS verdict FROM (SELECT DISTINCT source AS bundle_id FROM documents WHERE doc_id % 7 <> 0 AND source <> 'src1') b LEFT JOIN (SELECT bundle_id, max(eff) AS w FROM found GROUP BY bundle_id) USING (bundle_id)),
+    c AS (SELECT doc_id AS command_id, source, CASE WHEN doc_id % 50 = 0 THEN 'tamper' ELSE 'git-clone' END AS kind FROM documents),
+    t AS (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 AND doc_id % 11 = 0)
+    SELECT command_id, kind, CASE WHEN kind = 'tamper' THEN 2 WHEN source IN (FROM t) AND verdict IS NOT NULL THEN 0 WHEN verdict IS NULL THEN 1 ELSE verdict END::INT AS action,
+      source || ': ' || CASE WHEN kind = 'tamper' THEN 'touches the guard' WHEN source IN (FROM t) AND verdict IS NOT NULL THEN 'trusted' WHEN verdict IS NULL THEN 'not scanned' ELSE 'verdict ' || (['pass', 'warn', 'block'])[verdict + 1] END AS reason, kind = 'tamper' AS guard_required
+    FROM c LEFT JOIN v ON c.source = v.bundle_id"""
+)
+def guard_decisions(spark, sf):
+    """Decisions on commands that install a document's source, by the source's verdict; one source has no report, some are trusted."""
+    d = documents(spark, sf)
+    verdicts = rollup.bundle_verdicts(d.filter("doc_id % 7 <> 0 and source <> 'src1'").select(F.col("source").alias("bundle_id")), line_findings(spark, sf))
+    reports = verdicts.select(F.col("bundle_id").alias("source"), "verdict", F.col("bundle_id").alias("digest"))
+    trusted = d.join(table(spark, sf, "labels").filter("toxic = 1"), "doc_id").filter("doc_id % 11 = 0").select(F.col("source").alias("digest"))
+    found = d.select(F.col("doc_id").alias("command_id"), F.lit(0).alias("ord"), F.when(F.col("doc_id") % 50 == 0, "tamper").otherwise("git-clone").alias("kind"), "source")
+    return guard.decide(found, reports, trusted).select("command_id", "kind", "action", "reason", "guard_required")
+
+
 # ---- log and state
 
 
