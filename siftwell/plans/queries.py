@@ -803,6 +803,36 @@ def planted_rule_hits(spark, sf):
     return hits.groupBy(rule.alias("rule_id")).agg(F.count("*").alias("n"), F.countDistinct("file_id").alias("n_files"), F.sum(F.length("matched")).alias("n_chars"))
 
 
+#: Commands that are put under the texts of conversations, by turns. Fixed values of this query.
+COMMANDS = """npx -y skills add owner/repo
+cd work && git clone --depth 1 https://a.example/b.git
+git -C skills/x pull
+claude plugin marketplace add a/b && claude plugin install c
+sudo codex plugin add d
+pi install npm:e
+opencode plugin install f
+unzip x.zip -d ~/.claude/skills/x
+cp -r x ~/.codex/skills/
+curl -L https://a.example/x -o ~/.claude/skills/x.md
+export SKILL_GUARD_MODE=off
+ls -la && echo done""".split("\n")
+
+
+@query(
+    f"""WITH c AS (SELECT conv_id, turn, string_split(line, ' && ') AS parts FROM (SELECT conv_id, turn, unnest(string_split(coalesce(text, '') || chr(10) || ([{", ".join(_sql_text(x) for x in COMMANDS)}])[(conv_id + turn) % {len(COMMANDS)} + 1], chr(10))) AS line FROM conversations)),
+    p AS (SELECT conv_id, turn, regexp_replace(unnest(parts), '^sudo ', '') AS simple, unnest(range(len(parts)))::INT AS ord FROM c),
+    i AS (SELECT *, CASE {" ".join(f"WHEN regexp_matches(simple, {_sql_text(x)}) THEN {_sql_text(kind)}" for kind, x, _ in guard.INTENTS)} END AS kind,
+      CASE {" ".join(f"WHEN regexp_matches(simple, {_sql_text(x)}) THEN nullif(regexp_extract(simple, {_sql_text(x)}, {g}), '')" for _, x, g in guard.INTENTS)} END AS source FROM p)
+    SELECT conv_id || ':' || turn AS command_id, ord, kind, source FROM i WHERE kind IS NOT NULL"""
+)
+def planted_intents(spark, sf):
+    """Install intents in the lines of conversations, each turn with a planted command at its end."""
+    turn = ((F.col("conv_id") + F.col("turn")) % len(COMMANDS) + 1).cast("int")
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.element_at(F.array(*[F.lit(x) for x in COMMANDS]), turn))
+    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("command_id"), F.explode(F.split(text, "\n")).alias("command"))
+    return guard.intents(rows)
+
+
 # ---- operators that SQL doesn't express
 
 
