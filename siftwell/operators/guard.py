@@ -82,3 +82,30 @@ def decide(found: DataFrame, reports: DataFrame, trusted: DataFrame, key: str =
 def flagged_untrusted(flagged: DataFrame, trusted: DataFrame) -> DataFrame:
     """Flagged entries (path, digest) less those whose digest is trusted."""
     return flagged.join(trusted.select("digest").distinct(), "digest", "left_anti")
+
+
+def quarantinable(installed: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Installed (kind, digest, verdict rank) that may be moved away: blocked skills whose digest nobody trusts; no kind counts as a skill."""
+    blocked = installed.filter((F.col("verdict") == 2) & (F.coalesce("kind", F.lit("skill")) == "skill"))
+    return blocked.join(trusted.select("digest").distinct(), "digest", "left_anti").select(*installed.columns)
+
+
+def edited(text: Column, edits: Column) -> Column:
+    """text after edits, an array of structs of old, new and every (all places, else the first), in order.
+
+    Null where one can't be applied: old is empty or absent from the text. On a
+    null text, an edit of an empty old makes the file.
+    """
+
+    def step(now: Column, e: Column) -> Column:
+        at = F.position(e["old"], now["text"])
+        once = F.concat(F.left(now["text"], at - 1), e["new"], F.substr(now["text"], at + F.length(e["old"])))
+        done = F.when(now["text"].isNull(), F.when(e["old"] == "", e["new"])).when((e["old"] != "") & (at > 0), F.when(e["every"], F.replace(now["text"], e["old"], e["new"])).otherwise(once))
+        return F.struct(F.when(now["applies"], done).alias("text"), (now["applies"] & done.isNotNull()).alias("applies"))
+
+    return F.aggregate(edits, F.struct(text.alias("text"), F.lit(True).alias("applies")), step)["text"]
+
+
+def with_writes(files: DataFrame, writes: DataFrame) -> DataFrame:
+    """files (bundle_id, path, text) as they would be after writes, of the same columns with one row a path: what a scan before the write reads."""
+    return files.join(writes.select("bundle_id", "path"), ["bundle_id", "path"], "left_anti").select("bundle_id", "path", "text").unionByName(writes.select("bundle_id", "path", "text"))

@@ -97,3 +97,9 @@ def replay(findings: DataFrame, probes: DataFrame, family: dict[str, str], addin
     open_ = probes.filter(reached).join(reviewed.select("bundle_id", F.col("_probe").alias("probe")).distinct(), ["bundle_id", "probe"], "left_anti")
     added = open_.select("bundle_id", F.concat(F.lit("judge/"), "probe").alias("rule_id"), F.lit(2).alias("sev"), F.lit(1).alias("conf"), F.lit(False).alias("hard"))
     return reviewed.drop("_probe", "_p").unionByName(added, allowMissingColumns=True)
+
+
+def to_ask(states: DataFrame, questions: list[str], answers: DataFrame) -> DataFrame:
+    """state_hash and question, once each, that no recorded answer (state_hash, question) covers; states without a hash are asked nothing."""
+    every = states.filter(F.col("state_hash").isNotNull()).select("state_hash").distinct().select("state_hash", F.explode(F.array(*[F.lit(q) for q in questions])).alias("question"))
+    return every.join(answers.select("state_hash", "question").distinct(), ["state_hash", "question"], "left_anti")

@@ -567,6 +567,40 @@ def props_variant(spark, sf):
     return rows.groupBy("event_type").agg(F.count("*").alias("n"), F.count(k).alias("with_k"), F.max(k).alias("max_k"))
 
 
+@query(
+    """WITH a AS (SELECT doc_id, CASE WHEN instr(text, 'e') > 0 THEN left(text, instr(text, 'e') - 1) || '<e>' || substr(text, instr(text, 'e') + 1) END AS t FROM documents)
+    SELECT doc_id, md5(CASE WHEN instr(t, '.') > 0 THEN replace(t, '.', '!') END) AS edited FROM a"""
+)
+def edited_texts(spark, sf):
+    edits = F.array(*[F.struct(F.lit(a).alias("old"), F.lit(b).alias("new"), F.lit(c).alias("every")) for a, b, c in (("e", "<e>", False), (".", "!", True))])
+    return documents(spark, sf).select("doc_id", F.md5(guard.edited(F.col("text"), edits)).alias("edited"))
+
+
+@query("SELECT coalesce(a.doc_id, b.doc_id) AS path, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (FROM documents WHERE doc_id % 5 <> 0) a FULL JOIN (FROM documents WHERE doc_id % 7 <> 0) b USING (doc_id) WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR b.doc_id % 3 = 0")
+def file_changes(spark, sf):
+    rows = documents(spark, sf).select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("digest"), F.sha2(F.concat("text", F.lit("x")), 256).alias("other"))
+    after = rows.filter("path % 7 <> 0").select("path", F.when(F.col("path") % 3 == 0, F.col("other")).otherwise(F.col("digest")).alias("digest"))
+    return audit.changes(rows.filter("path % 5 <> 0"), after)
+
+
+@query("WITH e AS (SELECT 'sha256:' || sha256(user_id::VARCHAR) AS digest, arg_max(event_type, event_id) AS last, max(event_id) AS event_id FROM events GROUP BY ALL) SELECT digest, event_id FROM e WHERE last IN ('purchase', 'view')")
+def trusted_now(spark, sf):
+    """Events as a log of trust: some kinds trust a user's digest, the others end it."""
+    op = F.when(F.col("event_type").isin("purchase", "view"), "trust").otherwise("untrust")
+    log = table(spark, sf, "events").select(F.concat(F.lit("sha256:"), F.sha2(F.col("user_id").cast("string"), 256)).alias("digest"), op.alias("op"), "event_id")
+    return audit.trusted(log, ["event_id"])
+
+
+@query(
+    """WITH s AS (SELECT DISTINCT md5(text) AS state_hash FROM documents WHERE text IS NOT NULL), q AS (SELECT unnest(['hidden_agenda', 'obfuscation']) AS question)
+    SELECT * FROM s, q EXCEPT SELECT md5(text), 'obfuscation' FROM documents WHERE doc_id % 3 = 0"""
+)
+def judge_to_ask(spark, sf):
+    hashed = documents(spark, sf).select("doc_id", F.md5("text").alias("state_hash"))
+    answers = hashed.filter("doc_id % 3 = 0").select("state_hash", F.lit("obfuscation").alias("question"))
+    return judge.to_ask(hashed, ["hidden_agenda", "obfuscation"], answers)
+
+
 # ---- reports
 
 

@@ -21,6 +21,18 @@ def to_scan(targets: DataFrame, cache: DataFrame, policy: str) -> DataFrame:
     return targets.join(cache.filter(F.col("policy") == policy).select("digest").distinct(), "digest", "left_anti")
 
 
+def trusted(log: DataFrame, order: list[str]) -> DataFrame:
+    """The digests trusted now, with the columns of their last entry: log has digest and op (trust or untrust), the last one counts. Entries that name no digest are left out."""
+    return latest(log.filter(F.col("digest").rlike("^sha256:[0-9a-f]{64}$")), "digest", order).filter("op = 'trust'").drop("op")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """path and change (added, removed or changed) between two states (path, digest; a row a path)."""
+    rows = before.select("path", F.struct("digest").alias("_a")).join(after.select("path", F.struct("digest").alias("_b")), "path", "full")
+    change = F.when(F.col("_a").isNull(), "added").when(F.col("_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return rows.select("path", change.alias("change")).filter("change is not null")
+
+
 def newly_flagged(now: DataFrame, before: DataFrame) -> DataFrame:
     """Flagged (path, digest) that were not flagged before."""
     return now.join(before.select("path", "digest").distinct(), ["path", "digest"], "left_anti")

@@ -183,3 +183,25 @@ def test_markdown_text(spark):
     assert got[1][:2] == ("", "``") and got[2][:2] == (None, None)
     runs = spark.createDataFrame([("deadbeef",), ("AB12",), ("zzzz",), ("z",), ("aB3",), (None,)], "r string")
     assert [r[0] for r in runs.select(X.looks_like_id(F.col("r"))).collect()] == [True, True, True, False, False, None]
+
+
+def test_edits_in_order(spark):
+    schema = "t string, e array<struct<old:string,new:string,every:boolean>>"
+    rows = [("aXbX", [("X", "$1", False)]), ("aXbX", [("X", "", True), ("ab", "c", False)]), ("a", [("x", "y", False), ("a", "b", False)]), (None, [("", "new", False), ("n", "N", False)]), (None, [("x", "y", False), ("", "z", False)]), ("a", [("", "z", False)]), ("a", [])]
+    got = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], schema + ", i int").orderBy("i").select(guard.edited(F.col("t"), F.col("e")))
+    assert [r[0] for r in got.collect()] == ["a$1bX", "c", None, "New", None, None, "a"]
+    files = spark.createDataFrame([("b", "p", "old"), ("b", "q", "kept")], "bundle_id string, path string, text string")
+    assert sorted(tuple(r) for r in guard.with_writes(files, files.filter("path = 'p'").withColumn("text", F.lit("new"))).collect()) == [("b", "p", "new"), ("b", "q", "kept")]
+
+
+def test_trust_changes_and_quarantine(spark):
+    a, b = "sha256:" + "a" * 64, "sha256:" + "b" * 64
+    log = spark.createDataFrame([(a, "trust", 1), (b, "trust", 2), (b, "untrust", 3), (a, "untrust", 0), ("a", "trust", 9)], "digest string, op string, at int")
+    now = audit.trusted(log, ["at"])
+    assert [tuple(r) for r in now.collect()] == [(a, 1)]
+    have = spark.createDataFrame([("x", None, a, 2), ("y", None, b, 2), ("z", "plugin", b, 2), ("w", "skill", b, 1)], "path string, kind string, digest string, verdict int")
+    assert [r["path"] for r in guard.quarantinable(have, now).collect()] == ["y"]
+    before = spark.createDataFrame([("x", "1"), ("y", "1"), ("z", None), ("v", None)], "path string, digest string")
+    after = spark.createDataFrame([("x", "1"), ("y", "2"), ("z", None), ("v", "1"), ("n", None)], "path string, digest string")
+    assert sorted(tuple(r) for r in audit.changes(before, after).collect()) == [("n", "added"), ("v", "changed"), ("y", "changed")]
+    assert [tuple(r) for r in audit.changes(before.limit(1), after.limit(0)).collect()] == [("x", "removed")]
