@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siftwell.llm.mixing import op10_source_mixing
 from siftwell.llm.classifier import op3_quality_classifier
+from siftwell.llm.conversations import OP12_SQL, op12_conversation_repair
 from siftwell.llm.fill_in_middle import OP11_SQL, op11_fill_in_middle
 from siftwell.llm.licenses import op5_license_scan
 from siftwell.llm.near_duplicates import op9_near_duplicates
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_source_mixing": op10_source_mixing,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_sharding": op13_sharding,
 }
-SQL: dict[str, str] = {"op4_warc_index": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_near_duplicates": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op13_sharding": OP13_SQL}
+SQL: dict[str, str] = {"op4_warc_index": OP4_SQL, "op7_quality_rules": OP7_SQL, "op9_near_duplicates": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_conversation_repair": OP12_SQL, "op13_sharding": OP13_SQL}

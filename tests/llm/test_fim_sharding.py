@@ -32,7 +32,7 @@ def plain_fim(doc_id, text, seed="1", plain_from=90, spm_below=20):
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     r = random.Random(4)
-    letters = "ab Z\n\t<>PSM|.0é中\U0001f600\u0000ÿ "
+    letters = "ab Z\n\t<>PSM|.0é中\U0001f600\u0000ÿ\u2028"
     rows = [(i, "".join(r.choice(letters) for _ in range(r.randrange(60)))) for i in range(300)]
     rows += [(400, ""), (401, None), (None, "no id at all"), (None, "no id at all"), (5, "same id, other text"), (5, "same id, other text"), (402, "holds <S> itself")]
     rows += [(500 + i, f"{'<' * (i % 3)}{'S>' * (i % 2)} x <{'P' * (i % 4)} y M> <S") for i in range(40)]
