@@ -2,9 +2,11 @@
 
 Templates are indexed by word and position. A file goes on if it has one of a
 template's words of highest IDF (over all files), so many that no placement with
-enough votes does without them; all its licence words then look up their postings; postings that agree on
-file position minus template position vote for one placement; a template with
-enough votes for a placement is named if its key phrases stand in the file.
+enough votes does without them; all its licence words then look up their
+postings. Postings whose file position minus template position lies within a
+band vote for one placement, so words put in, left out or replaced shift a
+notice and don't split it; a template of whose positions enough vote for a
+placement is named if its key phrases stand in the file.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: A placement needs this share of a template's rare words, and at least 2.
 LEAST_SHARE = 0.6
+#: Words by which the positions of one placement may be shifted against each other.
+BAND = 4
 
 
 @dataclass(frozen=True)
@@ -109,7 +113,9 @@ def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Templat
     postings = [(w, t, q) for t, x in enumerate(templates) for q, w in enumerate(words_of(x.text)) if w not in COMMON]
     sizes = [sum(1 for _, t, _ in postings if t == k) for k in range(len(templates))]
     needs = [max(2, math.ceil(LEAST_SHARE * n)) for n in sizes]
-    index = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(t).alias("t"), F.lit(q).alias("q")) for w, t, q in postings])
+    # template and position of each word, by word
+    of = {w: [(t, q) for x, t, q in postings if x == w] for w in vocab}
+    index = F.create_map(*[c for w, places in of.items() for c in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(q).alias("q")) for t, q in places]))])
     by_idf = sorted(vocab, key=lambda w: (-idf[w], w))
     # a placement that has enough of a template's words has one of these
     seeds = sorted({w for k in range(len(templates)) for w in sorted((w for w, t, _ in postings if t == k), key=by_idf.index)[: max(0, sizes[k] - needs[k] + 1)]})
@@ -133,13 +139,13 @@ def license_scan(docs: DataFrame, idf: dict[str, float], templates: list[Templat
     third = second.withColumns({"_base": base, "_hits": hits, "n_words": F.size("_words").cast("long")})
     third = third.withColumn("_joined", F.when(F.size("_hits") > 0, F.concat(F.lit(" "), F.array_join("_words", " "), F.lit(" ")))).drop("_words", "_rare", "_any")
 
-    votes = F.flatten(F.transform("_hits", lambda h: F.transform(F.filter(index, lambda p: p["w"] == h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("d")))))
+    votes = F.flatten(F.transform("_hits", lambda h: F.transform(F.try_element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["q"]).alias("d"), p["q"].alias("q")))))
     fourth = third.withColumn("_votes", F.sort_array(votes)).drop("_hits")
     need = F.array(*[F.lit(n) for n in needs])
-    # equal votes stand together: a placement has enough where the one need-1 further on is the same
-    enough = F.filter(
-        F.transform("_votes", lambda v, j: F.when(F.get("_votes", j + F.get(need, v["t"]) - 1) == v, v["t"])), lambda t: t.isNotNull()
-    )
+    # votes stand by template and shift: where need - 1 further on the shift is within the band, enough may agree; each position counts once
+    first_of = F.transform("_votes", lambda v, j: F.when((F.get("_votes", j + F.get(need, v["t"]) - 1)["t"] == v["t"]) & (F.get("_votes", j + F.get(need, v["t"]) - 1)["d"] <= v["d"] + BAND), v))
+    agree = lambda c: F.size(F.array_distinct(F.transform(F.filter("_votes", lambda v: (v["t"] == c["t"]) & v["d"].between(c["d"], c["d"] + BAND)), lambda v: v["q"])))
+    enough = F.transform(F.filter(F.array_distinct(F.transform(F.filter(first_of, lambda c: c.isNotNull()), lambda c: F.struct(c["t"].alias("t"), c["d"].alias("d")))), lambda c: agree(c) >= F.get(need, c["t"])), lambda c: c["t"])
     fifth = fourth.withColumn("_named", F.array_distinct(enough))
     keyed = [_all([F.col("_joined").contains(f" {k} ") for k in t.keys]) & F.array_contains("_named", i) for i, t in enumerate(templates)]
     found = F.filter(F.array(*[F.when(ok, F.lit(t.label)) for ok, t in zip(keyed, templates, strict=True)]), lambda x: x.isNotNull())
