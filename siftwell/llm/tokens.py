@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siftwell.llm.common import frugal, new_path, slices
+from siftwell.llm.common import frugal, join_dimension, new_path, slices, stored
 from siftwell.llm.words import ascii_words, ragged
 
 END_ID = 1
@@ -208,11 +208,18 @@ def read_tokens(spark: SparkSession, path: str, first: int | None = None, last:
     return rows if ids else rows.drop("ids")
 
 
+#: Files whose starts one task adds up.
+SHARDS_A_BLOCK = 4096
+
+
 def shard_starts(tokens: DataFrame) -> DataFrame:
-    """shard and the number of ids before it, from the metadata columns alone. The window sees one row a file."""
-    per = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    return per.select("shard", F.coalesce(before, F.lit(0)).alias("before"))
+    """shard and the number of ids before it, from the metadata columns alone: within blocks of files, and over the blocks, so a task sees some thousand rows of either."""
+    per = tokens.groupBy("shard").agg(F.sum("n_tokens").alias("n")).withColumn("block", F.floor(F.col("shard") / SHARDS_A_BLOCK))
+    upto = Window.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("block").agg(F.sum("n").alias("n"))
+    starts = blocks.select("block", F.coalesce(F.sum("n").over(upto.orderBy("block")), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("n").over(upto.partitionBy("block").orderBy("shard")), F.lit(0))
+    return per.withColumn("within", within).join(starts, "block").select("shard", (F.col("start") + F.col("within")).alias("before"))
 
 
 def token_digests(tokens: DataFrame) -> DataFrame:
@@ -228,8 +235,8 @@ def token_digests(tokens: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("shard"), b.column("shard_start"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(crc, pa.int64())], ["doc_id", "shard", "shard_start", "n_tokens", "ids_crc32"])
 
     read = tokens.select("doc_id", "shard", "shard_start", "ids").mapInArrow(frugal(run), "doc_id long, shard int, shard_start long, n_tokens long, ids_crc32 long")
-    starts = F.broadcast(shard_starts(tokens.drop("ids")))  # one small row a file
-    return read.join(starts, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
+    starts = stored(shard_starts(tokens.drop("ids")), "starts")
+    return join_dimension(read, starts, "shard").select("doc_id", (F.col("before") + F.col("shard_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
