@@ -104,7 +104,8 @@ def write_archives(pages: DataFrame, out: str, least_bytes: int = 0, file_bytes:
     rows = with_originals(captures(pages), least_bytes)
     total = pages.select(F.sum(F.octet_length(F.col("html").cast("string")))).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    dealt = rows.repartition(int(files), F.xxhash64("page_id", "sha1"))
+    # equal rows of one page, or of none, spread by where they were read
+    dealt = rows.repartition(int(files), F.xxhash64("page_id", "sha1", F.spark_partition_id()))
     dealt.select(record(rows).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(out)
 
 
