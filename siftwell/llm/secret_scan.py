@@ -5,7 +5,9 @@ begins), I (it goes on) or O, by the word's shape, its two neighbours' shapes,
 the distance to the last key word and features of the file. Every word of a
 text is scored, and whole texts are decoded by Viterbi, all texts of a batch at
 once. Weights are learned by maximum likelihood from windows of a bounded
-sample of texts, the values found by the patterns being its secrets.
+sample of texts, the values found by the patterns being its secrets; plain words
+that the field then takes for secrets are learned again as such. How sure it
+has to be is set on texts held out, by planted secrets and plain words.
 """
 
 from __future__ import annotations
@@ -288,10 +290,12 @@ def _gradients(field: Field, x: np.ndarray, around: np.ndarray, y: np.ndarray, r
     return [g_words, near.reshape(-1, near.shape[2]).T @ d.reshape(-1, 3), g_moves]
 
 
-def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> Field:
-    """Maximum likelihood by Adam over all chains. Features are kept as bytes, and TRAIN_CHUNK windows are worked on at a time, so memory stays small."""
+def train(found: list[Chain], tags: list[np.ndarray], steps: int = 150, rate: float = 0.1, penalty: float = 1e-3, begin: Field | None = None) -> Field:
+    """Maximum likelihood by Adam over all chains, from zeros or another field. Features are kept as bytes, and TRAIN_CHUNK windows are worked on at a time, so memory stays small."""
     n, features = len(SHAPES), AROUND
     field = Field(np.zeros((3, n, 3), np.float64), np.zeros((features, 3)), np.zeros((3, 3)))
+    if begin is not None:
+        field = Field(begin.words.copy(), begin.around.copy(), begin.moves.copy())
     if not any((t != O).any() for t in tags):
         field.words[0][0, O] = 1.0  # nothing to learn from: all words are O
         return field
@@ -384,17 +388,52 @@ def _cuts(tags: np.ndarray) -> list[int]:
     return cuts
 
 
+#: One text in so many is held out to set the threshold; passes and steps that learn again what was taken for a secret, and how often such a window counts.
+HELD_OUT, MINING, MINING_STEPS, MINED_WEIGHT = 4, 2, 60, 6
+#: Steps by which an O word's score is raised, the margin added to the least one that will do, and the share of the field's spans that have to be planted secrets.
+SHIFTS, MARGIN, PRECISION = np.arange(0, 12.5, 0.5), 1.5, 0.95
+_RISKY = [SHAPES.index(x) for x in ("long", "very_long", "digit", "mixed_letters", "key_word", "quoted", "case_changes", "long_letters", "consonants")]
+
+
+def _windows(w: Words, j: int, tags: np.ndarray, chosen: list[tuple[int, int]]) -> list[tuple[Chain, np.ndarray]]:
+    """Chains and tags of some windows of text j."""
+    first, out = int(w.offsets[j]), []
+    for a, b in chosen:
+        at = np.concatenate([[w.before[first + a]], w.own[first + a : first + b], [w.after[first + b - 1]]])
+        out.append((Chain(w.shapes[at].astype(np.uint8), w.around[first + a : first + b].astype(np.uint8)), tags[a:b].astype(np.int8)))
+    return out
+
+
+def _tagged(text: str, n: int, values: list[tuple[int, int]]) -> np.ndarray:
+    """Tags of a text's n words where the secrets stand at `values`."""
+    spans = np.array([m.span() for m in _WORD.finditer(text)])
+    tags = np.full(n, O)
+    for s, e in sorted(values, reverse=True):
+        a, b = np.searchsorted(spans[:, 1], s, "right"), np.searchsorted(spans[:, 0], e)
+        tags[a:b], tags[a : a + 1] = I, B
+    return tags
+
+
+def _parts(items: Iterator, size: int = 16) -> Iterator[list]:
+    while part := list(islice(items, size)):
+        yield part
+
+
 def learn(texts: list[str], seed: int = 1) -> Field:
     """Weights from texts, the values that the patterns find being the secrets.
 
     Each text with secrets is also learned with its secrets rewritten, so that
     the field goes by shape and neighbours and not by one pattern. Texts are cut
-    into windows of LONGEST_TRAINED words for training.
+    into windows of LONGEST_TRAINED words for training. Where a text as it
+    stands has words that the field takes for secrets and no pattern does, their
+    windows are learned again as plain. One text in HELD_OUT takes no part: it
+    sets the threshold (see calibrated).
     """
     r = np.random.default_rng(seed)
+    held, used = texts[::HELD_OUT], [t for k, t in enumerate(texts) if k % HELD_OUT]
 
     def known() -> Iterator[tuple[bool, str, list[tuple[int, int]]]]:
-        for t in texts:
+        for t in used:
             base = base_spans(t)
             yield False, t, [x[3:] for x in base]
             for _ in range(COPIES if base else 0):
@@ -402,37 +441,97 @@ def learn(texts: list[str], seed: int = 1) -> Field:
 
     secret: list[tuple[Chain, np.ndarray]] = []
     rest: list[tuple[Chain, np.ndarray]] = []
-    risky = [SHAPES.index(x) for x in ("long", "very_long", "digit", "mixed_letters", "key_word", "quoted", "case_changes")]
-    every = known()
-    while part := list(islice(every, 16)):
+    for part in _parts(known()):
         w = featured(pa.array([t for _, t, _ in part], pa.string()))
         for j, (copy, text, values) in enumerate(part):
             first, end = int(w.offsets[j]), int(w.offsets[j + 1])
             if first == end:
                 continue
-            spans = np.array([m.span() for m in _WORD.finditer(text)])
-            tags = np.full(end - first, O)
-            for s, e in sorted(values, reverse=True):
-                a, b = np.searchsorted(spans[:, 1], s, "right"), np.searchsorted(spans[:, 0], e)
-                tags[a:b], tags[a : a + 1] = I, B
+            tags = _tagged(text, end - first, values)
             cuts = _cuts(tags)
             windows = list(zip(cuts, cuts[1:], strict=False))
             has = [(a, b) for a, b in windows if (tags[a:b] != O).any()]
             none = [] if copy else [(a, b) for a, b in windows if (tags[a:b] == O).all()]
-            odd = np.concatenate([[0], np.cumsum(w.shapes[w.own[first:end]][:, risky].sum(1))])
+            odd = np.concatenate([[0], np.cumsum(w.shapes[w.own[first:end]][:, _RISKY].sum(1))])
             none.sort(key=lambda x: odd[x[0]] - odd[x[1]])
             few = none[: PLAIN_WINDOWS // 2] + [none[k] for k in r.integers(PLAIN_WINDOWS // 2, max(len(none), PLAIN_WINDOWS // 2 + 1), size=PLAIN_WINDOWS // 2) if k < len(none)]
-            for kept, some in ((secret, [has[k] for k in r.permutation(len(has))[:TEXT_WINDOWS]]), (rest, few)):
-                for a, b in some:
-                    at = np.concatenate([[w.before[first + a]], w.own[first + a : first + b], [w.after[first + b - 1]]])
-                    kept.append((Chain(w.shapes[at].astype(np.uint8), w.around[first + a : first + b].astype(np.uint8)), tags[a:b].astype(np.int8)))
+            secret += _windows(w, j, tags, [has[k] for k in r.permutation(len(has))[:TEXT_WINDOWS]])
+            rest += _windows(w, j, tags, few)
     # as many windows without a secret as eight times those with one are enough
     secret = [secret[k] for k in r.permutation(len(secret))[:SECRET_WINDOWS]]
     rest = [rest[k] for k in r.permutation(len(rest))[: 8 * len(secret) + 500]]
     field = train([c for c, _ in secret + rest], [t for _, t in secret + rest])
-    del secret, rest
+    mined: list[tuple[Chain, np.ndarray]] = []
+    for _ in range(MINING if secret else 0):
+        found = [x for part in _parts(iter(used)) for x in _mistaken(part, field)]
+        if not found:
+            break
+        mined += found[: SECRET_WINDOWS // MINED_WEIGHT]
+        every = secret + rest + mined * MINED_WEIGHT
+        field = train([c for c, _ in every], [t for _, t in every], steps=MINING_STEPS, begin=field)
+    del secret, rest, mined
     release_memory()
-    return field
+    return calibrated(field, held, seed)
+
+
+def _mistaken(texts: list[str], field: Field) -> list[tuple[Chain, np.ndarray]]:
+    """Windows of texts in which the field tags words that the patterns don't find, as plain words."""
+    w = featured(pa.array(texts, pa.string()))
+    tags = viterbi(w.scores(field), field.moves, w.offsets[:-1][np.diff(w.offsets) > 0])
+    out = []
+    for j in np.unique(np.searchsorted(w.offsets, np.flatnonzero(tags != O), "right") - 1).tolist():
+        first, end = int(w.offsets[j]), int(w.offsets[j + 1])
+        right = _tagged(texts[j], end - first, [x[3:] for x in base_spans(texts[j])])
+        wrong = np.flatnonzero((tags[first:end] != O) & (right == O))
+        cuts = _cuts(right)
+        chosen = sorted({(cuts[k], cuts[k + 1]) for k in (np.searchsorted(cuts, wrong, "right") - 1).tolist()})
+        out += _windows(w, j, right, chosen)
+    return out
+
+
+def judged(field: Field, texts: list[str], seed: int = 2, shifts: np.ndarray = np.zeros(1)) -> list[tuple[int, int, int, int]]:
+    """For each shift of an O word's score: spans of the field in texts as they stand that no pattern has, planted secrets that it finds, planted ones, and spans that are neither. Secrets are planted into copies of the texts that have some (see varied)."""
+    r = np.random.default_rng(seed)
+    cases = [(t, [x[3:] for x in base_spans(t)], False) for t in texts]
+    cases += [(*varied(t, base[:200], r), True) for t in texts if (base := base_spans(t)) for _ in range(2)]
+    out = np.zeros((len(shifts), 4), int)
+    for part in _parts(iter(cases), 64):
+        w = featured(pa.array([t for t, _, _ in part], pa.string()))
+        scores, full = w.scores(field), w.offsets[:-1][np.diff(w.offsets) > 0]
+        gold = [_tagged(t, int(n), v) if n else np.zeros(0, int) for (t, v, _), n in zip(part, np.diff(w.offsets), strict=True)]
+        known = [_tagged(t, int(n), [x[3:] for x in base_spans(t)]) if n else np.zeros(0, int) for (t, _, _), n in zip(part, np.diff(w.offsets), strict=True)]
+        for k, shift in enumerate(shifts):
+            moved = scores.copy()
+            moved[:, O] += shift
+            tags = viterbi(moved, field.moves, full)
+            for j, (_, _, planted) in enumerate(part):
+                got = tags[w.offsets[j] : w.offsets[j + 1]]
+                # runs of the field, less those that the patterns have already
+                starts = np.flatnonzero((got != O) & np.concatenate([[True], (got[:-1] == O) | (got[1:] == B)])[: len(got)])
+                ends = [int(np.flatnonzero(np.append(got[s + 1 :], O) != I)[0]) + s + 1 for s in starts]
+                runs = [(s, e) for s, e in zip(starts.tolist(), ends, strict=True) if (known[j][s:e] == O).all()]
+                wrong = sum((gold[j][s:e] == O).all() for s, e in runs)
+                if not planted:
+                    out[k, 0] += wrong
+                    continue
+                secrets = [s for s in np.flatnonzero(gold[j] == B).tolist() if known[j][s] == O]
+                covered = np.zeros(len(got) + 1, bool)
+                for s, e in runs:
+                    covered[s:e] = True
+                out[k] += [0, sum(covered[s] for s in secrets), len(secrets), wrong]
+    return [tuple(x) for x in out.tolist()]
+
+
+def calibrated(field: Field, texts: list[str], seed: int = 2) -> Field:
+    """field with the O tag raised by the least shift, and MARGIN, at which it finds nothing in held-out texts as they stand and at least PRECISION of its spans in planted ones are the secrets; by the greatest one where none will do. Without held-out texts it stays as it is."""
+    if not texts:
+        return field
+    results = judged(field, texts, seed, SHIFTS)
+    fine = [k for k, (false, hits, _, wrong) in enumerate(results) if not false and wrong <= (1 - PRECISION) * (hits + wrong)]
+    shift = SHIFTS[fine[0]] + (MARGIN if fine[0] else 0) if fine else SHIFTS[-1]
+    words = field.words.copy()
+    words[0][SHAPES.index("bias"), O] += shift
+    return Field(words, field.around, field.moves)
 
 
 def sample_texts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> list[str]:
