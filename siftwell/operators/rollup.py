@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,7 +70,59 @@ def verdict_rollup(findings: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def bundle_digest(files: DataFrame) -> DataFrame:
-    """bundle_id and sha256 over its files' paths and hashes in path order. A row a file is short, texts are hashed before they meet."""
-    part = F.concat(F.col("path"), F.lit("\x00"), F.sha2(F.col("text"), 256), F.lit("\n"))
-    per = files.groupBy("bundle_id").agg(F.array_sort(F.collect_list(F.struct("path", part.alias("part")))).alias("p"))
-    return per.select("bundle_id", F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform("p", lambda x: x["part"]), ""), 256)).alias("digest"))
+    """bundle_id and sha256 over its files' paths and hashes in path order, read as a stream: a task hashes one bundle's rows one by one and holds none of them. tree_digest() spreads a bundle over tasks."""
+    rows = files.select("bundle_id", "path", F.concat(F.col("path"), F.lit("\x00"), F.sha2(F.col("text"), 256), F.lit("\n")).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundle, digest, names = None, None, []
+        for b in batches:
+            for name, part in zip(b.column("bundle_id"), b.column("part"), strict=True):
+                name, part = name.as_py(), part.as_py()
+                if digest is None or name != bundle:
+                    if digest is not None:
+                        names.append((bundle, "sha256:" + digest.hexdigest()))
+                    bundle, digest = name, hashlib.sha256()
+                digest.update(b"" if part is None else part.encode())
+            yield made(names)
+            names = []
+        if digest is not None:
+            yield made([(bundle, "sha256:" + digest.hexdigest())])
+
+    def made(names: list[tuple[str, str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([n for n, _ in names], pa.string()), pa.array([d for _, d in names], pa.string())], ["bundle_id", "digest"])
+
+    return rows.repartition("bundle_id").sortWithinPartitions("bundle_id", "path").mapInArrow(run, "bundle_id string, digest string")
+
+
+#: Hexadecimal digits of a path's hash that name a leaf, and by which its parents are told, up to the root. Fixed values of the digest.
+LEAF_DIGITS, NODE_DIGITS = 6, (4, 2, 0)
+
+
+def tree_digest(entries: DataFrame, by: str, path: str = "path", content: str = "hash") -> DataFrame:
+    """by and digest: a hash tree over each group's entries (path and hash of content; repeated entries count once).
+
+    A leaf takes the entries whose path's SHA-256 begins with the same
+    LEAF_DIGITS, in order of path; a node takes its children, in order. The cut
+    depends on paths alone, so equal entries give equal digests however they are
+    dealt out, and trees of parts can be merged. A leaf holds a 16.8 millionth
+    of a group, a node at most 256 children, so no task holds a group.
+    """
+    name = lambda n: F.substring(F.col("_p"), 1, n) if n else F.lit("")
+    rows = entries.select(F.col(by), F.col(path).alias("_path"), F.col(content).alias("_hash")).distinct().withColumn("_p", F.sha2(F.col("_path"), 256))
+    part = F.concat("_path", F.lit("\x00"), F.coalesce("_hash", F.lit("")), F.lit("\n"))
+    joined = lambda: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_part"))), lambda x: x["_part"]), ""), 256)
+    level = rows.select(by, name(LEAF_DIGITS).alias("_p"), F.struct("_path", "_hash").alias("_at"), part.alias("_part")).groupBy(by, "_p").agg(joined().alias("_d"))
+    for digits in NODE_DIGITS:
+        part = F.concat("_p", F.lit(":"), "_d", F.lit("\n"))
+        level = level.select(by, name(digits).alias("_up"), F.col("_p").alias("_at"), part.alias("_part")).groupBy(by, F.col("_up").alias("_p")).agg(joined().alias("_d"))
+    return level.select(by, F.concat(F.lit("tree:"), "_d").alias("digest"))
+
+
+def bundle_tree_digest(files: DataFrame) -> DataFrame:
+    """bundle_id and digest of each bundle's files (path and text) as a tree."""
+    return tree_digest(files.select("bundle_id", "path", F.sha2("text", 256).alias("hash")), "bundle_id")
+
+
+def target_digest(bundles: DataFrame) -> DataFrame:
+    """target and digest of the bundles (target, bundle_id, digest) of each target as a tree."""
+    return tree_digest(bundles, "target", "bundle_id", "digest")

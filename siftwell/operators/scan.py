@@ -1,9 +1,11 @@
 """Matches of the rule catalog in files, graded by context, as findings and signals.
 
-A text goes on if it holds a string that some rule needs; its lines are tested
-against those rules in one projection, and the matches are stored. Context that takes other lines (fenced
-code, front matter, warnings above a list) is worked out by windows over the
-files that have a match, and a ladder of expressions grades each match.
+A text goes on if it holds a string that some rule needs, a run that may be
+encoded, or overlong lines; those few are stored, and all else is derived from
+them. Lines are tested against their text's rules in one projection; wording is
+matched over whole paragraphs too, so a sentence may wrap. Context is looked up
+in each text's intervals and lines, and a ladder of expressions grades each
+match.
 """
 
 from __future__ import annotations
@@ -12,11 +14,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.ranks import demote, lower_confidence, promote
-from siftwell.functions.text import clip, found_at, mask_matches, one_line, printable_ratio, reveal_invisible
-from siftwell.operators import classify
+from siftwell.functions.text import clip, found_at, mask_matches, one_line, reveal_invisible
+from siftwell.operators import classify, payloads
 from siftwell.operators.catalog import NEEDS_PATTERN, NEEDS_STRING, NEEDS_WORD, RULES, Rule, rules_table
+from siftwell.operators.downloads import download_hits
 from siftwell.operators.lines import is_cautionary, line_index
+from siftwell.operators.references import with_references
 from siftwell.operators.rollup import dedupe, worst
+from siftwell.operators.spans import contexts, placed, text_matches, unwrapped
 from siftwell.session import stored
 
 #: Words of a clause by which it forbids, or describes, what follows in it. Fixed values.
@@ -44,8 +49,12 @@ ODD_RULES = ("unicode/terminal-escape", "unicode/bidi-control", "unicode/zero-wi
 ODD = r"[\x00-\x08\x0E-\x1F\x7F\u115F\u1160\u200B\u202A-\u202E\u2060-\u2069\u3164\uFE00-\uFE0F\uFEFF\uFFA0\x{E0001}\x{E0020}-\x{E007F}\x{E0100}-\x{E01EF}]"
 
 
-def candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
-    """files that some rule may match, with may, the places of those rules: their kinds fit, and the text has one of a rule's words or strings (see the catalog's tables) or, for a rule without any, its pattern."""
+def gate(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """files that hold anything to look at, with may, the places of the rules that may match, hides, whether something may be encoded or invisible, and dense, whether a script has overlong lines.
+
+    A rule may match where its kinds fit and the text has one of the rule's words
+    or strings (see the catalog's tables) or, for a rule without any, its pattern.
+    """
     asked = sorted({w for r in rules for w in NEEDS_WORD.get(r.id, "").split()})
     low = files.withColumn("_low", F.lower(F.col("text")))
     held = F.array_intersect(F.array(*[F.lit(w) for w in asked]).cast("array<string>"), F.split("_low", "[^a-z0-9_]+"))
@@ -60,7 +69,14 @@ def candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
         return F.col("kind").isin(*r.kinds) & _any(tests)
 
     found = F.filter(F.array(*[F.when(may(r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
-    return _settled(low, may=found).drop("_low", "_held", "_odd").filter(F.size("may") > 0)
+    dense = (F.col("kind") == "script") & (F.length("text") >= LONGEST)
+    marked = _settled(low, may=found, hides=payloads.may_hide(F.col("text")), dense=dense)
+    return marked.drop("_low", "_held", "_odd").filter((F.size("may") > 0) | F.col("hides") | F.col("dense"))
+
+
+def candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """files that some rule may match, with may (see gate)."""
+    return gate(files, rules).filter(F.size("may") > 0).drop("hides", "dense")
 
 
 def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -82,7 +98,11 @@ def match_lines(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     Only texts that some rule may match are cut into lines, and a line is tested
     against those rules alone.
     """
-    lines = line_index(candidates(files, rules), keep=(*KEEP, "may"))
+    return _match_lines(candidates(files, rules), rules)
+
+
+def _match_lines(gated: DataFrame, rules: list[Rule]) -> DataFrame:
+    lines = line_index(gated, keep=(*KEEP, "may"))
     hits = F.filter(F.col("may"), lambda k: _case(k, [F.col("line_text").rlike(r.pattern) for r in rules]))
     found = _settled(lines, _hits=hits).filter(F.size("_hits") > 0).withColumn("rule_ord", F.explode("_hits")).drop("may", "_hits")
     matches = _case(F.col("rule_ord"), [F.regexp_extract_all("line_text", F.lit(r.pattern), F.lit(0)) for r in rules])
@@ -92,6 +112,21 @@ def match_lines(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return each.select(*found.columns, "_at.matched", "_at.at")
 
 
+def wrapped_matches(gated: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+    """As match_lines(), of gated texts: the matches of rules of wording that run over a line break within a paragraph. line is that of the first word, and line_text all lines of the match as one."""
+    wording = [(i, r) for i, r in enumerate(rules) if r.quote_aware]
+    if not wording:
+        return _match_lines(gated.limit(0), rules)
+    some = gated.filter(F.col("kind").isin("skill-md", "markdown", "text") & F.col("text").contains("\n"))
+    places = F.filter(F.transform(F.col("may"), lambda k: _case(k, [F.lit([i for i, _ in wording].index(n) if r.quote_aware else -1) for n, r in enumerate(rules)])), lambda k: k >= 0)
+    rows = _settled(some, _places=places, _flat=unwrapped(F.col("text"))).filter(F.size("_places") > 0)
+    rows = text_matches(rows, [r.pattern for _, r in wording], F.col("_places"), F.col("_flat"))
+    broken = F.filter("hits", lambda h: F.substring(F.col("text"), h["offset"] + 1, F.length(h["matched"])).contains("\n"))
+    found = placed(rows.withColumn("hits", broken), keep=KEEP)
+    ordinal = F.element_at(F.array(*[F.lit(i) for i, _ in wording]), F.col("rule") + 1)
+    return found.select("file_id", *KEEP, "line", "line_text", ordinal.alias("rule_ord"), "matched", (F.col("column") - 1).alias("at"))
+
+
 def _case(place: Column, values: list[Column]) -> Column:
     """The value at a place of a list, the others not evaluated."""
     out = F.when(place == 0, values[0])
@@ -100,76 +135,93 @@ def _case(place: Column, values: list[Column]) -> Column:
     return out
 
 
-def line_contexts(files: DataFrame, hits: DataFrame) -> DataFrame:
-    """file_id, line, in_fence, in_front and lead (the last heading or lead-in within 40 lines above) for the lines of files that have a hit."""
-    some = files.join(hits.select("file_id").distinct(), "file_id", "left_semi")
-    lines = line_index(some)
-    whole = Window.partitionBy("file_id").orderBy("line")
-    above = whole.rowsBetween(Window.unboundedPreceding, -1)
-    fence = F.col("line_text").rlike(r"^\s*(?:```|~~~)")
-    front = F.when(F.col("line_text").rlike(r"^---\s*$"), F.col("line"))
-    lead = F.when(F.col("line_text").rlike(r"(?::\s*$)|(?:^\s{0,3}#)"), F.col("line_text"))
-    marks = lines.select(
-        "file_id", "line",
-        (F.coalesce(F.sum(fence.cast("int")).over(above), F.lit(0)) % 2 == 1).alias("_open"), fence.alias("_fence"),
-        F.first(F.when(F.col("line") == 1, front)).over(whole.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_front"),
-        F.min(F.when(F.col("line") > 1, front)).over(Window.partitionBy("file_id")).alias("_front_end"),
-        F.last(lead, ignorenulls=True).over(whole.rowsBetween(-40, -1)).alias("lead"),
-    )
-    return marks.select("file_id", "line", (F.col("_open") & ~F.col("_fence")).alias("in_fence"), (F.col("_front").isNotNull() & (F.col("line") <= F.coalesce("_front_end", F.lit(0)))).alias("in_front"), "lead")
+#: Calls and literals that hold a pattern to search for, not a command. Fixed values.
+PATTERN_CALL = r"\bRegExp\s*\(|String\.raw`|\bre\.(?:compile|search|match|fullmatch|findall|finditer|sub|subn|split)\s*\(|\bregexp?\.MustCompile\s*\(|\bRegex\s*\("
+
+
+def _in_pattern(before: Column, after: Column) -> Column:
+    """Whether a match in code stands in a pattern: in a call that takes one, a raw string of Python, or a regular expression of JavaScript."""
+    spoken = F.coalesce(F.col("lang"), F.lower(F.regexp_extract("path", r"\.(\w+)$", 1)))
+    raw = spoken.isin("python", "py", "python3", "pyw") & ((before.rlike(r"\b[rR][bB]?\"[^\"]*$") & after.contains('"')) | (before.rlike(r"\b[rR][bB]?'[^']*$") & after.contains("'")))
+    literal = spoken.isin("javascript", "typescript", "js", "jsx", "ts", "tsx", "mjs", "cjs") & before.rlike(r"(?:^|[(,=:\[!&|?{};]|\breturn)\s*/(?![/*])(?:[^/\\\n]|\\.)*$") & after.rlike(r"^(?:[^/\\\n]|\\.)*/")
+    return F.concat(before, F.col("matched"), after).rlike(PATTERN_CALL) | F.coalesce(raw | literal, F.lit(False))
 
 
-def grade(hits: DataFrame) -> DataFrame:
-    """hits with region, sev and conf after the ladder; skipped matches leave.
+def _quoted(before: Column, after: Column, single: Column) -> Column:
+    """Whether a match stands within straight or curly quotation marks, or single ones where these count."""
+    within = lambda q: ((F.regexp_count(before, F.lit(q)) - F.regexp_count(before, F.lit("\\\\" + q))) % 2 == 1) & after.contains(q)
+    curly = before.rlike("\u201C[^\u201D]*$") & after.contains("\u201D")
+    return within('"') | curly | (single & within("'"))
 
-    In order: role, region, warning or quotation, comment or example, remote
-    command, overlong script line, path. A mention takes one step of severity
-    and all confidence.
+
+def grade(hits: DataFrame, decoded: bool = False) -> DataFrame:
+    """hits, with region, lang and lead (see spans.contexts), with sev and conf after the ladder; skipped matches leave.
+
+    In order: role, region, warning or quotation, comment, pattern or example,
+    remote command, overlong script line, path. A mention takes one step of
+    severity and all confidence. Decoded texts get no discount but that of the
+    path: nobody encodes documentation.
     """
-    markdown = F.col("kind").isin("skill-md", "markdown")
     before = F.expr("substring(line_text, 1, at)")
     after = F.expr("substring(line_text, at + length(matched) + 1)")
-    inline = F.regexp_count(before, F.lit("`")) % 2 == 1
-    hidden = before.rlike("<!--") & ~before.rlike("<!--.*-->")
-    region = F.when(~markdown, "code").when(F.col("in_front"), "frontmatter").when(hidden, "hidden").when(F.col("in_fence"), "code").when(inline, "inline-code").otherwise("prose")
-    rows = hits.withColumn("region", region)
-    role_effect = F.coalesce(F.try_element_at("roles", F.col("role")), F.lit("keep"))
-    region_effect = F.when(markdown, F.coalesce(F.try_element_at("regions", F.col("region")), F.lit("keep"))).otherwise("keep")
-    rows = rows.withColumns({"_role": role_effect, "_region": region_effect}).filter((F.col("_role") != "skip") & (F.col("_region") != "skip"))
+    markdown = F.col("kind").isin("skill-md", "markdown")
     shown = ~F.col("region").isin("hidden", "frontmatter")
-    hanging = F.col("line_text").rlike(r"^\s*(?:[-*+]|\d+[.)])\s")
-    # the match's own words don't warn of it
-    caution = F.col("heeds_caution") & shown & (is_cautionary(F.concat(before, F.lit(" "), after)) | (hanging & F.coalesce(is_cautionary(F.col("lead")), F.lit(False))))
-    quoted = F.col("quote_aware") & shown & (F.regexp_count(before, F.lit('["\\u201C\\u201D]')) % 2 == 1) & after.rlike('["\\u201C\\u201D]')
-    table = F.col("quote_aware") & shown & (F.col("region") == "prose") & F.col("line_text").rlike(r"^\s*\|.*\|\s*$")
-    in_code = (F.col("kind") == "script") | F.col("region").isin("code")
-    comment = in_code & before.rlike(r"^\s*(?:#(?!!)|//|--|;|\*|<!--|REM\b)|\s#\s|\s//\s")
-    example = before.rlike(r"(?i)\b(?:e\.g\.|for example|for instance|such as)[^.]{0,60}$")
-    remote = before.rlike(r"(?i)\b(?:ssh|kubectl\s+exec|docker\s+(?:run|exec)|podman\s+(?:run|exec))\b[^;&|]*$")
-    minified = (F.col("kind") == "script") & (F.length("line_text") > 1000)
     clause = F.regexp_extract(before, r"([^.;:!?\n]*)$", 1)
-    rows = rows.filter(~(F.col("polarity") & shown & clause.rlike(NEGATES)))
-    described = F.col("polarity") & shown & clause.rlike(DESCRIBES)
-    steps_down = described.cast("int") + caution.cast("int") + (~caution & quoted).cast("int") + (comment | (in_code & example)).cast("int") + F.coalesce(F.col("path_context").isin("dev", "educational"), F.lit(False)).cast("int")
-    raised = sum(((c == "raise").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
-    lowered = sum(((c == "lower-confidence").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + minified.cast("int") + F.coalesce(F.col("path_context") == "container", F.lit(False)).cast("int")
-    graded = rows.withColumns({"_down": steps_down, "_up": raised, "_low": lowered})
+    rows = hits.filter(~(F.col("polarity") & shown & clause.rlike(NEGATES)))
+    context = lambda *names: F.coalesce(F.col("path_context").isin(*names), F.lit(False)).cast("int")
+    down, up, low = context("dev", "educational"), F.lit(0), context("container")
+    if not decoded:
+        role_effect = F.coalesce(F.try_element_at("roles", F.col("role")), F.lit("keep"))
+        region_effect = F.when(markdown, F.coalesce(F.try_element_at("regions", F.col("region")), F.lit("keep"))).otherwise("keep")
+        rows = rows.withColumns({"_role": role_effect, "_region": region_effect}).filter((F.col("_role") != "skip") & (F.col("_region") != "skip"))
+        # the match's own words don't warn of it; what its line hangs on may
+        caution = F.col("heeds_caution") & shown & markdown & (is_cautionary(F.concat(before, F.lit(" "), after)) | F.coalesce(is_cautionary(F.col("lead")), F.lit(False)))
+        in_code = (F.col("kind") == "script") | (F.col("region") == "code")
+        quoted = F.col("quote_aware") & shown & (markdown | (F.col("kind") == "script")) & _quoted(before, after, in_code)
+        table = F.col("quote_aware") & markdown & (F.col("region") == "prose") & F.col("line_text").rlike(r"^\s*\|.*\|")
+        comment = before.rlike(r"^\s*(?:#(?!!)|//|--|;|\*|<!--|REM\b)|\s#\s|\s//\s")
+        example = before.rlike(r"(?i)\b(?:e\.g\.|for example|for instance|such as|i\.e\.)[^.;\n]{0,40}$")
+        remote = before.rlike(r"(?i)\b(?:ssh|kubectl\s+exec|docker\s+(?:run|exec)|podman\s+(?:run|exec))\b[^;&|]*$")
+        overlong = (F.col("kind") == "script") & (F.length("line_text") > 1000)
+        described = F.col("polarity") & shown & clause.rlike(DESCRIBES)
+        down = down + described.cast("int") + caution.cast("int") + (~caution & quoted).cast("int") + (in_code & (comment | _in_pattern(before, after) | example)).cast("int")
+        up = sum(((c == "raise").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
+        low = low + sum(((c == "lower-confidence").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + overlong.cast("int")
+    graded = rows.withColumns({"_down": down, "_up": up, "_low": low})
     sev = demote(promote(F.col("sev"), F.col("_up")), F.col("_down"))
     conf = F.when(F.col("_down") > 0, 0).otherwise(lower_confidence(F.col("conf"), F.col("_low")))
-    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "in_fence", "in_front", "lead", "regions", "roles", "heeds_caution", "quote_aware", "polarity")
+    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "lead", "lang", "regions", "roles", "heeds_caution", "quote_aware", "polarity")
 
 
-def scan(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
+def scan(files: DataFrame, rules: list[Rule] = RULES, decoded: bool = False) -> DataFrame:
     """Graded matches of files (see as_files), at most each rule's number a file: those of the smallest lines. Rules that are signals alone make no findings and have no cap.
 
-    Matches are stored once; context is worked out for their files alone.
+    Texts that may match and their matches are stored; context is looked up in
+    those texts alone.
     """
-    spark = files.sparkSession
-    hits = stored(match_lines(files, rules), "hits")
-    dim = F.broadcast(rules_table(spark, rules))  # as many rows as the catalog
-    rows = hits.join(dim, "rule_ord").join(line_contexts(files, hits), ["file_id", "line"])
+    return _scan(stored(candidates(files, rules), "gated"), files, rules, decoded)
+
+
+#: The rule that downloads which are saved and run belong to.
+SAVED_AND_RUN = "exec/download-then-execute"
+
+
+def _scan(gated: DataFrame, files: DataFrame, rules: list[Rule], decoded: bool = False) -> DataFrame:
+    columns = ["file_id", *KEEP, "line", "line_text", "rule_ord", "matched", "at"]
+    none = lambda name: F.lit(None).cast("int").alias(name)
+    hits = _match_lines(gated, rules).unionByName(wrapped_matches(gated, rules)).select(*columns, none("_sev"), none("_conf"))
+    ids = [r.id for r in rules]
+    if SAVED_AND_RUN in ids:
+        saved = download_hits(gated).withColumn("rule_ord", F.lit(ids.index(SAVED_AND_RUN)))
+        hits = hits.unionByName(saved.select(*columns, F.col("sev").alias("_sev"), F.col("conf").alias("_conf")))
+    hits = stored(hits, "hits")
+    dev = hits.filter((F.col("path_context") == "dev") & (F.col("kind") != "text")).select("bundle_id").distinct()
+    graded_in = hits if dev.isEmpty() else with_references(hits, files.join(dev, "bundle_id", "left_semi"))
+    dim = F.broadcast(rules_table(gated.sparkSession, rules))  # as many rows as the catalog
+    rows = graded_in.join(dim, "rule_ord").join(contexts(gated, hits), ["file_id", "line", "at"])
+    rows = rows.withColumns({"sev": F.coalesce("_sev", "sev"), "conf": F.coalesce("_conf", "conf")}).drop("_sev", "_conf")
     capped = Window.partitionBy("file_id", "rule_ord").orderBy("line", "at")
-    return grade(rows).withColumn("_n", F.row_number().over(capped)).filter((F.col("_n") <= F.col("most")) | F.col("rule_id").startswith("signal/")).drop("_n")
+    return grade(rows, decoded).withColumn("_n", F.row_number().over(capped)).filter((F.col("_n") <= F.col("most")) | F.col("rule_id").startswith("signal/")).drop("_n")
 
 
 def signals(matches: DataFrame) -> DataFrame:
@@ -234,12 +286,16 @@ def correlations(pairs: DataFrame) -> DataFrame:
     )
 
 
+#: Characters of a line, or of a line on average in a script of more than MEAN_OVER, from which on it is too dense. Fixed values.
+LONGEST, MEAN, MEAN_OVER = 3000, 500, 5000
+
+
 def minified(files: DataFrame) -> DataFrame:
     """Findings about scripts whose lines are too long to be read: one line of 3000 characters, or 500 on average over more than 5000."""
     size = F.transform(F.split(F.col("text"), "\n", -1), lambda x: F.length(x))
-    rows = files.filter((F.col("kind") == "script") & (F.length("text") >= 3000)).withColumn("_sizes", size)
+    rows = files.filter((F.col("kind") == "script") & (F.length("text") >= LONGEST)).withColumn("_sizes", size)
     longest, total = F.array_max("_sizes"), F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    found = rows.filter((longest >= 3000) | ((total / F.size("_sizes") > 500) & (total > 5000)))
+    found = rows.filter((longest >= LONGEST) | ((total / F.size("_sizes") > MEAN) & (total > MEAN_OVER)))
     return found.select(*_finding("obfuscation/minified-code", "Code too dense to be read", "obfuscation", F.lit(1), F.lit(1), False, F.array_position("_sizes", longest).cast("int"), F.concat(F.lit("longest line: "), longest.cast("string"))))
 
 
@@ -250,57 +306,48 @@ def _finding(rule: str, title: str, category: str, sev: Column, conf: Column, ha
     ]
 
 
-#: Runs that may be encoded text: 20 hexadecimal escapes, or 80 characters of base64, which hexadecimal digits are too. Fixed values.
-BLOB = r"(?:\\x[0-9A-Fa-f]{2}){20,}|(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{80,}={0,2}"
-LEAST_PRINTABLE = 0.85
-
-
-def encoded_blobs(files: DataFrame) -> DataFrame:
-    """files' columns with line, blob_at, encoding and text (decoded) of each run that decodes to readable text; file_id is the run's own."""
-    kept = [c for c in files.columns if c not in ("text", "file_id")]
-    lines = line_index(files.filter(F.col("text").rlike(BLOB)), keep=tuple(kept)).filter(F.col("line_text").rlike(BLOB))
-    runs = lines.withColumns({"_m": F.regexp_extract_all("line_text", F.lit(BLOB), F.lit(0)), "_p": F.split("line_text", BLOB, -1)})
-    found = _settled(runs, _places=found_at(F.col("_m"), F.col("_p"))).select("file_id", *kept, "line", F.explode("_places").alias("b"))
-    run = F.col("b.matched")
-    found = found.withColumn("encoding", F.when(run.startswith("\\x"), "escapes").when(run.rlike("^(?:[0-9A-Fa-f]{2})+$"), "hex").otherwise("base64"))
-    # a base64 run may have lost its padding
-    bare = F.regexp_replace(run, "=+$", "")
-    whole = F.rpad(bare, (F.ceil(F.length(bare) / 4) * 4).cast("int"), "=")
-    data = F.when(F.col("encoding") == "base64", F.try_to_binary(whole, F.lit("base64"))).otherwise(F.try_to_binary(F.regexp_replace(run, r"\\x", ""), F.lit("hex")))
-    rows = found.select(*kept, "line", F.col("b.at").alias("blob_at"), "encoding", F.xxhash64("file_id", "line", "b.at").alias("file_id"), F.try_validate_utf8(data.cast("string")).alias("text"))
-    return rows.filter(F.col("text").isNotNull() & (printable_ratio(F.col("text")) >= LEAST_PRINTABLE))
-
-
-def decoded_findings(files: DataFrame, rules: list[Rule] = RULES, depth: int = 2) -> DataFrame:
-    """Findings about encoded runs that hide something: runs are decoded, to `depth` layers, and scanned as scripts; the worst match of a run's layers makes its finding, at the run's place."""
-    layer, blobs = files, None
-    for k in range(depth):
-        found = encoded_blobs(layer)
-        if k:
-            found = found.withColumns({"line": F.col("_line"), "blob_at": F.col("_at")}).drop("_line", "_at")
-        made = stored(found.withColumns({"kind": F.lit("script"), "role": F.lit("code"), "path_context": F.lit(None).cast("string")}), "blobs")
-        blobs = made if blobs is None else blobs.unionByName(made)
-        if made.isEmpty():
-            if not k:
-                return made.select(*_payload(F.lit(0), F.lit("")))
-            break
-        layer = made.select(*files.columns, F.col("line").alias("_line"), F.col("blob_at").alias("_at"))
-    inner = scan(blobs.select(*files.columns), rules).filter(~F.col("rule_id").startswith("signal/") & (F.col("sev") >= 2))
-    worst_of = inner.groupBy("file_id").agg(F.max("sev").alias("top"), F.array_sort(F.collect_set("rule_id")).alias("rules"))  # at most as many as the catalog
-    rows = blobs.select("file_id", "bundle_id", "path", "line", "blob_at", "encoding").join(worst_of, "file_id")
-    per = rows.groupBy("bundle_id", "path", "line", "blob_at").agg(F.max("top").alias("top"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("rules")))).alias("rules"))
-    said = F.concat(F.lit("hides "), F.array_join("rules", ", "))
-    return per.select(*_payload(F.col("top"), said))
-
-
-def _payload(top: Column, said: Column) -> list[Column]:
-    return _finding("obfuscation/encoded-payload", "Encoded text that hides a risk", "obfuscation", F.when(top >= 4, 4).otherwise(3), F.lit(2), True, F.col("line"), said, F.col("blob_at") + 1)
+def payload_findings(grades: DataFrame) -> DataFrame:
+    """Findings about virtual files that hide something (see payloads.payload_grades), at their outermost run's place. A critical one isn't open to doubt."""
+    said = F.concat(F.col("encoding"), F.lit(" hides "), F.array_join("rules", ", "))
+    columns = _finding("obfuscation/encoded-payload", "Encoded text that hides a risk", "obfuscation", F.col("sev"), F.col("conf"), False, F.col("line"), said, F.col("at") + 1)
+    return grades.select(*[(F.col("sev") >= 4).alias("hard") if k == 6 else c for k, c in enumerate(columns)])
+
+
+def hidden_matches(files: DataFrame, rules: list[Rule] = RULES, depth: int = payloads.DEPTH) -> tuple[DataFrame, DataFrame] | None:
+    """Graded matches in all texts that files hide, at their places in the real files, and the grades of what hides them; None where nothing is hidden. A hidden text's path context is that of its real file, as far as nothing runs it."""
+    virtual = payloads.virtual_files(files.select(*FILE), depth)
+    if virtual is None:
+        return None
+    if not virtual.filter((F.col("path_context") == "dev")).isEmpty():
+        light = virtual.select("file_id", "bundle_id", "path", F.xxhash64("bundle_id", "path").alias("_real"), "path_context")
+        run = with_references(light.withColumnsRenamed({"file_id": "_virtual", "_real": "file_id"}), files.select(*FILE)).select(F.col("_virtual").alias("file_id"), F.col("path_context").alias("_context"))
+        virtual = stored(virtual.join(run, "file_id").withColumn("path_context", F.col("_context")).drop("_context"), "virtual")
+    matches = stored(scan(virtual.select(*FILE), rules, decoded=True), "hidden-matches")
+    return payloads.relocated(matches, virtual), payloads.payload_grades(matches, virtual, depth)
+
+
+def decoded_findings(files: DataFrame, rules: list[Rule] = RULES, depth: int = payloads.DEPTH) -> DataFrame:
+    """Findings about encoded runs and invisible messages that hide something, at the run's place."""
+    hidden = hidden_matches(files, rules, depth)
+    if hidden is None:
+        empty = files.limit(0).select("*", F.lit("").alias("encoding"), F.array(F.lit("")).alias("rules"), *[F.lit(0).alias(c) for c in ("sev", "conf", "line", "at")])
+        return payload_findings(empty)
+    return payload_findings(hidden[1])
+
+
+FILE = ["bundle_id", "file_id", "path", "kind", "role", "path_context", "text"]
 
 
 def scan_bundles(files: DataFrame, rules: list[Rule] = RULES, more: DataFrame | None = None) -> DataFrame:
-    """All findings of files: matches, correlations, unreadable code, encoded payloads and more (findings from elsewhere), without duplicates, the worst FINDINGS_PER_BUNDLE of each bundle."""
-    matches = stored(scan(files, rules), "matches")
-    rows = findings(matches).unionByName(correlations(strongest_pairs(signals(matches)))).unionByName(minified(files)).unionByName(decoded_findings(files, rules))
+    """All findings of files: matches, those in what they hide, correlations over both, unreadable code, encoded payloads and more (findings from elsewhere), without duplicates, the worst FINDINGS_PER_BUNDLE of each bundle."""
+    kept = stored(gate(files.select(*FILE), rules), "gated")
+    matches = stored(_scan(kept.filter(F.size("may") > 0), files.select(*FILE), rules), "matches")
+    hidden = hidden_matches(kept.filter("hides"), rules)
+    rows = minified(kept.filter("dense"))
+    if hidden is not None:
+        matches = matches.unionByName(hidden[0])
+        rows = rows.unionByName(payload_findings(hidden[1]))
+    rows = rows.unionByName(findings(matches)).unionByName(correlations(strongest_pairs(signals(matches))))
     if more is not None:
         rows = rows.unionByName(more)
     return worst(dedupe(rows), FINDINGS_PER_BUNDLE)
