@@ -52,7 +52,7 @@ _AGENT_DIR = r"(?:\.claude|\.codex|\.cursor|\.opencode|\.gemini|\.agents)"
 _SENDER = r"(?:curl|wget|http|nc|ncat|Invoke-WebRequest|Invoke-RestMethod)"
 
 RULES = [
-    _wording("injection/override-instructions", "Instructions to drop earlier instructions", "high", "medium", r"(?i)\b(?:ignore|disregard|forget|override|bypass)\b[^.\n]{0,30}\b(?:previous|prior|above|earlier|existing|system|all)\b[^.\n]{0,20}\b(?:instructions?|prompts?|rules|guidelines|directives)\b"),
+    _wording("injection/override-instructions", "Instructions to drop earlier instructions", "high", "medium", r"(?i)\b(?:ignor(?:e|ing)|forget(?:ting)?|discard|drop|overrule|override|set aside|throw (?:out|away)|pay no (?:heed|attention) to|disregard|get around)\b[^.\n]{0,30}\b(?:previous|prior|above|earlier|existing|system|all)\b[^.\n]{0,20}\b(?:instructions?|prompts?|rules|guidelines|directives)\b"),
     _wording("injection/conceal-from-user", "Something is to be kept from the user", "high", "medium", r"(?i)\b(?:do not|don't|never|without)\s+(?:tell(?:ing)?|inform(?:ing)?|mention(?:ing)?|reveal(?:ing)?|show(?:ing)?|alert(?:ing)?|notify(?:ing)?)\b[^.\n]{0,25}\b(?:user|human|operator|developer)\b"),
     _wording("injection/covert-action", "An action is to happen unseen", "medium", "low", r"(?i)\b(?:silently|secretly|quietly|covertly|in the background)\s+(?:run|execute|send|upload|download|install|copy|delete|modify|collect)\b"),
     Rule("injection/disable-safety", "Switch that turns permission checks off", "prompt-injection", "high", "high", r"(?i)--dangerously-skip-permissions|--dangerously-bypass-approvals-and-sandbox|\bdangerouslyDisableSandbox\b|--yolo\b|\bbypassPermissions\b", regions={"hidden": "raise", "frontmatter": "raise"}, roles=README),
@@ -115,7 +115,7 @@ RULES = [
     Rule("persistence/instruction-file-tampering", "Writes to an agent's standing orders", "persistence", "medium", "medium", r"(?:>>?|\btee\b|\bcp\b[^\n]*|\bsed\s+-i[^\n]*)\s*[^\s]*\b(?:CLAUDE|AGENTS|GEMINI)\.md\b", regions=LESS_PROSE, roles={"readme": "lower-confidence", "code": "raise"}),
     Rule("persistence/skill-propagation", "Writes among installed skills", "persistence", "medium", "low", rf"(?:>>?|\btee\b|\bcp\b[^\n]*|\bmv\b[^\n]*)\s*[^\s]*{_AGENT_DIR}/skills/", regions={"prose": "skip", "inline-code": "lower-confidence"}, roles={"readme": "skip"}),
     Rule("persistence/agent-extension-install", "Adds an extension to an agent", "execution-surface", "low", "high", r"(?i)\b(?:claude|codex|gemini)\s+(?:mcp\s+add|plugin\s+(?:install|marketplace\s+add))\b", roles=README, most=3),
-    Rule("destructive/delete-root-or-home", "Removes a root or home folder", "destructive", "critical", "high", r"\brm\s+(?:-[a-zA-Z]+\s+)*-[a-zA-Z]*[rR][a-zA-Z]*\s+(?:-[-a-zA-Z]+\s+)*[\"']?(?:/|~|\$HOME|\$\{HOME\})/?\*?[\"']?(?:\s|$|;|&)|(?i:\bRemove-Item\b[^\n]*-Recurse[^\n]*(?:C:\\\\?|\$HOME|~)(?:\s|$))", hard=True),
+    Rule("destructive/delete-root-or-home", "Removes a root or home folder", "destructive", "critical", "high", r"\brm(?:\s+--?[\w=-]+)*?\s+(?:-\w*[rR]\w*|--recursive)(?:\s+--?[\w=-]+)*\s+[\"']?(?:/|~/?|\$(?:HOME|\{HOME\})/?)\*?[\"']?(?:\s|$|;|&)|(?i:\bRemove-Item\b[^\n]*-Recurse[^\n]*(?:C:\\\\?|\$HOME|~)(?:\s|$))", hard=True),
     Rule("destructive/unguarded-variable-delete", "Removes a folder named by an unchecked variable", "destructive", "medium", "medium", r"\brm\s+-[a-zA-Z]*[rR][a-zA-Z]*\s+[\"']?\$\{?\w+\}?/", kinds=CODE_KINDS),
     Rule("destructive/disk-wipe", "Overwrites disks or their backups", "destructive", "critical", "high", r"(?i)\bdd\b[^\n]*\bof=/dev/(?:sd|nvme|disk|hd)|\bmkfs(?:\.\w+)?\s+[^\n]*/dev/|\bwipefs\b|\bvssadmin\s+delete\s+shadows|\bdiskutil\s+eraseDisk|\btmutil\s+delete", hard=True),
     Rule("destructive/recursive-permission-change", "Changes rights from the root down", "destructive", "high", "high", r"\bch(?:mod|own)\s+-[a-zA-Z]*R[a-zA-Z]*\s+\S+\s+/(?:\s|$)"),
