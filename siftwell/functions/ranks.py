@@ -44,10 +44,3 @@ def effective_severity(sev: Column, conf: Column) -> Column:
 def verdict(worst: Column, block_at: int = 3, warn_at: int = 2) -> Column:
     """Verdict rank for the greatest effective severity; pass for none."""
     return F.when(worst >= block_at, 2).when(worst >= warn_at, 1).otherwise(0)
-
-
-def apply_effect(sev: Column, conf: Column, effect: Column) -> tuple[Column, Column]:
-    """Severity and confidence after an effect by name: raise, lower-confidence, lower-severity, mention; any other keeps both. `skip` is for a filter."""
-    new_sev = F.when(effect == "raise", promote(sev)).when(effect.isin("lower-severity", "mention"), demote(sev)).otherwise(sev)
-    new_conf = F.when(effect == "lower-confidence", lower_confidence(conf)).when(effect == "mention", F.lit(0)).otherwise(conf)
-    return new_sev, new_conf

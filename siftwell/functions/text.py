@@ -128,11 +128,6 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def percent_encoded(path: Column) -> Column:
-    """A path as the path of a URI."""
-    return F.array_join(F.transform(F.split(path, "/"), lambda p: F.regexp_replace(F.url_encode(p), r"\+", "%20")), "/")
-
-
 def looks_like_id(run: Column) -> Column:
     """Whether a run is of lower-case hexadecimal digits, of capitals and digits, or of one character: digests and ids, no payloads."""
     return run.rlike(r"^(?:[a-f0-9]+|[A-Z0-9]+|(.)\1+)$")

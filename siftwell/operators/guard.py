@@ -79,6 +79,36 @@ def decide(found: DataFrame, reports: DataFrame, trusted: DataFrame, key: str =
     return rows.select(key, "ord", "kind", "source", action.cast("int").alias("action"), F.concat_ws(": ", "source", why).alias("reason"), tamper.alias("guard_required"))
 
 
+#: Kinds whose content changes only as the command runs, so it can't be scanned before: they run under the guard alone. Fixed values.
+UPDATES = ["git-update"]
+MOST_REASONS = 3
+
+
+def decide_commands(commands: DataFrame, reports: DataFrame, trusted: DataFrame, guarded: bool = False, key: str = "command_id", command: str = "command") -> DataFrame:
+    """key, action, reason and guard_required of whole commands, a row a command.
+
+    A command without installs is allowed. One that also touches the guard is
+    refused with all its installs, whatever their reports say. An update can't
+    be scanned before it runs: without the guard around it (guarded) it is
+    refused, with it allowed. Else the gravest install decides, and its first
+    reasons are given. A command has as many installs as simple commands.
+    """
+    found = decide(intents(commands, key, command), reports, trusted, key)
+    update = F.col("kind").isin(*UPDATES)
+    action = F.when(update, 0 if guarded else 2).otherwise(F.col("action"))
+    reason = F.when(update, F.concat(F.lit("can only be scanned as it lands"), F.lit("" if guarded else ", so it has to run under the guard"))).otherwise(F.col("reason"))
+    rows = found.select(key, "ord", (F.col("kind") == "tamper").alias("_tamper"), update.alias("_update"), action.alias("action"), reason.alias("reason"))
+    per = rows.groupBy(key).agg(
+        F.bool_or("_tamper").alias("_tampered"), F.bool_and("_tamper").alias("_only"), F.bool_or("_update").alias("guard_required"), F.max("action").alias("_top"), F.array_sort(F.collect_list(F.struct((-F.col("action")).alias("a"), "ord", "reason"))).alias("_all")
+    )
+    gravest = F.transform(F.slice(F.filter("_all", lambda x: x["a"] == -F.col("_top")), 1, MOST_REASONS), lambda x: x["reason"])
+    refused = F.col("_tampered") & ~F.col("_only")
+    told = F.when(refused, "touches the guard that its installs rely on").when(F.col("_top") == 0, "").otherwise(F.array_join(gravest, "; "))
+    decided = per.select(key, F.when(refused, 2).otherwise(F.col("_top")).alias("_action"), told.alias("_reason"), "guard_required")
+    every = commands.select(key).distinct().join(decided, key, "left")
+    return every.select(key, F.coalesce("_action", F.lit(0)).cast("int").alias("action"), F.coalesce("_reason", F.lit("")).alias("reason"), F.coalesce("guard_required", F.lit(False)).alias("guard_required"))
+
+
 def flagged_untrusted(flagged: DataFrame, trusted: DataFrame) -> DataFrame:
     """Flagged entries (path, digest) less those whose digest is trusted."""
     return flagged.join(trusted.select("digest").distinct(), "digest", "left_anti")

@@ -43,15 +43,3 @@ CAUTION = r"(?i)\b(?:never|do not|don't|avoid|warning|caution|dangerous|unsafe|m
 
 def is_cautionary(text: Column) -> Column:
     return text.rlike(CAUTION)
-
-
-def with_caution(lines: DataFrame, key: str = "file_id", look_back: int = 40) -> DataFrame:
-    """lines with caution: the line warns, or hangs in a list or paragraph from a heading or lead-in within look_back lines that does.
-
-    A lead-in is the last line before that ends in a colon or is a heading.
-    """
-    lead = F.when(F.col("line_text").rlike(r"(?::\s*$)|(?:^\s{0,3}#)"), F.col("line_text"))
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(-look_back, -1)
-    hanging = F.col("line_text").rlike(r"^\s*(?:[-*+]|\d+[.)])\s")
-    above = F.last(lead, ignorenulls=True).over(w)
-    return lines.withColumn("caution", is_cautionary(F.col("line_text")) | (hanging & F.coalesce(is_cautionary(above), F.lit(False))))

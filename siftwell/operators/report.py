@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as X
 from siftwell.functions.ranks import CONFIDENCES, SEVERITIES, VERDICTS, name_of
+from siftwell.session import stored
 from siftwell.operators.rollup import order, worst
 
 #: Level and score of a code scanning alert by severity rank. Fixed values.
@@ -101,6 +102,53 @@ def write_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
+def sarif_log(findings: DataFrame, rules: DataFrame, prefix: str = "", tool: str = "siftwell", version: str = "0.3.0") -> DataFrame:
+    """place and line: one SARIF 2.1.0 document of a target as lines of text, in order of place, worst findings first.
+
+    findings as in sarif_results, rules as in sarif_rules. Lines are made in
+    parallel, a result a line; write_document() puts them into one file.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("id", F.to_json(F.struct("*")).alias("json"))))
+    head = sarif_rules(rules).agg(F.array_join(F.transform(listed, lambda x: x["json"]), ",").alias("rules"))  # a row a rule
+    head = head.select(
+        F.lit(0).cast("long").alias("place"),
+        F.concat(F.lit(f'{{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"{tool}","version":"{version}","rules":['), "rules", F.lit("]}},"), F.lit('"columnKind":"unicodeCodePoints","results":[')).alias("line"),
+    )
+    ordered = numbered(findings, [*order(), F.col("bundle_id"), F.coalesce("column", F.lit(0))])
+    results = sarif_results(ordered.withColumn("bundle_id", F.struct("bundle_id", "place")), prefix, tool)
+    result = F.to_json(F.col("result").withField("properties", F.col("result.properties").withField("bundle", F.col("bundle_id.bundle_id"))))
+    body = results.select(F.col("bundle_id.place").alias("place"), F.concat(F.when(F.col("bundle_id.place") > 1, ",").otherwise(""), result).alias("line"))
+    foot = findings.sparkSession.range(1).select(F.lit(2**62).alias("place"), F.lit("]}]}").alias("line"))
+    return head.unionByName(body).unionByName(foot)
+
+
+def text_report(verdicts: DataFrame, findings: DataFrame, most: int = 20) -> DataFrame:
+    """bundle_id, place and line: a report for people, flagged bundles first by name, each with its verdict, its worst findings and how many more there are."""
+    head = one_line(verdicts).join(verdicts.select("bundle_id", "verdict"), "bundle_id").select("bundle_id", "verdict", F.lit(0).alias("place"), F.col("summary").alias("line"))
+    said = F.concat(F.lit("  "), F.rpad(name_of(F.col("sev"), SEVERITIES), 9, " "), F.col("rule_id"), F.lit("  "), X.reveal_invisible(location(F.col("file"), F.col("line"))), F.lit("  "), X.reveal_invisible(F.col("message")))
+    top = worst(findings, most).withColumn("place", F.row_number().over(Window.partitionBy("bundle_id").orderBy(*order(), "ord")))
+    rows = top.join(verdicts.select("bundle_id", "verdict"), "bundle_id").select("bundle_id", "verdict", "place", said.alias("line"))
+    more = findings.groupBy("bundle_id").agg((F.count("*") - most).alias("n")).filter("n > 0").join(verdicts.select("bundle_id", "verdict"), "bundle_id")
+    rest = more.select("bundle_id", "verdict", F.lit(most + 1).alias("place"), F.concat(F.lit("  and "), F.col("n").cast("string"), F.lit(" more")).alias("line"))
+    every = head.unionByName(rows).unionByName(rest)
+    return numbered(every, [F.desc("verdict"), F.col("bundle_id"), F.col("place")], "at").select("bundle_id", F.col("at").alias("place"), "line")
+
+
+def numbered(rows: DataFrame, by: list[Column], name: str = "place") -> DataFrame:
+    """rows with their place, from 1, in an order over all of them: counts of ranges place a range, so no task holds more than one."""
+    ranged = stored(rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a range
+    starts = sizes.select(F.col("_part").alias("_range"), (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*by))
+    placed = ranged.withColumn("_within", within).join(starts, F.col("_part") == F.col("_range"))
+    return placed.withColumn(name, (F.col("_start") + F.col("_within")).cast("long")).select(*rows.columns, name)
+
+
+def write_document(lines: DataFrame, path: str) -> None:
+    """Lines (place, line) as one text file in order of place. One task writes it, as one file must be, and holds a line at a time."""
+    lines.repartitionByRange(1, "place").sortWithinPartitions("place").select("line").write.mode("overwrite").text(path)
+
+
 def counts_phrase() -> Column:
     """`2 critical, 1 high` of the columns n_<severity>, worst first; empty for none."""
     return F.concat_ws(", ", *[F.when(F.col(f"n_{s}") > 0, F.concat_ws(" ", F.col(f"n_{s}").cast("string"), F.lit(s))) for s in reversed(SEVERITIES)])

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siftwell.operators import answers, downloads, references, rollup, scan, spans, target, unicode_runs
+from siftwell.operators import answers, downloads, guard, references, rollup, scan, spans, target, unicode_runs
 from siftwell.operators.catalog import RULES
 from siftwell.operators import classify
 from siftwell.plans.queries import _sql_text, documents, query
@@ -372,3 +372,25 @@ def answers_by_content(spark, sf):
     answers.record(first.withColumns({"p": F.lit(0.5), "asked_at": F.lit(1).cast("long")}), path, 0)
     left = lambda name, fp: answers.to_ask(states, fp, path, 0).groupBy("state_hash").agg(F.count("*").alias("n")).withColumn("policy", F.lit(name))
     return left("same", policy).unionByName(left("changed", answers.policy_fingerprint({"block_at": "critical"}))).select("policy", "state_hash", "n")
+
+
+#: Commands, and the action (0 allow, 1 ask, 2 deny), reason and need of the guard that they get from the reports below. Expectations of the specification.
+COMMANDS = [
+    ("ls -la && echo done", 0, "", False), ("npx skills add owner/good", 0, "", False), ("npx skills add owner/odd", 1, "owner/odd: verdict warn", False), ("npx skills add owner/bad", 2, "owner/bad: verdict block", False),
+    ("npx skills add owner/new", 1, "owner/new: not scanned", False), ("npx skills add owner/good && claude plugin install owner/bad", 2, "owner/bad: verdict block", False), ("npx skills add owner/kept", 0, "", False),
+    ("export SKILL_GUARD_MODE=off && npx skills add owner/good", 2, "touches the guard that its installs rely on", False), ("cd x && git pull", 2, "can only be scanned as it lands, so it has to run under the guard", True),
+    ("sh -c 'npx skills add owner/bad'", 2, "owner/bad: verdict block", False), ("npx skills add owner/odd; npx skills add owner/new", 1, "owner/odd: verdict warn; owner/new: not scanned", False), ("echo 'npx skills add owner/bad'", 0, "", False),
+]
+REPORTS = [("owner/good", 0, "d0"), ("owner/odd", 1, "d1"), ("owner/bad", 2, "d2"), ("owner/kept", 2, "d3")]
+
+
+@query(
+    f"""SELECT conv_id || ':' || turn AS command_id, action::INT AS action, reason, required AS guard_required FROM conversations
+    JOIN (VALUES {values([(v, c[1], c[2], c[3]) for v, c in enumerate(COMMANDS)])}) c(v, action, reason, required) ON (conv_id * 7 + turn) % {len(COMMANDS)} = v"""
+)
+def command_decisions(spark, sf):
+    """What the guard does with whole commands, one planted at the end of each turn of conversations."""
+    v = F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.lit(len(COMMANDS)))
+    rows = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("command_id"), F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), "['\"();&|$]", " "), F.lit("\n"), pick([c[0] for c in COMMANDS], v)).alias("command"))
+    reports = spark.createDataFrame(REPORTS, "source string, verdict int, digest string")
+    return guard.decide_commands(rows, reports, spark.createDataFrame([("d3",)], "digest string"))
