@@ -41,6 +41,20 @@ def found_at(matches: Column, pieces: Column) -> Column:
     return F.aggregate(every, start, step, lambda acc: acc["out"])
 
 
+def settled(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that are worked out once: a row number beside them keeps the optimizer from copying them into later filters, generators and lambdas, which would work them out again for each of their elements."""
+    numbered = rows.select("*", *[c.alias(n) for n, c in columns.items()], F.monotonically_increasing_id().alias("_settled"))
+    return numbered.filter(F.col("_settled") >= 0).drop("_settled")
+
+
+def one_of(place: Column, values: list[Column]) -> Column:
+    """The value at a place of a list, the others not evaluated."""
+    out = F.when(place == 0, values[0])
+    for i, v in enumerate(values[1:], 1):
+        out = out.when(place == i, v)
+    return out
+
+
 def mask_matches(text: Column, pattern: str) -> Column:
     """text with every match of the pattern masked."""
     pieces, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import basename, found_at, host_of, host_suffixes, is_private_ip  # noqa: F401
+from siftwell.functions.text import basename, found_at, host_of, host_suffixes, settled
 from siftwell.operators.lines import line_index
 
 #: Lines below a download within which running its file counts. Fixed value.
@@ -113,8 +113,8 @@ def by_class(cls: Column, place: int) -> Column:
 
 def saved_files(lines: DataFrame) -> DataFrame:
     """lines' columns with at, matched and name of each download that a line saves; data files, devices and standard output don't count."""
-    found = found_at(F.regexp_extract_all("line_text", F.lit(_SAVES), F.lit(0)), F.split("line_text", _SAVES, -1))
-    rows = lines.filter(F.col("line_text").rlike(_SAVES)).withColumn("_f", F.explode(found)).select(*lines.columns, "_f.at", "_f.matched")
+    both = settled(lines.filter(F.col("line_text").rlike(_SAVES)), _m=F.regexp_extract_all("line_text", F.lit(_SAVES), F.lit(0)), _p=F.split("line_text", _SAVES, -1))
+    rows = both.withColumn("_f", F.explode(found_at(F.col("_m"), F.col("_p")))).select(*lines.columns, "_f.at", "_f.matched")
     target = F.regexp_extract("matched", _SAVED, 0)
     rows = rows.withColumn("name", basename(target)).filter(~target.rlike("^(?:/dev/|-$)") & (F.length("name") >= 2))
     return rows.filter(~F.lower("name").rlike(rf"\.(?:{'|'.join(DATA)})$"))
@@ -132,8 +132,8 @@ def saved_and_run(files: DataFrame, reach: int = REACH) -> DataFrame:
     lines = line_index(texts, keep=("bundle_id", "path", "kind", "role", "path_context"))
     saved = saved_files(lines).withColumn("_bucket", F.floor(F.col("line") / (reach + 1)))
     # a line runs for its own bucket of downloads and for the one before
-    runs = lines.filter(F.size(run_names(F.col("line_text"))) > 0)
-    runs = runs.select(F.col("file_id").alias("_file"), F.col("line").alias("_line"), F.col("line_text").alias("_text"), F.explode(run_names(F.col("line_text"))).alias("_name"))
+    runs = settled(lines, _names=run_names(F.col("line_text"))).filter(F.size("_names") > 0)
+    runs = runs.select(F.col("file_id").alias("_file"), F.col("line").alias("_line"), F.col("line_text").alias("_text"), F.explode("_names").alias("_name"))
     runs = runs.withColumn("_slot", F.explode(F.array(F.floor(F.col("_line") / (reach + 1)), F.floor(F.col("_line") / (reach + 1)) - 1)))
     near = (F.col("file_id") == F.col("_file")) & (F.col("name") == F.col("_name")) & (F.col("_bucket") == F.col("_slot")) & (F.col("_line") >= F.col("line")) & (F.col("_line") <= F.col("line") + reach)
     # on the download's own line, only what stands behind it

@@ -8,11 +8,12 @@ run that a virtual file came from, and its place in the real file.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.ranks import demote
-from siftwell.functions.text import found_at, looks_like_id, printable_ratio
+from siftwell.functions.text import looks_like_id, one_of, printable_ratio, settled
+from siftwell.operators.spans import text_matches
 from siftwell.operators.unicode_runs import SUSPECT, unicode_runs
 from siftwell.session import stored
 
@@ -53,18 +54,17 @@ def decoded(encoding: str, run: Column) -> Column:
 def encoded_runs(files: DataFrame) -> DataFrame:
     """files' columns without text, with line (from 1), at (code points before it in its line), encoding and decoded of each run that decodes to readable text; at most the first MOST_RUNS of a file and encoding, as the engine opens no more. Texts are matched whole, so a list of codes may run over lines."""
     kept = [c for c in files.columns if c != "text"]
-    rows = files.filter(F.col("text").rlike(BLOB))
-    array = "array<struct<encoding:string,at:int,decoded:string>>"
-
-    def of(name: str, pattern: str) -> Column:
-        places = found_at(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.split("text", pattern, -1))
-        made = F.transform(places, lambda x: F.struct(F.lit(name).alias("encoding"), x["at"].alias("at"), decoded(name, x["matched"]).alias("decoded")))
-        return F.when(F.col("text").rlike(pattern), F.slice(F.filter(made, lambda x: x["decoded"].isNotNull()), 1, MOST_RUNS)).otherwise(F.array().cast(array))
-
-    each = rows.select(*kept, "text", F.explode(F.concat(*[of(n, p) for n, p in ENCODINGS.items()])).alias("r"))
-    before = F.expr("substring(text, 1, r.at)")
+    names, patterns = list(ENCODINGS), list(ENCODINGS.values())
+    held = F.filter(F.array(*[F.when(F.col("text").rlike(p), F.lit(k)) for k, p in enumerate(patterns)]), lambda k: k.isNotNull())
+    rows = text_matches(settled(files.filter(F.col("text").rlike(BLOB)), _which=held), patterns, "_which", "text")
+    each = rows.select(*kept, "text", F.explode("hits").alias("r"))
+    text = one_of(F.col("r.rule"), [decoded(n, F.col("r.matched")) for n in names])
+    found = settled(each, _decoded=text).filter(F.col("_decoded").isNotNull())
+    before = F.expr("substring(text, 1, r.offset)")
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    return each.select(*kept, line.cast("int").alias("line"), F.length(F.substring_index(before, "\n", -1)).alias("at"), "r.encoding", "r.decoded")
+    run = found.select(*kept, line.cast("int").alias("line"), F.length(F.substring_index(before, "\n", -1)).alias("at"), F.get(F.array(*[F.lit(n) for n in names]), F.col("r.rule")).alias("encoding"), F.col("_decoded").alias("decoded"), F.col("r.offset").alias("_offset"))
+    first = F.row_number().over(Window.partitionBy("file_id", "encoding").orderBy("_offset"))
+    return run.withColumn("_n", first).filter(F.col("_n") <= MOST_RUNS).drop("_n", "_offset")
 
 
 def invisible_messages(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions.ranks import demote, lower_confidence, promote
-from siftwell.functions.text import clip, found_at, mask_matches, one_line, reveal_invisible
+from siftwell.functions.text import clip, found_at, mask_matches, one_line, one_of, reveal_invisible, settled
 from siftwell.operators import classify, payloads
 from siftwell.operators.catalog import NEEDS_PATTERN, NEEDS_STRING, NEEDS_WORD, RULES, Rule, rules_table
 from siftwell.operators.downloads import download_hits
@@ -58,7 +58,7 @@ def gate(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     asked = sorted({w for r in rules for w in NEEDS_WORD.get(r.id, "").split()})
     low = files.withColumn("_low", F.lower(F.col("text")))
     held = F.array_intersect(F.array(*[F.lit(w) for w in asked]).cast("array<string>"), F.split("_low", "[^a-z0-9_]+"))
-    low = _settled(low, _held=held, _odd=F.col("text").rlike(ODD))
+    low = settled(low, _held=held, _odd=F.col("text").rlike(ODD))
 
     def may(r: Rule) -> Column:
         words, strings = NEEDS_WORD.get(r.id), NEEDS_STRING.get(r.id)
@@ -70,7 +70,7 @@ def gate(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
     found = F.filter(F.array(*[F.when(may(r), F.lit(i)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
     dense = (F.col("kind") == "script") & (F.length("text") >= LONGEST)
-    marked = _settled(low, may=found, hides=payloads.may_hide(F.col("text")), dense=dense)
+    marked = settled(low, may=found, hides=payloads.may_hide(F.col("text")), dense=dense)
     return marked.drop("_low", "_held", "_odd").filter((F.size("may") > 0) | F.col("hides") | F.col("dense"))
 
 
@@ -79,12 +79,6 @@ def candidates(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     return gate(files, rules).filter(F.size("may") > 0).drop("hides", "dense")
 
 
-def _settled(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that are worked out once: a row number beside them keeps the optimizer from copying them into later filters and generators."""
-    numbered = rows.select("*", *[c.alias(n) for n, c in columns.items()], F.monotonically_increasing_id().alias("_settled"))
-    return numbered.filter(F.col("_settled") >= 0).drop("_settled")
-
-
 def _any(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:
@@ -103,12 +97,12 @@ def match_lines(files: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 def _match_lines(gated: DataFrame, rules: list[Rule]) -> DataFrame:
     lines = line_index(gated, keep=(*KEEP, "may"))
-    hits = F.filter(F.col("may"), lambda k: _case(k, [F.col("line_text").rlike(r.pattern) for r in rules]))
-    found = _settled(lines, _hits=hits).filter(F.size("_hits") > 0).withColumn("rule_ord", F.explode("_hits")).drop("may", "_hits")
-    matches = _case(F.col("rule_ord"), [F.regexp_extract_all("line_text", F.lit(r.pattern), F.lit(0)) for r in rules])
-    pieces = _case(F.col("rule_ord"), [F.split("line_text", r.pattern, -1) for r in rules])
+    hits = F.filter(F.col("may"), lambda k: one_of(k, [F.col("line_text").rlike(r.pattern) for r in rules]))
+    found = settled(lines, _hits=hits).filter(F.size("_hits") > 0).withColumn("rule_ord", F.explode("_hits")).drop("may", "_hits")
+    matches = one_of(F.col("rule_ord"), [F.regexp_extract_all("line_text", F.lit(r.pattern), F.lit(0)) for r in rules])
+    pieces = one_of(F.col("rule_ord"), [F.split("line_text", r.pattern, -1) for r in rules])
     both = found.withColumns({"_matches": matches, "_pieces": pieces})
-    each = _settled(both, _places=found_at(F.col("_matches"), F.col("_pieces"))).withColumn("_at", F.explode("_places"))
+    each = settled(both, _places=found_at(F.col("_matches"), F.col("_pieces"))).withColumn("_at", F.explode("_places"))
     return each.select(*found.columns, "_at.matched", "_at.at")
 
 
@@ -118,23 +112,15 @@ def wrapped_matches(gated: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     if not wording:
         return _match_lines(gated.limit(0), rules)
     some = gated.filter(F.col("kind").isin("skill-md", "markdown", "text") & F.col("text").contains("\n"))
-    places = F.filter(F.transform(F.col("may"), lambda k: _case(k, [F.lit([i for i, _ in wording].index(n) if r.quote_aware else -1) for n, r in enumerate(rules)])), lambda k: k >= 0)
-    rows = _settled(some, _places=places, _flat=unwrapped(F.col("text"))).filter(F.size("_places") > 0)
-    rows = text_matches(rows, [r.pattern for _, r in wording], F.col("_places"), F.col("_flat"))
+    places = F.filter(F.transform(F.col("may"), lambda k: one_of(k, [F.lit([i for i, _ in wording].index(n) if r.quote_aware else -1) for n, r in enumerate(rules)])), lambda k: k >= 0)
+    rows = settled(some, _places=places, _flat=unwrapped(F.col("text"))).filter(F.size("_places") > 0)
+    rows = text_matches(rows, [r.pattern for _, r in wording], "_places", "_flat")
     broken = F.filter("hits", lambda h: F.substring(F.col("text"), h["offset"] + 1, F.length(h["matched"])).contains("\n"))
     found = placed(rows.withColumn("hits", broken), keep=KEEP)
     ordinal = F.element_at(F.array(*[F.lit(i) for i, _ in wording]), F.col("rule") + 1)
     return found.select("file_id", *KEEP, "line", "line_text", ordinal.alias("rule_ord"), "matched", (F.col("column") - 1).alias("at"))
 
 
-def _case(place: Column, values: list[Column]) -> Column:
-    """The value at a place of a list, the others not evaluated."""
-    out = F.when(place == 0, values[0])
-    for i, v in enumerate(values[1:], 1):
-        out = out.when(place == i, v)
-    return out
-
-
 #: Calls and literals that hold a pattern to search for, not a command. Fixed values.
 PATTERN_CALL = r"\bRegExp\s*\(|String\.raw`|\bre\.(?:compile|search|match|fullmatch|findall|finditer|sub|subn|split)\s*\(|\bregexp?\.MustCompile\s*\(|\bRegex\s*\("
 
@@ -162,18 +148,17 @@ def grade(hits: DataFrame, decoded: bool = False) -> DataFrame:
     severity and all confidence. Decoded texts get no discount but that of the
     path: nobody encodes documentation.
     """
-    before = F.expr("substring(line_text, 1, at)")
-    after = F.expr("substring(line_text, at + length(matched) + 1)")
+    rows = settled(hits, _before=F.expr("substring(line_text, 1, at)"), _after=F.expr("substring(line_text, at + length(matched) + 1)"))
+    before, after = F.col("_before"), F.col("_after")
     markdown = F.col("kind").isin("skill-md", "markdown")
     shown = ~F.col("region").isin("hidden", "frontmatter")
     clause = F.regexp_extract(before, r"([^.;:!?\n]*)$", 1)
-    rows = hits.filter(~(F.col("polarity") & shown & clause.rlike(NEGATES)))
+    rows = rows.filter(~(F.col("polarity") & shown & clause.rlike(NEGATES)))
     context = lambda *names: F.coalesce(F.col("path_context").isin(*names), F.lit(False)).cast("int")
     down, up, low = context("dev", "educational"), F.lit(0), context("container")
     if not decoded:
         role_effect = F.coalesce(F.try_element_at("roles", F.col("role")), F.lit("keep"))
         region_effect = F.when(markdown, F.coalesce(F.try_element_at("regions", F.col("region")), F.lit("keep"))).otherwise("keep")
-        rows = rows.withColumns({"_role": role_effect, "_region": region_effect}).filter((F.col("_role") != "skip") & (F.col("_region") != "skip"))
         # the match's own words don't warn of it; what its line hangs on may
         caution = F.col("heeds_caution") & shown & markdown & (is_cautionary(F.concat(before, F.lit(" "), after)) | F.coalesce(is_cautionary(F.col("lead")), F.lit(False)))
         in_code = (F.col("kind") == "script") | (F.col("region") == "code")
@@ -184,13 +169,18 @@ def grade(hits: DataFrame, decoded: bool = False) -> DataFrame:
         remote = before.rlike(r"(?i)\b(?:ssh|kubectl\s+exec|docker\s+(?:run|exec)|podman\s+(?:run|exec))\b[^;&|]*$")
         overlong = (F.col("kind") == "script") & (F.length("line_text") > 1000)
         described = F.col("polarity") & shown & clause.rlike(DESCRIBES)
-        down = down + described.cast("int") + caution.cast("int") + (~caution & quoted).cast("int") + (in_code & (comment | _in_pattern(before, after) | example)).cast("int")
-        up = sum(((c == "raise").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0))
-        low = low + sum(((c == "lower-confidence").cast("int") for c in (F.col("_role"), F.col("_region"))), F.lit(0)) + (~caution & ~quoted & table).cast("int") + remote.cast("int") + overlong.cast("int")
+        rows = settled(rows, _role=role_effect, _region=region_effect, _caution=caution, _quoted=quoted, _spoken=described, _data=in_code & (comment | _in_pattern(before, after) | example), _table=table, _remote=remote, _overlong=overlong)
+        rows = rows.filter((F.col("_role") != "skip") & (F.col("_region") != "skip"))
+        number = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+        effects = lambda name: number(F.col("_role") == name) + number(F.col("_region") == name)
+        mention = ~F.col("_caution") & F.col("_quoted")
+        down = down + number(F.col("_spoken")) + number(F.col("_caution")) + number(mention) + number(F.col("_data"))
+        up = effects("raise")
+        low = low + effects("lower-confidence") + number(~F.col("_caution") & ~F.col("_quoted") & F.col("_table")) + number(F.col("_remote")) + number(F.col("_overlong"))
     graded = rows.withColumns({"_down": down, "_up": up, "_low": low})
     sev = demote(promote(F.col("sev"), F.col("_up")), F.col("_down"))
     conf = F.when(F.col("_down") > 0, 0).otherwise(lower_confidence(F.col("conf"), F.col("_low")))
-    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "lead", "lang", "regions", "roles", "heeds_caution", "quote_aware", "polarity")
+    return graded.withColumns({"sev": sev.cast("int"), "conf": conf.cast("int")}).drop("_down", "_up", "_low", "_role", "_region", "_before", "_after", "_caution", "_quoted", "_spoken", "_data", "_table", "_remote", "_overlong", "lead", "lang", "regions", "roles", "heeds_caution", "quote_aware", "polarity")
 
 
 def scan(files: DataFrame, rules: list[Rule] = RULES, decoded: bool = False) -> DataFrame:

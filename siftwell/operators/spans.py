@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.functions.text import found_at
+from siftwell.functions.text import found_at, one_of, settled
 
 #: Regions, weakest first: where two overlap the later one counts. Fixed values.
 REGIONS = ["prose", "frontmatter", "code", "inline-code", "hidden"]
@@ -160,17 +160,13 @@ def unwrapped(text: Column) -> Column:
     return F.regexp_replace(text, WRAP, " ")
 
 
-def text_matches(rows: DataFrame, patterns: list[str], places: Column, text: Column) -> DataFrame:
-    """rows with hits: array of rule (a place in patterns), offset and matched, of the patterns at `places` (an array of places) over whole texts. No shuffle, no Python."""
-    hit = "struct<rule:int,offset:int,matched:string>"
-
-    def of(k: int, pattern: str) -> Column:
-        found = found_at(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
-        made = F.transform(found, lambda x: F.struct(F.lit(k).alias("rule"), x["at"].alias("offset"), x["matched"].alias("matched")))
-        return F.when(F.array_contains(places, k) & text.rlike(pattern), made).otherwise(F.array().cast(f"array<{hit}>"))
-
-    every = [of(k, p) for k, p in enumerate(patterns)]
-    return rows.withColumn("hits", F.concat(*every) if every else F.array().cast(f"array<{hit}>"))
+def text_matches(rows: DataFrame, patterns: list[str], places: str, text: str) -> DataFrame:
+    """A row for each row and each of its `places` (an array of places in patterns), with hits: array of rule (that place), offset and matched, of the pattern over the whole text. No shuffle, no Python."""
+    each = rows.withColumn("_rule", F.explode(places))
+    matches = one_of(F.col("_rule"), [F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns])
+    both = settled(each, _m=matches, _p=one_of(F.col("_rule"), [F.split(text, p, -1) for p in patterns]))
+    made = F.transform(found_at(F.col("_m"), F.col("_p")), lambda x: F.struct(F.col("_rule").alias("rule"), x["at"].alias("offset"), x["matched"].alias("matched")))
+    return both.filter(F.size("_m") > 0).withColumn("hits", made).drop("_rule", "_m", "_p")
 
 
 def placed(rows: DataFrame, key: str = "file_id", keep: tuple[str, ...] = ()) -> DataFrame:
