@@ -18,7 +18,7 @@ from siftwell.llm.mixing import mix, sizes, source_targets
 from siftwell.llm.near_duplicates import near_duplicates
 from siftwell.llm.packing import pack_pieces, token_pieces
 from siftwell.llm.quality import by_rejection_per_cost, cascade, standard_rules
-from siftwell.llm.secret_scan import learn, sample_texts, scan
+from siftwell.llm.secret_scan import learned, scan
 from siftwell.llm.tokens import tokenizer_path
 
 
@@ -48,7 +48,7 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret replaced by a mask; n_chars follows the new text."""
-    masked = scan(docs, learn(sample_texts(docs)), redact=True)
+    masked = scan(docs, learned(docs), redact=True)
     changed = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
     return masked if changed is None else masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(changed)).select(*docs.columns)
 

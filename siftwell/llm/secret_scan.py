@@ -470,8 +470,9 @@ def learn(texts: list[str], seed: int = 1) -> Field:
         every = secret + rest + mined * MINED_WEIGHT
         field = train([c for c, _ in every], [t for _, t in every], steps=MINING_STEPS, begin=field)
     del secret, rest, mined
+    field = calibrated(field, held, seed)
     release_memory()
-    return calibrated(field, held, seed)
+    return field
 
 
 def _mistaken(texts: list[str], field: Field) -> list[tuple[Chain, np.ndarray]]:
@@ -495,7 +496,7 @@ def judged(field: Field, texts: list[str], seed: int = 2, shifts: np.ndarray = n
     cases = [(t, [x[3:] for x in base_spans(t)], False) for t in texts]
     cases += [(*varied(t, base[:200], r), True) for t in texts if (base := base_spans(t)) for _ in range(2)]
     out = np.zeros((len(shifts), 4), int)
-    for part in _parts(iter(cases), 64):
+    for part in _parts(iter(cases)):
         w = featured(pa.array([t for t, _, _ in part], pa.string()))
         scores, full = w.scores(field), w.offsets[:-1][np.diff(w.offsets) > 0]
         gold = [_tagged(t, int(n), v) if n else np.zeros(0, int) for (t, v, _), n in zip(part, np.diff(w.offsets), strict=True)]
@@ -534,14 +535,29 @@ def calibrated(field: Field, texts: list[str], seed: int = 2) -> Field:
     return Field(words, field.around, field.moves)
 
 
-def sample_texts(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> list[str]:
-    """At most `rows` different texts up to text_bytes, those of the least hash, which is a random choice: two thirds of them hold an equals sign or colon, the others are any."""
+def sample(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """t: at most `rows` different texts up to text_bytes, those of the least hash, which is a random choice: two thirds of them hold an equals sign or colon, the others are any."""
     whole = docs.select(F.col(text).cast("string").alias("t")).filter(F.octet_length("t") <= text_bytes)
     marked = F.col("t").contains("=") | F.col("t").contains(":")
     seen = whole.agg(F.count("*").alias("n"), F.count_if(marked).alias("marked")).first()
     by_hash = [F.xxhash64("t"), F.col("t")]
     some = random_rows(whole.filter(marked).distinct(), seen["marked"], rows - rows // 3, by_hash)
-    return [r["t"] for r in some.unionAll(random_rows(whole.distinct(), seen["n"], rows // 3, by_hash)).collect()]
+    return some.unionAll(random_rows(whole.distinct(), seen["n"], rows // 3, by_hash))
+
+
+def learned(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS, text_bytes: int = SAMPLE_BYTES) -> Field:
+    """learn() over a bounded sample of docs, in one task: the driver gets the weights alone, some kilobytes. The texts stand in the order of a hash, so the order in which they come makes no difference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for b in batches for t in b.column("t").to_pylist()]
+        field = learn(sorted(texts, key=lambda t: (hashlib.md5(t.encode()).digest(), t)))
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()]) for x in (field.words, field.around, field.moves)], ["words", "around", "moves"])
+
+    found = sample(docs, text, rows, text_bytes).coalesce(1).mapInArrow(frugal(run), "words binary, around binary, moves binary").first()
+    weights = lambda x, *shape: np.frombuffer(x, np.float64).reshape(shape).copy()
+    if found is None:  # an empty table has one partition or none
+        return learn([])
+    return Field(weights(found["words"], 3, len(SHAPES), 3), weights(found["around"], AROUND, 3), weights(found["moves"], 3, 3))
 
 
 def secret_spans(texts: pa.Array, field: Field) -> list[list[tuple[int, int, int]]]:
@@ -622,4 +638,4 @@ def _masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return scan(docs, learn(sample_texts(docs))).drop("text")
+    return scan(docs, learned(docs)).drop("text")
