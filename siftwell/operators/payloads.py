@@ -35,7 +35,7 @@ def may_hide(text: Column) -> Column:
 
 
 def decoded(encoding: str, run: Column) -> Column:
-    """The text of a run, null where it decodes to none. Bytes have to be UTF-8; ids and digests are no base64."""
+    """The text that a run's bytes or codes are, null where they are none. Bytes have to be UTF-8; ids and digests are no base64."""
     if encoding == "base64":
         whole = (F.length(run) >= LEAST_RUN) & (F.length(run) % 4 == 0) & ~looks_like_id(run)
         text = F.when(whole, F.try_validate_utf8(F.try_to_binary(run, F.lit("base64")).cast("string")))
@@ -48,7 +48,7 @@ def decoded(encoding: str, run: Column) -> Column:
     else:
         digits = F.regexp_replace(run, r"\\x", "")
         text = F.when(F.length(digits) % 2 == 0, F.try_validate_utf8(F.try_to_binary(digits, F.lit("hex")).cast("string")))
-    return F.when((F.length(text) >= LEAST_TEXT) & (printable_ratio(text) >= LEAST_PRINTABLE), F.substring(text, 1, MOST_TEXT))
+    return text
 
 
 def encoded_runs(files: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def encoded_runs(files: DataFrame) -> DataFrame:
     rows = text_matches(settled(files.filter(F.col("text").rlike(BLOB)), _which=held), patterns, "_which", "text")
     each = rows.select(*kept, "text", F.explode("hits").alias("r"))
     text = one_of(F.col("r.rule"), [decoded(n, F.col("r.matched")) for n in names])
-    found = settled(each, _decoded=text).filter(F.col("_decoded").isNotNull())
+    found = settled(each, _decoded=text).filter((F.length("_decoded") >= LEAST_TEXT) & (printable_ratio(F.col("_decoded")) >= LEAST_PRINTABLE))
     before = F.expr("substring(text, 1, r.offset)")
     line = F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
-    run = found.select(*kept, line.cast("int").alias("line"), F.length(F.substring_index(before, "\n", -1)).alias("at"), F.get(F.array(*[F.lit(n) for n in names]), F.col("r.rule")).alias("encoding"), F.col("_decoded").alias("decoded"), F.col("r.offset").alias("_offset"))
+    run = found.select(*kept, line.cast("int").alias("line"), F.length(F.substring_index(before, "\n", -1)).alias("at"), F.get(F.array(*[F.lit(n) for n in names]), F.col("r.rule")).alias("encoding"), F.substring("_decoded", 1, MOST_TEXT).alias("decoded"), F.col("r.offset").alias("_offset"))
     first = F.row_number().over(Window.partitionBy("file_id", "encoding").orderBy("_offset"))
     return run.withColumn("_n", first).filter(F.col("_n") <= MOST_RUNS).drop("_n", "_offset")
 
