@@ -3,12 +3,14 @@
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from siftwell.llm import licenses, secret_scan, tokens, warc
+from siftwell.llm import common, licenses, secret_scan, tokens, warc
 from siftwell.llm.common import new_path
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -129,3 +131,15 @@ def test_equal_rows_spread_over_archives(spark):
     assert sum(per) == 10_000 and max(per) <= 5000
     lines = warc.merged_index(warc.index_runs(spark, out)).collect()
     assert len(lines) == 10_000 and Counter(x["page_id"] for x in lines) == {None: 10_000}
+
+
+@pytest.mark.parametrize(("heap", "times"), [(500, 1), (300, 0)])
+def test_a_grown_heap_of_the_driver_is_collected_after_each_table(heap, times):
+    calls = []
+    memory = SimpleNamespace(totalMemory=lambda: heap << 20, maxMemory=lambda: 750 << 20)
+    jvm = SimpleNamespace(java=SimpleNamespace(lang=SimpleNamespace(Runtime=SimpleNamespace(getRuntime=lambda: memory))), System=SimpleNamespace(gc=lambda: calls.append(1)))
+    reader = SimpleNamespace(parquet=lambda path: "table")
+    spark = SimpleNamespace(_jvm=jvm, conf={"spark.checkpoint.dir": "/nowhere"}, read=SimpleNamespace(schema=lambda schema: reader))
+    df = SimpleNamespace(write=SimpleNamespace(parquet=lambda path: None), schema=None, sparkSession=spark)
+    assert common.Scratch(spark).stored(df, "x") == "table" and len(calls) == times
+    assert common.stored(df, "x") == "table" and len(calls) == 2 * times
