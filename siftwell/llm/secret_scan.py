@@ -16,7 +16,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import islice
 
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm.common import frugal, random_rows, release_memory, slices
-from siftwell.llm.words import coded_words
+from siftwell.llm.words import ascii_words, ragged
 
 #: Patterns, the group that is the value, and its least length. Fixed values.
 PATTERNS = {
@@ -108,37 +108,113 @@ NEAR = (1, 3, 6, 10, 16)
 AROUND = 3 + len(NEAR)
 
 
-class ShapeMemory:
-    """Shapes of words that a worker has seen; bounded. Long words are not kept."""
+#: Code points below this one have their classes in tables; words with others, or longer than LONG bytes, go to shape() one by one. The long s is such another: it folds to an ASCII letter.
+TABLED, LONG_S, LONG = 0x250, 0x17F, 1 << 16
+#: Bytes of distinct words whose shapes are worked out at a time.
+SHAPE_BYTES = 1 << 20
 
-    MOST, LONGEST = 30_000, 64
 
-    def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-        self.table = np.zeros((1024, len(SHAPES)), np.float32)
+def _class(holds: Callable[[str], object]) -> np.ndarray:
+    """Whether each tabled character is of a class; the last place stands for all other characters, of none."""
+    return np.array([bool(holds(chr(c))) for c in range(TABLED)] + [False])
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        out = np.empty((len(words), len(SHAPES)), np.float32)
-        places, rows = [], []
-        for i, w in enumerate(words):
-            k = self.known.get(w)
-            if k is not None:
-                places.append(i)
-                rows.append(k)
-                continue
-            out[i] = x = shape(w)
-            if len(w) <= self.LONGEST and (k := len(self.known)) <= self.MOST:
-                if k == len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[k] = x
-                self.known[w] = k
-        out[places] = self.table[rows]
+
+_CLASSES = {
+    "digit": _class(str.isdigit),
+    "alpha": _class(str.isalpha),
+    "upper": _class(_UPPER.fullmatch),
+    "lower": _class(_LOWER.fullmatch),
+    "hexadecimal": _class(_HEXADECIMAL.fullmatch),
+    "word_set": _class(_WORD_SET.fullmatch),
+    "consonant": _class(re.compile(_CONSONANTS.pattern.removesuffix("{5}"), re.I).fullmatch),
+}
+_IS_EDGE, _IS_TAIL, _IS_ASSIGN, _IS_QUOTE = (_class(x.__contains__) for x in (_EDGES, ".,;", "=:", "\"'"))
+
+
+def _varied(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether cp[start:end] of each word has at least eight different characters and three bits of entropy."""
+    out = np.zeros(len(start), bool)
+    some = np.flatnonzero(end - start >= 8)
+    if not len(some):
         return out
+    n = (end - start)[some]
+    keys = np.sort(np.repeat(np.arange(len(some)) * (TABLED + 1), n) + cp[ragged(start[some], n)])
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    times = np.diff(np.append(first, len(keys)))
+    word = keys[first] // (TABLED + 1)
+    entropy = np.log2(n) - np.bincount(word, times * np.log2(times), len(some)) / n
+    good = (np.bincount(word, minlength=len(some)) >= 8) & (entropy >= 3.0)
+    # so near the bound that the order of the sum decides; eight different characters alone have three bits exactly
+    for k in np.flatnonzero((np.abs(entropy - 3.0) < 1e-9) & (n > 8)).tolist():
+        core = "".join(map(chr, cp[start[some[k]] : end[some[k]]].tolist()))
+        good[k] = shape(core)[SHAPES.index("varied")] > 0
+    out[some] = good
+    return out
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """shape() of each word, none of them empty; all words of a block at once, by tables of classes of characters."""
+    size = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.zeros((len(words), len(SHAPES)), np.float32)
+    single = size > LONG
+    usual = np.flatnonzero(~single)
+    ends = np.cumsum(size[usual])
+    for low in range(0, int(ends[-1]) if len(ends) else 0, SHAPE_BYTES):
+        at = usual[np.searchsorted(ends, low, "right") : np.searchsorted(ends, low + SHAPE_BYTES, "right")]
+        if len(at):
+            out[at], single[at] = _shapes(words.take(pa.array(at)))
+    for i in np.flatnonzero(single).tolist():
+        out[i] = shape(words[i].as_py())
+    return out
+
+
+def _shapes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """shapes() of a block, and which words have characters that aren't tabled, so that their rows don't hold."""
+    length = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    last = np.cumsum(length)
+    first = last - length
+    cp = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), "<u4")
+    odd = np.add.reduceat(((cp >= TABLED) | (cp == LONG_S)).astype(np.int32), first) > 0
+    cp = np.minimum(cp, TABLED).astype(np.intp)
+
+    def count(flags: np.ndarray, start: np.ndarray = first, end: np.ndarray = last) -> np.ndarray:
+        sums = np.concatenate([[0], np.cumsum(flags, dtype=np.int32)])
+        return np.where(end > start, sums[np.maximum(end, start)] - sums[start], 0)
+
+    def bounds(trimmed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word without the trimmed characters at either end; end <= start if nothing is left."""
+        places = np.arange(len(cp))
+        start = np.minimum.reduceat(np.where(trimmed, len(cp), places), first)
+        return np.minimum(start, last), np.maximum.reduceat(np.where(trimmed, -1, places), first) + 1
+
+    start, end = bounds(_IS_EDGE[cp])
+    end = np.maximum(end, start)
+    n = end - start
+    has = {k: table[cp] for k, table in _CLASSES.items()}
+    inside = {k: count(has[k], start, end) for k in _CLASSES}
+    digits, upper, lower = inside["digit"], inside["upper"] > 0, inside["lower"] > 0
+    letters = (n > 0) & (inside["alpha"] == n)
+    # a place counts if all that follows it in the pattern is inside
+    changes = count(np.append(has["lower"][:-1] & has["upper"][1:], False), start, end - 1)
+    run = has["consonant"].copy()
+    for k in range(1, 5):
+        run[: len(run) - k] &= has["consonant"][k:]
+        run[max(len(run) - k, 0) :] = False
+    consonants = count(run, start, end - 4) > 0
+    assign, quote = _IS_ASSIGN[cp], _IS_QUOTE[cp]
+    tail_end = bounds(_IS_TAIL[cp])[1]
+    known = pc.match_substring_regex(pc.ascii_trim(words, characters=_EDGES), "^(AKIA|ghp_|sk_|xox)").to_numpy(zero_copy_only=False)
+    key = pc.match_substring_regex(words, f"(?i){_KEY.pattern}").to_numpy(zero_copy_only=False)
+    features = [
+        np.ones(len(n), bool), n < 6, (n >= 6) & (n < 12), (n >= 12) & (n < 24), n >= 24, digits > 0, digits * 4 > n, upper, lower, upper & lower, (digits > 0) & (upper | lower),
+        (n >= 8) & (inside["hexadecimal"] == n), (n > 0) & (inside["word_set"] == n), _varied(cp, start, end),
+        count(assign) > 0, assign[last - 1], quote[first], key,
+        count(cp == ord("/")) > 1, count(cp == ord("@")) > 0, (n > 0) & (digits == n), known, letters, np.zeros(len(n), bool),
+        (n >= 8) & (changes >= 2), (n >= 8) & consonants, (tail_end > first) & quote[np.maximum(tail_end - 1, 0)], (n >= 14) & letters, (n >= 12) & letters & (changes >= 3),
+    ]
+    return np.stack(features, 1).astype(np.float32), odd
 
 
-_SHAPES = ShapeMemory()
 _EDGE = shape("")
 
 
@@ -160,16 +236,17 @@ class Words:
 
 def featured(texts: pa.Array) -> Words:
     """The words of texts with their features; shapes are worked out once for each distinct word."""
-    offsets, codes, distinct = coded_words(texts)
-    shapes = np.concatenate([_SHAPES(distinct), _EDGE[None]])
-    n, edge, sizes = len(codes), len(distinct), np.diff(offsets)
-    own = codes.astype(np.int32)
+    offsets, flat = ascii_words(texts)
+    coded = flat.dictionary_encode()
+    named = coded.dictionary
+    table = np.concatenate([shapes(named), _EDGE[None]])
+    n, edge, sizes = len(flat), len(named), np.diff(offsets)
+    own = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     before, after = np.full(n, edge, np.int32), np.full(n, edge, np.int32)
     before[1:], after[:-1] = own[:-1], own[1:]
     full = sizes > 0
     firsts, lasts = offsets[:-1][full], offsets[1:][full] - 1
     before[firsts], after[lasts] = edge, edge
-    named = pa.array(distinct, pa.string())
     says = lambda pattern: pc.match_substring_regex(named, pattern).to_numpy(zero_copy_only=False).astype(bool)[own]
     around = np.zeros((n, AROUND), np.float32)
     if n:
@@ -183,8 +260,8 @@ def featured(texts: pa.Array) -> Words:
         around[:, 2] = np.repeat(sizes[full] < 100, sizes[full])
         for k, (least, beyond) in enumerate(zip(NEAR, NEAR[1:], strict=False)):
             around[:, 3 + k] = (gap >= least) & (gap < beyond)
-        around[:, -1] = around[:, 3:-1].any(1) & (shapes[own, SHAPES.index("long_letters")] > 0)
-    return Words(offsets, shapes, own, before, after, around)
+        around[:, -1] = around[:, 3:-1].any(1) & (table[own, SHAPES.index("long_letters")] > 0)
+    return Words(offsets, table, own, before, after, around)
 
 
 @dataclass

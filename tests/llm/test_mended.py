@@ -143,3 +143,21 @@ def test_a_grown_heap_of_the_driver_is_collected_after_each_table(heap, times):
     df = SimpleNamespace(write=SimpleNamespace(parquet=lambda path: None), schema=None, sparkSession=spark)
     assert common.Scratch(spark).stored(df, "x") == "table" and len(calls) == times
     assert common.stored(df, "x") == "table" and len(calls) == 2 * times
+
+
+def test_shapes_of_a_block_are_those_of_its_words(monkeypatch):
+    r = random.Random(3)
+    marks = "aAbBcCdDzZ019=:\"'`()[]{}<>,;.!?#*$%&|/@_+-éÉßſK²٣字Ωxsµİ"
+    words = ["".join(r.choice(marks[: r.choice([6, 12, 40, len(marks)])]) for _ in range(r.choice([1, 2, 3, 8, 9, 15, 24, 30]))) for _ in range(4000)]
+    words += ["AKIA1", "ghp_x", '"sk_', "xox", "ſecret", "toKen", "'", "...", "a'.", "='", "aabbccdd" * 2, "aaabbbcccdddeeefffggghhh", "abcdefgh", "//", "a/b/c", "a" * 70_000, "=" * 70_000]
+    want = np.array([secret_scan.shape(w) for w in words])
+    monkeypatch.setattr(secret_scan, "SHAPE_BYTES", 1000)
+    assert (secret_scan.shapes(pa.array(words)) == want).all()
+    assert secret_scan.shapes(pa.array([], pa.string())).shape == (0, len(secret_scan.SHAPES))
+
+
+def test_usual_words_are_not_shaped_one_by_one(monkeypatch):
+    one, count = secret_scan.shape, []
+    monkeypatch.setattr(secret_scan, "shape", lambda word: count.append(word) or one(word))
+    w = secret_scan.featured(pa.array([" ".join(f"word{k} Straße{k} ünit-{k}=x" for k in range(300)), None, "字"]))
+    assert np.diff(w.offsets).tolist() == [900, 0, 1] and count == ["字"]
