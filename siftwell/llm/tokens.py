@@ -9,7 +9,7 @@ so a read of some doc_ids or of the metadata columns alone skips the rest.
 
 from __future__ import annotations
 
-import re
+import json
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -26,7 +26,7 @@ from siftwell.llm.common import frugal, join_dimension, new_path, slices, stored
 from siftwell.llm.words import ascii_words, ragged
 
 END_ID = 1
-#: Frequent words whose ids a worker remembers, some 10 MB. A bound on memory, not on results.
+#: Frequent words, other than those of LETTERS, whose ids a worker remembers, some 10 MB. A bound on memory, not on results.
 REMEMBERED_WORDS = 50_000
 #: A word is frequent if a batch has it so many times.
 FREQUENT = 4
@@ -36,7 +36,10 @@ BATCH_BYTES = 8 << 20
 FILE_TEXT_BYTES = 12 << 20
 
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_PLAIN = re.compile(r"[a-z]+\Z")
+#: Words of these letters alone are one word to the tokenizer, whose lower-case form is its normal one.
+LETTERS = "^[a-zß-öø-ÿÀ-ÖØ-Þ]+$"
+#: Words that are encoded as one text, and texts whose encodings, which are larger than their ids, stand in memory at a time.
+JOINED, JOINED_TEXTS = 64, 128
 
 
 def tokenizer_path() -> str:
@@ -51,7 +54,9 @@ class TextEncoder:
 
     Each distinct word of a batch is encoded once by the tokenizers library and
     its ids are gathered to where it stands. Added special tokens stand within
-    one word too, so a text has the ids that encoding it whole gives.
+    one word too, so a text has the ids that encoding it whole gives. Words of
+    letters are encoded many at a time, as a text without normalizing, and told
+    apart by the ids that end a word.
     """
 
     def __init__(self, path: str) -> None:
@@ -62,9 +67,24 @@ class TextEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, list[int]] = {}
-
-    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Two pieces of each word, as places in a list of distinct pieces: a tail of ASCII marks after a letter or number is a word of its own to the tokenizer."""
+        self._prepare(Tokenizer.from_file(path))
+
+    def _prepare(self, joined) -> None:
+        """The tokenizer of joined words, and the ids that end a word; none if the vocabulary has no such ids or takes words of letters otherwise."""
+        from tokenizers import pre_tokenizers as pre
+
+        self.joined, spec = None, json.loads(joined.to_str())
+        steps = [x["type"] for part, key in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")) for x in (spec[part] or {}).get(key, [])]
+        suffix = spec["model"].get("end_of_word_suffix")
+        if not suffix or steps != ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] or "|[\\p{L}]+|" not in str(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"].get("Regex")):
+            return
+        joined.normalizer = None
+        joined.pre_tokenizer = pre.Sequence([pre.CharDelimiterSplit(" "), pre.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.joined = joined
+        self.is_last = np.array([(joined.id_to_token(i) or "").endswith(suffix) for i in range(joined.get_vocab_size())])
+
+    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """Two pieces of each word, as places in an array of pieces: a tail of ASCII marks after a letter or number is a word of its own to the tokenizer."""
         core = pc.ascii_rtrim(words, characters=_TAIL)
         size, whole = pc.binary_length(core).to_numpy(zero_copy_only=False), pc.binary_length(words).to_numpy(zero_copy_only=False)
         cut = (size < whole) & (size > 0) & ~pc.match_substring(words, "<|").to_numpy(zero_copy_only=False)
@@ -72,32 +92,49 @@ class TextEncoder:
         for i, x in zip(at.tolist(), core.take(pa.array(at)).to_pylist(), strict=True):
             cut[i] = unicodedata.category(x[-1])[0] in "LN"
         coded = pc.if_else(pa.array(cut), core, words).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
-        first, second = coded.indices.to_numpy(zero_copy_only=False), np.full(len(words), len(pieces))
-        tails: dict[str, int] = {"": len(pieces)}
+        none = len(coded.dictionary)  # the place of the empty piece
+        first, second = coded.indices.to_numpy(zero_copy_only=False), np.full(len(words), none)
         at = np.flatnonzero(cut)
-        for i, w, n in zip(at.tolist(), words.take(pa.array(at)).to_pylist(), (whole - size)[at].tolist(), strict=True):
-            second[i] = tails.setdefault(w[-n:], len(pieces) + len(tails))
-        return first, second, pieces + list(tails)
-
-    def _ids(self, pieces: list[str], times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all pieces, one after another, and how many each has."""
+        tails = _ends_of(words.take(pa.array(at)), (whole - size)[at].astype(np.int64)).dictionary_encode()
+        second[at] = none + 1 + tails.indices.to_numpy(zero_copy_only=False)
+        return first, second, pa.concat_arrays([coded.dictionary, pa.array([""]), tails.dictionary])
+
+    def _ids(self, pieces: pa.Array, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all pieces, and where those of each begin and how many it has."""
+        letters = pc.match_substring_regex(pieces, LETTERS).to_numpy(zero_copy_only=False) if self.joined else np.zeros(len(pieces), bool)
+        size = np.zeros(len(pieces), np.int64)
+        ids, ends = self._joined_ids(pc.utf8_lower(pieces.filter(pa.array(letters)))) if letters.any() else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        if len(ends) != letters.sum():  # some word has no id that ends it
+            letters[:], ids, ends = False, ids[:0], ends[:0]
+        size[letters] = np.diff(ends, prepend=0)
+        rest = np.flatnonzero(~letters)
+        found = self._single_ids(pieces.take(pa.array(rest)).to_pylist(), times[rest])
+        size[rest] = np.fromiter(map(len, found), np.int64, len(found))
+        starts = np.empty(len(pieces), np.int64)
+        starts[letters] = ends - size[letters]
+        starts[rest] = len(ids) + np.cumsum(size[rest]) - size[rest]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(found), "<u4")]), starts, size
+
+    def _joined_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of lower-case words of letters, one after another, and where each one's end."""
+        bounds = pa.array(np.append(np.arange(0, len(words), JOINED), len(words)).astype(np.int32))
+        texts = pc.binary_join(pa.ListArray.from_arrays(bounds, words), " ").to_pylist()
+        parts = (texts[i : i + JOINED_TEXTS] for i in range(0, len(texts), JOINED_TEXTS))
+        ids = np.concatenate([np.array(e.ids, "<u4") for part in parts for e in self.joined.encode_batch_fast(part, add_special_tokens=False)])
+        return ids, np.flatnonzero(self.is_last[ids]) + 1
+
+    def _single_ids(self, pieces: list[str], times: np.ndarray) -> list[list[int]]:
+        """The ids of each piece."""
         known = self.known
         found = [known.get(x) for x in pieces]
-        tokenize, other = self.tokenizer.model.tokenize, []
-        for i, x in enumerate(pieces):
-            if found[i] is None:
-                if _PLAIN.match(x):
-                    found[i] = [t.id for t in tokenize(x)]
-                else:
-                    other.append(i)
+        other = [i for i, x in enumerate(found) if x is None]
         for i, e in zip(other, self.tokenizer.encode_batch_fast([pieces[i] for i in other], add_special_tokens=False), strict=True):
             found[i] = e.ids
         for i in np.flatnonzero(times >= FREQUENT).tolist():
             if len(known) >= REMEMBERED_WORDS:
                 break
             known[pieces[i]] = found[i]
-        return np.fromiter(chain.from_iterable(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found))
+        return found
 
     def encode(self, texts: pa.Array, end_id: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and all ids (uint32), each text's followed by end_id."""
@@ -109,10 +146,10 @@ class TextEncoder:
         first, second, pieces = self._split(coded.dictionary)
         # each word's core and tail, one after another; most tails are empty
         order = np.stack([first[codes], second[codes]], 1).ravel() if len(codes) else np.zeros(0, np.int64)
-        ids, size = self._ids(pieces, np.bincount(order, minlength=len(pieces)))
+        ids, starts, size = self._ids(pieces, np.bincount(order, minlength=len(pieces)))
         order = order[size[order] > 0] if len(order) else order
         n = size[order]
-        found = ids[ragged((np.cumsum(size) - size)[order], n)] if len(order) else np.zeros(0, "<u4")
+        found = ids[ragged(starts[order], n)] if len(order) else np.zeros(0, "<u4")
         # a word's ids are those of its two pieces
         per_word = size[first[codes]] + size[second[codes]] if len(codes) else np.zeros(0, np.int64)
         ends = np.concatenate([[0], np.cumsum(per_word)])[offsets]
@@ -127,6 +164,14 @@ class TextEncoder:
         return np.concatenate([[0], stops + 1]), out
 
 
+def _ends_of(words: pa.Array, size: np.ndarray) -> pa.Array:
+    """The last `size` bytes of each word, which begin a character."""
+    last = np.cumsum(pc.binary_length(words).to_numpy(zero_copy_only=False), dtype=np.int64)
+    data = np.frombuffer(b"".join(words.cast(pa.binary()).to_pylist()), np.uint8)
+    bounds = pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.string(), len(words), [None, bounds, pa.py_buffer(data[ragged(last - size, size)].tobytes())])
+
+
 _ENCODERS: dict[str, TextEncoder] = {}
 
 

@@ -43,6 +43,26 @@ def test_encoder_forgets_without_harm(direct, monkeypatch):
         assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == direct
 
 
+def test_words_of_letters_are_encoded_together():
+    r = np.random.default_rng(5)
+    words = ["".join(r.choice(list("abcdefghÀÉßéüñABZ"), int(n))) for n in r.integers(1, 30, 500)]
+    texts = [" ".join(words), "n\u0303 e\u0301t " + words[0], "x² ÷ × ŉ " + words[1]]
+    e = tokens.TextEncoder(tokens.tokenizer_path())
+    whole, single = e.tokenizer, []
+
+    class Counted:
+        model = None
+
+        def encode_batch_fast(self, pieces, **options):
+            single.extend(pieces)
+            return whole.encode_batch_fast(pieces, **options)
+
+    e.tokenizer = Counted()
+    offsets, ids = e.encode(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+    assert len(single) < 10
+
+
 def test_token_files_round_trip(spark, direct):
     out = new_path(spark, "t")
     tokens.write_tokens(docs(spark), out, tokens.tokenizer_path(), files=3)
