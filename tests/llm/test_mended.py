@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 from types import SimpleNamespace
 
@@ -90,6 +91,30 @@ def test_labels_equal_brute_force_over_placements(spark):
     assert labels(spark, texts) == [plain_labels(t) for t in texts]
 
 
+def test_words_are_cut_once_and_as_fast_as_by_their_separators(spark):
+    r = random.Random(10)
+    odd = "\x00\x1f /09:@AZ[`az{\x7f\x80\x85\xa0\xad\u00e9\u0130\u212a\u2028\ud7ff\ue000\ufffd\uffff\U00010000\U0010ffff\n\r\t"
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(80))) for _ in range(300)] + [*odd, *map(chr, range(0x180)), None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    # letters beyond ASCII may be others of the same class
+    same = lambda words: [re.sub("[^\x00-\x7f]", "?", w) for w in words]
+    assert [same(x["w"]) for x in df.select(licenses._words(F.col("text")).alias("w")).collect()] == [same(cut(t or "")) for t in texts]
+    plan = licenses.document_frequencies(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.concat(F.lit("pour\u00e9ne, "), F.hex(F.hash(i, "id"))))
+    stored = common.stored(spark.range(0, 8000, 1, 8).select(F.array_join(words, " ").alias("text")), "test")
+
+    def seconds(column):
+        took = []
+        for _ in range(4):
+            start = time.perf_counter()
+            stored.agg(F.sum(F.size(column))).collect()
+            took.append(time.perf_counter() - start)
+        return min(took)
+
+    assert seconds(licenses._words(F.col("text"))) < 4 * seconds(F.split(F.lower("text"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+
+
 def prose(r, names, n):
     return " ".join(r.choice(names) for _ in range(n))
 
