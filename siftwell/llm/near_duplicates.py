@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BROADCAST_ROWS, Scratch, frugal, join_unique, slices
+from siftwell.llm.common import BROADCAST_ROWS, Scratch, frugal, gathered, join_unique, slices
 from siftwell.llm.words import coded_words, ragged
 
 SHINGLE = 4
@@ -44,6 +44,9 @@ BATCH_BYTES = 2 << 20
 CROWD = 48
 PROBE_BLOCK, OTHER_BLOCK = 256, 512
 
+#: Bytes of a row at most, for how many files a table takes: of numbers alone, and of those with a signature or digest.
+SHORT_ROW, SIGNED_ROW = 48, 160
+
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -150,7 +153,7 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, total: int, percent: int)
     """The pairs a, b whose signatures differ in at most MOST_DISTANCE positions and whose set sizes allow the similarity."""
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     left = classes.select(F.col("cls").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a")).join(degree, "a")
-    with_a = join_unique(pairs, left, "a", "deg", total, how="inner")
+    with_a = join_unique(pairs, left, "a", "deg", total, how="inner", whole=True)
     right = classes.select(F.col("cls").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
     both = with_a.drop("deg").join(right, "b").filter((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
 
@@ -160,7 +163,7 @@ def _near_pairs(pairs: DataFrame, classes: DataFrame, total: int, percent: int)
                 near = (_sig_matrix(b.column("sig_a")) != _sig_matrix(b.column("sig_b"))).sum(1) <= MOST_DISTANCE
                 yield b.select(["a", "b"]).filter(pa.array(near))
 
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(frugal(run), "a long, b long")
+    return gathered(both.select("a", "b", "sig_a", "sig_b"), total * SIGNED_ROW).mapInArrow(frugal(run), "a long, b long")
 
 
 def _sets(docs: DataFrame, needed: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -183,11 +186,11 @@ def _sets(docs: DataFrame, needed: DataFrame, text: str, shingle: int) -> DataFr
     return made.join(needed.select("digest", "cls"), "digest").groupBy("cls").agg(F.first("hashes").alias("hashes"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int, percent: int, text: str, shingle: int, shelf: Scratch) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int, percent: int, text: str, shingle: int, n_hashes: int, shelf: Scratch) -> DataFrame:
     """The pairs whose full sets have an intersection of at least `percent` of their union."""
     ends = pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct()
-    needed = shelf.stored(classes.join(ends, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "needed")
-    sets = shelf.stored(_sets(docs, needed, text, shingle), "sets")
+    needed = shelf.stored(classes.join(ends, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "needed", total * SIGNED_ROW)
+    sets = shelf.stored(_sets(docs, needed, text, shingle), "sets", 8 * n_hashes)
     degree = pairs.groupBy("a").agg(F.count("*").alias("deg"))
     # few keys may be broadcast here: a set is as long as its text
     with_a = join_unique(pairs, sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")).join(degree, "a"), "a", "deg", total, how="inner", parts=64)
@@ -205,35 +208,37 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, total: int,
     return both.select("a", "b", "set_a", "set_b").mapInArrow(frugal(run), "a long, b long")
 
 
-def components(links: DataFrame, shelf: Scratch) -> DataFrame:
-    """cls and comp, the smallest class reachable, of every class that has a link (a, b).
+def components(links: DataFrame, most: int, shelf: Scratch) -> DataFrame:
+    """cls and comp, the smallest class reachable, of every class that has one of the at most `most` links (a, b).
 
-    Alternates two steps until nothing changes: neighbours of a class, first the
-    larger and then the smaller ones, are linked to its smallest neighbour
-    instead. Degrees may be any; a hub's links are never gathered in one task.
+    Alternates two steps until each class has one link to a class that has none
+    to a smaller one: neighbours of a class, first the larger and then the
+    smaller ones, are linked to its smallest neighbour instead. Degrees may be any; a hub's links are never gathered in one task.
     """
     own = Scratch(links.sparkSession)
-    edges = own.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    edges = own.stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links", most * SHORT_ROW)
+    total = edges.count()
 
     def star(pairs: DataFrame, total: int) -> DataFrame:
         least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg")).withColumn("m", F.least("u", "m"))
-        return join_unique(pairs, least, "u", "deg", total, how="inner")
+        return join_unique(pairs, least, "u", "deg", total, how="inner", whole=True)
 
-    before = None
-    while True:
-        total = edges.count()
+    # links of a class to smaller ones, and all; in the end it has one link to a smaller one, or links to larger ones alone
+    ends = F.explode(F.array(F.struct(F.col("u").alias("cls"), F.lit(1).alias("down")), F.struct(F.col("v").alias("cls"), F.lit(0).alias("down"))))
+    while total:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = star(both, 2 * total).filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = own.stored(large.filter("u <> v").distinct(), "large-star")
+        large = own.stored(large.filter("u <> v").distinct(), "large-star", total * SHORT_ROW)
         small = star(large, total).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e")).select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
-        edges = own.stored(small.filter("u <> v").distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = own.stored(small.filter("u <> v").distinct(), "small-star", 2 * total * SHORT_ROW)
         own.drop(edges)
-        if now == before:
+        per = edges.select(ends.alias("e")).select("e.*").groupBy("cls").agg(F.sum("down").alias("down"), F.count("*").alias("deg"))
+        open_, degrees = per.agg(F.count_if((F.col("down") > 0) & (F.col("deg") > 1)), F.coalesce(F.sum("deg"), F.lit(0))).first()
+        total = degrees // 2
+        if not open_:
             break
-        before = now
     found = edges.select(F.col("u").alias("cls"), F.col("v").alias("comp")).unionAll(edges.select(F.col("v").alias("cls"), F.col("v").alias("comp")).distinct())
-    found = shelf.stored(found, "labels")
+    found = shelf.stored(found, "labels", 2 * total * SHORT_ROW)
     own.drop()
     return found
 
@@ -251,7 +256,7 @@ def _shingles(sets: DataFrame) -> DataFrame:
     return sets.select("hashes", "cls", "probe").mapInArrow(frugal(run), "shingle long, cls long, probe boolean")
 
 
-def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, docs: DataFrame, percent: int, text: str, shingle: int, shelf: Scratch) -> tuple[DataFrame, DataFrame]:
+def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: DataFrame, docs: DataFrame, percent: int, text: str, shingle: int, n_classes: int, n_hashes: int, shelf: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs a < b of different components, both of open keys, that were not tested and may be similar enough; and links already confirmed.
 
     A key is open if its members are more than one component. Members outside
@@ -263,29 +268,29 @@ def _remaining_pairs(members: DataFrame, labels: DataFrame, classes: DataFrame,
     stands in many sets, these are compared in blocks instead.
     """
     sizes = classes.select("cls", F.col("n_shingles").alias("size"))
-    placed = shelf.stored(members.join(sizes, "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed")
+    placed = shelf.stored(members.join(sizes, "cls").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "placed", n_classes * POSITIONS * SHORT_ROW)
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     keys = per.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).filter("comps > 1").select("key", "n", F.col("top.comp").alias("top"))
     rows = join_unique(placed, keys, "key", "n", placed.count(), how="inner")
-    chosen = shelf.stored(rows.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.bool_or(F.col("comp") != F.col("top")).alias("probe")), "open")
+    chosen = shelf.stored(rows.groupBy("cls").agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.bool_or(F.col("comp") != F.col("top")).alias("probe")), "open", n_classes * SHORT_ROW)
     total = chosen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    texts_of = shelf.stored(classes.join(chosen, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "open-documents")
+    texts_of = shelf.stored(classes.join(chosen, "cls").select(F.col("rep").alias("doc_id"), "cls", "digest"), "open-documents", n_classes * SIGNED_ROW)
     # few rows, so the classes' columns are joined here and not to each shingle
-    sets = shelf.stored(_sets(docs, texts_of, text, shingle).join(chosen, "cls"), "open-sets")
+    sets = shelf.stored(_sets(docs, texts_of, text, shingle).join(chosen, "cls"), "open-sets", 8 * n_hashes)
     shingles = _shingles(sets)
 
     # shingles of one set alone come first and find nothing
     common = shingles.groupBy("shingle").agg(F.count("*").alias("df"), F.count_if(F.col("probe")).alias("times")).filter("df > 1 and times > 0")
     asked = shingles.filter("probe").select("shingle", "cls")
-    counted = join_unique(asked, shelf.stored(common, "common"), "shingle", "times", total).withColumn("df", F.coalesce("df", F.lit(1)))
+    counted = join_unique(asked, shelf.stored(common, "common", total * SHORT_ROW), "shingle", "times", total).withColumn("df", F.coalesce("df", F.lit(1)))
     rarest = Window.partitionBy("cls").orderBy("df", "shingle")
     ranked = counted.withColumn("rank", F.row_number().over(rarest)).filter("df > 1").select("shingle", F.col("cls").alias("x"), "rank", "df")
     most = F.expr(f"nx - (({percent} * nx + 99) div 100) + 1")
     first = ranked.join(sets.select(F.col("cls").alias("x"), F.col("comp").alias("cx"), F.col("size").alias("nx")), "x").filter(F.col("rank") <= most)
-    first = shelf.stored(first, "prefixes")
+    first = shelf.stored(first, "prefixes", total * SHORT_ROW)
     # df is how many rows of `shingles` the shingle has
     held = join_unique(shingles.select("shingle", "cls"), first.groupBy("shingle").agg(F.first("df").alias("df")), "shingle", "df", total, how="inner").drop("df")
-    others = shelf.stored(held.join(sets.select("cls", F.col("comp").alias("cy"), F.col("size").alias("ny")), "cls").withColumnRenamed("cls", "y"), "holders")
+    others = shelf.stored(held.join(sets.select("cls", F.col("comp").alias("cy"), F.col("size").alias("ny")), "cls").withColumnRenamed("cls", "y"), "holders", total * SHORT_ROW)
 
     least = F.expr(f"({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
     fits = (F.col("nx") * 100 >= F.col("ny") * percent) & (F.col("ny") * 100 >= F.col("nx") * percent) & (F.col("rank") <= F.col("nx") - least + 1)
@@ -307,7 +312,7 @@ def _crowd_links(probes: DataFrame, others: DataFrame, sets: DataFrame, percent:
     counts = left.groupBy("shingle").agg(F.count("*").alias("n"), F.max("df").alias("df"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     right = join_unique(others, counts.select("shingle", "df", "lo", "hi"), "shingle", "df", total, how="inner").filter(F.col("ny").between(F.col("lo"), F.col("hi"))).select("shingle", "y", "cy")
     blocks = counts.select("shingle", "n").join(right.groupBy("shingle").agg(F.count("*").alias("m")), "shingle")
-    blocks = shelf.stored(blocks.select("shingle", "n", "m", F.ceil(F.col("n") / PROBE_BLOCK).alias("nb"), F.ceil(F.col("m") / OTHER_BLOCK).alias("mb")), "blocks")
+    blocks = shelf.stored(blocks.select("shingle", "n", "m", F.ceil(F.col("n") / PROBE_BLOCK).alias("nb"), F.ceil(F.col("m") / OTHER_BLOCK).alias("mb")), "blocks", total * SHORT_ROW)
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     left = join_unique(left.select("shingle", "x", "cx"), blocks, "shingle", "n", total, how="inner")
@@ -340,10 +345,10 @@ def _same_ids(full: DataFrame, classes: DataFrame, total: int, shelf: Scratch) -
     """Links a, b between the classes of rows that share a doc_id."""
     one = F.xxhash64("digest")
     shared = full.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(one).alias("low"), F.max(one).alias("high"), F.count("*").alias("n")).filter("low <> high").select("doc_id", "n")
-    several = join_unique(full.select("doc_id", "digest"), shared, "doc_id", "n", total, how="inner").select("doc_id", "digest").distinct()
-    held = shelf.stored(several.join(classes.select("digest", "cls"), "digest").select("doc_id", "cls"), "several")
+    several = join_unique(full.select("doc_id", "digest"), shared, "doc_id", "n", total, how="inner", whole=True).select("doc_id", "digest").distinct()
+    held = shelf.stored(several.join(classes.select("digest", "cls"), "digest").select("doc_id", "cls"), "several", total * SHORT_ROW)
     first = held.groupBy("doc_id").agg(F.min("cls").alias("a"), F.count("*").alias("n"))
-    return join_unique(held, first, "doc_id", "n", total, how="inner").filter("cls <> a").select("a", F.col("cls").alias("b"))
+    return join_unique(held, first, "doc_id", "n", total, how="inner", whole=True).filter("cls <> a").select("a", F.col("cls").alias("b"))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PERCENT, shingle: int = SHINGLE) -> DataFrame:
@@ -359,42 +364,42 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PE
     shelf = Scratch(docs.sparkSession)
     rows = shelf.stored(signed_documents(docs, text, shingle), "signed")
     full = rows.filter(F.col("n_shingles") > 0)
-    n_rows = rows.count()
+    n_rows, n_hashes = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     per = full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
     # classes are numbered once, as they are stored
-    classes = shelf.stored(per.withColumn("cls", F.monotonically_increasing_id()), "classes")
+    classes = shelf.stored(per.withColumn("cls", F.monotonically_increasing_id()), "classes", n_rows * SIGNED_ROW)
     total = classes.count()
 
     keys = memberships(classes)
     crowds = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    crowded = shelf.stored(join_unique(keys, crowds.withColumn("m", F.col("n")), "key", "n", total * POSITIONS, how="inner"), "crowded")
+    crowded = shelf.stored(join_unique(keys, crowds.withColumn("m", F.col("n")), "key", "n", total * POSITIONS, how="inner"), "crowded", total * POSITIONS * SHORT_ROW)
     # the original of edited copies shares most keys with most of them
     central = crowded.join(crowded.groupBy("cls").agg(F.sum("m").alias("score")), "cls")
     hubs = central.groupBy("key").agg(F.max(F.struct("score", "cls"))["cls"].alias("hub"), F.count("*").alias("n"))
-    members = shelf.stored(join_unique(crowded.select("key", "cls"), hubs, "key", "n", total * POSITIONS, how="inner"), "members")
-    star = shelf.stored(members.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star")
+    members = shelf.stored(join_unique(crowded.select("key", "cls"), hubs, "key", "n", total * POSITIONS, how="inner"), "members", total * POSITIONS * SHORT_ROW)
+    star = shelf.stored(members.filter("hub <> cls").select(F.col("hub").alias("a"), F.col("cls").alias("b")).distinct(), "star", total * POSITIONS * SHORT_ROW)
     n_star = star.count()
     near = shelf.stored(_near_pairs(star, classes, n_star, percent), "near")
-    links = confirmed(near, docs, classes, n_star, percent, text, shingle, shelf).unionAll(_same_ids(full, classes, n_rows, shelf))
-    labels = components(links, shelf)
+    links = confirmed(near, docs, classes, n_star, percent, text, shingle, n_hashes, shelf).unionAll(_same_ids(full, classes, n_rows, shelf))
+    labels = components(links, n_star + n_rows, shelf)
     shelf.drop(rows, classes, members, star, labels)
 
-    more, extra = _remaining_pairs(members.select("key", "cls"), labels, classes, star, docs, percent, text, shingle, shelf)
+    more, extra = _remaining_pairs(members.select("key", "cls"), labels, classes, star, docs, percent, text, shingle, total, n_hashes, shelf)
     more = shelf.stored(more, "more")
     n_more = more.count()
     if n_more:
         near = shelf.stored(_near_pairs(more, classes, n_more, percent), "more-near")
-        extra = extra.unionAll(confirmed(near, docs, classes, n_more, percent, text, shingle, shelf))
-    # components so far are stars already
+        extra = extra.unionAll(confirmed(near, docs, classes, n_more, percent, text, shingle, n_hashes, shelf))
+    # components so far are stars already; of a crowd there are few links
     known = labels.filter("cls <> comp").select(F.col("comp").alias("a"), F.col("cls").alias("b"))
-    labels = components(known.unionAll(extra), shelf)
+    labels = components(known.unionAll(extra), total + n_more + n_rows, shelf)
     shelf.drop(rows, classes, labels)
 
     labelled = classes.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")).select("digest", "rep", "rows", "comp")
     groups = labelled.groupBy("comp").agg(F.min("rep").alias("component_id"), F.sum("rows").alias("all_rows"), F.count("*").alias("n")).filter("all_rows > 1").select("comp", "component_id", "n")
-    grouped = shelf.stored(join_unique(labelled, groups, "comp", "n", total, how="inner").select("digest", "rows", "component_id"), "grouped")
+    grouped = shelf.stored(join_unique(labelled, groups, "comp", "n", total, how="inner", whole=True).select("digest", "rows", "component_id"), "grouped", total * SIGNED_ROW)
     shelf.drop(rows, grouped)
-    out = join_unique(rows.select("doc_id", "n_shingles", "digest"), grouped, "digest", "rows", n_rows)
+    out = join_unique(rows.select("doc_id", "n_shingles", "digest"), grouped, "digest", "rows", n_rows, whole=True)
     component = F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -254,3 +254,26 @@ def test_signature_keys_keep_the_pigeonhole_promise():
         at = r.choice(32, r.integers(0, 16), replace=False)
         b[0, at] ^= 1
         assert (near_duplicates.chunk_keys(a) == near_duplicates.chunk_keys(b)).any()
+
+
+def test_small_tables_take_no_task_for_each_partition_of_each_shuffle(spark):
+    r = random.Random(8)
+    base = prose(r, 60).split()
+    edited = [" ".join(base[:k] + [f"e{k}"] + base[k + 1 :]) for k in range(0, 60, 5)]
+    rows = [(i, t) for i, t in enumerate(edited + [" ".join(base)] * 5 + [prose(r, 50) for _ in range(20)])]
+    held = {"spark.sql.shuffle.partitions": "50", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("few-tasks", "near duplicates of 37 rows")
+        got = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert {g["doc_id"]: g["component_id"] for g in got} == plain_components(rows)
+    seen = spark.sparkContext.statusTracker()
+    stages = {s for j in seen.getJobIdsForGroup("few-tasks") for s in seen.getJobInfo(j).stageIds}
+    done = [i.numCompletedTasks for s in stages if (i := seen.getStageInfo(s))]
+    assert sum(done) < 2800  # 3733 with as many tasks and files as shuffles have partitions
