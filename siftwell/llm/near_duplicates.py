@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import BROADCAST_ROWS, Scratch, frugal, gathered, join_unique, slices
+from siftwell.llm.common import BROADCAST_ROWS, Scratch, frugal, gathered, join_unique, slices, small_batches
 from siftwell.llm.words import coded_words, ragged
 
 SHINGLE = 4
@@ -361,6 +361,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", percent: int = LEAST_PE
     and are kept if no document with an id is in their component. Other columns
     are left out.
     """
+    small_batches(docs.sparkSession)
     shelf = Scratch(docs.sparkSession)
     rows = shelf.stored(signed_documents(docs, text, shingle), "signed")
     full = rows.filter(F.col("n_shingles") > 0)

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm.common import frugal, random_rows, release_memory, slices
+from siftwell.llm.common import frugal, random_rows, release_memory, slices, small_batches
 from siftwell.llm.words import ascii_words, ragged
 
 #: Patterns, the group that is the value, and its least length. Fixed values.
@@ -673,6 +673,7 @@ def scan(docs: DataFrame, field: Field, text: str = "text", redact: bool = False
     With redact, each secret is also replaced by `mask` in the text (null stays
     null) and the count columns are left out. Rows and other columns stay.
     """
+    small_batches(docs.sparkSession)
     made = [] if redact else ["n_assign", "n_access", "n_hex", "base_sha256", "spans"]
     rows = docs.drop(*made)
     names = rows.columns

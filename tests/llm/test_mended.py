@@ -186,3 +186,22 @@ def test_usual_words_are_not_shaped_one_by_one(monkeypatch):
     monkeypatch.setattr(secret_scan, "shape", lambda word: count.append(word) or one(word))
     w = secret_scan.featured(pa.array([" ".join(f"word{k} Straße{k} ünit-{k}=x" for k in range(300)), None, "字"]))
     assert np.diff(w.offsets).tolist() == [900, 0, 1] and count == ["字"]
+
+
+@pytest.mark.parametrize(("asked", "least", "most"), [(None, 0, 4.3e6), ("16m", 8e6, 17e6)])
+def test_a_scan_takes_whole_texts_in_small_batches(spark, asked, least, most):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    docs = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("word "), 20_000).alias("text"))
+    spark.conf.unset(common.ARROW_SETTING)
+    try:
+        if asked:
+            spark.conf.set(common.ARROW_SETTING, asked)
+        field = secret_scan.Field(np.zeros((3, len(secret_scan.SHAPES), 3)), np.zeros((secret_scan.AROUND, 3)), np.zeros((3, 3)))
+        found = secret_scan.scan(docs, field, redact=True)
+        largest = docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0]
+        assert least < largest < most and found.count() == 200
+    finally:
+        spark.conf.unset(common.ARROW_SETTING)
