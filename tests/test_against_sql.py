@@ -24,3 +24,10 @@ def test_cells_of_pages(spark, tmp_path):
     rows = [(i * 10 + j, u, None if t is None else f"<title>{t}</title>x") for i, t in enumerate([*titles, None]) for j, u in enumerate(urls)]
     rows += [(100, "https://a.example", ""), (101, "https://a.example", "x")]
     assert _differences(spark, tmp_path, "markdown_cells", pages=("page_id long, url string, html string", rows)) == ([], [], 0)
+
+
+def test_entropies_of_ids(spark, tmp_path):
+    dyadic = "a" * 128 + "b" * 64 + "c" * 32 + "d" * 16 + "e" * 8 + "f" * 4 + "g" * 2 + "hi"
+    texts = [None, "", "a", "aaaa", "ab", " \n", "\U0001f468\u200d\U0001f469 e\u0301", "\x00a", dyadic, "word " * 4000]
+    rows = [*enumerate(texts), (4, "bcd"), (4, None), (None, "xyz"), (None, "xxy")]
+    assert _differences(spark, tmp_path, "char_entropy", documents=("doc_id long, text string", rows)) == ([], [], 0)
