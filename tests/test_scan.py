@@ -1,6 +1,7 @@
 """The rule catalog, its grading and correlations on small skills."""
 
 import base64
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -143,3 +144,23 @@ def test_rules_are_tried_on_all_texts_that_they_match(spark):
 def test_minified_scripts(spark):
     rows = [("a", "a.js", "x;" * 2000), ("b", "b.js", "x;\n" * 2000), ("c", "c.md", "x;" * 2000), ("d", "d.js", ("y" * 600 + "\n") * 10)]
     assert {r["bundle_id"]: r["line"] for r in minified(files(spark, rows)).collect()} == {"a": 1, "d": 1}
+
+
+def test_cheap_tests_find_what_plain_ones_find(spark):
+    from siftwell.functions.text import one_of, words_held
+    from siftwell.operators import downloads, payloads
+    from siftwell.operators.unicode_runs import SUSPECT
+
+    words = ["curl", "cat", "nc", "no", "0x0", "__import__", "pip", "pip3"]
+    base64, codes = "QUJD" * 20, ", ".join(["65"] * 9)
+    texts = [None, "", "curl", "xcurl curl_ curl-nc", "cat\ncat nc,no", "pip3 0x0 __import__", "écat ncé", base64, "/" + base64, "_" + base64 + "==", "x" + "ab" * 40, "=" + "AB" * 40 + "=", "\\x41" * 16, f"fromCharCode({codes})"]
+    texts += [f"chr ({codes})", "[" + ", ".join(["65"] * 16) + "]", "soft­ly", "a​b", "tag\U000e0041", "café", "\x07", "curl https://a.example -o a", "curl\n-o a", "echo\ncurl -s b\\\n -o a"]
+    plain = [set(w for w in words if t is not None and w in set(re.split("[^a-z0-9_]+", t))) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    blob = F.coalesce(F.col("text").rlike("|".join(payloads.ENCODINGS.values())) | F.col("text").rlike(SUSPECT), F.lit(False))
+    in_lines = F.exists(F.split("text", "\n"), lambda x: x.rlike(downloads._SAVES))
+    rows = df.select("i", words_held(F.col("text"), words).alias("held"), payloads.may_hide(F.col("text")).alias("hides"), blob.alias("blob"), F.col("text").rlike(downloads._SAVES).alias("saves"), in_lines.alias("lines")).collect()
+    for r in rows:
+        assert set(r["held"] or []) == plain[r["i"]] and r["hides"] == r["blob"] and (r["saves"] or not r["lines"]), r
+    picked = spark.range(-1, 8).select(one_of(F.col("id"), [F.lit(v) for v in "abcdefg"]).alias("v")).collect()
+    assert [r["v"] for r in picked] == [None, *"abcdefg", None]
